@@ -21,7 +21,7 @@ KEYS = ["type", "browser_name", "date"]
 Measure = Callable[[], Column]
 
 
-def _measure(release: Column | str, previous: Column | str, compared: Column | str,
+def measure(release: Column | str, previous: Column | str, compared: Column | str,
              all_of: Column, none_of: Column, any_of: Column | None = None) -> Column:
     def named(value: Column | str, name: str) -> Column:
         return (F.col(value) if isinstance(value, str) else value).alias(name)
@@ -42,7 +42,7 @@ def _with_own(previous: str) -> Column:
 
 def browser_specific() -> Column:
     """Shipped by this browser throughout the grace year, by no other browser in it."""
-    return _measure(
+    return measure(
         "release_key", "grace_previous", "grace_compared",
         all_of=_with_own("grace_previous"), none_of=F.col("grace_compared"),
     )
@@ -50,7 +50,7 @@ def browser_specific() -> Column:
 
 def lone_omission() -> Column:
     """Shipped by all others throughout the grace year, never by this browser."""
-    return _measure(
+    return measure(
         "release_key", "all_previous", "grace_compared",
         all_of=F.col("grace_compared"), none_of=_with_own("all_previous"),
     )
@@ -63,7 +63,7 @@ def lone_removal() -> Column:
     """
     post, earlier = split_post_and_prev(F.col("before_grace"))
     eligible = (F.size("current_others") != 1) & (F.size("before_grace") >= 2)
-    return F.when(eligible, _measure(
+    return F.when(eligible, measure(
         post, earlier, "current_others",
         all_of=F.col("current_others"),
         none_of=F.array_distinct(F.array(post, F.col("release_key"))),
