@@ -1,4 +1,4 @@
 """Queries on the driver tables."""
 
-from driftline.plans import metric_queries  # noqa: F401
+from driftline.plans import catalog_queries, io_queries, metric_queries, set_queries  # noqa: F401
 from driftline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,0 +1,14 @@
+"""Tables written by the sinks and read back by the sources."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+
+from driftline.session import shared_folder
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder on shared storage."""
+    return f"{shared_folder(spark)}/driftline/{label}-{uuid.uuid4().hex}"
