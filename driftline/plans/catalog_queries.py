@@ -11,7 +11,9 @@ from driftline.operators import compat, search
 from driftline.operators.signature import ReleaseIndex, ships, signatures, with_release_key
 from driftline.operators.timeline import default_in_view, desktop_only
 from driftline.plans import bindings
-from driftline.plans.registry import BOUND, joined, query
+from driftline.plans.registry import BOUND, joined, query, scratch
+from driftline.sources import sinks
+from driftline.sources.catalog import explode_catalogs
 
 # The derived releases follow a rule: three browsers, seven years, up to three systems.
 SYSTEMS = {"A": ("Android", "OSX", "Windows"), "N": ("Android", "OSX", "Windows"),
@@ -294,16 +296,12 @@ def junction_integrity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(BOUND + "SELECT release_key, interface_key FROM junction")
 def import_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalogs of all releases, as nested maps, imported back to support facts."""
-    from driftline.sources.catalog import explode_catalogs
-
+    """Catalog fragments of all releases, as nested maps, imported to support facts."""
     facts = bindings.junction(spark, folder).select(
         "release_key", fn.interface_of("interface_key").alias("interface_name"),
         fn.api_of("interface_key").alias("api_name"))
-    lists = facts.groupBy("release_key", "interface_name").agg(
-        F.collect_list("api_name").alias("api_names"))
-    catalogs = lists.select(
-        "release_key", F.map_from_arrays(F.array("interface_name"), F.array("api_names")).alias("catalog"))
+    catalogs = facts.select(
+        "release_key", F.create_map("interface_name", F.array("api_name")).alias("catalog"))
     return explode_catalogs(catalogs, "release_key").select(
         "release_key", fn.interface_key().alias("interface_key"))
 
@@ -436,22 +434,15 @@ def page(spark: SparkSession, folder: str) -> DataFrame:
 FROM support GROUP BY id HAVING contains(lower(id), 'promo')""")
 def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The exported rows of a search, written as CSV and read back."""
-    from driftline.sources import sinks
-    from driftline.plans.io_queries import scratch
-
     index, rows = _all(spark, folder)
-    view = [row.release_key for row in index.rows if row.release_key == default_key(index, row)]
+    newest = {row.browser_name: row.release_key for row in index.rows}
+    view = [key for key in index.keys if key in newest.values()]
     hits = search.search(rows, index, ("keyword", "promo"), view)
     path = scratch(spark, "export")
     sinks.export_csv(hits, index, view, path)
     return sinks.read_csv_export(spark, path, [index.rows[index.position[key]].label for key in view])
 
 
-def default_key(index: ReleaseIndex, row) -> str:
-    newest = {r.browser_name: r.release_key for r in index.rows}
-    return newest[row.browser_name]
-
-
 @query(BOUND + """SELECT string_agg(release_key, ',' ORDER BY release_date, browser_name) AS releases FROM (
   SELECT * FROM all_releases QUALIFY row_number() OVER (PARTITION BY browser_name
     ORDER BY release_date DESC, browser_version DESC, os_name DESC) = 1)""")

@@ -178,12 +178,6 @@ def metric_series(spark: SparkSession, folder: str) -> DataFrame:
     return series.select("type", "browser_name", joined(text).alias("points"))
 
 
-@query(TIMELINE + "SELECT type, browser_name, date, value FROM metric_values WHERE value < 0")
-def validate_metric_value(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _metric_rows(spark, folder, *model.METRIC_TYPES)
-    return metrics.reject_negative(rows).select("type", "browser_name", "date", "value")
-
-
 COUNT_COLUMNS = ["browser_name", "release_date", "curr_release", "prev_release",
                  "total_apis", "new_apis", "removed_apis"]
 COUNT_SQL = COUNTS + "SELECT " + ", ".join(COUNT_COLUMNS) + " FROM api_counts"
@@ -217,6 +211,15 @@ def api_count_pair(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(spark, folder).where(F.col("prev_release").isNotNull()).select(*COUNT_COLUMNS)
 
 
+@query(COUNTS + """SELECT browser_name, release_date, new_apis - removed_apis AS value
+FROM api_counts WHERE new_apis < removed_apis""")
+def validate_metric_value(spark: SparkSession, folder: str) -> DataFrame:
+    """Net growth offered as a metric value: the rows the value check rejects."""
+    growth = _counts(spark, folder).select(
+        "browser_name", "release_date", (F.col("new_apis") - F.col("removed_apis")).alias("value"))
+    return metrics.reject_negative(growth)
+
+
 @query(COUNTS + """SELECT epoch_ms(CAST(c.release_date AS TIMESTAMP)) AS release_date, c.browser_name,
   r.browser_version, r.os_name, r.os_version, total_apis, new_apis, removed_apis,
   c.prev_release FROM api_counts c JOIN releases r ON r.release_key = c.curr_release""")

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import division, metrics, sets
-from driftline.operators.signature import ReleaseIndex
+from driftline.operators.signature import ReleaseIndex, with_release_key
 from driftline.operators.timeline import desktop_only
 from driftline.plans import bindings
 from driftline.plans.bindings import table
-from driftline.plans.registry import TIMELINE, joined, query
+from driftline.plans.registry import BOUND, TIMELINE, joined, query
 
 
 def _buyers(spark: SparkSession, folder: str, status: str) -> DataFrame:
@@ -72,12 +72,12 @@ def diff_only(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT p.* FROM {STATE_SQL.format("'view', 'click', 'purchase'")} p
 LEFT JOIN {STATE_SQL.format("'view', 'click'")} s USING (user_id)
-LEFT JOIN {STATE_SQL.format("'click', 'purchase'")} t USING (user_id)
+LEFT JOIN {STATE_SQL.format("'click'")} t USING (user_id)
 WHERE (s.user_id IS NULL OR p.event_type <> s.event_type OR p.value <> s.value)
   AND (t.user_id IS NULL OR p.event_type <> t.event_type OR p.value <> t.value)""")
 def diff_only_many(spark: SparkSession, folder: str) -> DataFrame:
     newer = _last_state(spark, folder, "view", "click", "purchase")
-    others = [_last_state(spark, folder, "view", "click"), _last_state(spark, folder, "click", "purchase")]
+    others = [_last_state(spark, folder, "view", "click"), _last_state(spark, folder, "click")]
     return sets.diff_only(newer, others, ["user_id"])
 
 
@@ -163,19 +163,20 @@ def count_rows(spark: SparkSession, folder: str) -> DataFrame:
     return lines.agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c_mktsegment, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)
-  AS members FROM customer GROUP BY c_mktsegment""")
+@query(BOUND + """SELECT browser_name, count(*) AS n,
+  string_agg(release_key, ',' ORDER BY release_key) AS members FROM all_releases GROUP BY browser_name""")
 def group_by_collect(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows collected per key: the group itself is the result."""
-    members = F.sort_array(F.collect_list("c_custkey"))
-    grouped = table(spark, folder, "customer").groupBy("c_mktsegment").agg(
-        F.count("*").alias("n"), members.alias("members"))
-    return grouped.select("c_mktsegment", "n", joined("members").alias("members"))
+    """Rows collected per key; groups of the release dimension are small."""
+    known = with_release_key(bindings.releases(spark, folder))
+    grouped = known.groupBy("browser_name").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list("release_key")).alias("members"))
+    return grouped.select("browser_name", "n", joined("members").alias("members"))
 
 
 @query("""SELECT l_returnflag, string_agg(l_linestatus || '=' || n, ',' ORDER BY l_linestatus) AS groups
   FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_returnflag""")
 def nested_group_by(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts per inner group, listed per outer group."""
     inner = table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").count()
     listed = F.sort_array(F.collect_list(F.struct("l_linestatus", "count")))
     text = F.transform(listed, lambda g: F.concat_ws("=", g["l_linestatus"], g["count"]))
