@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators import graph as og
-from driftline.operators.graph import G, NameRules, ObjectGraphs
+from driftline.operators.graph import G, NameRules, ObjectGraphs, ProtoForest
 from driftline.operators.postprocess import PostProcessor, default_processors
-from driftline.session import cut_lineage
+from driftline.session import cut_and_count, cut_lineage
 
 # Members every function has, not worth an API of a constructor.
 FUNCTION_MEMBERS = ("arguments", "name", "length", "caller")
@@ -53,7 +53,7 @@ def first_claims(graphs: ObjectGraphs, found: Owners) -> DataFrame:
     return og.objects_only(found.frame.select(G, "proto", "owner"), graphs, "proto").distinct()
 
 
-def proto_claims(graphs: ObjectGraphs, found: Owners) -> DataFrame:
+def proto_claims(graphs: ObjectGraphs, found: Owners, forest: ProtoForest) -> DataFrame:
     """``graph_id, proto, owner``, with the nameless prototypes further down the chains.
 
     Every owner walks down from its prototype. An object nobody has claimed goes to the
@@ -62,44 +62,36 @@ def proto_claims(graphs: ObjectGraphs, found: Owners) -> DataFrame:
     settled level by level: at level n every arrival comes from a lower level.
     """
     first = cut_lineage(first_claims(graphs, found), "first-claims")
-    starts = first.select(G, F.col("proto").alias("node")).distinct()
-    levels = cut_lineage(
-        og.proto_chains(graphs, starts).groupBy(G, F.col("ancestor").alias("node"))
-        .agg(F.max("depth").alias("level")),
-        "levels",
-    )
-    up = graphs.protos.select(G, "node", F.col("proto").alias("next"))
-    taken = first.select(G, F.col("proto").alias("node"), F.lit(True).alias("taken")).distinct()
-    rank = F.struct("kind", "owner")
-
-    def arrivals(passed: DataFrame) -> DataFrame:
-        moved = passed.join(up, [G, "node"]).select(
+    starts = first.select(G, F.col("proto").alias("node"))
+    levels = forest.chains(starts).groupBy(G, F.col("ancestor").alias("next")).agg(
+        F.max("depth").alias("next_level"))
+    onward, n_onward = cut_and_count(
+        forest.up.select(G, "node", F.col("proto").alias("next")).join(levels, [G, "next"]), "levels")
+    taken = first.select(G, F.col("proto").alias("node")).distinct()
+    entry = found.frame.select(G, F.col("proto").alias("node"), "owner", "kind")
+    # Rows are owners that passed ``node`` and arrive at ``next`` on ``next_level``.
+    moving = [cut_lineage(entry.join(onward, [G, "node"]), "passed")]
+    last = onward.agg(F.max("next_level")).first()[0] if n_onward else 0
+    for level in range(1, last + 1):
+        here = reduce(DataFrame.unionByName, moving).where(F.col("next_level") == level).select(
             G, F.col("next").alias("node"), "owner", "kind")
-        return moved.join(levels, [G, "node"])
-
-    entry = og.objects_only(
-        found.frame.select(G, F.col("proto").alias("node"), "owner", "kind"), graphs, "node")
-    pending = cut_lineage(arrivals(entry), "arrivals")
-    claims = [first]
-    while True:
-        level = pending.agg(F.min("level")).first()[0]
-        if level is None:
-            return reduce(DataFrame.unionByName, claims).distinct()
-        here = pending.where(F.col("level") == level)
         sharing = (
             here.join(found.names, [G, "owner"])
             .join(found.class_names, [G, "node", "name"], "left_semi")
-            .select(G, "node", "owner", "kind").distinct()
+            .select(G, "node", "owner", "kind")
         )
-        free = here.join(taken, [G, "node"], "left_anti").groupBy(G, "node").agg(F.min(rank).alias("r"))
-        passed = cut_lineage(
-            sharing.unionByName(free.select(G, "node", "r.owner", "r.kind")).distinct(), "passed")
-        claims.append(passed.select(G, F.col("node").alias("proto"), "owner"))
-        pending = cut_lineage(
-            pending.where(F.col("level") > level).unionByName(arrivals(passed)), "arrivals")
+        free = here.join(taken, [G, "node"], "left_anti").groupBy(G, "node").agg(
+            F.min(F.struct("kind", "owner")).alias("r"))
+        passed = sharing.unionByName(free.select(G, "node", "r.owner", "r.kind")).distinct()
+        moving.append(cut_lineage(passed.join(onward, [G, "node"], "left"), "passed").select(
+            *moving[0].columns))
+    later = [rows.select(G, F.col("node").alias("proto"), "owner") for rows in moving[1:]]
+    return reduce(DataFrame.unionByName, later, first.select(G, "proto", "owner")).distinct()
 
 
-def instance_levels(graphs: ObjectGraphs, found: Owners, claims: DataFrame) -> DataFrame:
+def instance_levels(
+    graphs: ObjectGraphs, found: Owners, claims: DataFrame, forest: ProtoForest
+) -> DataFrame:
     """``graph_id, node, proto, start, depth``: objects whose members go to a claimed prototype.
 
     Instances are neither primitive, constructor nor claimed. Each walks down to its first
@@ -107,38 +99,40 @@ def instance_levels(graphs: ObjectGraphs, found: Owners, claims: DataFrame) -> D
     the end of the chain first. One row per object with its greatest start.
     """
     special = og.landmarks(graphs).where("kind <> 'function'").select(G, "node").distinct()
-    claimed = claims.select(G, F.col("proto").alias("node"), F.lit(True).alias("claimed")).distinct()
-    claimed = cut_lineage(claimed.join(special, [G, "node"], "left_anti"), "claimed")
-    ctors = found.frame.where("kind = 0").select(G, F.col("owner").alias("node"))
+    claimed = claims.select(G, F.col("proto").alias("node")).distinct()
+    # Where a walk stops: at landmarks for nothing, at other claimed prototypes for good.
+    stops = special.withColumn("good", F.lit(False)).unionByName(
+        claimed.join(special, [G, "node"], "left_anti").withColumn("good", F.lit(True)))
+    parents = forest.up.select(G, F.col("proto").alias("node")).distinct()
+    onward = parents.select(G, "node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    onward = onward.unionByName(forest.closure)
+    first_stop = (
+        onward.join(stops.withColumnRenamed("node", "ancestor"), [G, "ancestor"])
+        .groupBy(G, "node").agg(F.min(F.struct("depth", "ancestor", "good")).alias("stop"))
+        .where("stop.good")
+        .select(G, "node", F.col("stop.ancestor").alias("proto"), F.col("stop.depth").alias("stop"))
+    )
+    between = (
+        onward.join(first_stop, [G, "node"]).where("depth < stop")
+        .select(G, F.col("node").alias("via"), F.col("ancestor").alias("passing"),
+                (F.col("depth") + 1).alias("depth"))
+    )
     starts = (
         og.objects_only(graphs.nodes.select(G, "node"), graphs, "node")
-        .join(special, [G, "node"], "left_anti")
-        .join(ctors, [G, "node"], "left_anti")
-        .join(claims.select(G, F.col("proto").alias("node")), [G, "node"], "left_anti")
+        .join(special.unionByName(claimed), [G, "node"], "left_anti")
+        .join(found.frame.where("kind = 0").select(G, F.col("owner").alias("node")), [G, "node"], "left_anti")
     )
-    up = og.objects_only(graphs.protos.select(G, "node", "proto"), graphs, "proto")
-    up = up.join(special.withColumnRenamed("node", "proto"), [G, "proto"], "left_anti")
-    up = up.join(claimed.withColumnRenamed("node", "proto"), [G, "proto"], "left")
-    up = cut_lineage(up, "steps")
-    walk = cut_lineage(
-        starts.select(G, F.col("node").alias("start"), "node", F.lit(0).alias("depth")), "walk")
-    visited, ended = [], []
-    while not walk.isEmpty():
-        visited.append(walk)
-        stepped = cut_lineage(walk.join(up, [G, "node"]), "stepped")
-        ended.append(stepped.where("claimed").select(G, "start", "proto"))
-        walk = stepped.where("claimed IS NULL").select(
-            G, "start", F.col("proto").alias("node"), (F.col("depth") + 1).alias("depth"))
-    if not visited:
-        visited, ended = [walk], [walk.select(G, "start", F.col("node").alias("proto"))]
-    all_visited = reduce(DataFrame.unionByName, visited)
-    all_ended = reduce(DataFrame.unionByName, ended)
-    last = F.max(F.struct("start", (-F.col("depth")).alias("nearest"))).alias("last")
-    return (
-        all_visited.join(all_ended, [G, "start"]).groupBy(G, "node", "proto").agg(last)
-        .select(G, "node", "proto", F.col("last.start").alias("start"),
-                (-F.col("last.nearest")).alias("depth"))
+    walks = (
+        starts.join(forest.up.withColumnRenamed("proto", "via"), [G, "node"])
+        .join(first_stop.select(G, F.col("node").alias("via"), "proto"), [G, "via"])
+        .select(G, F.col("node").alias("start"), "via", "proto")
     )
+    own = walks.select(G, F.col("start").alias("node"), "proto", "start", F.lit(0).alias("depth"))
+    passing = walks.join(between, [G, "via"]).select(
+        G, F.col("passing").alias("node"), "proto", "start", "depth")
+    last = F.max(F.struct("start", (-F.col("depth")).alias("nearest"))).alias("last")
+    return own.unionByName(passing).groupBy(G, "node", "proto").agg(last).select(
+        G, "node", "proto", F.col("last.start").alias("start"), (-F.col("last.nearest")).alias("depth"))
 
 
 def apis_from_ctors(found: Owners, class_members: DataFrame) -> DataFrame:
@@ -200,12 +194,14 @@ class Extraction:
 
 
 def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
+    graphs = graphs.explored()
     found = owners(graphs, rules)
-    claims = cut_lineage(proto_claims(graphs, found), "claims")
+    forest = og.proto_forest(graphs)
+    claims = cut_lineage(proto_claims(graphs, found, forest), "claims")
     class_members = cut_lineage(og.class_apis(graphs, rules), "class-members")
-    levels = cut_lineage(instance_levels(graphs, found, claims), "levels")
+    levels = cut_lineage(instance_levels(graphs, found, claims, forest), "levels")
     needed = claims.select(G, F.col("proto").alias("node")).unionByName(levels.select(G, "node"))
-    chains = og.proto_chains(graphs, needed)
+    chains = cut_lineage(forest.chains(needed), "chains")
     nothing = [F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("depth")]
     members = (
         apis_from_protos(claims, class_members, chains)
@@ -225,6 +221,7 @@ def extract_catalog(
     processors = config.post_processors
     if processors is None:
         processors = default_processors(config.rules)
+    graphs = graphs.explored()
     catalog = cut_lineage(run(graphs, config.rules).catalog(), "catalog")
     for processor in processors:
         catalog = processor(catalog, graphs)

@@ -10,13 +10,14 @@ Keys stored as ``+name+`` belong to the language itself; ``name`` is the plain f
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import cut_lineage
+from driftline.session import cut_and_count, cut_lineage
 
 G = "graph_id"
 PROTO_LABEL = "__proto__"
@@ -32,13 +33,18 @@ class ObjectGraphs:
     strings: DataFrame
     types: DataFrame
     roots: DataFrame
+    reachable: DataFrame | None = None
 
     def settled(self) -> ObjectGraphs:
         """The same tables, written once, for the many passes of an extraction."""
-        return replace(self, **{
-            name: cut_lineage(getattr(self, name), f"graph-{name}")
-            for name in self.__dataclass_fields__
-        })
+        names = [name for name in self.__dataclass_fields__ if getattr(self, name) is not None]
+        with ThreadPoolExecutor(len(names)) as pool:
+            written = pool.map(lambda name: cut_lineage(getattr(self, name), f"graph-{name}"), names)
+            return replace(self, **dict(zip(names, written)))
+
+    def explored(self) -> ObjectGraphs:
+        """With reachability worked out, so that nobody does it again."""
+        return replace(self, reachable=reachable_from_root(self))
 
 
 @dataclass(frozen=True)
@@ -83,48 +89,72 @@ def links(graphs: ObjectGraphs) -> DataFrame:
     return objects_only(own.unionByName(up), graphs, "child")
 
 
+HOPS_PER_ROUND = 4
+
+
 def reachable_from_root(graphs: ObjectGraphs) -> DataFrame:
-    """``graph_id, node`` for every object on a path from its graph's root."""
+    """``graph_id, node`` for every object on a path from its graph's root.
+
+    Each round follows several links before its result is written.
+    """
+    if graphs.reachable is not None:
+        return graphs.reachable
     steps = cut_lineage(links(graphs).select(G, "node", "child").distinct(), "links")
-    frontier = cut_lineage(graphs.roots.select(G, F.col("root").alias("node")), "reached")
-    found = [frontier]
+    reached = frontier = graphs.roots.select(G, F.col("root").alias("node"))
     while True:
-        reached = reduce(DataFrame.unionByName, found)
-        fresh = (
-            steps.join(frontier, [G, "node"], "left_semi")
-            .select(G, F.col("child").alias("node")).distinct()
-            .join(reached, [G, "node"], "left_anti")
-        )
-        frontier = cut_lineage(fresh, "reached")
-        if frontier.isEmpty():
+        hops = [frontier]
+        for _ in range(HOPS_PER_ROUND):
+            ahead = steps.join(hops[-1], [G, "node"], "left_semi")
+            hops.append(ahead.select(G, F.col("child").alias("node")).distinct())
+        seen = reduce(DataFrame.unionByName, hops[1:]).distinct()
+        frontier, found = cut_and_count(seen.join(reached, [G, "node"], "left_anti"), "reached")
+        if not found:
             return reached
-        found.append(frontier)
+        reached = reached.unionByName(frontier)
 
 
-def proto_chains(graphs: ObjectGraphs, starts: DataFrame) -> DataFrame:
-    """``graph_id, node, ancestor, depth``: strict prototypes of each start, nearest = 1.
+@dataclass(frozen=True)
+class ProtoForest:
+    """Prototype links, and all chains between objects that are prototypes themselves.
 
-    A prototype that is a primitive, or missing, ends the chain. Every round extends all
-    chains by one link; rounds are as many as the longest chain has links.
+    Prototypes are few next to the objects that use them, so any object's chain is its
+    one link joined to these. A prototype that is a primitive, or missing, ends a chain.
     """
-    up = objects_only(graphs.protos.select(G, "node", "proto"), graphs, "proto")
-    up = cut_lineage(up, "protos").select(
-        G, F.col("node").alias("ancestor"), F.col("proto").alias("next"))
-    ends = cut_lineage(
-        starts.select(G, "node").distinct().withColumn("ancestor", F.col("node"))
-        .join(up, [G, "ancestor"])
-        .select(G, "node", F.col("next").alias("ancestor"), F.lit(1).alias("depth")),
+
+    up: DataFrame
+    closure: DataFrame
+
+    def chains(self, starts: DataFrame) -> DataFrame:
+        """``graph_id, node, ancestor, depth``: strict prototypes of each start, nearest = 1."""
+        first = starts.select(G, "node").distinct().join(self.up, [G, "node"]).select(
+            G, "node", F.col("proto").alias("ancestor"), F.lit(1).alias("depth"))
+        further = self.closure.select(
+            G, F.col("node").alias("via"), "ancestor", (F.col("depth") + 1).alias("depth"))
+        rest = first.select(G, "node", F.col("ancestor").alias("via")).join(further, [G, "via"])
+        return first.unionByName(rest.select(G, "node", "ancestor", "depth"))
+
+
+def proto_forest(graphs: ObjectGraphs) -> ProtoForest:
+    """Chains by doubling: as many rounds as the longest chain's length has bits."""
+    up = cut_lineage(
+        objects_only(graphs.protos.select(G, "node", "proto"), graphs, "proto"), "protos")
+    parents = up.select(G, F.col("proto").alias("node")).distinct()
+    closure = cut_lineage(
+        parents.join(up, [G, "node"]).select(
+            G, "node", F.col("proto").alias("ancestor"), F.lit(1).alias("depth")),
         "chains",
     )
-    found = [ends]
-    while not ends.isEmpty():
-        ends = cut_lineage(
-            ends.join(up, [G, "ancestor"])
-            .select(G, "node", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")),
-            "chains",
-        )
-        found.append(ends)
-    return reduce(DataFrame.unionByName, found)
+    reach = 1
+    while True:
+        far = closure.where(F.col("depth") == reach).select(G, "node", F.col("ancestor").alias("via"))
+        beyond = closure.select(
+            G, F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        grown, added = cut_and_count(
+            far.join(beyond, [G, "via"]).select(G, "node", "ancestor", "depth"), "chains")
+        if not added:
+            return ProtoForest(up, closure)
+        closure = closure.unionByName(grown)
+        reach *= 2
 
 
 def ctor_like(graphs: ObjectGraphs) -> DataFrame:

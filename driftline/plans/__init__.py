@@ -1,4 +1,9 @@
 """Queries on the driver tables."""
 
-from driftline.plans import catalog_queries, io_queries, metric_queries, set_queries  # noqa: F401
+from driftline.plans import (  # noqa: F401
+    catalog_queries,
+    graph_queries,
+    metric_queries,
+    set_queries,
+)
 from driftline.plans.registry import ORACLES, QUERIES  # noqa: F401

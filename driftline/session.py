@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "driftline") -> SparkSession:
@@ -47,7 +48,13 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     A parquet table keeps column pruning, pushdown and true sizes for the join
     planner, and survives the loss of any executor.
     """
+    return cut_and_count(df, label)[0]
+
+
+def cut_and_count(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Like ``cut_lineage``, with the number of rows, counted while they are written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/driftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
