@@ -114,7 +114,8 @@ def one_year_before(day: Column | str) -> Column:
 
 
 def epoch_ms(day: Column | str) -> Column:
-    return F.unix_millis(_c(day).cast("timestamp"))
+    """Milliseconds since 1970 of a day, whatever the session's time zone."""
+    return F.unix_date(_c(day).cast("date")).cast("long") * 86_400_000
 
 
 def truthy(col: Column | str, kind: T.DataType) -> Column:

@@ -36,24 +36,23 @@ def owners(graphs: ObjectGraphs, rules: NameRules) -> Owners:
     names = og.Names(graphs, og.reachable_from_root(graphs), rules)
     function_names = cut_lineage(names.function_names(), "function-names")
     class_names = cut_lineage(names.class_names(function_names), "class-names")
+    libs = cut_lineage(og.libraries(graphs, class_names), "libraries")
     ctors = og.ctor_like(graphs)
-    libs = og.libraries(graphs, class_names)
-    frame = ctors.select(G, F.col("node").alias("owner"), "proto", F.lit(0).alias("kind"))
-    frame = frame.unionByName(
-        libs.select(G, F.col("node").alias("owner"), F.col("node").alias("proto"),
-                    F.lit(1).alias("kind")).distinct()
-    )
-    owner_names = function_names.join(ctors, [G, "node"], "left_semi").unionByName(libs)
-    owner_names = owner_names.select(G, F.col("node").alias("owner"), "name").distinct()
-    return Owners(cut_lineage(frame, "owners"), cut_lineage(owner_names, "owner-names"), class_names)
+    own = libs.select(
+        G, F.col("node").alias("owner"), F.col("node").alias("proto"),
+        F.lit(None).cast("string").alias("proto_type"), F.lit(1).alias("kind"),
+    ).distinct()
+    frame = ctors.withColumnRenamed("node", "owner").withColumn("kind", F.lit(0)).unionByName(own)
+    named = function_names.join(ctors, [G, "node"], "left_semi").unionByName(libs)
+    return Owners(frame, named.withColumnRenamed("node", "owner").distinct(), class_names)
 
 
-def first_claims(graphs: ObjectGraphs, found: Owners) -> DataFrame:
+def first_claims(found: Owners) -> DataFrame:
     """``graph_id, proto, owner``: each constructor's prototype, each library itself."""
-    return og.objects_only(found.frame.select(G, "proto", "owner"), graphs, "proto").distinct()
+    return found.frame.where("proto_type IS NULL").select(G, "proto", "owner").distinct()
 
 
-def proto_claims(graphs: ObjectGraphs, found: Owners, forest: ProtoForest) -> DataFrame:
+def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
     """``graph_id, proto, owner``, with the nameless prototypes further down the chains.
 
     Every owner walks down from its prototype. An object nobody has claimed goes to the
@@ -61,7 +60,7 @@ def proto_claims(graphs: ObjectGraphs, found: Owners, forest: ProtoForest) -> Da
     only if it shares a name with the object. Walks meet in a forest, so objects are
     settled level by level: at level n every arrival comes from a lower level.
     """
-    first = cut_lineage(first_claims(graphs, found), "first-claims")
+    first = cut_lineage(first_claims(found), "first-claims")
     starts = first.select(G, F.col("proto").alias("node"))
     levels = forest.chains(starts).groupBy(G, F.col("ancestor").alias("next")).agg(
         F.max("depth").alias("next_level"))
@@ -118,8 +117,7 @@ def instance_levels(
                 (F.col("depth") + 1).alias("depth"))
     )
     starts = (
-        og.objects_only(graphs.nodes.select(G, "node"), graphs, "node")
-        .join(special.unionByName(claimed), [G, "node"], "left_anti")
+        graphs.nodes.join(special.unionByName(claimed), [G, "node"], "left_anti")
         .join(found.frame.where("kind = 0").select(G, F.col("owner").alias("node")), [G, "node"], "left_anti")
     )
     walks = (
@@ -197,7 +195,7 @@ def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
     graphs = graphs.explored()
     found = owners(graphs, rules)
     forest = og.proto_forest(graphs)
-    claims = cut_lineage(proto_claims(graphs, found, forest), "claims")
+    claims = cut_lineage(proto_claims(found, forest), "claims")
     class_members = cut_lineage(og.class_apis(graphs, rules), "class-members")
     levels = cut_lineage(instance_levels(graphs, found, claims, forest), "levels")
     needed = claims.select(G, F.col("proto").alias("node")).unionByName(levels.select(G, "node"))

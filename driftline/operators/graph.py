@@ -1,18 +1,20 @@
 """Object graphs as tables: reachability, prototype chains and names.
 
 All tables carry ``graph_id``, so one job covers every captured release at once.
-``edges``: node, key, child · ``protos``: node, proto · ``meta``: node, key, is_value ·
-``functions``: node, name · ``strings``: node, text · ``types``: node, type_name ·
+``edges``: node, name, builtin, child, child_type · ``protos``: node, proto ·
+``marks``: node, name · ``functions``: node, name · ``strings``: node, text ·
 ``roots``: root · ``nodes``: node.
 
-Keys stored as ``+name+`` belong to the language itself; ``name`` is the plain form.
+Keys stored as ``+name+`` belong to the language itself (``builtin``). ``child_type`` names
+the primitive type of a member's value and is null for objects; prototypes that are
+primitives are left out of ``protos``. ``marks`` are the members with a plain value.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +25,41 @@ G = "graph_id"
 PROTO_LABEL = "__proto__"
 
 
+def plain_name(key: Column | str) -> Column:
+    return F.regexp_replace(key, r"^\+(.+)\+$", "$1")
+
+
 @dataclass(frozen=True)
 class ObjectGraphs:
     nodes: DataFrame
     edges: DataFrame
     protos: DataFrame
-    meta: DataFrame
+    marks: DataFrame
     functions: DataFrame
     strings: DataFrame
-    types: DataFrame
     roots: DataFrame
     reachable: DataFrame | None = None
+    landmarks: DataFrame | None = None
+
+    @classmethod
+    def build(
+        cls, nodes: DataFrame, edges: DataFrame, protos: DataFrame, meta: DataFrame,
+        functions: DataFrame, strings: DataFrame, types: DataFrame, roots: DataFrame,
+    ) -> ObjectGraphs:
+        """From raw tables: edges with ``key``, meta with ``key`` and ``is_value``."""
+        typed = types.select(G, F.col("node").alias("child"), F.col("type_name").alias("child_type"))
+        primitive = types.select(G, F.col("node").alias("proto"))
+        return cls(
+            nodes=nodes.select(G, "node"),
+            edges=edges.join(typed, [G, "child"], "left").select(
+                G, "node", plain_name("key").alias("name"),
+                F.col("key").rlike(r"^\+.+\+$").alias("builtin"), "child", "child_type"),
+            protos=protos.select(G, "node", "proto").join(primitive, [G, "proto"], "left_anti"),
+            marks=meta.where("is_value = 1").select(G, "node", plain_name("key").alias("name")).distinct(),
+            functions=functions.where("name <> ''").select(G, "node", "name"),
+            strings=strings.select(G, "node", "text"),
+            roots=roots.select(G, "root"),
+        )
 
     def settled(self) -> ObjectGraphs:
         """The same tables, written once, for the many passes of an extraction."""
@@ -43,8 +69,11 @@ class ObjectGraphs:
             return replace(self, **dict(zip(names, written)))
 
     def explored(self) -> ObjectGraphs:
-        """With reachability worked out, so that nobody does it again."""
-        return replace(self, reachable=reachable_from_root(self))
+        """With reachability and landmarks worked out, so that nobody does it again."""
+        if self.reachable is not None:
+            return self
+        return replace(self, reachable=reachable_from_root(self),
+                       landmarks=cut_lineage(landmarks(self), "landmarks"))
 
 
 @dataclass(frozen=True)
@@ -58,35 +87,14 @@ class NameRules:
     constant_types: tuple[str, ...] = ("boolean", "number", "string")
 
 
-def plain_name(key: Column | str) -> Column:
-    return F.regexp_replace(key, r"^\+(.+)\+$", "$1")
-
-
-def is_builtin(key: Column | str) -> Column:
-    return (F.col(key) if isinstance(key, str) else key).rlike(r"^\+.+\+$")
-
-
-def named_edges(graphs: ObjectGraphs) -> DataFrame:
-    """``graph_id, node, name, builtin, child``."""
-    return graphs.edges.select(
-        G, "node", plain_name("key").alias("name"), is_builtin("key").alias("builtin"), "child"
-    )
-
-
-def objects_only(pairs: DataFrame, graphs: ObjectGraphs, column: str) -> DataFrame:
-    """Rows whose ``column`` is not a primitive."""
-    primitive = graphs.types.select(G, F.col("node").alias(column))
-    return pairs.join(primitive, [G, column], "left_anti")
-
-
 def links(graphs: ObjectGraphs) -> DataFrame:
-    """Properties and prototype links as labelled edges between objects."""
-    own = named_edges(graphs).select(G, "node", "name", "builtin", "child")
+    """Members and prototype links as labelled edges between objects."""
+    own = graphs.edges.where("child_type IS NULL").select(G, "node", "name", "builtin", "child")
     up = graphs.protos.select(
         G, "node", F.lit(PROTO_LABEL).alias("name"), F.lit(False).alias("builtin"),
         F.col("proto").alias("child"),
     )
-    return objects_only(own.unionByName(up), graphs, "child")
+    return own.unionByName(up)
 
 
 HOPS_PER_ROUND = 4
@@ -136,8 +144,7 @@ class ProtoForest:
 
 def proto_forest(graphs: ObjectGraphs) -> ProtoForest:
     """Chains by doubling: as many rounds as the longest chain's length has bits."""
-    up = cut_lineage(
-        objects_only(graphs.protos.select(G, "node", "proto"), graphs, "proto"), "protos")
+    up = graphs.protos
     parents = up.select(G, F.col("proto").alias("node")).distinct()
     closure = cut_lineage(
         parents.join(up, [G, "node"]).select(
@@ -158,19 +165,17 @@ def proto_forest(graphs: ObjectGraphs) -> ProtoForest:
 
 
 def ctor_like(graphs: ObjectGraphs) -> DataFrame:
-    """``graph_id, node, proto``: objects with an own ``prototype``, and its value."""
-    own = named_edges(graphs).where("name = 'prototype'")
-    return objects_only(own, graphs, "node").select(G, "node", F.col("child").alias("proto"))
+    """``graph_id, node, proto, proto_type``: objects with an own ``prototype``, and its value."""
+    return graphs.edges.where("name = 'prototype'").select(
+        G, "node", F.col("child").alias("proto"), F.col("child_type").alias("proto_type"))
 
 
 def function_like(graphs: ObjectGraphs) -> DataFrame:
     """Constructors, and objects with both own ``arguments`` and ``length``."""
-    hints = (
-        named_edges(graphs).where(F.col("name").isin("arguments", "length"))
-        .groupBy(G, "node").agg(F.count_distinct("name").alias("n")).where("n = 2")
-    )
-    return ctor_like(graphs).select(G, "node").unionByName(
-        objects_only(hints, graphs, "node").select(G, "node")).distinct()
+    hints = graphs.edges.where(F.col("name").isin("prototype", "arguments", "length"))
+    found = hints.groupBy(G, "node").agg(F.collect_set("name").alias("own"))
+    both = F.array_contains("own", "arguments") & F.array_contains("own", "length")
+    return found.where(F.array_contains("own", "prototype") | both).select(G, "node")
 
 
 def name_from_tostring(text: Column | str) -> Column:
@@ -179,7 +184,7 @@ def name_from_tostring(text: Column | str) -> Column:
     return F.regexp_replace(found, "(Prototype|Constructor)$", "")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Names:
     """Function and class names of all objects, from paths below the root.
 
@@ -191,28 +196,28 @@ class Names:
     reachable: DataFrame
     rules: NameRules = field(default_factory=NameRules)
 
-    def _in_links(self) -> DataFrame:
+    @cached_property
+    def in_links(self) -> DataFrame:
         """Labelled links out of reachable objects, self links left out."""
-        return links(self.graphs).join(self.reachable, [G, "node"], "left_semi").where(
-            F.col("node") != F.col("child"))
+        known = links(self.graphs).join(self.reachable, [G, "node"], "left_semi")
+        return cut_lineage(known.where(F.col("node") != F.col("child")), "in-links")
 
     def _before_prototype(self) -> DataFrame:
         """``graph_id, node, name, via, start``: ``start -name-> via -prototype-> node``."""
-        into = self._in_links()
-        first = into.select(G, F.col("node").alias("start"), "name", F.col("child").alias("via"))
-        second = into.where("name = 'prototype'").select(
+        first = self.in_links.select(G, F.col("node").alias("start"), "name", F.col("child").alias("via"))
+        second = self.in_links.where("name = 'prototype'").select(
             G, F.col("node").alias("via"), F.col("child").alias("node"))
         return first.join(second, [G, "via"]).where(F.col("start") != F.col("node"))
 
     def function_names(self) -> DataFrame:
         """``graph_id, node, name`` without duplicates."""
-        given = self.graphs.functions.where("name <> ''").select(G, "node", "name")
+        given = self.graphs.functions
         if not self.rules.function_names_from_paths:
             return given.distinct()
-        last = self._in_links().where(
+        last = self.in_links.where(
             ~F.col("builtin") & ~F.col("name").isin("prototype", PROTO_LABEL)
         ).select(G, F.col("child").alias("node"), "name")
-        back = self._in_links().where("name = 'constructor'").select(
+        back = self.in_links.where("name = 'constructor'").select(
             G, F.col("node").alias("proto"), F.col("child").alias("ctor"))
         through = (
             self._before_prototype().withColumnRenamed("node", "proto")
@@ -243,7 +248,7 @@ class Names:
         guessed = self.names_from_proto()
         if not self.rules.class_names_from_constructor:
             return guessed
-        own = named_edges(self.graphs).where("name = 'constructor'").select(
+        own = self.graphs.edges.where("name = 'constructor'").select(
             G, F.col("node").alias("owner"), F.col("child").alias("node"))
         by_ctor = own.join(function_names, [G, "node"]).select(
             G, F.col("owner").alias("node"), "name")
@@ -252,14 +257,14 @@ class Names:
 
 
 def root_properties(graphs: ObjectGraphs) -> DataFrame:
-    """``graph_id, name, node``: what the root's properties point at."""
-    own = named_edges(graphs).withColumnRenamed("node", "root")
-    return own.join(graphs.roots, [G, "root"]).select(G, "name", F.col("child").alias("node"))
+    """``graph_id, name, node, child_type``: what the root's members point at."""
+    own = graphs.edges.withColumnRenamed("node", "root").join(graphs.roots, [G, "root"])
+    return own.select(G, "name", F.col("child").alias("node"), "child_type")
 
 
 def libraries(graphs: ObjectGraphs, class_names: DataFrame) -> DataFrame:
     """``graph_id, node, name``: root objects that are no functions, with all their names."""
-    globals_ = objects_only(root_properties(graphs), graphs, "node")
+    globals_ = root_properties(graphs).where("child_type IS NULL")
     libs = globals_.join(function_like(graphs), [G, "node"], "left_anti").select(G, "node", "name")
     named = class_names.join(libs, [G, "node"], "left_semi").select(G, "node", "name")
     return libs.unionByName(named).distinct()
@@ -267,15 +272,16 @@ def libraries(graphs: ObjectGraphs, class_names: DataFrame) -> DataFrame:
 
 def landmarks(graphs: ObjectGraphs) -> DataFrame:
     """``graph_id, node, kind`` of ``Function``, ``Function.prototype``, ``Object.prototype``."""
+    if graphs.landmarks is not None:
+        return graphs.landmarks
     globals_ = root_properties(graphs).where(F.col("name").isin("Function", "Object"))
-    function = globals_.where("name = 'Function'").select(G, "node", F.lit("function").alias("kind"))
-    protos = (
-        globals_.join(ctor_like(graphs), [G, "node"])
-        .select(G, F.col("proto").alias("node"),
-                F.when(F.col("name") == "Object", "object_prototype")
-                .otherwise("function_prototype").alias("kind"))
-    )
-    return function.unionByName(protos).distinct()
+    found = globals_.join(ctor_like(graphs), [G, "node"], "left")
+    itself = F.when(F.col("name") == "Function", F.struct("node", F.lit("function").alias("kind")))
+    proto = F.when(F.col("proto").isNotNull(), F.struct(
+        F.col("proto").alias("node"),
+        F.when(F.col("name") == "Object", "object_prototype").otherwise("function_prototype").alias("kind")))
+    kept = F.filter(F.array(itself, proto), lambda mark: mark.isNotNull())
+    return found.select(G, F.explode(kept).alias("mark")).select(G, "mark.*").distinct()
 
 
 ALL_DIGITS = "^[0-9]+$"
@@ -283,21 +289,16 @@ CONST_CASE = "^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"
 
 
 def constants(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
-    """``graph_id, node, name`` of properties that are constants in CONST_CASE.
+    """``graph_id, node, name`` of members that are constants in CONST_CASE.
 
     The value is of a constant type and is marked as a plain value, or is a boolean.
     """
-    shouting = named_edges(graphs).where(F.col("name").rlike(CONST_CASE))
-    typed = shouting.join(
-        graphs.types.where(F.col("type_name").isin(*rules.constant_types))
-        .select(G, F.col("node").alias("child"), "type_name"),
-        [G, "child"],
-    )
-    marked = graphs.meta.where("is_value = 1").select(
-        G, "node", plain_name("key").alias("name"), F.lit(True).alias("marked")).distinct()
+    typed = graphs.edges.where(
+        F.col("name").rlike(CONST_CASE) & F.col("child_type").isin(*rules.constant_types))
+    marked = graphs.marks.withColumn("marked", F.lit(True))
     return (
         typed.join(marked, [G, "node", "name"], "left")
-        .where(F.col("marked").isNotNull() | (F.col("type_name") == "boolean"))
+        .where(F.col("marked").isNotNull() | (F.col("child_type") == "boolean"))
         .select(G, "node", "name").distinct()
     )
 
@@ -306,7 +307,7 @@ def class_apis(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
     """``graph_id, node, name``: the members an object shows as a class or prototype."""
     kinds = landmarks(graphs).groupBy(G, "node").agg(
         F.max(F.col("kind") == "object_prototype").alias("is_object_prototype"))
-    own = named_edges(graphs).join(kinds, [G, "node"], "left")
+    own = graphs.edges.join(kinds, [G, "node"], "left")
     if rules.constant_types:
         fixed = constants(graphs, rules).withColumn("constant", F.lit(True))
         own = own.join(fixed, [G, "node", "name"], "left")
@@ -324,7 +325,7 @@ def class_apis(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
 
 def instance_apis(graphs: ObjectGraphs) -> DataFrame:
     """``graph_id, node, name``: the members an object shows as an instance."""
-    own = named_edges(graphs).where(~F.col("builtin") & ~F.col("name").rlike(ALL_DIGITS))
+    own = graphs.edges.where(~F.col("builtin") & ~F.col("name").rlike(ALL_DIGITS))
     return own.select(G, "node", "name").distinct()
 
 

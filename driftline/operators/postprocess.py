@@ -84,18 +84,15 @@ def copy_to_prototype(source: str, rules: NameRules = NameRules()) -> PostProces
     """
 
     def process(catalog: DataFrame, graphs: ObjectGraphs) -> DataFrame:
-        named = graphs.functions.where("name <> ''").select(G, "node", F.lit(True).alias("named"))
-        own = og.ctor_like(graphs)
+        graphs = graphs.explored()
+        named = graphs.functions.select(G, "node", F.lit(True).alias("named"))
         start = og.root_properties(graphs).where(F.col("name") == source).select(G, "node")
         proto = (
-            start.join(named, [G, "node"], "left").join(own, [G, "node"], "left")
+            start.join(named, [G, "node"], "left").join(og.ctor_like(graphs), [G, "node"], "left")
             .select(G, F.when(F.col("named"), F.col("proto")).otherwise(F.col("node")).alias("node"))
         )
-        target = og.objects_only(
-            proto.join(graphs.protos, [G, "node"]).select(G, F.col("proto").alias("node")),
-            graphs, "node",
-        )
-        names = og.Names(graphs, og.reachable_from_root(graphs), rules).prototype_path_names()
+        target = proto.join(graphs.protos, [G, "node"]).select(G, F.col("proto").alias("node"))
+        names = og.Names(graphs, graphs.reachable, rules).prototype_path_names()
         missing = F.raise_error(F.lit(f"no class found for the prototype of {source}"))
         targets = target.join(names, [G, "node"], "left").select(
             G, F.coalesce("name", missing.cast("string")).alias("target"))

@@ -5,5 +5,7 @@ from driftline.plans import (  # noqa: F401
     graph_queries,
     metric_queries,
     set_queries,
+    stream_queries,
+    table_queries,
 )
 from driftline.plans.registry import ORACLES, QUERIES  # noqa: F401

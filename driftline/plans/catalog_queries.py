@@ -21,7 +21,7 @@ SYSTEMS = {"A": ("Android", "OSX", "Windows"), "N": ("Android", "OSX", "Windows"
 YEARS = range(1995, 2002)
 
 
-def _all(spark: SparkSession, folder: str) -> tuple[ReleaseIndex, DataFrame]:
+def all_signatures(spark: SparkSession, folder: str) -> tuple[ReleaseIndex, DataFrame]:
     """Index over all releases with strict signatures of all APIs."""
     index = ReleaseIndex.build(bindings.releases(spark, folder))
     rows = signatures(
@@ -152,7 +152,7 @@ def map_rows(spark: SparkSession, folder: str) -> DataFrame:
 # The wide table and the grid
 
 
-def _wide_sql() -> str:
+def wide_sql() -> str:
     columns = []
     for browser, systems in SYSTEMS.items():
         for year in YEARS:
@@ -164,9 +164,9 @@ def _wide_sql() -> str:
   {", ".join(columns)} FROM apis a LEFT JOIN junction j USING (interface_key) GROUP BY ALL"""
 
 
-@query(_wide_sql())
+@query(wide_sql())
 def pivot_compat(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     return compat.pivot_compat(rows, index)
 
 
@@ -180,7 +180,7 @@ cells AS (
 
 @query(GRID + "SELECT id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY pos) AS data FROM cells GROUP BY id")
 def build_grid(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     return compat.build_grid(rows, index).select("id", joined("data").alias("data"))
 
 
@@ -188,7 +188,7 @@ def build_grid(spark: SparkSession, folder: str) -> DataFrame:
   FROM cells WHERE os_name = 'OSX' GROUP BY id""")
 def project_cols(spark: SparkSession, folder: str) -> DataFrame:
     """The releases of one system, newest first, with a column nobody knows."""
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     wanted = [row.release_key for row in reversed(index.rows) if row.os_name == "OSX"]
     grid = compat.project_cols(compat.build_grid(rows, index), index.keys, [*wanted, "no such release"])
     return grid.select("id", joined("data").alias("data"))
@@ -200,7 +200,7 @@ def project_cols(spark: SparkSession, folder: str) -> DataFrame:
     AND bool_or(cell) FILTER (WHERE release_key = 'R_1995_OSX_10')""")
 def extract_cols(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose chosen cells equal a given pattern."""
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     where = fn.known_positions(index.keys, ["A_1995_Windows_10", "N_1995_Windows_10", "R_1995_OSX_10"])
     pattern = F.array(F.lit(True), F.lit(False), F.lit(True))
     grid = compat.build_grid(rows, index)
@@ -209,7 +209,7 @@ def extract_cols(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRID + "SELECT id, count(*) FILTER (WHERE cell) AS n_releases FROM cells GROUP BY id")
 def array_count(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     count = fn.array_count("data", lambda cell: fn.truthy(cell, T.BooleanType()))
     return compat.build_grid(rows, index).select("id", count.alias("n_releases"))
 
@@ -218,7 +218,7 @@ def array_count(spark: SparkSession, folder: str) -> DataFrame:
   WHERE release_key IN ('A_2001_Windows_10', 'N_2001_Windows_10', 'R_2001_OSX_10') GROUP BY id""")
 def seq(spark: SparkSession, folder: str) -> DataFrame:
     """Several expressions as one sequence, counted."""
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     cells = fn.seq(*[
         ships(index, index.position[key])
         for key in ("A_2001_Windows_10", "N_2001_Windows_10", "R_2001_OSX_10")
@@ -255,7 +255,7 @@ def compat_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query(BOUND + """SELECT a.interface_key AS id, coalesce(bool_or(release_key = 'N_1998_OSX_10'), false) AS shipped
   FROM apis a LEFT JOIN junction j USING (interface_key) GROUP BY ALL""")
 def column_for_release(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     wide = compat.pivot_compat(rows, index)
     name = compat.column_for_release(wide, "N_1998_OSX_10")
     return wide.select("id", F.col(name).alias("shipped"))
@@ -267,7 +267,7 @@ def column_for_release(spark: SparkSession, folder: str) -> DataFrame:
   coalesce(bool_or(release_key = 'R_2000_OSX_10'), false) AS r2000oSX10
   FROM apis a LEFT JOIN junction j USING (interface_key) GROUP BY ALL""")
 def select_releases(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     wide = compat.pivot_compat(rows, index)
     return compat.select_releases(
         wide, ["R_2000_OSX_10", "A_1999_Windows_10", "N_1999_Windows_10"])
@@ -349,7 +349,7 @@ def api_on_release(spark: SparkSession, folder: str) -> DataFrame:
 
 def _searched(spark: SparkSession, folder: str, spec: tuple) -> DataFrame:
     """Search over all releases, with the newest release per browser in view."""
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     newest = {row.browser_name: row.release_key for row in index.rows}
     return search.search(rows, index, spec, newest.values()).select(F.col("interface_key").alias("id"))
 
@@ -415,7 +415,7 @@ def match_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(SEARCH + "SELECT count(*) FILTER (WHERE n_view = 2) AS filtered, count(*) AS total FROM per_api")
 def filtered_and_total(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     newest = {row.browser_name: row.release_key for row in index.rows}
     return compat.filtered_and_total(rows, search.compile_spec(("count", 2), index, newest.values()))
 
@@ -434,7 +434,7 @@ def page(spark: SparkSession, folder: str) -> DataFrame:
 FROM support GROUP BY id HAVING contains(lower(id), 'promo')""")
 def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The exported rows of a search, written as CSV and read back."""
-    index, rows = _all(spark, folder)
+    index, rows = all_signatures(spark, folder)
     newest = {row.browser_name: row.release_key for row in index.rows}
     view = [key for key in index.keys if key in newest.values()]
     hits = search.search(rows, index, ("keyword", "promo"), view)

@@ -8,7 +8,7 @@ share a nameless prototype that derives from the region's first nation.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,10 +23,6 @@ NUMBER, STRING, NULL = 3, 4, 6
 TYPES = {"undefined": 1, "boolean": 2, "number": 3, "string": 4, "symbol": 5, "null": 6, "exception": 7}
 
 
-def _id(base: int, key: str) -> Column:
-    return (F.lit(base) + F.col(key)).cast("long")
-
-
 def nations(spark: SparkSession, folder: str) -> DataFrame:
     """``graph_id, nation, n_name, hidden, partner, first``; few rows, one per nation.
 
@@ -93,29 +89,22 @@ def supplied_members(spark: SparkSession, folder: str, discount: Column) -> Data
     )
 
 
-Entry = tuple[Column | None, Column | int, Column | str, Column | int]
-
-
-def _entries(rows: DataFrame, *entries: Entry) -> DataFrame:
-    """``graph_id, node, key, child``: the entries whose condition holds, for every row."""
-
-    def number(value: Column | int) -> Column:
-        return (value if isinstance(value, Column) else F.lit(value)).cast("long")
-
-    made = []
-    for condition, node, key, child in entries:
-        text = F.lit(key) if isinstance(key, str) else key
-        entry = F.struct(number(node).alias("node"), text.alias("key"), number(child).alias("child"))
-        made.append(entry if condition is None else F.when(condition, entry))
-    kept = F.filter(F.array(*made), lambda entry: entry.isNotNull())
-    return rows.select(G, F.explode(kept).alias("e")).select(G, "e.*")
+def _rows(source: DataFrame, *entries: tuple[str, str, str, str]) -> DataFrame:
+    """``graph_id, node, key, child`` for every entry (condition, node, key, child) that holds."""
+    made = ", ".join(
+        f"IF({condition}, named_struct('node', CAST({node} AS BIGINT), 'key', {key}, "
+        f"'child', CAST({child} AS BIGINT)), NULL)"
+        for condition, node, key, child in entries
+    )
+    return source.selectExpr(G, f"inline(filter(array({made}), e -> e IS NOT NULL))")
 
 
 def _together(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def object_graphs(spark: SparkSession, folder: str) -> ObjectGraphs:
+@lru_cache(maxsize=4)
+def _object_graphs(spark: SparkSession, application: str, folder: str) -> ObjectGraphs:
     quantity, discount = F.col("l_quantity"), F.col("l_discount")
     sources = {
         "nations": nations(spark, folder),
@@ -133,86 +122,78 @@ def object_graphs(spark: SparkSession, folder: str) -> ObjectGraphs:
     supplier = supplier.withColumn(
         "segment", F.pmod("s_suppkey", segment.agg(F.count("*").alias("n")).scalar()))
     # One row per region and segment: a segment number repeats in every region.
-    lib = segment.withColumn("graph", F.explode(regions.agg(F.collect_list(G).alias("g")).scalar()))
-    lib = lib.withColumnRenamed("graph", G)
-    layered = F.col("segment") % 2 == 0
-    ctor, proto, hidden = _id(CTOR, "nation"), _id(PROTO, "nation"), _id(HIDDEN, "hidden")
-    has_hidden, size = F.col("hidden").isNotNull(), F.col("p_size").cast("string")
-
+    names = regions.agg(F.collect_list(G).alias("names")).scalar()
+    lib = segment.select("*", F.explode(names).alias(G))
+    ctor, proto, middle = (f"{start} + nation" for start in (CTOR, PROTO, MIDDLE))
+    hidden = f"{HIDDEN} + hidden"
+    seg, base, one = f"{LIB} + segment", f"{LIB_PROTO} + segment", f"{SUPPLIER} + s_suppkey"
+    layered, poor, shared = "segment % 2 = 0", "s_acctbal < 1000", "hidden IS NOT NULL"
+    fixed = [
+        (ROOT, "window", ROOT), (ROOT, "Object", OBJECT), (ROOT, "Function", FUNCTION),
+        (OBJECT, "prototype", OBJECT_PROTO), (OBJECT, "length", NUMBER), (OBJECT, "name", STRING),
+        (OBJECT_PROTO, "+constructor+", OBJECT), (OBJECT_PROTO, "+toString+", NULL),
+        (OBJECT_PROTO, "+valueOf+", NULL), (FUNCTION, "prototype", FUNCTION_PROTO),
+        (FUNCTION, "length", NUMBER), (FUNCTION_PROTO, "apply", NULL), (FUNCTION_PROTO, "call", NULL),
+        (FUNCTION_PROTO, "length", NUMBER), (FUNCTION_PROTO, "name", STRING),
+    ]
     edges = _together(
-        _entries(
-            regions,
-            (None, ROOT, "window", ROOT), (None, ROOT, "Object", OBJECT),
-            (None, ROOT, "Function", FUNCTION), (None, OBJECT, "prototype", OBJECT_PROTO),
-            (None, OBJECT, "length", NUMBER), (None, OBJECT, "name", STRING),
-            (None, OBJECT_PROTO, "+constructor+", OBJECT), (None, OBJECT_PROTO, "+toString+", NULL),
-            (None, OBJECT_PROTO, "+valueOf+", NULL), (None, FUNCTION, "prototype", FUNCTION_PROTO),
-            (None, FUNCTION, "length", NUMBER), (None, FUNCTION_PROTO, "apply", NULL),
-            (None, FUNCTION_PROTO, "call", NULL), (None, FUNCTION_PROTO, "length", NUMBER),
-            (None, FUNCTION_PROTO, "name", STRING),
-        ),
-        _entries(
+        _rows(regions, *[("true", str(n), f"'{key}'", str(child)) for n, key, child in fixed]),
+        _rows(
             nation,
-            (None, ROOT, F.col("n_name"), ctor), (None, ctor, "prototype", proto),
-            (None, ctor, "length", NUMBER), (None, ctor, "name", STRING),
-            (None, proto, "+constructor+", ctor),
+            ("true", f"{ROOT}", "n_name", ctor), ("true", ctor, "'prototype'", proto),
+            ("true", ctor, "'length'", f"{NUMBER}"), ("true", ctor, "'name'", f"{STRING}"),
+            ("true", proto, "'+constructor+'", ctor),
         ),
-        _entries(
+        _rows(
             bought,
-            (quantity == 50, ctor, F.concat(F.lower("p_type"), F.lit("_kind")), NULL),
-            (quantity == 50, proto, F.col("p_type"), NUMBER), (quantity == 50, proto, size, NUMBER),
-            (quantity >= 48, proto, F.col("member"), NULL),
-            ((quantity == 1) & has_hidden, hidden, F.col("member"), NULL),
-            (quantity == 2, _id(LIB, "segment"), F.col("member"), NULL),
-            ((quantity == 3) & layered, _id(LIB_PROTO, "segment"), F.col("member"), NULL),
-        ),
-        _entries(
-            supplied,
-            (F.col("offered"), _id(SUPPLIER, "s_suppkey"), F.col("member"), NULL),
-            (F.col("middle"), _id(MIDDLE, "nation"), F.col("member"), NULL),
+            ("l_quantity = 50", ctor, "concat(lower(p_type), '_kind')", f"{NULL}"),
+            ("l_quantity = 50", proto, "p_type", f"{NUMBER}"),
+            ("l_quantity = 50", proto, "CAST(p_size AS STRING)", f"{NUMBER}"),
+            ("l_quantity >= 48", proto, "member", f"{NULL}"),
+            (f"l_quantity = 1 AND {shared}", hidden, "member", f"{NULL}"),
+            ("l_quantity = 2", seg, "member", f"{NULL}"),
+            (f"l_quantity = 3 AND {layered}", base, "member", f"{NULL}"),
         ),
-        _entries(lib, (None, ROOT, F.col("c_mktsegment"), _id(LIB, "segment"))),
-        _entries(supplier, (None, _id(LIB, "segment"), F.concat(F.lit("sup_"), F.col("s_suppkey")),
-                            _id(SUPPLIER, "s_suppkey"))),
+        _rows(supplied, ("offered", one, "member", f"{NULL}"), ("middle", middle, "member", f"{NULL}")),
+        _rows(lib, ("true", f"{ROOT}", "c_mktsegment", seg)),
+        _rows(supplier, ("true", seg, "concat('sup_', s_suppkey)", one)),
     ).distinct()
-    poor = F.col("s_acctbal") < 1000
     protos = _together(
-        _entries(regions, (None, OBJECT, "", FUNCTION_PROTO), (None, FUNCTION, "", FUNCTION_PROTO),
-                 (None, FUNCTION_PROTO, "", OBJECT_PROTO)),
-        _entries(
-            nation,
-            (None, ctor, "", FUNCTION_PROTO), (has_hidden, proto, "", hidden),
-            (~has_hidden, proto, "", OBJECT_PROTO), (None, _id(MIDDLE, "nation"), "", proto),
-            (F.col("hidden") == F.col("nation"), hidden, "", _id(PROTO, "first")),
-        ),
-        _entries(lib, (layered, _id(LIB, "segment"), "", _id(LIB_PROTO, "segment")),
-                 (~layered, _id(LIB, "segment"), "", OBJECT_PROTO),
-                 (layered, _id(LIB_PROTO, "segment"), "", OBJECT_PROTO)),
-        _entries(supplier, (poor, _id(SUPPLIER, "s_suppkey"), "", _id(MIDDLE, "nation")),
-                 (~poor, _id(SUPPLIER, "s_suppkey"), "", proto)),
-    ).select(G, "node", F.col("child").alias("proto"))
-    text = F.when(F.col("partner").isNotNull(), F.concat(
-        F.lit("[object "), F.col("partner"), F.lit("Prototype]"))).otherwise(F.lit("[object Hidden]"))
+        _rows(regions, ("true", f"{OBJECT}", "''", f"{FUNCTION_PROTO}"),
+              ("true", f"{FUNCTION}", "''", f"{FUNCTION_PROTO}"),
+              ("true", f"{FUNCTION_PROTO}", "''", f"{OBJECT_PROTO}")),
+        _rows(nation, ("true", ctor, "''", f"{FUNCTION_PROTO}"),
+              ("true", proto, "''", f"coalesce({hidden}, {OBJECT_PROTO})"),
+              ("true", middle, "''", proto), ("hidden = nation", hidden, "''", f"{PROTO} + first")),
+        _rows(lib, ("true", seg, "''", f"IF({layered}, {base}, {OBJECT_PROTO})"),
+              (layered, base, "''", f"{OBJECT_PROTO}")),
+        _rows(supplier, ("true", one, "''", f"IF({poor}, {middle}, {proto})")),
+    ).withColumnRenamed("child", "proto")
+    text = "IF(partner IS NULL, '[object Hidden]', concat('[object ', partner, 'Prototype]'))"
     strings = _together(
-        _entries(regions, (None, ROOT, "[object Window]", 0)),
-        _entries(nation, (F.col("hidden") == F.col("nation"), hidden, text, 0)),
-        _entries(supplier, (None, _id(SUPPLIER, "s_suppkey"), "[object Object]", 0)),
+        _rows(regions, ("true", f"{ROOT}", "'[object Window]'", "0")),
+        _rows(nation, ("hidden = nation", hidden, text, "0")),
+        _rows(supplier, ("true", one, "'[object Object]'", "0")),
     )
     functions = _together(
-        _entries(regions, (None, OBJECT, "Object", 0), (None, FUNCTION, "Function", 0)),
-        _entries(nation, (None, ctor, F.concat(F.lit("fn_"), F.col("n_name")), 0)),
+        _rows(regions, ("true", f"{OBJECT}", "'Object'", "0"), ("true", f"{FUNCTION}", "'Function'", "0")),
+        _rows(nation, ("true", ctor, "concat('fn_', n_name)", "0")),
     )
-    types = _entries(regions, *[(None, number, name, 0) for name, number in TYPES.items()])
-    meta = _entries(bought, (quantity == 50, proto, F.col("p_type"), 1)).distinct()
-    return ObjectGraphs(
+    meta = _rows(bought, ("l_quantity = 50", proto, "p_type", "1"))
+    return ObjectGraphs.build(
         nodes=edges.select(G, "node").unionByName(protos.select(G, "node")).distinct(),
-        edges=edges, protos=protos,
-        meta=meta.select(G, "node", "key", F.lit(1).alias("is_value")),
-        functions=functions.select(G, "node", F.col("key").alias("name")),
-        strings=strings.select(G, "node", F.col("key").alias("text")),
-        types=types.select(G, "node", F.col("key").alias("type_name")),
+        edges=edges, protos=protos, meta=meta.withColumnRenamed("child", "is_value"),
+        functions=functions.withColumnRenamed("key", "name"),
+        strings=strings.withColumnRenamed("key", "text"),
+        types=_rows(regions, *[("true", str(number), f"'{name}'", "0") for name, number in TYPES.items()])
+        .withColumnRenamed("key", "type_name"),
         roots=regions.select(G, F.lit(ROOT).cast("long").alias("root")),
-    )
+    ).settled()
+
+
+def object_graphs(spark: SparkSession, folder: str) -> ObjectGraphs:
+    """The derived graph tables, written once per application as captured graphs would be."""
+    return _object_graphs(spark, spark.sparkContext.applicationId, folder)
 
 
 GRAPH = f"""

@@ -14,26 +14,22 @@ from driftline.plans.registry import query
 RULES = NameRules()
 
 
-def _settled(spark: SparkSession, folder: str) -> ObjectGraphs:
-    return object_graphs(spark, folder).settled()
-
-
 def _names(graphs: ObjectGraphs) -> og.Names:
     return og.Names(graphs, og.reachable_from_root(graphs), RULES)
 
 
 def _extraction(spark: SparkSession, folder: str) -> extract.Extraction:
-    return extract.run(_settled(spark, folder))
+    return extract.run(object_graphs(spark, folder))
 
 
-@query(GRAPH + "SELECT graph_id, node, key, child FROM edges")
+@query(GRAPH + "SELECT graph_id, node, name, builtin, child FROM named_edges")
 def object_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return object_graphs(spark, folder).edges
+    return object_graphs(spark, folder).edges.select(G, "node", "name", "builtin", "child")
 
 
 @query(GRAPH + "SELECT graph_id, node, proto FROM ctor_like")
 def ctor_like(spark: SparkSession, folder: str) -> DataFrame:
-    return og.ctor_like(object_graphs(spark, folder))
+    return og.ctor_like(object_graphs(spark, folder)).select(G, "node", "proto")
 
 
 @query(GRAPH + "SELECT graph_id, node FROM function_like")
@@ -48,17 +44,17 @@ def reachable_from_root(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRAPH + "SELECT graph_id, node, name FROM function_names")
 def function_names(spark: SparkSession, folder: str) -> DataFrame:
-    return _names(_settled(spark, folder)).function_names()
+    return _names(object_graphs(spark, folder)).function_names()
 
 
 @query(GRAPH + "SELECT graph_id, node, name FROM guessed_names")
 def names_from_proto(spark: SparkSession, folder: str) -> DataFrame:
-    return _names(_settled(spark, folder)).names_from_proto()
+    return _names(object_graphs(spark, folder)).names_from_proto()
 
 
 @query(GRAPH + "SELECT graph_id, node, name FROM class_names")
 def class_names(spark: SparkSession, folder: str) -> DataFrame:
-    names = _names(_settled(spark, folder))
+    names = _names(object_graphs(spark, folder))
     return names.class_names(names.function_names())
 
 
@@ -79,31 +75,31 @@ def name_from_tostring(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRAPH + "SELECT graph_id, node, name FROM libraries")
 def libraries(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
+    graphs = object_graphs(spark, folder)
     names = _names(graphs)
     return og.libraries(graphs, names.class_names(names.function_names()))
 
 
 @query(GRAPH + "SELECT graph_id, proto, owner FROM first_claims")
 def proto_owners(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
-    return extract.first_claims(graphs, extract.owners(graphs, RULES))
+    graphs = object_graphs(spark, folder)
+    return extract.first_claims(extract.owners(graphs, RULES))
 
 
 @query(GRAPH + "SELECT graph_id, proto, owner FROM claims")
 def hidden_proto_owners(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
-    return extract.proto_claims(graphs, extract.owners(graphs, RULES), og.proto_forest(graphs))
+    graphs = object_graphs(spark, folder)
+    return extract.proto_claims(extract.owners(graphs, RULES), og.proto_forest(graphs))
 
 
 @query(GRAPH + "SELECT graph_id, node, name FROM class_apis")
 def class_apis(spark: SparkSession, folder: str) -> DataFrame:
-    return og.class_apis(_settled(spark, folder), RULES)
+    return og.class_apis(object_graphs(spark, folder), RULES)
 
 
 @query(GRAPH + "SELECT graph_id, node, name FROM constants")
 def is_constant(spark: SparkSession, folder: str) -> DataFrame:
-    return og.constants(_settled(spark, folder), RULES)
+    return og.constants(object_graphs(spark, folder), RULES)
 
 
 @query(GRAPH + "SELECT graph_id, node, name FROM instance_apis")
@@ -113,7 +109,7 @@ def instance_apis(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRAPH + "SELECT graph_id, node, ancestor, CAST(depth AS INTEGER) AS depth FROM chains")
 def proto_chain(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
+    graphs = object_graphs(spark, folder)
     return og.proto_forest(graphs).chains(graphs.nodes)
 
 
@@ -121,7 +117,7 @@ def proto_chain(spark: SparkSession, folder: str) -> DataFrame:
   ON c.graph_id = i.graph_id AND c.node = i.node AND c.depth = 1""")
 def inherited_apis(spark: SparkSession, folder: str) -> DataFrame:
     """What each object's prototypes show on its behalf."""
-    graphs = _settled(spark, folder)
+    graphs = object_graphs(spark, folder)
     members = og.class_apis(graphs, RULES).withColumnRenamed("node", "ancestor")
     chains = og.proto_forest(graphs).chains(graphs.nodes)
     return chains.join(members, [G, "ancestor"]).select(G, "node", "name").distinct()
@@ -129,7 +125,7 @@ def inherited_apis(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_ctors")
 def apis_from_ctor_or_lib(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
+    graphs = object_graphs(spark, folder)
     return extract.apis_from_ctors(extract.owners(graphs, RULES), og.class_apis(graphs, RULES))
 
 
@@ -159,7 +155,7 @@ def api_provenance(spark: SparkSession, folder: str) -> DataFrame:
 @query(GRAPH + """SELECT graph_id, interface_name, api_name FROM catalog WHERE interface_name <> 'window'""")
 def extract_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The whole extraction with the default corrections."""
-    return extract.extract_catalog(_settled(spark, folder))
+    return extract.extract_catalog(object_graphs(spark, folder))
 
 
 # Corrections, on a catalog of what each nation bought
@@ -191,7 +187,7 @@ def _corrected(spark: SparkSession, folder: str, *processors: postprocess.PostPr
 @query(CORRECT + """SELECT * FROM bought_catalog UNION SELECT graph_id, 'Object', api_name
   FROM bought_catalog WHERE interface_name = 'NATION_0'""")
 def copy_to_prototype(spark: SparkSession, folder: str) -> DataFrame:
-    graphs = _settled(spark, folder)
+    graphs = object_graphs(spark, folder)
     return postprocess.copy_to_prototype("NATION_0")(_catalog(spark, folder), graphs)
 
 

@@ -79,7 +79,7 @@ def graph_tables(documents: DataFrame) -> ObjectGraphs:
     notes = documents.select(G, F.explode("metadata").alias("id", "notes"))
     notes = notes.select(
         G, F.col("id").cast("long").alias("node"), F.explode("notes").alias("key", "note"))
-    return ObjectGraphs(
+    return ObjectGraphs.build(
         nodes=members.select(G, F.col("id").cast("long").alias("node")),
         edges=edges,
         protos=per_node("protos", "proto"),
