@@ -10,7 +10,7 @@ from driftline.plans.bindings import SCHEMAS, table
 from driftline.plans.registry import query, scratch
 
 COLUMNS = ["event_id", "user_id", "event_type", "value"]
-KNOWN_SQL = "(SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 25)"
+KNOWN_SQL = "(SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 85)"
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    return events.where("event_type = 'purchase' AND value > 25").select("user_id").distinct()
+    return events.where("event_type = 'purchase' AND value > 85").select("user_id").distinct()
 
 
 def _drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
@@ -42,11 +42,11 @@ def stream_intersect(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(spark, streaming.stream_intersect(events, _known(spark, folder), ["user_id"]), "both")
 
 
-@query(EVENT_SQL + "(event_type = 'purchase' AND value > 25) OR (event_type = 'view' AND user_id NOT IN " + KNOWN_SQL + ")")
+@query(EVENT_SQL + "(event_type = 'purchase' AND value > 85) OR (event_type = 'view' AND user_id NOT IN " + KNOWN_SQL + ")")
 def stream_union(spark: SparkSession, folder: str) -> DataFrame:
     events = _stream(spark, folder).select(*COLUMNS)
     union = streaming.stream_union(
-        events.where("event_type = 'purchase' AND value > 25"), events.where("event_type = 'view'"),
+        events.where("event_type = 'purchase' AND value > 85"), events.where("event_type = 'view'"),
         _known(spark, folder), ["user_id"])
     return _drained(spark, union, "union")
 
