@@ -4,10 +4,10 @@ releases, in none of another and, optionally, in any of a third.
 A measures table has its own key columns plus three arrays of release keys: ``all_of``,
 ``none_of`` and ``any_of`` (null = no such condition). Two plans give the same result:
 
-* ``by_signature`` tests bit words. The junction is shuffled once, whatever the number
-  of measures, and only matching (measure, API) pairs are ever emitted.
-* ``by_join`` joins roles to the junction, for release dimensions or measure tables too
-  large to be carried along as one value.
+* ``by_signature`` shuffles the junction once, whatever the number of measures, and then
+  looks measures up by one release they require, so that an API only meets measures it
+  has a chance to satisfy. Bit words decide the rest.
+* ``by_join`` joins roles to the junction, for release dimensions too large for words.
 """
 
 from __future__ import annotations
@@ -18,49 +18,52 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.signature import ReleaseIndex, word_columns
+from driftline.operators.signature import WORD, ReleaseIndex, word_columns
 
-# Largest packed measures value handed to every task.
-MAX_MEASURE_BYTES = 16 * 1024 * 1024
+# Anchor of measures that require no release: every API has to be looked at.
+ANYWHERE = -1
 
 
-def fits(index: ReleaseIndex, n_measures: int) -> bool:
-    """Whether that many measures may travel as one value (masks plus keys)."""
-    return n_measures * (3 * 8 * index.n_words + 128) <= MAX_MEASURE_BYTES
+def _with_masks(measures: DataFrame, keys: Sequence[str], index: ReleaseIndex) -> DataFrame:
+    """Keys, an ``anchor`` and the bit words ``a0…``, ``n0…``, ``s0…`` of the three sets.
 
-
-def _packed(measures: DataFrame, keys: Sequence[str], index: ReleaseIndex) -> Column:
-    """All measures as one array value, evaluated once as a scalar subquery."""
-    entry = F.struct(
-        *keys,
-        index.mask_of(F.col("all_of")).alias("all_of"),
-        index.mask_of(F.col("none_of")).alias("none_of"),
-        F.when(F.col("any_of").isNotNull(), index.mask_of(F.col("any_of"))).alias("any_of"),
+    The anchor is the oldest release in ``all_of``, as older releases ship fewer APIs.
+    """
+    known = index.positions_of(F.col("all_of"))
+    anchor = F.coalesce(F.array_min(known), F.lit(ANYWHERE)).alias("anchor")
+    masks = measures.select(
+        *keys, anchor, F.col("any_of").isNotNull().alias("needs_some"),
+        *[index.mask_of(F.col(side)).alias(side) for side in ("all_of", "none_of", "any_of")],
     )
-    return measures.agg(F.collect_list(entry).alias("measures")).scalar()
+    words = [
+        F.coalesce(F.col(side)[i], F.lit(0).cast("bigint")).alias(f"{side[0] if side != 'any_of' else 's'}{i}")
+        for side in ("all_of", "none_of", "any_of") for i in range(index.n_words)
+    ]
+    return masks.select(*keys, "anchor", "needs_some", *words)
 
 
 def by_signature(
     measures: DataFrame, keys: Sequence[str], signatures: DataFrame, index: ReleaseIndex
 ) -> DataFrame:
     """``(*keys, interface_key)`` for every match, from ``signature.signatures``."""
-    words = [F.col(name) for name in word_columns(index.n_words)]
-
-    def holds(measure: Column) -> Column:
-        tests = []
-        for i, word in enumerate(words):
-            wanted = measure["all_of"][i]
-            tests.append(word.bitwiseAND(wanted) == wanted)
-            tests.append(word.bitwiseAND(measure["none_of"][i]) == 0)
-        some = [word.bitwiseAND(measure["any_of"][i]) != 0 for i, word in enumerate(words)]
-        tests.append(measure["any_of"].isNull() | reduce(Column.__or__, some))
-        return reduce(Column.__and__, tests)
-
-    return (
-        signatures.withColumn("measures", _packed(measures, keys, index))
-        .select("interface_key", F.explode(F.filter("measures", holds)).alias("measure"))
-        .select(*[F.col(f"measure.{key}") for key in keys], "interface_key")
-    )
+    wanted = _with_masks(measures, keys, index)
+    anchors = wanted.agg(F.collect_set("anchor").alias("anchors")).scalar()
+    anchor = F.col("anchor")
+    shipped = reduce(Column.__or__, [
+        (F.floor(anchor / WORD) == i) & (F.getbit(F.col(word), F.pmod(anchor, F.lit(WORD))) == 1)
+        for i, word in enumerate(word_columns(index.n_words))
+    ])
+    held = signatures.select("*", F.explode(anchors).alias("anchor")).where(
+        (anchor == ANYWHERE) | shipped)
+    tests, some = [], []
+    for i, name in enumerate(word_columns(index.n_words)):
+        word, needed = F.col(name), F.col(f"a{i}")
+        tests.append(word.bitwiseAND(needed) == needed)
+        tests.append(word.bitwiseAND(F.col(f"n{i}")) == 0)
+        some.append(word.bitwiseAND(F.col(f"s{i}")) != 0)
+    tests.append(~F.col("needs_some") | reduce(Column.__or__, some))
+    matched = held.join(wanted, "anchor").where(reduce(Column.__and__, tests))
+    return matched.select(*keys, "interface_key")
 
 
 def _roles(measures: DataFrame, keys: Sequence[str]) -> DataFrame:

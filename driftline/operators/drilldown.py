@@ -10,6 +10,7 @@ from driftline.functions import terse_release_id
 from driftline.operators import division
 from driftline.operators.metrics import KEYS, measure_points
 from driftline.operators.signature import ReleaseIndex, TooManyReleases, signatures
+from driftline.session import cut_lineage
 
 
 def diff_view(junction: DataFrame, minuend: str, subtrahend: str) -> DataFrame:
@@ -35,22 +36,17 @@ def metric_apis(
     A lone removal's list leaves out the metric's last condition, "still gone in the
     release in force", so it may be longer than the metric's value.
     """
-    index = None
     try:
         index = ReleaseIndex.build(releases)
-        releases = index.frame
     except TooManyReleases:
-        pass
-    measures = measure_points(releases, [kind])
+        index = None
+    measures = measure_points(releases if index is None else index.frame, [kind])
     if kind == model.LONE_REMOVAL:
         measures = measures.withColumn("none_of", F.array("release"))
-    if index is not None:
-        browsers = len({row.browser_name for row in index.rows})
-        dates = len({row.release_date for row in index.rows})
-        if division.fits(index, (browsers + 1) * dates):
-            rows = signatures(apis, junction, index)
-            return division.by_signature(measures, KEYS, rows, index)
-    return division.by_join(measures, KEYS, apis, junction)
+    measures = cut_lineage(measures, "measures")
+    if index is None:
+        return division.by_join(measures, KEYS, apis, junction)
+    return division.by_signature(measures, KEYS, signatures(apis, junction, index), index)
 
 
 def query_for(metrics: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from driftline.functions import epoch_ms, friendly_browser_version
 from driftline.operators import division
 from driftline.operators.signature import ReleaseIndex, TooManyReleases, signatures, with_release_key
 from driftline.operators.timeline import consecutive_pairs, metric_points, split_post_and_prev
+from driftline.session import cut_lineage
 
 KEYS = ["type", "browser_name", "date"]
 Measure = Callable[[], Column]
@@ -101,19 +102,14 @@ def count_measures(
     try:
         index = ReleaseIndex.build(releases)
     except TooManyReleases:
-        index = None
-    if index is not None:
-        releases = index.frame
-        browsers = len({row.browser_name for row in index.rows})
-        dates = len({row.release_date for row in index.rows})
-        if not division.fits(index, 3 * len(MEASURES) * (browsers + 1) * dates):
-            index = None
-    measures, keys = build(releases)
-    if index is None:
+        measures, keys = build(releases)
+        measures = cut_lineage(measures, "measures")
         counts = division.count_by_join(measures, keys, apis, junction)
-    else:
-        matches = division.by_signature(measures, keys, signatures(apis, junction, index), index)
-        counts = matches.groupBy(*keys).agg(F.count("*").alias("value"))
+        return division.with_counts(measures, keys, counts)
+    measures, keys = build(index.frame)
+    measures = cut_lineage(measures, "measures")
+    matches = division.by_signature(measures, keys, signatures(apis, junction, index), index)
+    counts = matches.groupBy(*keys).agg(F.count("*").alias("value"))
     return division.with_counts(measures, keys, counts)
 
 

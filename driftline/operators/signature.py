@@ -41,7 +41,8 @@ class ReleaseIndex:
     rows: tuple[Row, ...]
 
     @classmethod
-    def build(cls, releases: DataFrame, limit: int = MAX_RELEASES) -> ReleaseIndex:
+    def build(cls, releases: DataFrame, limit: int | None = None) -> ReleaseIndex:
+        limit = MAX_RELEASES if limit is None else limit
         ordered = (
             releases.select(
                 "browser_name", "browser_version", "os_name", "os_version", "release_date",
@@ -94,10 +95,15 @@ class ReleaseIndex:
 
     def mask_of(self, keys: Column) -> Column:
         """``array<bigint>`` of words for a column holding an array of release keys."""
-        known = self.key_array
-        positions = F.transform(keys, lambda k: (F.array_position(known, k) - 1).cast("int"))
+        positions = self.positions_of(keys)
         return F.array(*[_folded(positions, word) for word in range(self.n_words)])
 
+    def positions_of(self, keys: Column) -> Column:
+        """``array<int>`` of positions for a column holding an array of release keys."""
+        known = self.key_array
+        found = F.transform(keys, lambda k: (F.array_position(known, k) - 1).cast("int"))
+        return F.filter(found, lambda pos: pos >= 0)
+
 
 def bit(pos: Column) -> Column:
     return F.call_function(

@@ -67,9 +67,9 @@ def test_large_release_dimensions_are_refused_by_the_index(spark):
 
 
 def test_metrics_take_the_other_plan_for_large_dimensions(spark, monkeypatch):
-    from driftline.operators import metrics
+    from driftline.operators import metrics, signature
 
     (releases, apis, junction, _), _ = random_case(spark, 6, 9, 30, 1)
     usual = sorted(map(str, metrics.browser_metrics(releases, apis, junction).collect()))
-    monkeypatch.setattr(division, "MAX_MEASURE_BYTES", 0)
+    monkeypatch.setattr(signature, "MAX_RELEASES", 8)
     assert sorted(map(str, metrics.browser_metrics(releases, apis, junction).collect())) == usual
