@@ -50,7 +50,7 @@ def by_signature(
     anchors = wanted.agg(F.collect_set("anchor").alias("anchors")).scalar()
     anchor = F.col("anchor")
     shipped = reduce(Column.__or__, [
-        (F.floor(anchor / WORD) == i) & (F.getbit(F.col(word), F.pmod(anchor, F.lit(WORD))) == 1)
+        (F.shiftright(anchor, 6) == i) & (F.getbit(F.col(word), F.pmod(anchor, F.lit(WORD))) == 1)
         for i, word in enumerate(word_columns(index.n_words))
     ])
     held = signatures.select("*", F.explode(anchors).alias("anchor")).where(

@@ -22,6 +22,9 @@ WORD = 64
 # Largest release dimension kept as bit positions; larger ones go through the
 # join in ``division.py``.
 MAX_RELEASES = 4096
+# Up to this size the dimension stays in one partition, and its windows, groups and joins
+# need no shuffle.
+TINY = 512
 RELEASE_ORDER = ("release_date", "browser_name", "browser_version", "os_name", "os_version")
 
 
@@ -79,7 +82,8 @@ class ReleaseIndex:
         columns = [
             pa.array([v[i] for v in values], type=kind) for i, kind in enumerate(kinds)
         ]
-        return self.spark.createDataFrame(pa.table(columns, names=names))
+        local = self.spark.createDataFrame(pa.table(columns, names=names))
+        return local.coalesce(1) if len(self.rows) <= TINY else local
 
     @property
     def key_array(self) -> Column:

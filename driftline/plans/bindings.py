@@ -32,9 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name].format(time="TIMESTAMP_NTZ")).parquet(f"{folder}/{name}.parquet")
 
 
-def _release_parts() -> list[Column]:
+def _shipments(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """Distinct ``flag, system, year`` of the shipments, with the given keys.
+
+    Plain values only: names and dates are made after the rows have been reduced.
+    """
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    year = F.year("l_shipdate")
     system = (
         F.when((flag == "R") & (status == "O"), "OSX")
         .when(flag == "R", "Android")
@@ -42,18 +45,26 @@ def _release_parts() -> list[Column]:
         .when(F.pmod("l_linenumber", F.lit(2)) == 0, "OSX")
         .otherwise("Android")
     )
+    lines = table(spark, folder, "lineitem")
+    return lines.select(
+        *keys, flag.alias("flag"), system.alias("system"), F.year("l_shipdate").alias("year")
+    ).distinct()
+
+
+def _release_parts() -> list[Column]:
+    flag, year = F.col("flag"), F.col("year")
     month = F.when(flag == "A", 1).when(flag == "N", 4).otherwise(7)
     return [
         flag.alias("browser_name"),
         year.cast("string").alias("browser_version"),
-        system.alias("os_name"),
+        F.col("system").alias("os_name"),
         F.lit("10").alias("os_version"),
         F.make_date(year, month, F.lit(1)).alias("release_date"),
     ]
 
 
 def releases(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(*_release_parts()).distinct()
+    return _shipments(spark, folder).select(*_release_parts())
 
 
 def _api_names() -> list[Column]:
@@ -77,11 +88,7 @@ def junction(spark: SparkSession, folder: str) -> DataFrame:
     Shipments shrink to one row per part and release before they meet the parts, so a
     part with most of the shipments is no hot key in the join.
     """
-    shipped = (
-        table(spark, folder, "lineitem")
-        .select(F.col("l_partkey").alias("p_partkey"), *_release_parts())
-        .select("p_partkey", release_key().alias("release_key"))
-        .distinct()
-    )
+    shipped = _shipments(spark, folder, "l_partkey").select("l_partkey", *_release_parts())
+    shipped = shipped.select(F.col("l_partkey").alias("p_partkey"), release_key().alias("release_key"))
     parts = table(spark, folder, "part").select("p_partkey", *_api_names())
     return shipped.join(parts, "p_partkey").select("release_key", interface_key().alias("interface_key"))

@@ -11,7 +11,8 @@ from driftline.operators import compat, search
 from driftline.operators.signature import ReleaseIndex, ships, signatures, with_release_key
 from driftline.operators.timeline import default_in_view, desktop_only
 from driftline.plans import bindings
-from driftline.plans.registry import BOUND, joined, query, scratch
+from driftline.plans.registry import BOUND, joined, query
+from driftline.session import fresh_path
 from driftline.sources import sinks
 from driftline.sources.catalog import explode_catalogs
 
@@ -438,7 +439,7 @@ def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     newest = {row.browser_name: row.release_key for row in index.rows}
     view = [key for key in index.keys if key in newest.values()]
     hits = search.search(rows, index, ("keyword", "promo"), view)
-    path = scratch(spark, "export")
+    path = fresh_path(spark, "export")
     sinks.export_csv(hits, index, view, path)
     return sinks.read_csv_export(spark, path, [index.rows[index.position[key]].label for key in view])
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import shared_folder
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +30,6 @@ def joined(col: Column | str) -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder on shared storage."""
-    return f"{shared_folder(spark)}/driftline/{label}-{uuid.uuid4().hex}"
-
-
 # The derived compat data set in SQL, matching ``bindings.py``.
 BOUND = """
 WITH shipped AS (

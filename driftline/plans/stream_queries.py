@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from driftline import streaming
 from driftline.operators.sets import upsert
 from driftline.plans.bindings import SCHEMAS, table
-from driftline.plans.registry import query, scratch
+from driftline.plans.registry import query
+from driftline.session import fresh_path
 
 COLUMNS = ["event_id", "user_id", "event_type", "value"]
 KNOWN_SQL = "(SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 85)"
@@ -24,7 +25,7 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    return streaming.drain(stream, scratch(spark, label), scratch(spark, f"{label}-progress"))
+    return streaming.drain(stream, fresh_path(spark, label), fresh_path(spark, f"{label}-progress"))
 
 
 EVENT_SQL = "SELECT event_id, user_id, event_type, value FROM events WHERE "
@@ -59,10 +60,10 @@ LAST_SQL = """(SELECT user_id, event_id, event_type, value FROM events {}
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """A copy that starts from the views and follows the stream of all events."""
     keys, sequence = ["user_id"], ["ts", "event_id"]
-    path = scratch(spark, "copy")
+    path = fresh_path(spark, "copy")
     events = table(spark, folder, "events")
     streaming.start_copy(events.where("event_type = 'view'"), path, keys, sequence)
-    progress = scratch(spark, "copy-progress")
+    progress = fresh_path(spark, "copy-progress")
     streaming.stream_upsert(_stream(spark, folder), path, keys, sequence, progress).awaitTermination()
     copy = streaming.read_copy(spark, path, events.schema, keys, sequence)
     return copy.select("user_id", "event_id", "event_type", "value")

@@ -13,14 +13,15 @@ from driftline.operators.timeline import desktop_only
 from driftline.plans import bindings
 from driftline.plans.catalog_queries import GRID, NAME_SQL, all_signatures, wide_sql
 from driftline.plans.metric_queries import COUNT_COLUMNS, COUNT_SQL, RELEASE_SQL, VALUE_COLUMNS, VALUE_SQL
-from driftline.plans.registry import BOUND, joined, query, scratch
+from driftline.plans.registry import BOUND, joined, query
+from driftline.session import fresh_path
 from driftline.sources import entities, sinks
 from driftline.sources.catalog import import_catalogs, with_release_date
 
 
 @query(BOUND + "SELECT release_key, interface_key FROM junction")
 def write_entities(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch(spark, "entities")
+    path = fresh_path(spark, "entities")
     sinks.write_entities(
         bindings.releases(spark, folder), bindings.apis(spark, folder),
         bindings.junction(spark, folder), path)
@@ -30,7 +31,7 @@ def write_entities(spark: SparkSession, folder: str) -> DataFrame:
 @query(wide_sql())
 def write_compat(spark: SparkSession, folder: str) -> DataFrame:
     index, rows = all_signatures(spark, folder)
-    path = scratch(spark, "compat")
+    path = fresh_path(spark, "compat")
     sinks.write_compat(rows, index, path)
     return spark.read.parquet(f"{path}/compat")
 
@@ -38,14 +39,14 @@ def write_compat(spark: SparkSession, folder: str) -> DataFrame:
 @query(GRID + "SELECT id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY pos) AS data FROM cells GROUP BY id")
 def write_grid(spark: SparkSession, folder: str) -> DataFrame:
     index, rows = all_signatures(spark, folder)
-    path = scratch(spark, "grid")
+    path = fresh_path(spark, "grid")
     sinks.write_grid(rows, index, path)
     grid = spark.read.schema("id STRING, data ARRAY<BOOLEAN>").parquet(f"{path}/grid")
     return grid.select("id", joined("data").alias("data"))
 
 
 def _written_metrics(spark: SparkSession, folder: str) -> str:
-    path = scratch(spark, "metrics")
+    path = fresh_path(spark, "metrics")
     facts = bindings.apis(spark, folder), bindings.junction(spark, folder)
     rows, counts = metrics.run_all_metrics(desktop_only(bindings.releases(spark, folder)), *facts)
     sinks.write_metrics(rows, counts, path)
@@ -71,7 +72,7 @@ def write_api_counts(spark: SparkSession, folder: str) -> DataFrame:
 def load_compat_columns(spark: SparkSession, folder: str) -> DataFrame:
     index = ReleaseIndex.build(bindings.releases(spark, folder))
     none = bindings.apis(spark, folder).where(F.lit(False))
-    path = scratch(spark, "columns")
+    path = fresh_path(spark, "columns")
     sinks.write_compat(signatures(none, none.select(F.lit("").alias("release_key"), "interface_key"), index), index, path)
     columns = entities.load_compat_columns(spark, f"{path}/compat_columns")
     return columns.select(F.col("pos").cast("long").alias("pos"), "column_name", "label", "release.release_date")
@@ -85,7 +86,7 @@ def read_entity_json(spark: SparkSession, folder: str) -> DataFrame:
         (F.unix_date(c).cast("long") * 86_400_000 if c == "release_date" else F.col(c)).alias(entities.camel(c))
         for c in known.columns
     ])
-    path = scratch(spark, "releases-json")
+    path = fresh_path(spark, "releases-json")
     known.agg(F.to_json(F.collect_list(record)).alias("value")).write.text(path)
     return entities.read_entity_json(spark, path, model.RELEASES)
 
@@ -98,7 +99,7 @@ def version_history(spark: SparkSession, folder: str) -> DataFrame:
     versions = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("browser_version", "release_date"))))
     per_browser = known.groupBy("browser_name").agg(versions.alias("versions"))
     whole = F.map_from_entries(F.collect_list(F.struct("browser_name", "versions")))
-    path = scratch(spark, "history")
+    path = fresh_path(spark, "history")
     per_browser.agg(F.to_json(whole).alias("value")).write.text(path)
     return entities.read_version_history(spark, path)
 

@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path for this application; one folder per application eases cleaning up."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/driftline/{application}/{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
@@ -54,7 +60,7 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
 def cut_and_count(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Like ``cut_lineage``, with the number of rows, counted while they are written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/driftline/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

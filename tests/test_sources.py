@@ -91,3 +91,16 @@ def test_release_info(spark, tmp_path):
     assert release_info(documents, "null").where("browser_name IS NULL").count() == 1
     with pytest.raises(Exception, match="malformed graph file name"):
         release_info(documents).collect()
+
+
+def test_intermediate_tables_use_the_configured_folder(spark, tmp_path):
+    from driftline.session import cut_and_count
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        table, rows = cut_and_count(spark.range(5), "probe")
+        assert rows == 5 and table.count() == 5
+        assert list((tmp_path / "shared").glob("driftline/*/probe-*/*.parquet"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
