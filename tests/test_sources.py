@@ -93,14 +93,30 @@ def test_release_info(spark, tmp_path):
         release_info(documents).collect()
 
 
-def test_intermediate_tables_use_the_configured_folder(spark, tmp_path):
-    from driftline.session import cut_and_count
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        table, rows = cut_and_count(spark.range(5), "probe")
-        assert rows == 5 and table.count() == 5
-        assert list((tmp_path / "shared").glob("driftline/*/probe-*/*.parquet"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+class Session:
+    """A session that only knows its settings."""
+
+    def __init__(self, setting, master, known=None):
+        self.conf = {} if setting is None else {"spark.checkpoint.dir": setting}
+        self.sparkContext = self
+        self.master, self.known = master, known
+
+    def getCheckpointDir(self):
+        return self.known
+
+    def setCheckpointDir(self, folder):
+        self.known = folder
+
+
+def test_intermediate_tables_go_to_the_configured_folder(spark):
+    from driftline.session import cut_and_count, shared_folder
+
+    assert shared_folder(Session("hdfs:///shared", "yarn")) == "hdfs:///shared"
+    assert shared_folder(Session(None, "yarn", "hdfs:///other")) == "hdfs:///other"
+    assert "driftline-" in shared_folder(Session(None, "local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(None, "yarn"))
+    table, rows = cut_and_count(spark.range(5), "probe")
+    assert rows == 5 and table.count() == 5
+    folder = shared_folder(spark).removeprefix("file:")
+    assert f"{folder}/driftline/{spark.sparkContext.applicationId}/probe-" in table.inputFiles()[0]
