@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import graph as og
 from driftline.operators.graph import G, NameRules, ObjectGraphs, ProtoForest
 from driftline.operators.postprocess import PostProcessor, default_processors
-from driftline.session import cut_and_count, cut_lineage
+from driftline.session import cut_and_count, cut_lineage, together
 
 # Members every function has, not worth an API of a constructor.
 FUNCTION_MEMBERS = ("arguments", "name", "length", "caller")
@@ -61,11 +61,17 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
     settled level by level: at level n every arrival comes from a lower level.
     """
     first = cut_lineage(first_claims(found), "first-claims")
-    starts = first.select(G, F.col("proto").alias("node"))
-    levels = forest.chains(starts).groupBy(G, F.col("ancestor").alias("next")).agg(
-        F.max("depth").alias("next_level"))
-    onward, n_onward = cut_and_count(
-        forest.up.select(G, "node", F.col("proto").alias("next")).join(levels, [G, "next"]), "levels")
+    below = forest.chains(first.select(G, F.col("proto").alias("node")))
+    levels = below.groupBy(G, F.col("ancestor").alias("next")).agg(F.max("depth").alias("next_level"))
+    onward = forest.up.select(G, "node", F.col("proto").alias("next")).join(levels, [G, "next"])
+    # Owners and the objects down their chains with which they share a name.
+    akin = (
+        first.join(below.select(G, F.col("node").alias("proto"), F.col("ancestor").alias("node")), [G, "proto"])
+        .join(found.names, [G, "owner"]).join(found.class_names, [G, "node", "name"], "left_semi")
+        .select(G, "node", "owner").distinct()
+    )
+    (onward, n_onward), akin = together(
+        lambda: cut_and_count(onward, "levels"), lambda: cut_lineage(akin, "akin"))
     taken = first.select(G, F.col("proto").alias("node")).distinct()
     entry = found.frame.select(G, F.col("proto").alias("node"), "owner", "kind")
     # Rows are owners that passed ``node`` and arrive at ``next`` on ``next_level``.
@@ -74,14 +80,10 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
     for level in range(1, last + 1):
         here = reduce(DataFrame.unionByName, moving).where(F.col("next_level") == level).select(
             G, F.col("next").alias("node"), "owner", "kind")
-        sharing = (
-            here.join(found.names, [G, "owner"])
-            .join(found.class_names, [G, "node", "name"], "left_semi")
-            .select(G, "node", "owner", "kind")
-        )
+        sharing = here.join(akin, [G, "node", "owner"], "left_semi")
         free = here.join(taken, [G, "node"], "left_anti").groupBy(G, "node").agg(
             F.min(F.struct("kind", "owner")).alias("r"))
-        passed = sharing.unionByName(free.select(G, "node", "r.owner", "r.kind")).distinct()
+        passed = sharing.select(G, "node", "owner", "kind").unionByName(free.select(G, "node", "r.owner", "r.kind")).distinct()
         moving.append(cut_lineage(passed.join(onward, [G, "node"], "left"), "passed").select(
             *moving[0].columns))
     later = [rows.select(G, F.col("node").alias("proto"), "owner") for rows in moving[1:]]
@@ -168,6 +170,7 @@ def apis_from_instances(
 class Extraction:
     """Every stage of one extraction run; ``members`` holds one row per stage and source."""
 
+    graphs: ObjectGraphs
     owners: Owners
     claims: DataFrame
     class_members: DataFrame
@@ -192,11 +195,15 @@ class Extraction:
 
 
 def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
-    graphs = graphs.explored()
-    found = owners(graphs, rules)
-    forest = og.proto_forest(graphs)
+    def owned() -> tuple[ObjectGraphs, Owners]:
+        explored = graphs.explored()
+        return explored, owners(explored, rules)
+
+    (graphs, found), forest, class_members = together(
+        owned, lambda: og.proto_forest(graphs),
+        lambda: cut_lineage(og.class_apis(graphs, rules), "class-members"),
+    )
     claims = cut_lineage(proto_claims(found, forest), "claims")
-    class_members = cut_lineage(og.class_apis(graphs, rules), "class-members")
     levels = cut_lineage(instance_levels(graphs, found, claims, forest), "levels")
     needed = claims.select(G, F.col("proto").alias("node")).unionByName(levels.select(G, "node"))
     chains = cut_lineage(forest.chains(needed), "chains")
@@ -209,7 +216,7 @@ def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
         .unionByName(apis_from_instances(levels, claims, graphs, class_members, chains)
                      .select("*", F.lit(2).alias("stage")))
     )
-    return Extraction(found, claims, class_members, chains, levels, members)
+    return Extraction(graphs, found, claims, class_members, chains, levels, members)
 
 
 def extract_catalog(
@@ -219,8 +226,8 @@ def extract_catalog(
     processors = config.post_processors
     if processors is None:
         processors = default_processors(config.rules)
-    graphs = graphs.explored()
-    catalog = cut_lineage(run(graphs, config.rules).catalog(), "catalog")
+    done = run(graphs, config.rules)
+    catalog = cut_lineage(done.catalog(), "catalog")
     for processor in processors:
-        catalog = processor(catalog, graphs)
+        catalog = processor(catalog, done.graphs)
     return catalog

@@ -12,14 +12,13 @@ primitives are left out of ``protos``. ``marks`` are the members with a plain va
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import cut_and_count, cut_lineage
+from driftline.session import cut_and_count, cut_lineage, together
 
 G = "graph_id"
 PROTO_LABEL = "__proto__"
@@ -64,16 +63,17 @@ class ObjectGraphs:
     def settled(self) -> ObjectGraphs:
         """The same tables, written once, for the many passes of an extraction."""
         names = [name for name in self.__dataclass_fields__ if getattr(self, name) is not None]
-        with ThreadPoolExecutor(len(names)) as pool:
-            written = pool.map(lambda name: cut_lineage(getattr(self, name), f"graph-{name}"), names)
-            return replace(self, **dict(zip(names, written)))
+        written = together(*[
+            partial(cut_lineage, getattr(self, name), f"graph-{name}") for name in names])
+        return replace(self, **dict(zip(names, written)))
 
     def explored(self) -> ObjectGraphs:
         """With reachability and landmarks worked out, so that nobody does it again."""
         if self.reachable is not None:
             return self
-        return replace(self, reachable=reachable_from_root(self),
-                       landmarks=cut_lineage(landmarks(self), "landmarks"))
+        reachable, marks = together(
+            lambda: reachable_from_root(self), lambda: cut_lineage(landmarks(self), "landmarks"))
+        return replace(self, reachable=reachable, landmarks=marks)
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,8 @@ HOPS_PER_ROUND = 4
 def reachable_from_root(graphs: ObjectGraphs) -> DataFrame:
     """``graph_id, node`` for every object on a path from its graph's root.
 
-    Each round follows several links before its result is written.
+    Each round follows several links before its result is written. A hop yields each link
+    at most once, so repeated nodes need not be removed before the round is over.
     """
     if graphs.reachable is not None:
         return graphs.reachable
@@ -113,7 +114,7 @@ def reachable_from_root(graphs: ObjectGraphs) -> DataFrame:
         hops = [frontier]
         for _ in range(HOPS_PER_ROUND):
             ahead = steps.join(hops[-1], [G, "node"], "left_semi")
-            hops.append(ahead.select(G, F.col("child").alias("node")).distinct())
+            hops.append(ahead.select(G, F.col("child").alias("node")))
         seen = reduce(DataFrame.unionByName, hops[1:]).distinct()
         frontier, found = cut_and_count(seen.join(reached, [G, "node"], "left_anti"), "reached")
         if not found:

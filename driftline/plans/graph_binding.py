@@ -7,15 +7,14 @@ share a nameless prototype that derives from the region's first nation.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.graph import G, ObjectGraphs
 from driftline.plans.bindings import table
-from driftline.session import cut_lineage
+from driftline.session import cut_lineage, together
 
 ROOT, OBJECT, OBJECT_PROTO, FUNCTION, FUNCTION_PROTO = 100, 101, 102, 103, 104
 CTOR, PROTO, HIDDEN, MIDDLE, LIB, LIB_PROTO, SUPPLIER = 1000, 2000, 3000, 4000, 5000, 6000, 1000000
@@ -112,9 +111,8 @@ def _object_graphs(spark: SparkSession, application: str, folder: str) -> Object
         "bought": bought_members(spark, folder, (quantity <= 3) | (quantity >= 48)),
         "supplied": supplied_members(spark, folder, discount > 0.085),
     }
-    with ThreadPoolExecutor(len(sources)) as pool:
-        written = pool.map(lambda item: cut_lineage(item[1], item[0]), sources.items())
-        nation, segment, bought, supplied = written
+    nation, segment, bought, supplied = together(*[
+        partial(cut_lineage, rows, name) for name, rows in sources.items()])
     regions = table(spark, folder, "region").select(F.col("r_name").alias(G))
     bought = bought.join(nation, "nation").join(segment, "c_mktsegment")
     supplied = supplied.join(nation.select(G, "nation"), "nation")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+Result = TypeVar("Result")
+
 
 def local_session(cpus: int | str = 8, app: str = "driftline") -> SparkSession:
     """Session used by the tests and the benchmark; a cluster brings its own."""
@@ -47,6 +52,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/driftline/{application}/{label}-{uuid.uuid4().hex}"
 
 
+def together(*steps: Callable[[], Result]) -> list[Result]:
+    """Run independent Spark jobs side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [running.result() for running in [pool.submit(step) for step in steps]]
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
