@@ -66,7 +66,8 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
     onward = forest.up.select(G, "node", F.col("proto").alias("next")).join(levels, [G, "next"])
     # Owners and the objects down their chains with which they share a name.
     akin = (
-        first.join(below.select(G, F.col("node").alias("proto"), F.col("ancestor").alias("node")), [G, "proto"])
+        first.join(
+            below.select(G, F.col("node").alias("proto"), F.col("ancestor").alias("node")), [G, "proto"])
         .join(found.names, [G, "owner"]).join(found.class_names, [G, "node", "name"], "left_semi")
         .select(G, "node", "owner").distinct()
     )

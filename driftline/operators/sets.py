@@ -82,9 +82,11 @@ def union_by_key(*sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union by key in which the leftmost source's row wins."""
     if not sources:
         raise ValueError("an empty union has no schema; pass at least one table")
-    result = sources[0]
+    keys = list(keys)
+    result, seen = sources[0], sources[0].select(*keys)
     for source in sources[1:]:
-        result = result.unionByName(set_minus(source, result, keys))
+        result = result.unionByName(set_minus(source, seen, keys))
+        seen = seen.unionByName(source.select(*keys))
     return result
 
 

@@ -8,6 +8,7 @@ that holds most of the junction becomes a hot task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -85,9 +86,10 @@ class ReleaseIndex:
         local = self.spark.createDataFrame(pa.table(columns, names=names))
         return local.coalesce(1) if len(self.rows) <= TINY else local
 
-    @property
+    @cached_property
     def key_array(self) -> Column:
-        return F.array(*[F.lit(key) for key in self.keys])
+        """All keys in order, as one constant."""
+        return F.from_json(F.lit(json.dumps(self.keys)), "array<string>")
 
     def mask(self, keys: Iterable[str]) -> list[int]:
         """Bit words of a set of release keys, as signed 64-bit numbers."""

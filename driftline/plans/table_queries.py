@@ -114,7 +114,8 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
     minor = F.concat_ws(".", "brand", "most")
     rank = F.col("brand").cast("long")
     entries = F.array(
-        F.when(rank % 2 == 0, F.struct(F.col("brand").alias("version_prefix"), day.alias("release_date"), rank.alias("rank"))),
+        F.when(rank % 2 == 0, F.struct(
+            F.col("brand").alias("version_prefix"), day.alias("release_date"), rank.alias("rank"))),
         F.struct(minor.alias("version_prefix"), F.date_add(day, F.lit(1000)).alias("release_date"),
                  (rank + F.lit(2**33)).alias("rank")),
     )
