@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import bpe, token_counts
+from driftline.llm import bpe, chat, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,73 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query(r"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+  AND NOT (n_symbols * 4 > n_words)
+  AND NOT (n_dup_lines * 100 > n_lines * 50)
+  AND NOT (word_chars < 2 * n_words OR word_chars > 25 * n_words)
+  AND NOT (n_capitals * 100 > word_chars * 60)
+  AND NOT (n_lettered * 100 < n_words * 50)
+  AND NOT (n_different * 50 < least(n_words, 1000)) AS kept
+FROM (
+  SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed
+  FROM (
+    SELECT doc_id, len(words) AS n_words, coalesce(list_sum([length(w) for w in words]), 0)::BIGINT AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+      len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+      length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_capitals,
+      len([w for w in words if regexp_matches(w, '\p{L}\p{L}')]) AS n_lettered,
+      len(list_distinct(words)) AS n_different,
+      coalesce(r.n, 0) AS n_repeat_words
+    FROM (
+      SELECT doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        [l for l in string_split(coalesce(text, ''), chr(10)) if regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines
+      FROM documents) d
+    LEFT JOIN (
+      SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (
+        SELECT doc_id, unnest(range(s, s + 8)) AS p FROM (
+          SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w) AS c FROM (
+            SELECT doc_id, unnest(range(1, len(words) - 6)) AS s,
+              unnest([array_to_string(words[i:i + 7], ' ') for i in range(1, len(words) - 6)]) AS w
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents)))
+        WHERE c > 1) GROUP BY doc_id) r USING (doc_id)))
+""")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(regexp_replace(role, '[<|>\n]', '_', 'g'), 'unknown') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text, count(*) AS copies
+  FROM conversations GROUP BY ALL),
+s AS (SELECT *, coalesce(floor(turn / 64), -1)::BIGINT AS segment FROM m),
+speakers AS (
+  SELECT conv_id, segment, role AS speaker FROM s WHERE role <> 'system' GROUP BY ALL
+  UNION ALL SELECT conv_id, segment, NULL FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE role <> 'system') = 0),
+pieces AS (
+  SELECT s.*, p.speaker, coalesce(role = p.speaker, false) AS learn,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = p.speaker THEN '<|assistant|>'
+      ELSE '<|user:' || role || '|>' END || chr(10) AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.segment = p.segment),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker
+    ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM pieces)
+SELECT conv_id, segment, 0::BIGINT AS part, speaker, count(*) AS n_messages, sum(copies)::BIGINT AS n_rows,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg((began + length(head)) || '-' || (began + length(head) + length(body)), ','
+    ORDER BY began) FILTER (WHERE learn), '') AS spans,
+  coalesce(sum(length(body)) FILTER (WHERE learn), 0)::BIGINT AS n_learn
+FROM placed GROUP BY conv_id, segment, speaker
+""")
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every speaker's side."""
+    sides = chat.rotate(table(spark, sf_dir, "conversations"))
+    as_text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return sides.withColumn("spans", as_text)
