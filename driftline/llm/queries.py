@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, quality, token_counts, topk
+from driftline.llm import bpe, chat, licenses, quality, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,49 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def _template_rows() -> str:
+    return ", ".join(
+        f"({n}, '{t.label}', {t.exact}, string_split('{' '.join(t.words)}', ' '))"
+        for n, t in enumerate(licenses.templates())
+    )
+
+
+@query(r"""
+WITH t(template, label, exact, t_words) AS (VALUES """ + _template_rows() + r"""),
+places AS (
+  SELECT template, label, exact, t_words, i - 1 AS t_place, t_words[i] AS a, t_words[i + 1] AS b,
+    CASE WHEN NOT exact THEN t_words[i + 2] END AS c
+  FROM (SELECT *, unnest(range(1, len(t_words) + CASE WHEN exact THEN 0 ELSE -1 END)) AS i FROM t)),
+d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+grams AS (
+  SELECT doc_id, words, i - 1 AS place, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT *, unnest(range(1, len(words))) AS i FROM d WHERE len(words) > 1)),
+diagonals AS (
+  SELECT DISTINCT doc_id, words, template, label, exact, t_words, place - t_place AS diagonal
+  FROM grams g JOIN places p ON g.a = p.a AND g.b = p.b AND (p.c IS NULL OR p.c = g.c)),
+apart AS (
+  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > 2, true) THEN 1 ELSE 0 END AS n
+  FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+numbered AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+agreeing AS (
+  SELECT * FROM (SELECT *, unnest(range(0, len(t_words))) AS i FROM numbered)
+  WHERE i + diagonal >= 0 AND i + diagonal < len(words) AND t_words[i + 1] = words[i + diagonal + 1]),
+spans AS (
+  SELECT doc_id, label, exact, count(DISTINCT i) / len(t_words) AS share, min(diagonal + i) AS start
+  FROM agreeing GROUP BY doc_id, template, label, exact, t_words, span),
+good AS (SELECT * FROM spans WHERE share >= CASE WHEN exact THEN 1 ELSE 0.8 END)
+SELECT d.doc_id, len(d.words) AS n_words, count(g.label) FILTER (WHERE exact) AS n_base,
+  min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0) AS score
+FROM d LEFT JOIN good g USING (doc_id) GROUP BY d.doc_id, d.words
+""")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named or quoted in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
