@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, licenses, quality, token_counts, topk
+from driftline.llm import bpe, chat, html, licenses, quality, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,9 @@ FROM d LEFT JOIN good g USING (doc_id) GROUP BY d.doc_id, d.words
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named or quoted in every document."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
