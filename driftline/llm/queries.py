@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, html, licenses, quality, token_counts, topk
+from driftline.llm import bpe, chat, html, licenses, packing, quality, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
