@@ -272,6 +272,37 @@ def _best(pairs: DataFrame) -> DataFrame:
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of different components, with both components."""
+    for side in "ab":
+        own = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+        pairs = pairs.join(own, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+    return pairs.where("a_in != b_in")
+
+
+#: Members of a large component that stand for it.
+CENTRES = 8
+
+
+def _to_centres(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a class that came near a large component and the members in the middle of that one.
+
+    In a large region a class meets its neighbours only, and may be linked to few of a group. Of such
+    a group, those that agree best with the classes they met are most alike to all others.
+    """
+    near = _apart(pairs, known)
+    crowds = known.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("component")
+    sides = pairs.select("a", "agree").union(pairs.select("b", "agree")).toDF("node", "agree")
+    middle = (
+        sides.groupBy("node").agg(F.avg("agree").alias("agree")).join(known, "node").join(crowds, "component")
+        .groupBy("component", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("one"))
+        .agg(F.max_by("node", F.struct("agree", "node")).alias("centre"))
+    )
+    both = near.select("a", "b_in").union(near.select("b", "a_in")).toDF("node", "component").distinct()
+    met = both.join(middle, "component")
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def link(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -287,7 +318,7 @@ def link(
 
     Links are exact; candidates come from ``ORDERS`` signature orders, which miss a pair at the
     threshold in a small region less than once in 100,000 times. In regions of thousands, pairs at
-    the threshold are found through common neighbours.
+    the threshold are found through neighbours and through the middle of the group.
     """
     signed = cut_lineage(_signed(documents, doc_id, text), "minhash-signed")
     low = F.conv(F.substring(F.hex("digest"), 1, 14), 16, 10).cast("long")
@@ -301,13 +332,11 @@ def link(
     sets = cut_lineage(_sets(documents, pairs, doc_id, text), "minhash-sets")
     # First each class's best pairs; then what those links haven't yet brought together.
     first = cut_lineage(_confirmed(_best(pairs), sets), "minhash-links")
-    known = components(first)
-    rest = pairs.select("a", "b")
-    for side in "ab":
-        own = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
-        rest = rest.join(own, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-    rest = rest.where("a_in != b_in").select("a", "b")
-    found = components(first.union(_confirmed(rest, sets)))
+    second = cut_lineage(_confirmed(_apart(pairs, components(first)), sets), "minhash-links")
+    links = first.union(second)
+    found = components(links)
+    third = _confirmed(_to_centres(pairs, found), sets)
+    found = components(links.union(third))
     named = classes.select("digest", "n", "node").join(found, "node", "left").select(
         "digest", "n", F.coalesce("component", "node").alias("component")
     )
