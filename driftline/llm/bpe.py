@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -27,9 +26,6 @@ NONE = np.iinfo(np.int32).max
 WIDEST = 1024
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, WIDEST)
 CELLS = 1 << 20
-#: Parts that the split leaves whole, but for a mark at the end; the letters are all in L.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.]?)").fullmatch
-CACHED = 500_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -199,7 +195,7 @@ class ByteBPE:
         """Ids of each key's text; None for parts at which a text may not be cut."""
         cut: list[Sequence[str] | None] = []
         for k in keys:
-            if plain := PLAIN(k):
+            if plain := parts.PLAIN(k):
                 word, mark = plain.groups()
                 cut.append((" " + word, mark) if mark else (" " + word,))
             else:

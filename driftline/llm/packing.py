@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import chain
@@ -48,19 +49,27 @@ class Coder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # The library says itself whether texts may be cut at spaces.
-        probe = "It's a test,  of 12 'words' né\n"
-        if self._ids([probe])[0] != b"".join(self._ids(probe.replace("\n", " ").split(" "))):
-            raise ValueError("this tokenizer keeps white space")
-        self.cache = parts.Cache(CACHED)
+        # The library says itself whether texts may be cut at spaces and before marks, and lower-cased.
+        whole, cut = "It's a Test,  of 12 'words' né.\n", ["it's", "a", "test", ",", "of", "12", "'words'", "né", "."]
+        if self._ids([whole])[0] != b"".join(self._ids(cut)):
+            raise ValueError("this tokenizer keeps white space or case, or joins letters and marks")
+        self.cache, self.words = parts.Cache(CACHED), parts.Cache(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in found]
+
+    def _values(self, keys: list[str]) -> list[bytes]:
+        """Ids of parts; letters are looked up without the case and the mark that follow from them."""
+        cut = [(m[1].lower(), m[2]) if (m := parts.PLAIN(k)) else (k, "") for k in keys]
+        self.words.learn(chain([",", ".", ""], (w for w, _ in cut)), self._ids)
+        get = self.words.__getitem__
+        return [get(w) + get(mark) if mark else get(w) for w, mark in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         keys = [t.replace("\n", " ").split(" ") for t in texts]
-        self.cache.learn(chain.from_iterable(keys), self._ids)
+        self.cache.learn(chain.from_iterable(keys), self._values)
         get = self.cache.__getitem__
         out = [b"".join(map(get, own)) for own in keys]
         for i, text in enumerate(texts):

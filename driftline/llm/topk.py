@@ -139,8 +139,8 @@ def _found(cell: Cell) -> pa.Table:
         id_all.append(ids[column])
         score_all.append(scores[at, column])
         at, column = np.nonzero(others & (scores == cell.low[:, None]))
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-        for start, stop in zip(starts, [*starts[1:], len(at)], strict=True):
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        for start, stop in zip(starts, np.append(starts, len(at))[1:], strict=True):
             q = at[start]
             tied = np.concatenate([ties.get(q, ids[:0]), ids[column[start:stop]]])
             ties[q] = np.sort(tied)[: cell.need[q]]
