@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, html, licenses, minhash, packing, quality, token_counts, topk
+from driftline.llm import bpe, chat, html, licenses, minhash, packing, quality, suffix, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,9 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.link(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents lose to strings of 400 bytes that occur elsewhere."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
