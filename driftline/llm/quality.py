@@ -152,6 +152,9 @@ def assess(
         cascade = cascade.when(rule.rejects(), F.lit(False))
     return measured(documents, doc_id, text, keep).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), cascade.otherwise(F.lit(True)).alias("kept"),
+        base_failed().alias("base_failed"),
+        # Always true, and not deterministic for the optimizer: a filter on the verdict must not be
+        # pushed below the columns it is made of, as each array would be built anew for each element.
+        (cascade.otherwise(F.lit(True)) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
         *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
     )
