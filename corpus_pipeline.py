@@ -1,12 +1,66 @@
-"""Four stages from raw documents to packed training sequences."""
+"""Four stages from raw documents to packed training sequences.
+
+Each stage takes all that its predecessor kept, reread from Parquet: quality rules reject documents,
+near-duplicates leave one document of each group, repeated passages are cut out of the texts, and
+what is left is packed. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from driftline.llm import minhash, packing, quality, suffix
+from driftline.session import cut_lineage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    judged = quality.assess(docs, keep=docs.columns)
+    # The carried columns come last; the first ones are the operator's own.
+    names = [f"_{i}" for i in range(len(judged.columns))]
+    own = len(names) - len(docs.columns)
+    kept = names[judged.columns.index("kept")]
+    return judged.toDF(*names).where(F.col(kept)).select(*names[own:]).toDF(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document. Rows without one can't stand for a group; they stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = minhash.link(named).where("kept").select("doc_id").distinct()
+    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without strings of 400 bytes that occur elsewhere."""
+    cut = suffix.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
+        if "n_chars" in docs.columns else cut
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their ids, in sequences that keep the mixture of sources."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed_sequences),
+]
 
-STAGES: list = []
+#: SQL has no tokenizer; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -294,15 +294,35 @@ def _kept(texts: DataFrame) -> DataFrame:
                         pa.array([x[1] for x in rows], pa.int64()),
                         pa.array([hashlib.sha256(x[2]).hexdigest() for x in rows], pa.string()),
                         pa.array([x[2] for x in rows], pa.binary()),
+                        pa.array([x[2].decode(errors="ignore") for x in rows], pa.string()),
                     ],
-                    ["digest", "n_removed", "n_spans", "kept_sha256", "kept"],
+                    ["digest", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"],
                 )
 
     return texts.select("digest", "data", "spans").mapInArrow(
-        run, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        run, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
     )
 
 
+def without_repeats(
+    documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD,
+) -> DataFrame:
+    """The documents themselves, all columns and rows, with what ``remove_repeats`` leaves as text.
+
+    Characters of which bytes are removed go as a whole; a text that goes entirely becomes empty.
+    """
+    own, spans = repeated_spans(documents, length, doc_id, text, crowd)
+    copied = own.where(F.col("copied")).select("digest").distinct().withColumn("left_over", F.lit(""))
+    left = _kept(_texts(documents, spans, text)).select(
+        "digest", F.col("kept_text").alias("left_over")
+    )
+    key = "__digest"
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    changed = left.union(copied).withColumnRenamed("digest", key)
+    joined = documents.withColumn(key, F.unhex(F.sha2(data, 256))).join(changed, key, "left")
+    return joined.withColumn(text, F.coalesce("left_over", text)).select(documents.columns)
+
+
 def remove_repeats(
     documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD,
 ) -> DataFrame:
