@@ -2,12 +2,12 @@
 releases, in none of another and, optionally, in any of a third.
 
 A measures table has its own key columns plus three arrays of release keys: ``all_of``,
-``none_of`` and ``any_of`` (null = no such condition). Two plans give the same result:
-
-* ``by_signature`` shuffles the junction once, whatever the number of measures, and then
-  looks measures up by one release they require, so that an API only meets measures it
-  has a chance to satisfy. Bit words decide the rest.
-* ``by_join`` joins roles to the junction, for release dimensions too large for words.
+``none_of`` and ``any_of`` (null = no such condition). There is one plan for any number of
+releases. Releases are numbered by age; the junction is folded once to 64-bit words, kept by
+word number for each API, so that an API only holds words of releases that ship it. A
+measure is looked up by one release it requires, an equality join, so that an API only meets
+measures it has a chance to satisfy; words decide the rest. Measures that require nothing
+hold for nearly every API, so they are counted by subtraction.
 """
 
 from __future__ import annotations
@@ -15,141 +15,138 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.signature import WORD, ReleaseIndex, word_columns
+from driftline.operators.signature import RELEASE_ORDER, WORD, bit, with_release_key
+from driftline.session import cut_lineage
 
-# Anchor of measures that require no release: every API has to be looked at.
+SIDES = ("all_of", "none_of", "any_of")
+# Anchor of measures that require no release.
 ANYWHERE = -1
 
 
-def _with_masks(measures: DataFrame, keys: Sequence[str], index: ReleaseIndex) -> DataFrame:
-    """Keys, an ``anchor`` and the bit words ``a0…``, ``n0…``, ``s0…`` of the three sets.
+def numbered(releases: DataFrame) -> DataFrame:
+    """``release_key, pos``: releases by age, each once, however often they are listed."""
+    once = with_release_key(releases).groupBy("release_key").agg(
+        F.min(F.struct(*RELEASE_ORDER)).alias("order"))
+    return once.select(
+        "release_key", (F.row_number().over(Window.orderBy("order")) - 1).cast("int").alias("pos"))
 
-    The anchor is the oldest release in ``all_of``, as older releases ship fewer APIs.
-    """
-    known = index.positions_of(F.col("all_of"))
-    anchor = F.coalesce(F.array_min(known), F.lit(ANYWHERE)).alias("anchor")
-    masks = measures.select(
-        *keys, anchor, F.col("any_of").isNotNull().alias("needs_some"),
-        *[index.mask_of(F.col(side)).alias(side) for side in ("all_of", "none_of", "any_of")],
-    )
-    words = [
-        F.coalesce(F.col(side)[i], F.lit(0).cast("bigint")).alias(f"{side[0] if side != 'any_of' else 's'}{i}")
-        for side in ("all_of", "none_of", "any_of") for i in range(index.n_words)
-    ]
-    return masks.select(*keys, "anchor", "needs_some", *words)
 
+def _words(placed: DataFrame, *keys: str) -> DataFrame:
+    """``word, bits`` by ``keys``, folded before the shuffle."""
+    word = F.shiftright("pos", WORD.bit_length() - 1).alias("word")
+    return placed.groupBy(*keys, word).agg(F.bit_or(bit(F.col("pos"))).alias("bits"))
 
-def by_signature(
-    measures: DataFrame, keys: Sequence[str], signatures: DataFrame, index: ReleaseIndex
-) -> DataFrame:
-    """``(*keys, interface_key)`` for every match, from ``signature.signatures``."""
-    wanted = _with_masks(measures, keys, index)
-    anchors = wanted.agg(F.collect_set("anchor").alias("anchors")).scalar()
-    anchor = F.col("anchor")
-    shipped = reduce(Column.__or__, [
-        (F.shiftright(anchor, 6) == i) & (F.getbit(F.col(word), F.pmod(anchor, F.lit(WORD))) == 1)
-        for i, word in enumerate(word_columns(index.n_words))
-    ])
-    held = signatures.select("*", F.explode(anchors).alias("anchor")).where(
-        (anchor == ANYWHERE) | shipped)
-    tests, some = [], []
-    for i, name in enumerate(word_columns(index.n_words)):
-        word, needed = F.col(name), F.col(f"a{i}")
-        tests.append(word.bitwiseAND(needed) == needed)
-        tests.append(word.bitwiseAND(F.col(f"n{i}")) == 0)
-        some.append(word.bitwiseAND(F.col(f"s{i}")) != 0)
-    tests.append(~F.col("needs_some") | reduce(Column.__or__, some))
-    matched = held.join(wanted, "anchor").where(reduce(Column.__and__, tests))
-    return matched.select(*keys, "interface_key")
-
-
-def _roles(measures: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (measure, release) with the roles the release plays in it."""
-    sides = {"all_of": "wanted", "none_of": "banned", "any_of": "some"}
+
+def support_words(junction: DataFrame, places: DataFrame) -> DataFrame:
+    """``interface_key`` and a map from word number to bits, for APIs that ship anywhere."""
+    words = _words(junction.join(places, "release_key").select("interface_key", "pos"), "interface_key")
+    return words.groupBy("interface_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+
+
+def _required(measures: DataFrame, keys: Sequence[str], places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each measure's bits by word for its three sets, and the anchors it is looked up by.
+
+    The anchor is the oldest release in ``all_of``, as older releases ship fewer APIs; without
+    one, a measure is looked up by every release in ``any_of``, else ``ANYWHERE``.
+    """
     parts = [
-        measures.select(
-            *keys, F.explode(F.array_distinct(side)).alias("release_key"),
-            *[F.lit(int(side == other)).alias(flag) for other, flag in sides.items()],
-        )
-        for side in sides
+        measures.select(*keys, F.lit(side).alias("side"), F.explode(side).alias("release_key"))
+        for side in SIDES
     ]
-    stacked = reduce(DataFrame.unionByName, parts)
-    return stacked.groupBy(*keys, "release_key").agg(
-        *[F.max(flag).alias(flag) for flag in sides.values()]
+    placed = reduce(DataFrame.unionByName, parts).join(places, "release_key").select(*keys, "side", "pos")
+    entry = F.struct("word", "bits")
+    tests = _words(placed, *keys, "side").groupBy(*keys).agg(*[
+        F.collect_list(F.when(F.col("side") == side, entry)).alias(side) for side in SIDES])
+    needs = measures.select(*keys, F.col("any_of").isNotNull().alias("needs_some"))
+    wanted = needs.join(tests, [*keys], "left")
+    oldest = placed.where("side = 'all_of'").groupBy(*keys).agg(F.min("pos").alias("anchor"))
+    some = placed.where("side = 'any_of'").select(*keys, F.col("pos").alias("some")).distinct()
+    anchors = (
+        needs.join(oldest, [*keys], "left").join(some, [*keys], "left")
+        .select(*keys, F.coalesce(
+            "anchor", F.when(F.col("needs_some"), F.col("some")).otherwise(F.lit(ANYWHERE))).alias("anchor"))
+        .where("anchor IS NOT NULL").distinct()
+    )
+    return wanted, anchors
+
+
+def _holds() -> Column:
+    """Whether an API's words meet a measure."""
+    def bits(entry: Column) -> Column:
+        held = F.coalesce(F.element_at("words", entry["word"]), F.lit(0).cast("bigint"))
+        return held.bitwiseAND(entry["bits"])
+
+    return (
+        F.coalesce(F.forall("all_of", lambda e: bits(e) == e["bits"]), F.lit(True))
+        & F.coalesce(F.forall("none_of", lambda e: bits(e) == 0), F.lit(True))
+        & (~F.col("needs_some") | F.coalesce(F.exists("any_of", lambda e: bits(e) != 0), F.lit(False)))
     )
 
 
-def by_join(
-    measures: DataFrame, keys: Sequence[str], apis: DataFrame, junction: DataFrame
+def matches(
+    measures: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame
 ) -> DataFrame:
-    """The same matches by joining roles to the junction on the release."""
+    """``(*keys, interface_key)`` for every match.
+
+    Facts of releases or APIs that are not listed don't count, and releases that a measure names
+    without their being listed ask for nothing. A measure without any condition on releases that
+    must ship lists every API but those its ``none_of`` excludes.
+    """
     keys = list(keys)
-    support = junction.select("release_key", "interface_key").distinct()
-    hits = (
-        support.join(_roles(measures, keys), "release_key")
-        .groupBy(*keys, "interface_key")
-        .agg(
-            F.sum("wanted").alias("n_wanted"),
-            F.max("banned").alias("is_banned"),
-            F.max("some").alias("has_some"),
-        )
-    )
-    needs = measures.select(
-        *keys,
-        F.size(F.array_distinct("all_of")).alias("need"),
-        F.col("any_of").isNotNull().alias("need_some"),
+    measures = measures.select(*keys, *SIDES)
+    places = cut_lineage(numbered(releases), "releases")
+    wanted, anchors = _required(measures, keys, places)
+    anchors = cut_lineage(anchors, "anchors")
+    listed = apis.select("interface_key").distinct()
+    used = anchors.select("anchor").distinct()
+    shipped = (
+        junction.join(places, "release_key").select("interface_key", F.col("pos").alias("anchor"))
+        .join(used, "anchor", "left_semi").distinct().join(listed, "interface_key", "left_semi")
     )
-    touched = hits.join(needs, keys)
-    kept = touched.where(
-        (F.col("n_wanted") == F.col("need"))
-        & (F.col("is_banned") == 0)
-        & (~F.col("need_some") | (F.col("has_some") == 1))
-    ).select(*keys, "interface_key").join(apis.select("interface_key"), "interface_key", "left_semi")
-    # Measures that require nothing also hold for the APIs none of their releases ship.
-    # Each API takes the list of such measures, and then loses those that touched it.
-    open_measures = needs.where((F.col("need") == 0) & ~F.col("need_some")).agg(
-        F.collect_list(F.struct(*keys)).alias("open")
-    )
-    untouched = (
-        apis.select("interface_key", F.explode(open_measures.scalar()).alias("measure"))
-        .select(*[F.col(f"measure.{key}") for key in keys], "interface_key")
-        .join(hits.select(*keys, "interface_key"), [*keys, "interface_key"], "left_anti")
-    )
-    return kept.select(*keys, "interface_key").unionByName(untouched)
+    # The list of a measure without a required release is as long as the catalog, and so are its rows.
+    anywhere = used.where(F.col("anchor") == ANYWHERE)
+    everything = listed.withColumn("anchor", F.lit(ANYWHERE)).join(anywhere, "anchor", "left_semi")
+    held = shipped.unionByName(everything).join(support_words(junction, places), "interface_key", "left")
+    met = held.join(anchors, "anchor").join(wanted, keys).where(_holds())
+    return met.select(*keys, "interface_key").distinct()
 
 
-def count_by_join(
-    measures: DataFrame, keys: Sequence[str], apis: DataFrame, junction: DataFrame
+def counts(
+    measures: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame
 ) -> DataFrame:
-    """``(*keys, value)``; measures that require nothing are counted by subtraction."""
+    """``(*keys, value)`` for measures that match anything; the others are missing.
+
+    Measures that require nothing are counted by subtraction: all APIs but those that ``none_of``
+    ships.
+    """
     keys = list(keys)
-    open_measure = (F.size("all_of") == 0) & F.col("any_of").isNull()
-    counted = by_join(measures.where(~open_measure), keys, apis, junction)
-    counted = counted.groupBy(*keys).agg(F.count("*").alias("value"))
-    listed = junction.select("release_key", "interface_key").join(
-        apis.select("interface_key"), "interface_key", "left_semi"
+    nothing = (F.size("all_of") == 0) & F.col("any_of").isNull()
+    required = matches(measures.where(~nothing), keys, releases, apis, junction)
+    counted = required.groupBy(*keys).agg(F.count("*").alias("value"))
+    listed = apis.select("interface_key").distinct()
+    known = with_release_key(releases).select("release_key").distinct()
+    facts = (
+        junction.join(known, "release_key", "left_semi").join(listed, "interface_key", "left_semi")
+        .select("release_key", "interface_key")
     )
     hit = (
-        measures.where(open_measure)
-        .select(*keys, F.explode("none_of").alias("release_key"))
-        .join(listed, "release_key")
-        .select(*keys, "interface_key").distinct()
+        measures.where(nothing).select(*keys, F.explode("none_of").alias("release_key"))
+        .join(facts, "release_key").select(*keys, "interface_key").distinct()
         .groupBy(*keys).agg(F.count("*").alias("n_hit"))
     )
-    total = apis.agg(F.count("*").alias("n")).scalar()
-    remaining = (
-        measures.where(open_measure).select(*keys).join(hit, keys, "left")
-        .select(*keys, (total - F.coalesce("n_hit", F.lit(0))).alias("value"))
-    )
+    total = listed.agg(F.count("*").alias("n")).scalar()
+    remaining = measures.where(nothing).select(*keys).join(hit, keys, "left").select(
+        *keys, (total - F.coalesce("n_hit", F.lit(0))).alias("value"))
     return counted.unionByName(remaining)
 
 
-def with_counts(measures: DataFrame, keys: Sequence[str], counts: DataFrame) -> DataFrame:
+def with_counts(measures: DataFrame, keys: Sequence[str], counted: DataFrame) -> DataFrame:
     """Measures with their value; no match is zero."""
     keys = list(keys)
-    return measures.join(counts, keys, "left").withColumn(
+    return measures.join(counted, keys, "left").withColumn(
         "value", F.coalesce("value", F.lit(0)).cast("long")
     )

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from driftline import model
 from driftline.functions import terse_release_id
 from driftline.operators import division
-from driftline.operators.metrics import KEYS, measure_points
-from driftline.operators.signature import ReleaseIndex, TooManyReleases, signatures
+from driftline.operators.metrics import KEYS, listed_once, measure_points
 from driftline.session import cut_lineage
 
 
@@ -29,24 +28,21 @@ def diff_view(junction: DataFrame, minuend: str, subtrahend: str) -> DataFrame:
 
 
 def metric_apis(
-    kind: str, releases: DataFrame, apis: DataFrame, junction: DataFrame
+    kind: str, releases: DataFrame, apis: DataFrame, junction: DataFrame, points: DataFrame | None = None,
 ) -> DataFrame:
-    """The APIs behind every point of a metric: ``(type, browser_name, date, interface_key)``.
+    """The APIs behind points of a metric: ``(type, browser_name, date, interface_key)``.
 
-    A lone removal's list leaves out the metric's last condition, "still gone in the
-    release in force", so it may be longer than the metric's value.
+    ``points`` (``browser_name``, ``date``) are the ones asked for; without it, all are listed. A lone
+    removal's list leaves out the metric's last condition, "still gone in the release in force", so
+    it may be longer than the metric's value.
     """
-    try:
-        index = ReleaseIndex.build(releases)
-    except TooManyReleases:
-        index = None
-    measures = measure_points(releases if index is None else index.frame, [kind])
+    known = cut_lineage(listed_once(releases), "releases")
+    measures = measure_points(known, [kind])
+    if points is not None:
+        measures = measures.join(points.select("browser_name", "date").distinct(), ["browser_name", "date"], "left_semi")
     if kind == model.LONE_REMOVAL:
         measures = measures.withColumn("none_of", F.array("release"))
-    measures = cut_lineage(measures, "measures")
-    if index is None:
-        return division.by_join(measures, KEYS, apis, junction)
-    return division.by_signature(measures, KEYS, signatures(apis, junction, index), index)
+    return division.matches(cut_lineage(measures, "measures"), KEYS, known, apis, junction)
 
 
 def query_for(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ for no row. Register more in ``MEASURES``; all selected metrics share one pass.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from driftline import model
 from driftline.functions import epoch_ms, friendly_browser_version
 from driftline.operators import division
-from driftline.operators.signature import ReleaseIndex, TooManyReleases, signatures, with_release_key
+from driftline.operators.signature import with_release_key
 from driftline.operators.timeline import consecutive_pairs, metric_points, split_post_and_prev
 from driftline.session import cut_lineage
 
@@ -94,23 +95,22 @@ def measure_points(
     )
 
 
+def listed_once(releases: DataFrame) -> DataFrame:
+    """Releases by key, each once however often they are listed; the earliest date counts."""
+    once = with_release_key(releases).groupBy("release_key").agg(
+        F.min(F.struct("release_date", "browser_name", "browser_version", "os_name", "os_version")).alias("r"))
+    return once.select("r.browser_name", "r.browser_version", "r.os_name", "r.os_version", "r.release_date")
+
+
 def count_measures(
     releases: DataFrame, apis: DataFrame, junction: DataFrame,
-    build: Callable[[DataFrame], tuple[DataFrame, list[str]]],
+    build: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Measures built from the releases, each with its number of APIs as ``value``."""
-    try:
-        index = ReleaseIndex.build(releases)
-    except TooManyReleases:
-        measures, keys = build(releases)
-        measures = cut_lineage(measures, "measures")
-        counts = division.count_by_join(measures, keys, apis, junction)
-        return division.with_counts(measures, keys, counts)
-    measures, keys = build(index.frame)
-    measures = cut_lineage(measures, "measures")
-    matches = division.by_signature(measures, keys, signatures(apis, junction, index), index)
-    counts = matches.groupBy(*keys).agg(F.count("*").alias("value"))
-    return division.with_counts(measures, keys, counts)
+    known = cut_lineage(listed_once(releases), "releases")
+    measures = cut_lineage(build(known), "measures")
+    counted = division.counts(measures, KEYS, known, apis, junction)
+    return division.with_counts(measures, KEYS, counted)
 
 
 def browser_metrics(
@@ -121,7 +121,7 @@ def browser_metrics(
     types = list(types)
     rows = count_measures(
         releases, apis, junction,
-        lambda known: (measure_points(known, types, registry), KEYS),
+        lambda known: measure_points(known, types, registry),
     )
     return rows.select(*model.BROWSER_METRICS.fieldNames())
 
@@ -147,12 +147,8 @@ def _count_measures(releases: DataFrame) -> DataFrame:
     )
 
 
-def api_counts(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> DataFrame:
-    """API count rows by (browser_name, release_date); first releases add nothing."""
-    rows = count_measures(
-        releases, apis, junction, lambda known: (_count_measures(known), KEYS)
-    )
-
+def _folded_counts(rows: DataFrame) -> DataFrame:
+    """API count rows from their counted sides."""
     def total(kind: str) -> Column:
         return F.sum(F.when(F.col("type") == kind, F.col("value")).otherwise(0)).alias(f"{kind}_apis")
 
@@ -161,16 +157,38 @@ def api_counts(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> Dat
     ).agg(total("total"), total("new"), total("removed"))
 
 
+def api_counts(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> DataFrame:
+    """API count rows by (browser_name, release_date); first releases add nothing."""
+    return _folded_counts(count_measures(releases, apis, junction, _count_measures))
+
+
+COUNT_SIDES = ("total", "new", "removed")
+
+
 def run_all_metrics(
     releases: DataFrame, apis: DataFrame, junction: DataFrame,
     types: Iterable[str] = (*model.METRIC_TYPES, model.API_COUNT),
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """The metric table and the API count table, each only if a type asks for it."""
+    """The metric table and the API count table, each only if a type asks for it.
+
+    All types share one table of measures, one fold of the junction and one pass over both.
+    """
     wanted = list(types)
     kinds = [kind for kind in wanted if kind != model.API_COUNT]
-    metrics = browser_metrics(releases, apis, junction, kinds) if kinds else None
-    counts = api_counts(releases, apis, junction) if model.API_COUNT in wanted else None
-    return metrics, counts
+
+    def build(known: DataFrame) -> DataFrame:
+        made = [measure_points(known, kinds)] if kinds else []
+        made += [_count_measures(known)] if model.API_COUNT in wanted else []
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+
+    if not wanted:
+        return None, None
+    rows = cut_lineage(count_measures(releases, apis, junction, build), "metrics")
+    is_side = F.col("type").isin(*COUNT_SIDES)
+    return (
+        rows.where(~is_side).select(*model.BROWSER_METRICS.fieldNames()) if kinds else None,
+        _folded_counts(rows.where(is_side)) if model.API_COUNT in wanted else None,
+    )
 
 
 def metrics_of_type(metrics: DataFrame, kind: str) -> DataFrame:

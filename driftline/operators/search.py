@@ -27,6 +27,16 @@ class NoReleasesMatch(ValueError):
     """A release prefix matched nothing."""
 
 
+def all_of(*tests: Column) -> Column:
+    """Every test holds; true if there is none."""
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
+def any_of(*tests: Column) -> Column:
+    """At least one test holds; false if there is none."""
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
 def prefix_condition(prefixes: Sequence[str | None]) -> Column:
     """Case-insensitive prefix match on the leading parts; missing parts match all."""
     tests = [
@@ -34,7 +44,7 @@ def prefix_condition(prefixes: Sequence[str | None]) -> Column:
         for part, prefix in zip(PARTS, prefixes)
         if prefix
     ]
-    return reduce(Column.__and__, tests, F.lit(True))
+    return all_of(*tests)
 
 
 def match_releases(releases: DataFrame, *prefixes: str | None) -> DataFrame:
@@ -70,12 +80,10 @@ def compile_spec(spec: tuple, index: ReleaseIndex, in_view: Iterable[str] = ())
     if kind == "count":
         return ships_count(index.mask(in_view)) == int(args[0])
     parts = [compile_spec(arg, index, in_view) for arg in args]
-    if not parts:
-        return F.lit(True)
     if kind == "and":
-        return reduce(Column.__and__, parts)
+        return all_of(*parts)
     if kind == "or":
-        return reduce(Column.__or__, parts)
+        return any_of(*parts)
     raise ValueError(f"unknown filter: {kind}")
 
 

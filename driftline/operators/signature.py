@@ -20,33 +20,29 @@ from pyspark.sql import functions as F
 from driftline.functions import column_label, column_name, release_key
 
 WORD = 64
-# Largest release dimension kept as bit positions; larger ones go through the
-# join in ``division.py``.
-MAX_RELEASES = 4096
 # Up to this size the dimension stays in one partition, and its windows, groups and joins
 # need no shuffle.
 TINY = 512
 RELEASE_ORDER = ("release_date", "browser_name", "browser_version", "os_name", "os_version")
 
 
-class TooManyReleases(ValueError):
-    """The release dimension does not fit into bit positions."""
-
-
 def with_release_key(releases: DataFrame) -> DataFrame:
     return releases.withColumn("release_key", release_key())
 
 
 @dataclass(frozen=True)
 class ReleaseIndex:
-    """The ordered release dimension, checked to be small: position = bit."""
+    """The ordered releases that a table is to have columns for: position = bit.
+
+    Tables, grids, exports and searches name their releases one by one, so the driver holds those
+    that are passed in. Metrics, drill-downs and timelines take releases as tables, of any size.
+    """
 
     spark: SparkSession
     rows: tuple[Row, ...]
 
     @classmethod
-    def build(cls, releases: DataFrame, limit: int | None = None) -> ReleaseIndex:
-        limit = MAX_RELEASES if limit is None else limit
+    def build(cls, releases: DataFrame) -> ReleaseIndex:
         ordered = (
             releases.select(
                 "browser_name", "browser_version", "os_name", "os_version", "release_date",
@@ -56,10 +52,7 @@ class ReleaseIndex:
             .distinct()
             .orderBy(*RELEASE_ORDER)
         )
-        rows = ordered.take(limit + 1)
-        if len(rows) > limit:
-            raise TooManyReleases(f"more than {limit} releases")
-        return cls(releases.sparkSession, tuple(rows))
+        return cls(releases.sparkSession, tuple(ordered.collect()))
 
     @cached_property
     def keys(self) -> list[str]:
@@ -142,8 +135,7 @@ def signatures(
     unknown release, like an API missing from ``apis``, is an error.
     """
     names = word_columns(index.n_words)
-    # Proven bound: the index holds at most MAX_RELEASES rows.
-    positions = F.broadcast(index.frame.select("release_key", "pos"))
+    positions = index.frame.select("release_key", "pos")
     support = junction.join(positions, "release_key", "left" if strict else "inner")
     pos = F.col("pos")
     if strict:

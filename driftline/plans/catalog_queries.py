@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline import functions as fn
-from driftline.operators import compat, search
+from driftline.operators import compat, division, search
 from driftline.operators.signature import ReleaseIndex, ships, signatures, with_release_key
 from driftline.operators.timeline import default_in_view, desktop_only
 from driftline.plans import bindings
@@ -233,16 +233,12 @@ def seq(spark: SparkSession, folder: str) -> DataFrame:
       AND r.os_name = 'Windows'), -1) AS pos FROM lineitem""")
 def col_index_of(spark: SparkSession, folder: str) -> DataFrame:
     """Grid position of each shipment's release on one system, -1 where there is none."""
-    index = ReleaseIndex.build(bindings.releases(spark, folder))
-    columns = F.array(*[
-        F.struct(F.lit(row.browser_name).alias("b"), F.lit(row.browser_version).alias("v"),
-                 F.lit(row.os_name).alias("o"))
-        for row in index.rows
-    ])
-    wanted = F.struct(F.col("l_returnflag").alias("b"),
-                      F.year("l_shipdate").cast("string").alias("v"), F.lit("Windows").alias("o"))
-    lines = bindings.table(spark, folder, "lineitem")
-    return lines.select("l_orderkey", "l_linenumber", fn.col_index_of(columns, wanted).alias("pos"))
+    places = division.numbered(bindings.releases(spark, folder))
+    lines = bindings.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.concat_ws("_", "l_returnflag", F.year("l_shipdate"), F.lit("Windows"), F.lit("10")).alias("release_key"))
+    return lines.join(places, "release_key", "left").select(
+        "l_orderkey", "l_linenumber", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
 @query(BOUND + f"""SELECT pos, {NAME_SQL} AS column_name, browser_name || ' ' || browser_version || ' '

@@ -7,7 +7,7 @@ share a nameless prototype that derives from the region's first nation.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial, reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,10 +56,9 @@ def _member() -> Column:
     return F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.regexp_replace("p_brand", "#", ""))
 
 
-def bought_members(spark: SparkSession, folder: str, quantity: Column) -> DataFrame:
-    """Distinct members of parts in shipments of that quantity, by nation and segment."""
-    lines = table(spark, folder, "lineitem").where(quantity).select(
-        "l_orderkey", "l_partkey", "l_quantity")
+def bought_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct members of bought parts, by nation, segment and quantity."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     buyers = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("nation"), "c_mktsegment")
@@ -72,18 +71,15 @@ def bought_members(spark: SparkSession, folder: str, quantity: Column) -> DataFr
     )
 
 
-def supplied_members(spark: SparkSession, folder: str, discount: Column) -> DataFrame:
-    """Distinct members of parts shipped at that discount, by supplier."""
-    lines = table(spark, folder, "lineitem").where(discount).select(
-        "l_suppkey", "l_partkey", "l_discount", "l_quantity")
+def supplied_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct members of shipped parts by supplier: offered at a discount, or on the middle prototype."""
+    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
     parts = table(spark, folder, "part").select("p_partkey", _member().alias("member"))
     suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
     return (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select("s_suppkey", "nation", "member",
-                (F.col("l_discount") > 0.095).alias("offered"),
-                ((F.col("l_discount") < 0.095) & (F.col("l_quantity") >= 45)).alias("middle"))
+        .select("s_suppkey", "nation", "member", (F.col("l_discount") > 0.045).alias("offered"))
         .distinct()
     )
 
@@ -102,14 +98,16 @@ def _together(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-@lru_cache(maxsize=4)
-def _object_graphs(spark: SparkSession, application: str, folder: str) -> ObjectGraphs:
-    quantity, discount = F.col("l_quantity"), F.col("l_discount")
+def object_graphs(spark: SparkSession, folder: str) -> ObjectGraphs:
+    """The derived graph tables, written as captured graphs would be.
+
+    Every shipment counts: its quantity, modulo 5, says which object gets the part as a member.
+    """
     sources = {
         "nations": nations(spark, folder),
         "segments": segments(spark, folder),
-        "bought": bought_members(spark, folder, (quantity <= 3) | (quantity >= 48)),
-        "supplied": supplied_members(spark, folder, discount > 0.085),
+        "bought": bought_members(spark, folder),
+        "supplied": supplied_members(spark, folder),
     }
     nation, segment, bought, supplied = together(*[
         partial(cut_lineage, rows, name) for name, rows in sources.items()])
@@ -125,7 +123,7 @@ def _object_graphs(spark: SparkSession, application: str, folder: str) -> Object
     ctor, proto, middle = (f"{start} + nation" for start in (CTOR, PROTO, MIDDLE))
     hidden = f"{HIDDEN} + hidden"
     seg, base, one = f"{LIB} + segment", f"{LIB_PROTO} + segment", f"{SUPPLIER} + s_suppkey"
-    layered, poor, shared = "segment % 2 = 0", "s_acctbal < 1000", "hidden IS NOT NULL"
+    layered, poor, shared = "(segment % 2 = 0)", "s_acctbal < 1000", "(hidden IS NOT NULL)"
     fixed = [
         (ROOT, "window", ROOT), (ROOT, "Object", OBJECT), (ROOT, "Function", FUNCTION),
         (OBJECT, "prototype", OBJECT_PROTO), (OBJECT, "length", NUMBER), (OBJECT, "name", STRING),
@@ -147,12 +145,12 @@ def _object_graphs(spark: SparkSession, application: str, folder: str) -> Object
             ("l_quantity = 50", ctor, "concat(lower(p_type), '_kind')", f"{NULL}"),
             ("l_quantity = 50", proto, "p_type", f"{NUMBER}"),
             ("l_quantity = 50", proto, "CAST(p_size AS STRING)", f"{NUMBER}"),
-            ("l_quantity >= 48", proto, "member", f"{NULL}"),
-            (f"l_quantity = 1 AND {shared}", hidden, "member", f"{NULL}"),
-            ("l_quantity = 2", seg, "member", f"{NULL}"),
-            (f"l_quantity = 3 AND {layered}", base, "member", f"{NULL}"),
+            (f"l_quantity % 5 IN (0, 4) OR l_quantity % 5 = 1 AND NOT {shared}", proto, "member", f"{NULL}"),
+            (f"l_quantity % 5 = 1 AND {shared}", hidden, "member", f"{NULL}"),
+            (f"l_quantity % 5 = 2 OR l_quantity % 5 = 3 AND NOT {layered}", seg, "member", f"{NULL}"),
+            (f"l_quantity % 5 = 3 AND {layered}", base, "member", f"{NULL}"),
         ),
-        _rows(supplied, ("offered", one, "member", f"{NULL}"), ("middle", middle, "member", f"{NULL}")),
+        _rows(supplied, ("offered", one, "member", f"{NULL}"), ("NOT offered", middle, "member", f"{NULL}")),
         _rows(lib, ("true", f"{ROOT}", "c_mktsegment", seg)),
         _rows(supplier, ("true", seg, "concat('sup_', s_suppkey)", one)),
     ).distinct()
@@ -189,11 +187,6 @@ def _object_graphs(spark: SparkSession, application: str, folder: str) -> Object
     ).settled()
 
 
-def object_graphs(spark: SparkSession, folder: str) -> ObjectGraphs:
-    """The derived graph tables, written once per application as captured graphs would be."""
-    return _object_graphs(spark, spark.sparkContext.applicationId, folder)
-
-
 GRAPH = f"""
 WITH RECURSIVE named_nations AS (
   SELECT r_name AS graph_id, n_nationkey AS nation, n_name,
@@ -221,7 +214,7 @@ bought AS (
 suppliers AS (
   SELECT n.*, s_suppkey, s_acctbal FROM supplier JOIN nations n ON n.nation = s_nationkey),
 supplied AS (
-  SELECT s.*, member, l_discount, l_quantity FROM lineitem JOIN suppliers s ON l_suppkey = s_suppkey
+  SELECT s.*, member, l_discount FROM lineitem JOIN suppliers s ON l_suppkey = s_suppkey
   JOIN parts ON l_partkey = p_partkey),
 edges AS (
   SELECT graph_id, {ROOT} AS node, 'window' AS key, {ROOT} AS child FROM regions
@@ -247,16 +240,17 @@ edges AS (
   UNION SELECT graph_id, {CTOR} + nation, lower(p_type) || '_kind', 6 FROM bought WHERE l_quantity = 50
   UNION SELECT graph_id, {PROTO} + nation, p_type, 3 FROM bought WHERE l_quantity = 50
   UNION SELECT graph_id, {PROTO} + nation, CAST(p_size AS VARCHAR), 3 FROM bought WHERE l_quantity = 50
-  UNION SELECT graph_id, {PROTO} + nation, member, 6 FROM bought WHERE l_quantity >= 48
-  UNION SELECT graph_id, {HIDDEN} + hidden, member, 6 FROM bought WHERE l_quantity = 1 AND hidden IS NOT NULL
+  UNION SELECT graph_id, {PROTO} + nation, member, 6 FROM bought
+    WHERE l_quantity % 5 IN (0, 4) OR l_quantity % 5 = 1 AND hidden IS NULL
+  UNION SELECT graph_id, {HIDDEN} + hidden, member, 6 FROM bought WHERE l_quantity % 5 = 1 AND hidden IS NOT NULL
   UNION SELECT graph_id, {ROOT}, c_mktsegment, {LIB} + segment FROM libs
-  UNION SELECT graph_id, {LIB} + segment, member, 6 FROM bought WHERE l_quantity = 2
-  UNION SELECT graph_id, {LIB_PROTO} + segment, member, 6 FROM bought WHERE l_quantity = 3 AND segment % 2 = 0
+  UNION SELECT graph_id, {LIB} + segment, member, 6 FROM bought
+    WHERE l_quantity % 5 = 2 OR l_quantity % 5 = 3 AND segment % 2 <> 0
+  UNION SELECT graph_id, {LIB_PROTO} + segment, member, 6 FROM bought WHERE l_quantity % 5 = 3 AND segment % 2 = 0
   UNION SELECT graph_id, {LIB} + s_suppkey % (SELECT count(*) FROM segments), 'sup_' || s_suppkey,
     {SUPPLIER} + s_suppkey FROM suppliers
-  UNION SELECT graph_id, {SUPPLIER} + s_suppkey, member, 6 FROM supplied WHERE l_discount > 0.095
-  UNION SELECT graph_id, {MIDDLE} + nation, member, 6 FROM supplied
-    WHERE l_discount > 0.085 AND l_discount < 0.095 AND l_quantity >= 45),
+  UNION SELECT graph_id, {SUPPLIER} + s_suppkey, member, 6 FROM supplied WHERE l_discount > 0.045
+  UNION SELECT graph_id, {MIDDLE} + nation, member, 6 FROM supplied WHERE l_discount <= 0.045),
 protos AS (
   SELECT graph_id, {OBJECT} AS node, {FUNCTION_PROTO} AS proto FROM regions
   UNION SELECT graph_id, {FUNCTION}, {FUNCTION_PROTO} FROM regions

@@ -163,14 +163,14 @@ def extract_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 CORRECT = GRAPH + """,
 bought_catalog AS (
-  SELECT DISTINCT graph_id, n_name AS interface_name, member AS api_name FROM bought WHERE l_quantity >= 40
+  SELECT DISTINCT graph_id, n_name AS interface_name, member AS api_name FROM bought
   UNION SELECT DISTINCT graph_id, 'window', n_name FROM nations)
 """
 
 
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
     nation = nations(spark, folder).select(G, "nation", "n_name")
-    bought = bought_members(spark, folder, F.col("l_quantity") >= 40).join(nation, "nation")
+    bought = bought_members(spark, folder).join(nation, "nation")
     own = bought.select(G, F.col("n_name").alias("interface_name"), F.col("member").alias("api_name")).distinct()
     return own.unionByName(
         nation.select(G, F.lit("window").alias("interface_name"), F.col("n_name").alias("api_name")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline import model
 from driftline.operators import drilldown, metrics, timeline
-from driftline.operators.signature import ReleaseIndex, with_release_key
+from driftline.operators.signature import with_release_key
 from driftline.plans import bindings
 from driftline.plans.registry import BOUND, COUNTS, TIMELINE, joined, query
 
@@ -17,8 +17,8 @@ def _desktop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
-    """The desktop releases as the checked, small dimension they are."""
-    return ReleaseIndex.build(_desktop(spark, folder)).frame
+    """The desktop releases, each once, with their keys."""
+    return with_release_key(metrics.listed_once(_desktop(spark, folder)))
 
 
 def _facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def lone_removal(spark: SparkSession, folder: str) -> DataFrame:
     return _metric_rows(spark, folder, model.LONE_REMOVAL).select(*VALUE_COLUMNS)
 
 
-@query(TIMELINE + """
+@query(TIMELINE + COUNTS.removeprefix(BOUND) + """
 SELECT m.type, m.browser_name, m.date, m.release, m.value,
   coalesce((SELECT string_agg(release_key, ',' ORDER BY release_key) FROM role_rows r
     WHERE r.type = m.type AND r.browser_name = m.browser_name AND r.date = m.date
@@ -151,16 +151,24 @@ SELECT m.type, m.browser_name, m.date, m.release, m.value,
     ELSE (SELECT string_agg(release_key, ',' ORDER BY release_key)
       FROM before_grace g WHERE g.browser_name = m.browser_name AND g.date = m.date AND nth > 1)
     END, '') AS prev_releases
-FROM metric_values m""")
+FROM metric_values m
+UNION ALL
+SELECT 'API_COUNT', browser_name, release_date, curr_release, total_apis,
+  new_apis || ' new, ' || removed_apis || ' removed', coalesce(prev_release, '') FROM api_counts""")
 def run_all_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = metrics.run_all_metrics(
-        _desktop(spark, folder), *_facts(spark, folder), types=model.METRIC_TYPES
-    )
-    return rows.select(
+    """All four metric types, in one pass."""
+    rows, counts = metrics.run_all_metrics(_desktop(spark, folder), *_facts(spark, folder))
+    metric_rows = rows.select(
         *VALUE_COLUMNS,
         joined(F.sort_array("compared_releases")).alias("compared_releases"),
         joined(F.sort_array("prev_releases")).alias("prev_releases"),
     )
+    changes = F.concat_ws(" ", "new_apis", F.lit("new,"), "removed_apis", F.lit("removed"))
+    count_rows = counts.select(
+        F.lit("API_COUNT"), "browser_name", "release_date", "curr_release", "total_apis", changes,
+        F.coalesce("prev_release", F.lit("")),
+    )
+    return metric_rows.union(count_rows)
 
 
 @query(VALUE_SQL + " WHERE type = 'LONE_OMISSION'")
@@ -195,15 +203,7 @@ def api_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(COUNT_SQL + " WHERE prev_release IS NULL")
 def api_count_single(spark: SparkSession, folder: str) -> DataFrame:
     """The first release of each browser only has a total."""
-    pairs = timeline.consecutive_pairs(with_release_key(_desktop(spark, folder)))
-    first = pairs.where(F.col("prev_release").isNull())
-    _, junction = _facts(spark, folder)
-    total = junction.groupBy(F.col("release_key").alias("curr_release")).count()
-    return first.join(total, "curr_release", "left").select(
-        "browser_name", "release_date", "curr_release", "prev_release",
-        F.coalesce("count", F.lit(0)).alias("total_apis"),
-        F.lit(0).cast("long").alias("new_apis"), F.lit(0).cast("long").alias("removed_apis"),
-    )
+    return _counts(spark, folder).where(F.col("prev_release").isNull()).select(*COUNT_COLUMNS)
 
 
 @query(COUNT_SQL + " WHERE prev_release IS NOT NULL")

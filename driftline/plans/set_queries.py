@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import division, metrics, sets
-from driftline.operators.signature import ReleaseIndex, with_release_key
+from driftline.operators.search import all_of, any_of
+from driftline.operators.signature import with_release_key
 from driftline.operators.timeline import desktop_only
 from driftline.plans import bindings
 from driftline.plans.bindings import table
 from driftline.plans.registry import BOUND, TIMELINE, joined, query
+from driftline.session import cut_lineage
 
 
 def _buyers(spark: SparkSession, folder: str, status: str) -> DataFrame:
@@ -128,12 +128,12 @@ def find(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(TIMELINE + "SELECT type, browser_name, date, value FROM metric_values")
 def set_division_by_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Metric values by the plan for release dimensions of any size."""
-    known = ReleaseIndex.build(desktop_only(bindings.releases(spark, folder))).frame
-    measures = metrics.measure_points(known, metrics.MEASURES)
-    counts = division.count_by_join(
-        measures, metrics.KEYS, bindings.apis(spark, folder), bindings.junction(spark, folder))
-    return division.with_counts(measures, metrics.KEYS, counts).select(*metrics.KEYS, "value")
+    """Metric values by the division itself."""
+    known = metrics.listed_once(desktop_only(bindings.releases(spark, folder)))
+    measures = cut_lineage(metrics.measure_points(known, metrics.MEASURES), "measures")
+    counted = division.counts(
+        measures, metrics.KEYS, known, bindings.apis(spark, folder), bindings.junction(spark, folder))
+    return division.with_counts(measures, metrics.KEYS, counted).select(*metrics.KEYS, "value")
 
 
 # Predicates, ordering and grouping
@@ -143,12 +143,6 @@ def set_division_by_join(spark: SparkSession, folder: str) -> DataFrame:
   WHERE (l_quantity < 10 OR l_quantity >= 45) AND l_returnflag IN ('A', 'R')
     AND l_discount <= 0.05 AND l_linestatus = 'O'""")
 def comparison_algebra(spark: SparkSession, folder: str) -> DataFrame:
-    def all_of(*tests: Column) -> Column:
-        return reduce(Column.__and__, tests, F.lit(True))
-
-    def any_of(*tests: Column) -> Column:
-        return reduce(Column.__or__, tests, F.lit(False))
-
     quantity = F.col("l_quantity")
     wanted = all_of(
         any_of(quantity < 10, quantity >= 45), F.col("l_returnflag").isin("A", "R"),

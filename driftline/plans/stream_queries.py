@@ -43,11 +43,11 @@ def stream_intersect(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(spark, streaming.stream_intersect(events, _known(spark, folder), ["user_id"]), "both")
 
 
-@query(EVENT_SQL + "(event_type = 'purchase' AND value > 85) OR (event_type = 'view' AND user_id NOT IN " + KNOWN_SQL + ")")
+@query(EVENT_SQL + "event_type = 'purchase' OR (event_type IS DISTINCT FROM 'purchase' AND user_id NOT IN " + KNOWN_SQL + ")")
 def stream_union(spark: SparkSession, folder: str) -> DataFrame:
     events = _stream(spark, folder).select(*COLUMNS)
     union = streaming.stream_union(
-        events.where("event_type = 'purchase' AND value > 85"), events.where("event_type = 'view'"),
+        events.where("event_type = 'purchase'"), events.where("NOT event_type <=> 'purchase'"),
         _known(spark, folder), ["user_id"])
     return _drained(spark, union, "union")
 

@@ -71,9 +71,9 @@ def write_api_counts(spark: SparkSession, folder: str) -> DataFrame:
   || os_name || ' ' || os_version AS label, release_date FROM ordered_releases""")
 def load_compat_columns(spark: SparkSession, folder: str) -> DataFrame:
     index = ReleaseIndex.build(bindings.releases(spark, folder))
-    none = bindings.apis(spark, folder).where(F.lit(False))
     path = fresh_path(spark, "columns")
-    sinks.write_compat(signatures(none, none.select(F.lit("").alias("release_key"), "interface_key"), index), index, path)
+    facts = bindings.apis(spark, folder), bindings.junction(spark, folder)
+    sinks.write_compat(signatures(*facts, index), index, path)
     columns = entities.load_compat_columns(spark, f"{path}/compat_columns")
     return columns.select(F.col("pos").cast("long").alias("pos"), "column_name", "label", "release.release_date")
 

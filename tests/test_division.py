@@ -1,4 +1,4 @@
-"""Both division plans against a plain evaluation in Python."""
+"""The division against a plain evaluation in Python."""
 
 import datetime as dt
 import random
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline import model
 from driftline.operators import division
-from driftline.operators.signature import ReleaseIndex, TooManyReleases, signatures
+from driftline.operators.signature import ReleaseIndex, signatures
 
 
 def random_case(spark, seed, n_releases, n_apis, n_measures):
@@ -35,15 +35,12 @@ def random_case(spark, seed, n_releases, n_apis, n_measures):
 
 
 @pytest.mark.parametrize("seed,n_releases", [(1, 9), (2, 64), (3, 150)])
-def test_plans_agree_with_plain_python(spark, seed, n_releases):
+def test_division_agrees_with_plain_python(spark, seed, n_releases):
     (releases, apis, junction, measures), expected = random_case(spark, seed, n_releases, 40, 12)
-    index = ReleaseIndex.build(releases)
-    fast = division.by_signature(measures, ["id"], signatures(apis, junction, index), index)
-    slow = division.by_join(measures, ["id"], apis, junction)
-    assert {tuple(r) for r in fast.select("id", "interface_key").collect()} == expected
-    assert {tuple(r) for r in slow.select("id", "interface_key").collect()} == expected
+    found = division.matches(measures, ["id"], releases, apis, junction)
+    assert sorted(tuple(r) for r in found.select("id", "interface_key").collect()) == sorted(expected)
     counts = division.with_counts(
-        measures, ["id"], division.count_by_join(measures, ["id"], apis, junction))
+        measures, ["id"], division.counts(measures, ["id"], releases, apis, junction))
     assert {r.id: r.value for r in counts.collect()} == {
         number: sum(1 for m, _ in expected if m == number) for number in range(12)}
 
@@ -60,16 +57,25 @@ def test_facts_of_unlisted_apis_and_releases_are_ignored_or_refused(spark):
             signatures(apis, stray, index, strict=True).collect()
 
 
-def test_large_release_dimensions_are_refused_by_the_index(spark):
-    (releases, _, _, _), _ = random_case(spark, 5, 9, 1, 1)
-    with pytest.raises(TooManyReleases):
-        ReleaseIndex.build(releases, limit=8)
+def test_ten_thousand_releases(spark):
+    (releases, apis, junction, measures), expected = random_case(spark, 5, 10_000, 3, 4)
+    found = division.matches(measures, ["id"], releases, apis, junction)
+    assert sorted(tuple(r) for r in found.select("id", "interface_key").collect()) == sorted(expected)
 
 
-def test_metrics_take_the_other_plan_for_large_dimensions(spark, monkeypatch):
-    from driftline.operators import metrics, signature
+def test_releases_listed_twice_change_nothing(spark):
+    from driftline.operators import drilldown, metrics
 
     (releases, apis, junction, _), _ = random_case(spark, 6, 9, 30, 1)
-    usual = sorted(map(str, metrics.browser_metrics(releases, apis, junction).collect()))
-    monkeypatch.setattr(signature, "MAX_RELEASES", 8)
-    assert sorted(map(str, metrics.browser_metrics(releases, apis, junction).collect())) == usual
+    later = releases.withColumn("release_date", F.date_add("release_date", 400))
+    for more in (releases, releases.unionByName(releases), releases.unionByName(later)):
+        rows, counts = metrics.run_all_metrics(more, apis, junction)
+        found = sorted(map(str, rows.collect())), sorted(map(str, counts.collect()))
+        alone = sorted(map(str, metrics.browser_metrics(more, apis, junction).collect()))
+        if more is releases:
+            usual = found
+            lists = sorted(map(str, drilldown.metric_apis(model.LONE_OMISSION, more, apis, junction).collect()))
+        assert found == usual and alone == usual[0]
+    one = rows.where(F.col("type") == model.LONE_OMISSION).limit(1)
+    asked = drilldown.metric_apis(model.LONE_OMISSION, releases, apis, junction, one)
+    assert asked.count() == one.first().value and set(map(str, asked.collect())) <= set(lists)
