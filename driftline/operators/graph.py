@@ -185,6 +185,28 @@ def name_from_tostring(text: Column | str) -> Column:
     return F.regexp_replace(found, "(Prototype|Constructor)$", "")
 
 
+def _dots_as_links(links: DataFrame) -> DataFrame:
+    """Links with a dot in their label as several, through objects that only paths know.
+
+    In a path ``a.b`` looks the same whether one label holds the dot or two labels meet there. The
+    objects in between get numbers below zero, which no graph uses.
+    """
+    dotted = F.contains("name", F.lit("."))
+    parts = links.where(dotted).withColumn("parts", F.split("name", r"\.")).select(
+        "*", F.posexplode("parts").alias("at", "part"))
+
+    def between(at: Column) -> Column:
+        return -F.abs(F.xxhash64("node", "name", at) % F.lit(1 << 62)) - 1
+
+    last = F.col("at") == F.size("parts") - 1
+    split = parts.select(
+        G, F.when(F.col("at") == 0, F.col("node")).otherwise(between(F.col("at"))).alias("node"),
+        F.col("part").alias("name"), (F.col("builtin") & last).alias("builtin"),
+        F.when(last, F.col("child")).otherwise(between(F.col("at") + 1)).alias("child"),
+    )
+    return links.where(~dotted).select(G, "node", "name", "builtin", "child").unionByName(split)
+
+
 @dataclass
 class Names:
     """Function and class names of all objects, from paths below the root.
@@ -201,7 +223,8 @@ class Names:
     def in_links(self) -> DataFrame:
         """Labelled links out of reachable objects, self links left out."""
         known = links(self.graphs).join(self.reachable, [G, "node"], "left_semi")
-        return cut_lineage(known.where(F.col("node") != F.col("child")), "in-links")
+        apart = known.where(F.col("node") != F.col("child"))
+        return cut_lineage(_dots_as_links(apart), "in-links")
 
     def _before_prototype(self) -> DataFrame:
         """``graph_id, node, name, via, start``: ``start -name-> via -prototype-> node``."""

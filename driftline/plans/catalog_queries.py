@@ -297,8 +297,10 @@ def import_catalog(spark: SparkSession, folder: str) -> DataFrame:
     facts = bindings.junction(spark, folder).select(
         "release_key", fn.interface_of("interface_key").alias("interface_name"),
         fn.api_of("interface_key").alias("api_name"))
-    catalogs = facts.select(
-        "release_key", F.create_map("interface_name", F.array("api_name")).alias("catalog"))
+    shard = F.pmod(F.xxhash64("interface_name"), F.lit(8)).alias("shard")
+    named = facts.groupBy("release_key", "interface_name").agg(F.collect_set("api_name").alias("names"))
+    catalogs = named.groupBy("release_key", shard).agg(
+        F.map_from_entries(F.collect_list(F.struct("interface_name", "names"))).alias("catalog"))
     return explode_catalogs(catalogs, "release_key").select(
         "release_key", fn.interface_key().alias("interface_key"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from driftline import model
 
 EPOCH = "1970-01-01"
+SHARED_STORAGE = ("hdfs", "viewfs", "s3a", "gs", "abfss", "wasbs")
 
 
 def camel(name: str) -> str:
@@ -64,16 +65,22 @@ def read_entity_json(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 @dataclass(frozen=True)
 class AllowList:
-    """Which remote addresses may be read: scheme, host and path prefix must all match."""
+    """Which remote addresses may be read: scheme, host (bucket) and path prefix must all match.
 
-    schemes: Sequence[str] = ("https",)
+    Only storage that Spark's file reader can list will do. Web servers can't be listed, so https
+    addresses are refused; put such files on shared storage first. An address without a host needs
+    ``""`` among the hosts.
+    """
+
+    schemes: Sequence[str] = SHARED_STORAGE
     hosts: Sequence[str] = ("localhost",)
-    path_prefixes: Sequence[str] = ("/",)
+    path_prefixes: Sequence[str] = ("/data/",)
 
     def check(self, uri: str) -> str:
         parts = urlparse(uri)
         safe = (
-            parts.scheme in self.schemes and parts.hostname in self.hosts
+            parts.scheme in self.schemes and parts.scheme not in ("http", "https")
+            and (parts.hostname or "") in self.hosts and ".." not in parts.path.split("/")
             and any(parts.path.startswith(prefix) for prefix in self.path_prefixes)
         )
         if not safe:
@@ -84,11 +91,11 @@ class AllowList:
 def read_entity_remote(
     spark: SparkSession, uri: str, schema: T.StructType, allowed: AllowList = AllowList()
 ) -> DataFrame:
-    """The same file behind any file system Spark can reach, once its address is checked."""
+    """The same file on shared storage, once its address is checked."""
     return read_entity_json(spark, allowed.check(uri), schema)
 
 
-LOCAL, HTTP = "LOCAL", "HTTP"
+LOCAL, REMOTE = "LOCAL", "HTTP"  # the stored names of the modes
 
 
 def source_by_mode(
@@ -99,7 +106,7 @@ def source_by_mode(
     path = f"{base.rstrip('/')}/{entity}.json"
     if mode == LOCAL:
         return read_entity_json(spark, path, schema)
-    if mode == HTTP:
+    if mode == REMOTE:
         return read_entity_remote(spark, path, schema, allowed)
     raise ValueError(f"unknown data source: {mode}")
 
@@ -114,8 +121,8 @@ def read_version_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_compat_columns(spark: SparkSession, path: str) -> DataFrame:
-    """The column model of a wide table, from a file system or web address."""
+    """The column model of a wide table, from local or shared storage."""
     scheme = urlparse(path).scheme
-    if scheme not in ("", "file", "http", "https", "hdfs", "s3a", "gs", "abfss"):
+    if scheme not in ("", "file", *SHARED_STORAGE):
         raise ValueError(f"cannot load a column model from {scheme}")
     return spark.read.schema(model.COMPAT_COLUMNS).parquet(path)

@@ -14,10 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from driftline.operators.sets import diff_only, intersect, set_minus, upsert
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """Parquet files matching a name pattern, as a stream."""
+def file_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str, files_per_batch: int = 64
+) -> DataFrame:
+    """Parquet files matching a name pattern, as a stream of batches of so many files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    return reader.option("maxFilesPerTrigger", 64).parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def stream_minus(stream: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:

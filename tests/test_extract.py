@@ -110,6 +110,18 @@ def test_names_come_from_paths_unless_switched_off(spark, tmp_path):
     assert catalog(spark, g, other, config) == {**BASE, "lib": ["holder"]}
 
 
+def test_dots_in_labels_part_paths(spark, tmp_path):
+    g = Graph()
+    nameless = g.fn("", g.obj(proto=g.object_proto), False)
+    g.put(nameless, "alpha", 6)
+    g.put(g.root, "space.within.Beta", nameless)
+    g.put(g.root, "Gamma.prototype", g.obj(proto=g.object_proto))
+    graphs = tables(spark, g.write(tmp_path))
+    names = og.Names(graphs, og.reachable_from_root(graphs))
+    assert {r.name for r in names.function_names().where(f"node = {nameless}").collect()} == {"Beta"}
+    assert "Gamma" in {r.name for r in names.prototype_path_names().collect()}
+
+
 def test_hidden_constructor_found_through_prototype_link(spark, tmp_path):
     g = Graph()
     hidden_proto = g.obj(proto=g.object_proto)

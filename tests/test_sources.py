@@ -66,12 +66,26 @@ def test_entity_files(spark, tmp_path):
 
 
 def test_allow_list():
-    allowed = entities.AllowList(hosts=("data.example.org",), path_prefixes=("/cache/",))
-    assert allowed.check("https://data.example.org/cache/x.json")
-    for uri in ("http://data.example.org/cache/x.json", "https://other.example.org/cache/x.json",
-                "https://data.example.org/x.json"):
+    allowed = entities.AllowList(hosts=("bucket",), path_prefixes=("/cache/",))
+    assert allowed.check("s3a://bucket/cache/x.json")
+    for uri in ("https://bucket/cache/x.json", "s3a://other/cache/x.json", "s3a://bucket/x.json",
+                "s3a://bucket/cache/../x.json", "ftp://bucket/cache/x.json"):
         with pytest.raises(ValueError):
             allowed.check(uri)
+    with pytest.raises(ValueError):
+        entities.AllowList().check("hdfs://localhost/elsewhere/x.json")
+    with pytest.raises(ValueError):  # web servers can't be listed, whoever allows them
+        entities.AllowList(schemes=("https",), path_prefixes=("/",)).check("https://localhost/x.json")
+
+
+def test_entity_files_on_shared_storage(spark, tmp_path):
+    (tmp_path / "Release.json").write_text(json.dumps([{"browserName": "A", "browserVersion": "1"}]))
+    allowed = entities.AllowList(schemes=("file",), hosts=("",), path_prefixes=(f"{tmp_path}/",))
+    rows = entities.source_by_mode(
+        spark, entities.REMOTE, f"file://{tmp_path}", "Release", model.RELEASES, allowed).collect()
+    assert [r.browser_name for r in rows] == ["A"]
+    with pytest.raises(ValueError):
+        entities.source_by_mode(spark, entities.REMOTE, f"file://{tmp_path}", "Release", model.RELEASES)
 
 
 def test_release_info(spark, tmp_path):
