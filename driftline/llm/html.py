@@ -129,8 +129,7 @@ class Table:
                     width = sum(widths.get(column + k, 0) for k in range(min(span, 1000))) + 2 * (min(span, 1000) - 1)
                     out.append((lines[i] if i < len(lines) else "").ljust(width))
                     column += span
-                if line := "  ".join(out).rstrip():
-                    yield line
+                yield "  ".join(out).rstrip()
 
 
 class Element:
@@ -317,7 +316,10 @@ class Page:
         elif e.put is not None and tag == "table":
             self.tables.pop()
             for line in e.put.lines():
-                flow.put(line)
+                if line:
+                    flow.put(line)
+                else:  # between blocks of a cell
+                    flow.lines.append("")
             flow.gap = True
         elif e.put is not None:
             self.flows.pop()
