@@ -284,13 +284,12 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 CENTRES = 8
 
 
-def _to_centres(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _to_centres(pairs: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of a class that came near a large component and the members in the middle of that one.
 
     In a large region a class meets its neighbours only, and may be linked to few of a group. Of such
     a group, those that agree best with the classes they met are most alike to all others.
     """
-    near = _apart(pairs, known)
     crowds = known.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("component")
     sides = pairs.select("a", "agree").union(pairs.select("b", "agree")).toDF("node", "agree")
     middle = (
@@ -332,10 +331,11 @@ def link(
     sets = cut_lineage(_sets(documents, pairs, doc_id, text), "minhash-sets")
     # First each class's best pairs; then what those links haven't yet brought together.
     first = cut_lineage(_confirmed(_best(pairs), sets), "minhash-links")
-    second = cut_lineage(_confirmed(_apart(pairs, components(first)), sets), "minhash-links")
-    links = first.union(second)
+    rest = cut_lineage(_apart(pairs, components(first)).drop("a_in", "b_in"), "minhash-rest")
+    links = first.union(cut_lineage(_confirmed(rest, sets), "minhash-links"))
     found = components(links)
-    third = _confirmed(_to_centres(pairs, found), sets)
+    near = cut_lineage(_apart(rest, found), "minhash-near")
+    third = _confirmed(_to_centres(pairs, near, found), sets)
     found = components(links.union(third))
     named = classes.select("digest", "n", "node").join(found, "node", "left").select(
         "digest", "n", F.coalesce("component", "node").alias("component")
