@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from driftline.llm.needed import only_needed
 from driftline.llm.sais import common_prefixes, suffix_array
 from driftline.llm.windows import GRAM, gram_hashes, window_minima
-from driftline.session import cut_lineage
+from driftline.session import fresh_path
 
 LENGTH = 400
 #: Bytes that are sorted together, and of a partition of pieces.
@@ -36,6 +36,13 @@ SPANS = "array<struct<start:int,stop:int>>"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder, packed tightly as it holds texts, and go on from there."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _cut(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and first window of each piece, and hashes that hold a window's minimum at two near places."""
     hashes = gram_hashes(np.frombuffer(data, np.uint8), GRAM)
@@ -181,28 +188,45 @@ def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
     No hash is gathered in one task; counts are added up before they are shuffled.
     """
 
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hash_, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(data) - length + 1
+                places: dict[bytes, list[int]] = {}
+                for i in range(len(data) - length + 1):
+                    places.setdefault(xxhash.xxh3_128_digest(data[i : i + length]), []).append(i)
+                # Windows that the piece itself repeats are found already; the others may be elsewhere.
+                inside = np.sort(np.array([i for own in places.values() if len(own) > 1 for i in own], np.int64))
+                n = len(places)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([hash_] * n, pa.int64()), pa.array([piece] * n, pa.binary()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)], pa.binary()),
+                        pa.array([hash_] * (n + 1), pa.int64()), pa.array([piece] * (n + 1), pa.binary()),
+                        pa.array([*places, None], pa.binary()),
+                        pa.array([*(x[0] if len(x) == 1 else None for x in places.values()), None], pa.int32()),
+                        pa.array([*map(len, places.values()), 0], pa.int32()),
+                        pa.array([None] * n + [_spans(inside, length)], kind),
                     ],
-                    ["hash", "piece", "at", "window"],
+                    ["hash", "piece", "window", "at", "n", "spans"],
                 )
 
-    windows = cut_lineage(
-        pieces.select("hash", "piece", "data").mapInArrow(run, "hash long, piece binary, at int, window binary"),
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_spans(np.array(at, np.int64), length) for at in batch.column("at").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hash"), batch.column("piece"), pa.array(spans, kind)], ["hash", "piece", "spans"])
+
+    windows = written(
+        pieces.select("hash", "piece", "data").mapInArrow(
+            run, f"hash long, piece binary, window binary, at int, n int, spans {SPANS}"),
         "suffix-windows",
     )
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    starts = windows.join(twice, "window").groupBy("hash", "piece").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return starts.select("hash", "piece", F.transform(
-        "at", lambda a: F.struct(a.alias("start"), (a + length).cast("int").alias("stop"))
-    ).alias("spans"))
+    twice = windows.where("window IS NOT NULL").groupBy("window").agg(F.sum("n").alias("all")).where("all > 1")
+    single = windows.where("at IS NOT NULL").join(twice, "window").groupBy("hash", "piece").agg(
+        F.array_sort(F.collect_list("at")).alias("at")
+    ).mapInArrow(covered, f"hash long, piece binary, spans {SPANS}")
+    return single.unionByName(windows.where(F.size("spans") > 0).select("hash", "piece", "spans")).groupBy(
+        "hash", "piece").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeated_spans(
@@ -212,8 +236,8 @@ def repeated_spans(
 
     Texts that occur twice are left out of the spans: they go as a whole.
     """
-    measured = cut_lineage(_measured(documents, length, doc_id, text), "suffix-documents")
-    texts = cut_lineage(
+    measured = written(_measured(documents, length, doc_id, text), "suffix-documents")
+    texts = written(
         measured.where(F.col("n_bytes") >= length).groupBy("digest", "n_bytes").agg(
             F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("firsts").alias("firsts"),
             F.first("again").alias("again"),
@@ -232,23 +256,27 @@ def repeated_spans(
     wanted = cut.join(often, "hash").groupBy("digest").agg(
         F.collect_list(F.struct("hash", "first", "last")).alias("pieces")
     )
-    wanted = cut_lineage(wanted, "suffix-wanted")
-    pieces = cut_lineage(_pieces(_texts(documents, wanted, text), length), "suffix-pieces")
-    different = cut_lineage(
-        pieces.groupBy("hash", "piece").agg(F.count("*").alias("n"), F.first("data").alias("data")), "suffix-different"
+    wanted = written(wanted, "suffix-wanted")
+    pieces = written(_pieces(_texts(documents, wanted, text), length), "suffix-pieces")
+    different = written(
+        pieces.groupBy("hash", "piece").agg(F.count("*").alias("n"), F.first(F.length("data")).alias("size")),
+        "suffix-different",
     )
     hashes = different.groupBy("hash").agg(F.count("*").alias("many"))
-    long = F.length("data") > LONG * length
+    long = F.col("size") > LONG * length
     inside = texts.select(F.explode("again").alias("hash")).distinct().withColumn("inside", F.lit(True))
-    met = different.join(hashes.where("many > 1"), "hash", "left").join(inside, "hash", "left").where(
-        (F.col("many") > 1) | F.col("inside")
-    )
+    met = different.join(hashes, "hash").join(inside, "hash", "left").where((F.col("many") > 1) | F.col("inside"))
     # Long pieces repeat a gram again and again; pieces beside them must be compared in the same way.
-    apart = met.where(long).select("hash").union(hashes.where(F.col("many") > crowd).select("hash")).distinct()
-    met = met.join(apart.withColumn("apart", F.lit(True)), "hash", "left")
-    n_bytes = met.agg(F.sum(F.length("data"))).first()[0] or 0
-    found = _sorted_shards(met.where("apart IS NULL"), length, n_bytes).unionByName(
-        _counted_windows(met.where("apart"), length)
+    apart = hashes.join(met.where(long).select("hash").distinct().withColumn("long", F.lit(True)), "hash", "left").where(
+        F.col("long") | (F.col("many") > crowd)
+    )
+    met = written(met.join(apart.select("hash", F.lit(True).alias("apart")), "hash", "left"), "suffix-met")
+    n_bytes = met.agg(F.sum("size")).first()[0] or 0
+    bytes_of = lambda kind: pieces.join(
+        met.where(kind).select("hash", "piece"), ["hash", "piece"], "left_semi"
+    ).groupBy("hash", "piece").agg(F.first("data").alias("data"))
+    found = _sorted_shards(bytes_of("apart IS NULL"), length, n_bytes).unionByName(
+        _counted_windows(bytes_of("apart"), length)
     )
     whole = different.where("n > 1").select("hash", "piece", F.lit(True).alias("whole"))
     places = pieces.drop("data").join(found, ["hash", "piece"], "left").join(whole, ["hash", "piece"], "left")
@@ -262,7 +290,7 @@ def repeated_spans(
     )
     spans = spans.join(texts.where("copies > 1").select("digest"), "digest", "left_anti")
     copies = texts.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    return measured.select("doc_id", "digest", "n_bytes").join(copies, "digest", "left"), cut_lineage(spans, "suffix-spans")
+    return measured.select("doc_id", "digest", "n_bytes").join(copies, "digest", "left"), written(spans, "suffix-spans")
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
