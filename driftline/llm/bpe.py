@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -26,6 +27,7 @@ NONE = np.iinfo(np.int32).max
 WIDEST = 1024
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, WIDEST)
 CELLS = 1 << 20
+CACHED = 500_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -72,31 +74,37 @@ class PairTable:
         return out
 
 
-class ByteBPE:
-    """Encoder and decoder for a rank file, in which ids are ranks."""
+class Merger:
+    """Merges the leftmost pair of lowest id in each word until no pair is left.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.ranks = regex.compile(pattern), ranks
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        pairs = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
+    ``pairs`` maps ``left << 32 | right`` to the id of the merged token; ids are in the order in which
+    pairs merge. ``last_ids`` are those of a word's last byte, where they differ.
+    """
+
+    def __init__(self, pairs: dict[int, int], byte_ids: Sequence[int], last_ids: Sequence[int] | None = None):
+        self.pairs, self.kind = pairs, np.dtype("<u4")
+        self.byte_ids = np.array(byte_ids, dtype=np.int32)
+        self.last_ids = self.byte_ids if last_ids is None else np.array(last_ids, dtype=np.int32)
         self.table = PairTable(
             np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
         )
-        size = max(ranks.values()) + 1
-        self.lengths = np.zeros(size, dtype=np.int64)
-        for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        flat = [b""] * size
-        for token, rank in ranks.items():
-            flat[rank] = token
-        self.flat = np.frombuffer(b"".join(flat), dtype=np.uint8)
-        self.cache, self.words = parts.Cache(CACHED), parts.Cache(CACHED)
+
+    @classmethod
+    def of_file(cls, content: bytes) -> Merger | None:
+        """From a byte-level BPE file of ``tokenizers``; None if its ids aren't in the order of its merges."""
+        model = json.loads(content)["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        # Byte-level files spell bytes as printable characters: those that are stay, others follow from 256.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [x for x in range(256) if x not in set(plain)]
+        spelled = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        ids = [vocab.get(a + b, -1) for a, b in merges]
+        letters = [spelled[x] for x in range(256)]
+        if ids != sorted(ids) or not ids or not all(x in vocab and x + end in vocab for x in letters) or min(ids) < 256:
+            return None
+        pairs = {vocab[a] << 32 | vocab[b]: i for (a, b), i in zip(merges, ids, strict=True)}
+        return cls(pairs, [vocab[x] for x in letters], [vocab[x + end] for x in letters])
 
     # Words to ids
 
@@ -118,7 +126,9 @@ class ByteBPE:
     def _matrix(self, words, lengths, width, rows, out) -> None:
         inside = np.arange(width) < lengths[:, None]
         ids = np.full((len(words), width), -1, dtype=np.int32)
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        joined = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ids[inside] = self.byte_ids[joined]
+        ids[np.arange(len(words)), lengths - 1] = self.last_ids[joined[np.cumsum(lengths) - 1]]
         lengths = lengths.copy()
         ranks = np.full((len(words), width), NONE, dtype=np.int32)  # of the pair that begins here
         both = inside[:, 1:]
@@ -130,9 +140,10 @@ class ByteBPE:
             best = ranks[every, at]
             done = best == NONE
             if done.any():
-                flat, row = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
-                for i, (to, n) in enumerate(zip(rows[done].tolist(), lengths[done].tolist(), strict=True)):
-                    out[to] = flat[i * row : i * row + 4 * n]
+                flat, item = ids[done].astype(self.kind).tobytes(), self.kind.itemsize
+                starts = range(0, len(flat), item * ids.shape[1])
+                for start, to, n in zip(starts, rows[done].tolist(), (item * lengths[done]).tolist(), strict=True):
+                    out[to] = flat[start : start + n]
                 go = ~done
                 ids, ranks, lengths, rows, at, best = ids[go], ranks[go], lengths[go], rows[go], at[go], best[go]
                 if not len(rows):
@@ -159,35 +170,53 @@ class ByteBPE:
     def _long(self, word: bytes) -> bytes:
         """The same merges for one very long word, with a heap over a linked list."""
         ids = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-        tokens = [word[i : i + 1] for i in range(len(word))]
+        ids[-1] = int(self.last_ids[word[-1]])
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
 
-        def offer(i: int) -> None:
+        def offer(i: int) -> list[tuple[int, int, int, int]]:
             j = after[i]
-            if j < n and (rank := self.ranks.get(tokens[i] + tokens[j])) is not None:
-                heap.append((rank, i, len(tokens[i]), len(tokens[j]))) if not ready else heapq.heappush(
-                    heap, (rank, i, len(tokens[i]), len(tokens[j]))
-                )
-
-        ready = False
-        for i in range(n - 1):
-            offer(i)
+            rank = self.pairs.get(ids[i] << 32 | ids[j]) if j < n else None
+            return [] if rank is None else [(rank, i, ids[i], ids[j])]
+
+        heap = [x for i in range(n - 1) for x in offer(i)]
         heapq.heapify(heap)
-        ready = True
         while heap:
             rank, i, one, two = heapq.heappop(heap)
-            if len(tokens[i]) != one or (j := after[i]) >= n or len(tokens[j]) != two:
-                continue
-            ids[i], tokens[i], tokens[j] = rank, tokens[i] + tokens[j], b""
-            after[i] = after[j]
+            if ids[i] != one or (j := after[i]) >= n or ids[j] != two:
+                continue  # one of the two has merged meanwhile
+            ids[i], ids[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([ids[i] for i in range(n) if tokens[i]], dtype="<u4").tobytes()
+            for k in (before[i], i):
+                if k >= 0:
+                    for x in offer(k):
+                        heapq.heappush(heap, x)
+        return np.array([x for x in ids if x >= 0], dtype=self.kind).tobytes()
+
+
+class ByteBPE(Merger):
+    """Encoder and decoder for a rank file, in which ids are ranks."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.pattern = regex.compile(pattern)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        super().__init__(pairs, [ranks[bytes([b])] for b in range(256)])
+        size = max(ranks.values()) + 1
+        self.lengths = np.zeros(size, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        flat = [b""] * size
+        for token, rank in ranks.items():
+            flat[rank] = token
+        self.flat = np.frombuffer(b"".join(flat), dtype=np.uint8)
+        self.cache, self.words = parts.Cache(CACHED), parts.Cache(CACHED)
 
     # Texts to ids
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm import parts
+from driftline.llm.bpe import Merger
 from driftline.session import cut_lineage
 
 SEQUENCE = 4096
@@ -33,7 +34,7 @@ LEAST = 64
 FRACTION = 16
 #: Ranges of the shared lane that are ordered apart.
 RANGES = 4096
-CACHED = 500_000
+CACHED = 700_000
 PIECES = 40_000
 
 
@@ -53,6 +54,12 @@ class Coder:
         whole, cut = "It's a Test,  of 12 'words' né.\n", ["it's", "a", "test", ",", "of", "12", "'words'", "né", "."]
         if self._ids([whole])[0] != b"".join(self._ids(cut)):
             raise ValueError("this tokenizer keeps white space or case, or joins letters and marks")
+        self.merger = Merger.of_file(content)
+        probes = ["of", "internationalization", "née", "straße", "x"]
+        if self.merger is not None:
+            self.merger.kind = self.kind
+            self.merger = self.merger if self._words(probes) == self._ids(probes) else None
+        self.marks = dict(zip(("", ",", "."), self._ids(["", ",", "."]), strict=True))
         self.cache, self.words = parts.Cache(CACHED), parts.Cache(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -60,12 +67,20 @@ class Coder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small letters, which merge in matrices."""
+        if self.merger is None:
+            return self._ids(words)
+        return self.merger.encode_words([w.encode() for w in words])
+
     def _values(self, keys: list[str]) -> list[bytes]:
-        """Ids of parts; letters are looked up without the case and the mark that follow from them."""
-        cut = [(m[1].lower(), m[2]) if (m := parts.PLAIN(k)) else (k, "") for k in keys]
-        self.words.learn(chain([",", ".", ""], (w for w, _ in cut)), self._ids)
-        get = self.words.__getitem__
-        return [get(w) + get(mark) if mark else get(w) for w, mark in cut]
+        """Ids of parts; words are looked up without the case and the mark that follow from them."""
+        cut = [m.groups() if (m := parts.PLAIN(k)) else None for k in keys]
+        lower = [None if c is None else c[0].lower() for c in cut]
+        self.words.learn((w for w in lower if w is not None), self._words)
+        others = iter(self._ids([k for k, c in zip(keys, cut, strict=True) if c is None]))
+        get, marks = self.words.__getitem__, self.marks
+        return [next(others) if c is None else get(w) + marks[c[1]] for c, w in zip(cut, lower, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         keys = [t.replace("\n", " ").split(" ") for t in texts]
@@ -138,7 +153,8 @@ class Lanes:
     @classmethod
     def of(cls, tokens: list[int], weights: list[float]) -> Lanes:
         total = sum(weights) or 1.0
-        earns = [max(1, round(SEQUENCE * w / total * (1 << FRACTION))) for w in weights]
+        # A lane without a weight earns a token a round, so that it ends as well.
+        earns = [round(max(1.0, SEQUENCE * w / total) * (1 << FRACTION)) for w in weights]
         shifts = [0] * (len(tokens) - 1) + [LEAST.bit_length() - 1]
         return cls(*(np.array(x, dtype=np.int64) for x in (tokens, earns, shifts)))
 

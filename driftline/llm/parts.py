@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterable
 
 # Characters that some engine counts as white space although ``str.isspace`` doesn't.
 ODD_SPACES = frozenset("᠎​﻿")
-#: Parts of letters with at most a mark at the end; all these letters are in category L.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.]?)").fullmatch
+#: Parts of letters with at most a mark at the end; all these letters are in category L, and stay so in lower case.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.]?)").fullmatch
 
 
 def cut(text: str) -> list[str]:
