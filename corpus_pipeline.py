@@ -26,14 +26,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id.
+    """One row of each near-duplicate group: the one with the smallest doc_id, or any if none has one.
 
-    Rows that repeat a doc_id are one document. Rows without one can't stand for a group; they stay.
+    Rows are linked by their texts alone, under a key of their own: rows that repeat a doc_id stay if
+    their texts are not linked, and copies without a doc_id go like others.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = minhash.link(named).where("kept").select("doc_id").distinct()
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    key = "__key"
+    keyed = suffix.written(docs.withColumn(key, F.monotonically_increasing_id()), "near-keyed")
+    linked = minhash.link(keyed, key).select(F.col("doc_id").alias(key), "component_id")
+    first = keyed.select(key, "doc_id").join(linked, key).groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)
+    )
+    return keyed.join(first.select(key), key, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

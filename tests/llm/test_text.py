@@ -159,3 +159,24 @@ def test_stages_keep_the_columns_they_are_given(spark, documents):
     more = documents.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit(1))
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, more, "").columns == more.columns
+
+
+def test_pipeline_keeps_one_copy_whatever_the_ids(spark):
+    import random
+
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("aeinrstdl", k=rnd.randint(3, 7))) for _ in range(900)]
+    first, second, third, fourth = (" ".join(rnd.sample(vocabulary, 150)) + "." for _ in range(4))
+    rows = [(None, first), (4, first), (None, first), (None, second), (None, second), (6, third), (6, fourth), (6, third)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    expected = sorted([(4, first), (None, second), (6, third), (6, fourth)], key=str)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        if name != "quality rules":
+            assert sorted([(r.doc_id, r.text) for r in docs.collect()], key=str) == expected
+    packed = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sorted({str(r.doc_id) for r in packed}) == ["4", "6", "None"]
+    assert sum(r.length for r in packed if r.start == 0) > 0 and sum(r.start == 0 for r in packed) == 4
