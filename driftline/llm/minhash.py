@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class. The signatures of the classes a
 slot orders; classes that stand together and share a prefix are candidates. A region of classes with
 a common prefix that is small gives all its pairs; a larger one gives its neighbours, and goes one
 slot deeper, until its parts are small. Candidates whose signatures agree enough are confirmed on
-the full sets, and links are followed to components.
+the full sets, and links are followed to components. Classes of larger regions that are then still
+apart meet by the rarest shingles of their sets, one of which linked ones must share.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one range of sorted rows."""
+    """Candidate pairs of one range of sorted rows; a pair of a class and itself marks one of a large region."""
     tables = [pa.Table.from_batches([b]) for b in batches]
     if not tables:
         return
@@ -107,6 +108,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = _runs(o, k)
     sizes = np.bincount(run)
     tails = np.stack([t0, t1, t2], axis=1).view(np.uint16)
+    # A region may go on in the neighbouring range.
+    crowded = np.unique(node[(sizes[run] > SMALL) | (run == 0) | (run == run[-1])])
+    yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.array(crowded)], ["a", "b"])
     active = np.flatnonzero(sizes[run] > 1)
     run, node, tails = run[active], node[active], tails[active]
     deeper = np.stack([t0, t1, t2], axis=1)[active].byteswap().view(np.uint16).reshape(-1, TAIL)
@@ -139,7 +143,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame, n_classes: int) -> DataFrame:
-    """Distinct pairs of classes that stand together in some order."""
+    """Distinct pairs of classes that stand together in some order, and marks of those in large regions."""
     tasks = max(
         int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_classes * ORDERS // ROWS)
     )
@@ -197,15 +201,16 @@ def _sets(documents: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> Dat
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sets = [shingles(t.as_py(), WORDS) for t in part.column(1)]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 names = [
-                    unnamed(xxhash.xxh3_128_digest(s.tobytes())) if i is None else i
-                    for i, s in zip(part.column(0).to_pylist(), sets, strict=True)
+                    unnamed(d) if i is None else i for i, d in zip(part.column(0).to_pylist(), digests, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"]
+                    [pa.array(names, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "set"],
                 )
 
-    return wanted.select("node", "text").mapInArrow(run, "node long, set binary")
+    return wanted.select("node", "text").mapInArrow(run, "node long, digest binary, set binary")
 
 
 #: Classes without any doc_id get numbers below this one.
@@ -302,6 +307,142 @@ def _to_centres(pairs: DataFrame, near: DataFrame, known: DataFrame) -> DataFram
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+#: Buckets in which shingles are counted; any counts give a right order, true ones a fast one.
+BUCKET_BITS = 20
+#: Classes with one shingle that are compared in one cell.
+CELL = 4096
+SALTS = 16
+
+
+def _crowd(sets: DataFrame, marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sets of the classes that stood in large regions, with their sizes."""
+    own = classes.select("node", "digest", "n")
+    return cut_lineage(sets.join(marked, "node", "left_semi").join(own, ["node", "digest"]), "minhash-crowd")
+
+
+def _bucket_counts(crowd: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(counts, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - BUCKET_BITS), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], ["bucket", "many"])
+
+    found = crowd.select("set").mapInArrow(run, "bucket long, many long").groupBy("bucket").agg(F.sum("many").alias("many"))
+    table = found.toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[table["bucket"].to_numpy()] = table["many"].to_numpy()
+    return counts
+
+
+def _prefixes(crowd: DataFrame) -> DataFrame:
+    """The rarest shingles of each class, one of which it shares with every class it is linked to."""
+    counts = _bucket_counts(crowd)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = []
+            for s in batch.column(2):
+                own = np.frombuffer(s.as_py(), np.uint64)
+                order = np.lexsort((own, counts[own >> np.uint64(64 - BUCKET_BITS)]))
+                tokens.append(own[order[: len(own) + (-3 * len(own) // 4) + 1]])
+            at = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
+                     pa.array(np.concatenate(tokens).view(np.int64))], ["node", "digest", "token"],
+                )
+
+    rows = crowd.select("node", "digest", "set").mapInArrow(run, "node long, digest binary, token long")
+    return cut_lineage(rows, "minhash-prefixes")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose sizes and signatures allow a link, of rows sorted by cell."""
+    names = ["a", "b", "agree"]
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, block, node, component, n = (np.asarray(rows[c].combine_chunks()) for c in
+                                           ("i", "j", "block", "node", "component", "n"))
+        if (component == component[0]).all():
+            return
+        slots = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
+        # All pairs of two components have a member outside of the most common one.
+        kinds, kind, many = np.unique(component, return_inverse=True, return_counts=True)
+        most = many.argmax()
+        for r in np.flatnonzero(kind != most):
+            good = (component != component[r]) & (4 * np.minimum(n, n[r]) >= 3 * np.maximum(n, n[r]))
+            good &= (kind == most) | (np.arange(len(n)) > r)
+            if i[0] != j[0]:
+                good &= block != block[r]
+            others = np.flatnonzero(good)
+            for start in range(0, len(others), 10_000):
+                part = others[start : start + 10_000]
+                agree = (slots[part] == slots[r]).sum(axis=1)
+                part, agree = part[agree >= AGREES], agree[agree >= AGREES]
+                if len(part):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(node[part], node[r])), pa.array(np.maximum(node[part], node[r])),
+                         pa.array(agree, pa.int32())], names,
+                    )
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = _runs(*(np.asarray(batch.column(c)) for c in ("token", "i", "j")))
+        edges = [*np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist(), batch.num_rows]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(start, stop - start)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("token", "i", "j")):
+                yield from compared(pa.Table.from_batches(held))
+                held = []
+            held.append(part)
+    if held:
+        yield from compared(pa.Table.from_batches(held))
+
+
+def _across(prefixes: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """All pairs of classes in large regions that may be linked and are in different components.
+
+    Classes meet by the shingles of their prefixes. A shingle whose classes are in one component is
+    done with; one of many classes is spread over cells, and its rows over salts until then.
+    """
+    rows = prefixes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = cut_lineage(rows, "minhash-tokens")
+    live = rows.groupBy("token").agg(
+        F.count("*").alias("many"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).where("least != most")
+    live = live.select("token", F.ceil(F.col("many") / CELL).cast("int").alias("blocks")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node", "digest"), F.lit(SALTS)).cast("int"))
+    met = salted.join(live, ["token", "salt"]).withColumn(
+        "block", F.pmod(F.xxhash64("digest", "node"), F.col("blocks")).cast("int")
+    )
+    spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+        "node", "digest", "component",
+    )
+    full = spread.join(classes.select("node", "digest", "n", "signature"), ["node", "digest"]).drop("digest")
+    columns = ["token", "i", "j", "block", "node", "component", "n", "signature"]
+    cells = full.select(columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return cells.mapInArrow(_cells, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _bridges(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the pairs of each class and another component, the one of best agreement."""
+    apart = _apart(pairs, known)
+    sides = apart.select("a", "b", "agree", "b_in").union(apart.select("b", "a", "agree", "a_in"))
+    best = sides.toDF("node", "other", "agree", "into").groupBy("node", "into").agg(
+        F.max_by("other", F.struct("agree", -F.col("other"))).alias("other")
+    )
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def link(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -316,8 +457,8 @@ def link(
     columns are left out.
 
     Links are exact; candidates come from ``ORDERS`` signature orders, which miss a pair at the
-    threshold in a small region less than once in 100,000 times. In regions of thousands, pairs at
-    the threshold are found through neighbours and through the middle of the group.
+    threshold in small regions less than once in 100,000 times. Classes that stood in a larger region
+    are joined by their rarest shingles with all such classes of other components.
     """
     signed = cut_lineage(_signed(documents, doc_id, text), "minhash-signed")
     low = F.conv(F.substring(F.hex("digest"), 1, 14), 16, 10).cast("long")
@@ -327,16 +468,22 @@ def link(
         .withColumn("node", F.coalesce("least", F.lit(UNNAMED - 1) - low)).drop("least"),
         "minhash-classes",
     )
-    pairs = cut_lineage(_agreeing(candidates(classes, n_classes), classes), "minhash-pairs")
-    sets = cut_lineage(_sets(documents, pairs, doc_id, text), "minhash-sets")
+    met = cut_lineage(_agreeing(candidates(classes, n_classes), classes), "minhash-pairs")
+    pairs, marked = met.where("a != b"), met.where("a = b").select(F.col("a").alias("node")).distinct()
+    sets = cut_lineage(_sets(documents, met, doc_id, text), "minhash-sets")
     # First each class's best pairs; then what those links haven't yet brought together.
     first = cut_lineage(_confirmed(_best(pairs), sets), "minhash-links")
     rest = cut_lineage(_apart(pairs, components(first)).drop("a_in", "b_in"), "minhash-rest")
     links = first.union(cut_lineage(_confirmed(rest, sets), "minhash-links"))
     found = components(links)
     near = cut_lineage(_apart(rest, found), "minhash-near")
-    third = _confirmed(_to_centres(pairs, near, found), sets)
-    found = components(links.union(third))
+    links = links.union(cut_lineage(_confirmed(_to_centres(pairs, near, found), sets), "minhash-links"))
+    found = components(links)
+    # Classes of large regions may have missed each other: all their pairs that are still apart.
+    across = cut_lineage(_across(_prefixes(_crowd(sets, marked, classes)), classes, found), "minhash-across")
+    links = links.union(cut_lineage(_confirmed(_bridges(across, found), sets), "minhash-links"))
+    left = cut_lineage(_apart(across, components(links)), "minhash-left")
+    found = components(links.union(_confirmed(left, sets)))
     named = classes.select("digest", "n", "node").join(found, "node", "left").select(
         "digest", "n", F.coalesce("component", "node").alias("component")
     )

@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and exact search against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -85,6 +86,55 @@ def test_components_of_rows_without_ids(spark):
     assert minhash.link(given.where("false")).count() == 0
 
 
+def edited(base, places, rnd):
+    copy = list(base)
+    for i in places:
+        copy[i] = f"e{rnd.random()}"
+    return copy
+
+
+def light_and_heavy(rnd, base):
+    """A text, copies with one edit, and copies with four that are linked to that text alone."""
+    heavy = rnd.sample(list(itertools.combinations(range(70, 145, 5), 4)), 40)
+    return [base] + [edited(base, [rnd.randrange(4, 61)], rnd) for _ in range(300)] + [edited(base, h, rnd) for h in heavy]
+
+
+def several_hubs(rnd, base):
+    """Texts that are linked to each other, each with copies that are linked to that one alone."""
+    hubs = [edited(base, [i], rnd) for i in range(5, 65, 5)]
+    far = rnd.sample(list(itertools.combinations(range(70, 145, 5), 4)), 25 * len(hubs))
+    return hubs + [edited(hubs[i % len(hubs)], h, rnd) for i, h in enumerate(far)]
+
+
+@pytest.mark.parametrize("group", [light_and_heavy, several_hubs])
+def test_crowds_are_linked_whole(spark, group):
+    rnd = random.Random(4)
+    texts = [" ".join(t) for t in group(rnd, [f"w{i}" for i in range(150)])]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    expected = linked_components(rows)
+    assert {component for _, component in expected.values()} == {0}
+    found = minhash.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
+def test_cells_of_a_hot_shingle_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 16)
+    rnd = random.Random(6)
+    texts = [" ".join(t) for t in light_and_heavy(rnd, [f"w{i}" for i in range(150)])[260:]]
+    rows = list(enumerate(texts)) + [(1000, texts[0] + " one more")]
+    sets = {i: shingle_set(t) for i, t in rows}
+    expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = minhash._signed(given, "doc_id", "text").withColumnRenamed("doc_id", "node").cache()
+    every = spark.createDataFrame([(i, i) for i, _ in rows], "a long, b long")
+    full = minhash._sets(given, every, "doc_id", "text").cache()
+    prefixes = minhash._prefixes(minhash._crowd(full, every.select(F.col("a").alias("node")), classes))
+    known = spark.createDataFrame([], "node long, component long")
+    across = minhash._across(prefixes, classes, known)
+    assert {(r.a, r.b) for r in minhash._confirmed(across, full).collect()} == expected
+
+
 def test_stars_follow_long_chains(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     two = chain.union(spark.range(100, 110).select(F.col("id"), F.lit(99).cast("long")))
