@@ -183,7 +183,7 @@ FILTER_BITS = 1 << 22
 
 
 def _sets(documents: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Full sets of the documents that stand for the classes in ``pairs``."""
+    """Full sets of the documents that stand for the classes in ``pairs``, each set of a doc_id once."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(bit("node").alias("bit"))
     # At most FILTER_BITS / 64 rows, whatever the number of documents.
@@ -210,7 +210,8 @@ def _sets(documents: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> Dat
                      pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "set"],
                 )
 
-    return wanted.select("node", "text").mapInArrow(run, "node long, digest binary, set binary")
+    found = wanted.select("node", "text").mapInArrow(run, "node long, digest binary, set binary")
+    return found.dropDuplicates(["node", "digest"])
 
 
 #: Classes without any doc_id get numbers below this one.

@@ -135,6 +135,15 @@ def test_cells_of_a_hot_shingle_give_all_pairs(spark, monkeypatch):
     assert {(r.a, r.b) for r in minhash._confirmed(across, full).collect()} == expected
 
 
+def test_repeated_rows_give_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text)] * 50 + [(3, "another")] * 20 + [(None, text)] * 30 + [(8, text + " more")]
+    pairs = spark.createDataFrame([(3, 8)], "a long, b long")
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = minhash._sets(given, pairs, "doc_id", "text").groupBy("node").count().collect()
+    assert sorted(r["count"] for r in found) == [1, 1, 2]
+
+
 def test_stars_follow_long_chains(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     two = chain.union(spark.range(100, 110).select(F.col("id"), F.lit(99).cast("long")))
