@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, html, licenses, minhash, packing, quality, suffix, token_counts, topk
+from driftline.llm import (
+    bpe, centroids, chat, html, licenses, minhash, novelty, packing, quality, suffix, token_counts, topk, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +201,57 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all documents lose to strings of 400 bytes that occur elsewhere."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op11_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by novelty in every document."""
+    found = novelty.scan(table(spark, sf_dir, "documents"))
+
+    def written(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != novelty.NOVEL)
+    return found.withColumns({
+        "base_sha256": F.sha2(written(base).cast("binary"), 256), "spans": written(F.col("spans")),
+    })
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on 16 whitened components, with the fit's exact and floating checks."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def _cluster_rounds(rounds: int) -> str:
+    return "".join(f""",
+a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), 'k': k}}) AS m
+  FROM v, c{i} GROUP BY r),
+c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(moved, c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(f ORDER BY place) AS moved FROM (
+      SELECT m.k AS k, place, floor(sum(e) / count(*)) AS f
+      FROM (SELECT r, m, unnest(x) AS e, generate_subscripts(x, 1) AS place FROM a{i} JOIN v USING (r)) GROUP BY ALL)
+    GROUP BY k) USING (k))""" for i in range(rounds))
+
+
+@query("""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * e::DOUBLE) for e in embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x AS c
+  FROM (SELECT x, sha256('3:' || vec_id) AS h FROM v) ORDER BY h NULLS LAST, x LIMIT 8)""" + _cluster_rounds(10) + """,
+last AS (
+  SELECT r, min({'d': list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), 'k': k}) AS m
+  FROM v, c10 GROUP BY r)
+SELECT vec_id, m.k::INT AS cluster, m.d::BIGINT AS distance,
+  (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string([e::BIGINT for e in c], ',')) AS centroid_sha256
+FROM last JOIN v USING (r) JOIN c10 ON c10.k = last.m.k
+""")
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten rounds."""
+    return centroids.with_digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
