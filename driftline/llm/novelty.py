@@ -107,7 +107,7 @@ def spans_of(
 
 
 def scan(
-    docs: DataFrame, least: float = 0.6, reach: int = 64, around: int = 256,
+    docs: DataFrame, least: float = 0.78, reach: int = 64, around: int = 128,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Secrets of every row: ``doc_id, n_assign, n_access, n_hex, spans``.

@@ -112,7 +112,7 @@ def rate(make, rnd):
     zstd, hits = novelty.compressor(), 0
     for _ in range(200):
         code = f"def connect(host, port):\n    session.auth_header = Client(host).login('{make(rnd)}')\n    return session\n"
-        hits += any(s[0] == "novel" for s in novelty.spans_of(zstd, code, 0.6, 64, 256))
+        hits += any(s[0] == "novel" for s in novelty.spans_of(zstd, code, 0.78, 64, 128))
     return hits / 200
 
 
@@ -134,4 +134,4 @@ def test_context_explains_what_it_repeats():
 def test_novel_strings_need_a_sensitive_line():
     zstd, key = novelty.compressor(), "q7Zp2mVx9Kd4Ty8Rw3Ls6Bn1"
     for text, hits in ((f"auth: {key}", 1), (f"colour: {key}", 0), (f"auth:\n{key}", 0), (f"token = {key}", 0)):
-        assert sum(s[0] == "novel" for s in novelty.spans_of(zstd, text, 0.6, 64, 256)) == hits
+        assert sum(s[0] == "novel" for s in novelty.spans_of(zstd, text, 0.78, 64, 128)) == hits
