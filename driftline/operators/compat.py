@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import api_of, extract_cols, interface_of, known_positions
+from driftline.operators.ranks import ranked
 from driftline.operators.signature import WORD, ReleaseIndex, ships
 
 
@@ -102,8 +103,8 @@ def filtered_and_total(table: DataFrame, predicate: Column) -> DataFrame:
 
 
 def page(table: DataFrame, order: Sequence[str], skip: int, size: int = 40) -> DataFrame:
-    """A window of rows in the given order."""
-    return table.orderBy(*order).offset(skip).limit(size)
+    """A window of rows in the given order; for many pages keep what ``ranks.ranked`` gives."""
+    return ranked(table, *order).page(skip, size)
 
 
 def observed_support(apis: DataFrame, junction: DataFrame) -> DataFrame:

@@ -1,90 +1,151 @@
 """Relational division: for each measure, the APIs shipped in all of one set of
 releases, in none of another and, optionally, in any of a third.
 
-A measures table has its own key columns plus three arrays of release keys: ``all_of``,
-``none_of`` and ``any_of`` (null = no such condition). There is one plan for any number of
-releases. Releases are numbered by age; the junction is folded once to 64-bit words, kept by
-word number for each API, so that an API only holds words of releases that ship it. A
-measure is looked up by one release it requires, an equality join, so that an API only meets
-measures it has a chance to satisfy; words decide the rest. Measures that require nothing
-hold for nearly every API, so they are counted by subtraction.
+A measure has key columns of its own and asks for releases on three sides, ``all_of``,
+``none_of`` and ``any_of``, as arrays or as long rows (``ROLES``). There is one plan for any
+number of releases.
+
+APIs that ship in the same releases are one class with a weight. Classes are numbered, and
+each release has a bitmap over them, kept in blocks of 64 classes. A measure meets the blocks
+of the releases it names, an equality join, and ANDs and ORs their words: what is formed grows
+with measures and blocks of classes, never with the junction. Counts are popcounts weighted by
+bit planes of the classes' weights; lists expand the classes that match. Blocks are spread
+over salts, so that a release that every measure names is no hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.signature import RELEASE_ORDER, WORD, bit, with_release_key
+from driftline.operators.signature import WORD, bit, with_release_key
 from driftline.session import cut_lineage
 
-SIDES = ("all_of", "none_of", "any_of")
-# Anchor of measures that require no release.
-ANYWHERE = -1
+ALL, NONE, ANY = SIDES = ("all_of", "none_of", "any_of")
+#: Position of the release that every API ships in; measures that require nothing ask for it.
+EVERYWHERE = -1
+SALTS = 16
+SHIFT = WORD.bit_length() - 1
 
 
-def numbered(releases: DataFrame) -> DataFrame:
-    """``release_key, pos``: releases by age, each once, however often they are listed."""
-    once = with_release_key(releases).groupBy("release_key").agg(
-        F.min(F.struct(*RELEASE_ORDER)).alias("order"))
-    return once.select(
-        "release_key", (F.row_number().over(Window.orderBy("order")) - 1).cast("int").alias("pos"))
+class Classes(NamedTuple):
+    """``places`` (release_key, pos), ``classes`` (class_id, digest, words, weight), ``signed`` (interface_key, digest)."""
 
+    places: DataFrame
+    classes: DataFrame
+    signed: DataFrame
 
-def _words(placed: DataFrame, *keys: str) -> DataFrame:
-    """``word, bits`` by ``keys``, folded before the shuffle."""
-    word = F.shiftright("pos", WORD.bit_length() - 1).alias("word")
-    return placed.groupBy(*keys, word).agg(F.bit_or(bit(F.col("pos"))).alias("bits"))
 
+def _bits(*keys: str | Column, at: str) -> tuple[list[Column], Column]:
+    """Grouping keys and the aggregate that fold numbers into 64-bit words."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return [*columns, F.shiftright(at, SHIFT).alias("word")], F.bit_or(bit(F.col(at))).alias("bits")
 
-def support_words(junction: DataFrame, places: DataFrame) -> DataFrame:
-    """``interface_key`` and a map from word number to bits, for APIs that ship anywhere."""
-    words = _words(junction.join(places, "release_key").select("interface_key", "pos"), "interface_key")
-    return words.groupBy("interface_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
+def signature_classes(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> Classes:
+    """The dictionary of distinct support sets, in one fold of the junction.
 
-def _required(measures: DataFrame, keys: Sequence[str], places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each measure's bits by word for its three sets, and the anchors it is looked up by.
-
-    The anchor is the oldest release in ``all_of``, as older releases ship fewer APIs; without
-    one, a measure is looked up by every release in ``any_of``, else ``ANYWHERE``.
+    Facts of releases or APIs that are not listed don't count; listed APIs that ship nowhere are a
+    class too. Releases are numbered as they are written: any numbers will do.
     """
-    parts = [
-        measures.select(*keys, F.lit(side).alias("side"), F.explode(side).alias("release_key"))
-        for side in SIDES
-    ]
-    placed = reduce(DataFrame.unionByName, parts).join(places, "release_key").select(*keys, "side", "pos")
-    entry = F.struct("word", "bits")
-    tests = _words(placed, *keys, "side").groupBy(*keys).agg(*[
-        F.collect_list(F.when(F.col("side") == side, entry)).alias(side) for side in SIDES])
-    needs = measures.select(*keys, F.col("any_of").isNotNull().alias("needs_some"))
-    wanted = needs.join(tests, [*keys], "left")
-    oldest = placed.where("side = 'all_of'").groupBy(*keys).agg(F.min("pos").alias("anchor"))
-    some = placed.where("side = 'any_of'").select(*keys, F.col("pos").alias("some")).distinct()
-    anchors = (
-        needs.join(oldest, [*keys], "left").join(some, [*keys], "left")
-        .select(*keys, F.coalesce(
-            "anchor", F.when(F.col("needs_some"), F.col("some")).otherwise(F.lit(ANYWHERE))).alias("anchor"))
-        .where("anchor IS NOT NULL").distinct()
+    places = cut_lineage(
+        with_release_key(releases).select("release_key").distinct().withColumn("pos", F.monotonically_increasing_id()),
+        "releases",
+    )
+    keys, bits = _bits("interface_key", at="pos")
+    words = junction.join(places, "release_key").groupBy(*keys).agg(bits).groupBy("interface_key").agg(
+        F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    listed = apis.select("interface_key").distinct().join(words, "interface_key", "left")
+    whole = F.coalesce("words", F.array().cast("array<struct<word:bigint,bits:bigint>>"))
+    signed = listed.select("interface_key", whole.alias("words")).withColumn(
+        "digest", F.sha2(F.to_json(F.struct("words")).cast("binary"), 256))
+    # Words travel once for each class; an API only keeps its digest.
+    classes = signed.groupBy("digest").agg(F.first("words").alias("words"), F.count("*").alias("weight"))
+    numbered = classes.withColumn("class_id", F.monotonically_increasing_id())
+    return Classes(places, cut_lineage(numbered, "classes"), signed.select("interface_key", "digest"))
+
+
+def _bitmaps(classes: DataFrame) -> DataFrame:
+    """``pos, block, bits``: which classes of a block ship in a release; every class ships ``EVERYWHERE``."""
+    inside = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("one.bits", i) == 1)
+    shipped = classes.select("class_id", F.explode("words").alias("one")).select(
+        "class_id", (F.col("one.word") * WORD).alias("base"), F.explode(inside).alias("at")
+    ).select("class_id", (F.col("base") + F.col("at")).alias("pos"))
+    every = shipped.unionByName(classes.select("class_id", F.lit(EVERYWHERE).cast("bigint").alias("pos")))
+    keys, bits = _bits("pos", at="class_id")
+    return every.groupBy(*keys).agg(bits).withColumnRenamed("word", "block")
+
+
+def _weights(classes: DataFrame) -> DataFrame:
+    """For each block, bit planes of its classes' weights."""
+    ones = F.filter(F.sequence(F.lit(0), F.lit(WORD - 2)), lambda i: F.getbit("weight", i) == 1)
+    keys, bits = _bits("plane", at="class_id")
+    planes = classes.select("class_id", F.explode(ones).alias("plane")).groupBy(*keys).agg(bits)
+    return planes.groupBy(F.col("word").alias("block")).agg(  # at most 63 planes
+        F.collect_list(F.struct("plane", "bits")).alias("planes"))
+
+
+def long_roles(measures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, side, release_key)`` of measures whose sides are arrays of release keys."""
+    return reduce(DataFrame.unionByName, [
+        measures.select(*keys, F.lit(side).alias("side"), F.explode(side).alias("release_key")) for side in SIDES])
+
+
+def headers(measures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, needs_some)``: whether one of ``any_of`` must ship."""
+    return measures.select(*keys, F.col(ANY).isNotNull().alias("needs_some"))
+
+
+def _hits(header: DataFrame, roles: DataFrame, keys: list[str], known: Classes) -> DataFrame:
+    """``(*keys, block, hit)``: the classes of a block that meet a measure, where there are any."""
+    placed = roles.join(known.places, "release_key").select(*keys, "side", "pos").distinct()
+    sizes = placed.groupBy(*keys).agg(F.count_if(F.col("side") == ALL).alias("n_all"))
+    wanted = header.join(sizes, keys, "left").withColumn("n_all", F.coalesce("n_all", F.lit(0)))
+    free = wanted.where("n_all = 0 AND NOT needs_some").select(
+        *keys, F.lit(ALL).alias("side"), F.lit(EVERYWHERE).cast("bigint").alias("pos"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = placed.unionByName(free).withColumn("salt", salt)
+    bitmaps = _bitmaps(known.classes).withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int"))
+    side, bits = F.col("side"), F.col("bits")
+    met = asked.join(bitmaps, ["pos", "salt"]).groupBy(*keys, "block").agg(
+        F.count_if(side == ALL).alias("got_all"),
+        *[fold(F.when(side == s, bits)).alias(s) for s, fold in ((ALL, F.bit_and), (NONE, F.bit_or), (ANY, F.bit_or))],
     )
-    return wanted, anchors
+    required = F.when(F.col("n_all") > 0, F.when(F.col("got_all") == F.col("n_all"), F.col(ALL)).otherwise(F.lit(0))
+                      ).when(F.col("needs_some"), F.lit(-1)).otherwise(F.col(ALL))
+    some = F.when(F.col("needs_some"), F.coalesce(ANY, F.lit(0))).otherwise(F.lit(-1))
+    hit = required.bitwiseAND(some).bitwiseAND(F.bitwise_not(F.coalesce(F.col(NONE), F.lit(0).cast("bigint"))))
+    return met.join(wanted, keys).select(*keys, "block", F.coalesce(hit, F.lit(0)).alias("hit")).where("hit != 0")
 
 
-def _holds() -> Column:
-    """Whether an API's words meet a measure."""
-    def bits(entry: Column) -> Column:
-        held = F.coalesce(F.element_at("words", entry["word"]), F.lit(0).cast("bigint"))
-        return held.bitwiseAND(entry["bits"])
+def matching(
+    header: DataFrame, roles: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame,
+) -> DataFrame:
+    """Like ``matches``, for measures given as headers and long roles."""
+    keys = list(keys)
+    known = signature_classes(releases, apis, junction)
+    inside = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("hit", i) == 1)
+    found = _hits(header, roles, keys, known).select(*keys, (F.col("block") * WORD).alias("base"), F.explode(inside).alias("at"))
+    classes = found.select(*keys, (F.col("base") + F.col("at")).alias("class_id")).join(
+        known.classes.select("class_id", "digest"), "class_id")
+    return classes.join(known.signed, "digest").select(*keys, "interface_key")
+
 
-    return (
-        F.coalesce(F.forall("all_of", lambda e: bits(e) == e["bits"]), F.lit(True))
-        & F.coalesce(F.forall("none_of", lambda e: bits(e) == 0), F.lit(True))
-        & (~F.col("needs_some") | F.coalesce(F.exists("any_of", lambda e: bits(e) != 0), F.lit(False)))
-    )
+def counted(
+    header: DataFrame, roles: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame,
+) -> DataFrame:
+    """Like ``counts``, for measures given as headers and long roles."""
+    keys = list(keys)
+    known = signature_classes(releases, apis, junction)
+    weighed = F.aggregate(
+        "planes", F.lit(0).cast("bigint"), lambda total, p: total + F.call_function(
+            "shiftleft", F.bit_count(p["bits"].bitwiseAND(F.col("hit"))).cast("bigint"), p["plane"]))
+    found = _hits(header, roles, keys, known).join(_weights(known.classes), "block")
+    return found.groupBy(*keys).agg(F.sum(weighed).alias("value"))
 
 
 def matches(
@@ -96,52 +157,14 @@ def matches(
     without their being listed ask for nothing. A measure without any condition on releases that
     must ship lists every API but those its ``none_of`` excludes.
     """
-    keys = list(keys)
-    measures = measures.select(*keys, *SIDES)
-    places = cut_lineage(numbered(releases), "releases")
-    wanted, anchors = _required(measures, keys, places)
-    anchors = cut_lineage(anchors, "anchors")
-    listed = apis.select("interface_key").distinct()
-    used = anchors.select("anchor").distinct()
-    shipped = (
-        junction.join(places, "release_key").select("interface_key", F.col("pos").alias("anchor"))
-        .join(used, "anchor", "left_semi").distinct().join(listed, "interface_key", "left_semi")
-    )
-    # The list of a measure without a required release is as long as the catalog, and so are its rows.
-    anywhere = used.where(F.col("anchor") == ANYWHERE)
-    everything = listed.withColumn("anchor", F.lit(ANYWHERE)).join(anywhere, "anchor", "left_semi")
-    held = shipped.unionByName(everything).join(support_words(junction, places), "interface_key", "left")
-    met = held.join(anchors, "anchor").join(wanted, keys).where(_holds())
-    return met.select(*keys, "interface_key").distinct()
+    return matching(headers(measures, keys), long_roles(measures, keys), keys, releases, apis, junction)
 
 
 def counts(
     measures: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame
 ) -> DataFrame:
-    """``(*keys, value)`` for measures that match anything; the others are missing.
-
-    Measures that require nothing are counted by subtraction: all APIs but those that ``none_of``
-    ships.
-    """
-    keys = list(keys)
-    nothing = (F.size("all_of") == 0) & F.col("any_of").isNull()
-    required = matches(measures.where(~nothing), keys, releases, apis, junction)
-    counted = required.groupBy(*keys).agg(F.count("*").alias("value"))
-    listed = apis.select("interface_key").distinct()
-    known = with_release_key(releases).select("release_key").distinct()
-    facts = (
-        junction.join(known, "release_key", "left_semi").join(listed, "interface_key", "left_semi")
-        .select("release_key", "interface_key")
-    )
-    hit = (
-        measures.where(nothing).select(*keys, F.explode("none_of").alias("release_key"))
-        .join(facts, "release_key").select(*keys, "interface_key").distinct()
-        .groupBy(*keys).agg(F.count("*").alias("n_hit"))
-    )
-    total = listed.agg(F.count("*").alias("n")).scalar()
-    remaining = measures.where(nothing).select(*keys).join(hit, keys, "left").select(
-        *keys, (total - F.coalesce("n_hit", F.lit(0))).alias("value"))
-    return counted.unionByName(remaining)
+    """``(*keys, value)`` for measures that match anything; the others are missing."""
+    return counted(headers(measures, keys), long_roles(measures, keys), keys, releases, apis, junction)
 
 
 def with_counts(measures: DataFrame, keys: Sequence[str], counted: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from driftline import model
 from driftline.functions import terse_release_id
 from driftline.operators import division
-from driftline.operators.metrics import KEYS, listed_once, measure_points
+from driftline.operators.metrics import KEYS, MEASURES, listed_once, measured
+from driftline.operators.timeline import POST
 from driftline.session import cut_lineage
 
 
@@ -37,12 +38,15 @@ def metric_apis(
     it may be longer than the metric's value.
     """
     known = cut_lineage(listed_once(releases), "releases")
-    measures = measure_points(known, [kind])
-    if points is not None:
-        measures = measures.join(points.select("browser_name", "date").distinct(), ["browser_name", "date"], "left_semi")
+    spec = MEASURES[kind]
     if kind == model.LONE_REMOVAL:
-        measures = measures.withColumn("none_of", F.array("release"))
-    return division.matches(cut_lineage(measures, "measures"), KEYS, known, apis, junction)
+        spec = spec._replace(none_of=(POST,))
+    header, roles, _ = measured(known, [kind], {kind: spec})
+    header = header.select(*KEYS, "needs_some")
+    if points is not None:
+        asked, at = points.select("browser_name", "date").distinct(), ["browser_name", "date"]
+        header, roles = header.join(asked, at, "left_semi"), roles.join(asked, at, "left_semi")
+    return division.matching(header, roles, KEYS, known, apis, junction)
 
 
 def query_for(metrics: DataFrame) -> DataFrame:

@@ -1,77 +1,71 @@
 """Support metrics over time, all evaluated by one division over the junction.
 
-A metric turns a point into a measure (``all_of``, ``none_of``, ``any_of``), or into null
-for no row. Register more in ``MEASURES``; all selected metrics share one pass.
+A metric says which roles of releases (``timeline.ROLES``) an API must ship in, must not ship in
+and must ship in one of. Register more in ``MEASURES``; all selected metrics share one pass, and
+roles stay long rows until the result lists them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import model
 from driftline.functions import epoch_ms, friendly_browser_version
-from driftline.operators import division
+from driftline.operators import division, timeline
 from driftline.operators.signature import with_release_key
-from driftline.operators.timeline import consecutive_pairs, metric_points, split_post_and_prev
+from driftline.operators.timeline import (
+    ALL_PREVIOUS, BEFORE_GRACE, CURRENT_OTHERS, EARLIER, GRACE_COMPARED, GRACE_PREVIOUS, OWN, POST, consecutive_pairs,
+)
 from driftline.session import cut_lineage
 
 KEYS = ["type", "browser_name", "date"]
-Measure = Callable[[], Column]
 
 
-def measure(release: Column | str, previous: Column | str, compared: Column | str,
-             all_of: Column, none_of: Column, any_of: Column | None = None) -> Column:
-    def named(value: Column | str, name: str) -> Column:
-        return (F.col(value) if isinstance(value, str) else value).alias(name)
-
-    return F.struct(
-        named(release, "release"),
-        named(previous, "prev_releases"),
-        named(compared, "compared_releases"),
-        named(all_of, "all_of"),
-        named(none_of, "none_of"),
-        named(F.lit(None).cast("array<string>") if any_of is None else any_of, "any_of"),
-    )
-
-
-def _with_own(previous: str) -> Column:
-    return F.array_distinct(F.concat(F.col(previous), F.array("release_key")))
+class Measure(NamedTuple):
+    """A metric by roles.
 
+    ``release``, ``previous`` and ``compared`` are the roles that the row shows. ``any_of`` is None if
+    nothing of the kind is asked. Releases in a ``spared`` role are never asked for in ``none_of``.
+    ``eligible`` tells which points have a row, from the number of releases in a role.
+    """
 
-def browser_specific() -> Column:
-    """Shipped by this browser throughout the grace year, by no other browser in it."""
-    return measure(
-        "release_key", "grace_previous", "grace_compared",
-        all_of=_with_own("grace_previous"), none_of=F.col("grace_compared"),
-    )
+    release: str
+    previous: str
+    compared: str
+    all_of: tuple[str, ...]
+    none_of: tuple[str, ...]
+    any_of: tuple[str, ...] | None = None
+    spared: tuple[str, ...] = ()
+    eligible: Callable[[Callable[[str], Column]], Column] | None = None
+    counted: tuple[str, ...] = ()
 
+    def sides(self) -> dict[str, tuple[str, ...]]:
+        return {division.ALL: self.all_of, division.NONE: self.none_of, division.ANY: self.any_of or ()}
 
-def lone_omission() -> Column:
-    """Shipped by all others throughout the grace year, never by this browser."""
-    return measure(
-        "release_key", "all_previous", "grace_compared",
-        all_of=F.col("grace_compared"), none_of=_with_own("all_previous"),
-    )
+    def roles(self) -> set[str]:
+        shown = (self.release, self.previous, self.compared, *self.spared, *self.counted)
+        return {*shown, *(role for side in self.sides().values() for role in side)}
 
 
-def lone_removal() -> Column:
-    """Once shipped, gone before the grace year and still gone, present everywhere else.
+#: Shipped by this browser throughout the grace year, by no other browser in it.
+browser_specific = Measure(
+    OWN, GRACE_PREVIOUS, GRACE_COMPARED, all_of=(OWN, GRACE_PREVIOUS), none_of=(GRACE_COMPARED,))
 
-    No row with exactly one other browser or fewer than two old releases.
-    """
-    post, earlier = split_post_and_prev(F.col("before_grace"))
-    eligible = (F.size("current_others") != 1) & (F.size("before_grace") >= 2)
-    return F.when(eligible, measure(
-        post, earlier, "current_others",
-        all_of=F.col("current_others"),
-        none_of=F.array_distinct(F.array(post, F.col("release_key"))),
-        any_of=earlier,
-    ))
+#: Shipped by all others throughout the grace year, never by this browser.
+lone_omission = Measure(
+    OWN, ALL_PREVIOUS, GRACE_COMPARED, all_of=(GRACE_COMPARED,), none_of=(OWN, ALL_PREVIOUS))
 
+#: Once shipped, gone before the grace year and still gone, present everywhere else; no row with
+#: exactly one other browser or fewer than two old releases.
+lone_removal = Measure(
+    POST, EARLIER, CURRENT_OTHERS, all_of=(CURRENT_OTHERS,), none_of=(POST, OWN), any_of=(EARLIER,),
+    eligible=lambda n: (n(CURRENT_OTHERS) != 1) & (n(BEFORE_GRACE) >= 2), counted=(BEFORE_GRACE,),
+)
 
 MEASURES: dict[str, Measure] = {
     model.BROWSER_SPECIFIC: browser_specific,
@@ -80,19 +74,89 @@ MEASURES: dict[str, Measure] = {
 }
 
 
+class Measured(NamedTuple):
+    """``header`` (type, browser_name, date, release, needs_some), ``roles`` (KEYS, side, release_key) and
+    ``shown`` (KEYS, list, release_key, nth), the releases that a row lists."""
+
+    header: DataFrame
+    roles: DataFrame
+    shown: DataFrame
+
+
+def _dealt(roles: DataFrame, uses: dict[str, list[tuple[str, str]]], name: str) -> DataFrame:
+    """Each role row for every (type, ``name``) that uses its role, in one pass."""
+    table = F.create_map(*[
+        part for role, pairs in uses.items() for part in (F.lit(role), F.array(*[
+            F.struct(F.lit(kind).alias("type"), F.lit(use).alias(name)) for kind, use in pairs]))])
+    return roles.withColumn("use", F.explode(table[F.col("role")])).select(
+        "use.*", "browser_name", "date", "release_key", "nth")
+
+
+def _uses(registry: Mapping[str, Measure], of: Callable[[Measure], dict[str, tuple[str, ...]]]) -> dict:
+    uses: dict[str, list[tuple[str, str]]] = {}
+    for kind, spec in registry.items():
+        for use, names in of(spec).items():
+            for role in names:
+                uses.setdefault(role, []).append((kind, use))
+    return uses
+
+
+def measured(
+    releases: DataFrame, types: Iterable[str], registry: Mapping[str, Measure] = MEASURES
+) -> Measured:
+    """Headers and roles of all metric rows of ``types``; the points are formed once."""
+    chosen = {kind: registry[kind] for kind in types}
+    points, roles = timeline.point_roles(
+        with_release_key(releases), set().union(*[spec.roles() for spec in chosen.values()]))
+    at = ["date", "browser_name"]
+    sizes = {role for spec in chosen.values() if spec.eligible for role in (*spec.roles(), *spec.counted)}
+    if sizes:
+        counted = roles.groupBy(*at).agg(*[F.count_if(F.col("role") == role).alias(f"n_{role}") for role in sorted(sizes)])
+        points = points.join(counted, at, "left")
+    headers = []
+    for kind, spec in chosen.items():
+        own = points
+        if spec.eligible:
+            own = own.where(spec.eligible(lambda role: F.coalesce(f"n_{role}", F.lit(0))))
+        if spec.release != OWN:
+            shown = roles.where(F.col("role") == spec.release).select(*at, F.col("release_key").alias("shown"))
+            own = own.join(shown, at).withColumn("release_key", F.col("shown"))
+        headers.append(own.select(
+            F.lit(kind).alias("type"), "browser_name", "date", F.col("release_key").alias("release"),
+            F.lit(spec.any_of is not None).alias("needs_some")))
+    asked = _dealt(roles, _uses(chosen, Measure.sides), "side").drop("nth")
+    spared = _uses(chosen, lambda spec: {division.NONE: spec.spared})
+    if spared:
+        asked = asked.join(_dealt(roles, spared, "side").drop("nth"), [*KEYS, "side", "release_key"], "left_anti")
+    lists = _uses(chosen, lambda spec: {"prev_releases": (spec.previous,), "compared_releases": (spec.compared,)})
+    return Measured(
+        cut_lineage(reduce(DataFrame.unionByName, headers), "measures"), asked, _dealt(roles, lists, "list"))
+
+
+def with_lists(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """Metric rows with the releases they were compared with, as arrays."""
+    def listed(name: str) -> Column:
+        entries = F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct("nth", "release_key"))))
+        return F.transform(entries, lambda e: e["release_key"]).alias(name)
+
+    names = ("prev_releases", "compared_releases")
+    lists = shown.groupBy(*KEYS).agg(*[listed(name) for name in names])
+    nothing = F.array().cast("array<string>")
+    return rows.join(lists, KEYS, "left").withColumns({name: F.coalesce(name, nothing) for name in names})
+
+
 def measure_points(
     releases: DataFrame, types: Iterable[str], registry: Mapping[str, Measure] = MEASURES
 ) -> DataFrame:
-    """One row per metric row to compute; the points are formed once for all types."""
-    made = F.array(*[
-        F.struct(F.lit(kind).alias("type"), registry[kind]().alias("measure")) for kind in types
-    ])
-    return (
-        metric_points(with_release_key(releases))
-        .select("browser_name", "date", F.explode(made).alias("made"))
-        .where(F.col("made.measure").isNotNull())
-        .select("made.type", "browser_name", "date", "made.measure.*")
-    )
+    """One wide row per metric row: its lists, and its three sides as arrays, for showing them."""
+    header, roles, shown = measured(releases, types, registry)
+    sides = roles.groupBy(*KEYS).agg(*[
+        F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("release_key")))).alias(side)
+        for side in division.SIDES])
+    nothing = F.array().cast("array<string>")
+    filled = {side: F.coalesce(side, nothing) for side in (division.ALL, division.NONE)}
+    filled[division.ANY] = F.when(F.col("needs_some"), F.coalesce(division.ANY, nothing))
+    return with_lists(header.join(sides, KEYS, "left").withColumns(filled), shown).drop("needs_some")
 
 
 def listed_once(releases: DataFrame) -> DataFrame:
@@ -102,28 +166,16 @@ def listed_once(releases: DataFrame) -> DataFrame:
     return once.select("r.browser_name", "r.browser_version", "r.os_name", "r.os_version", "r.release_date")
 
 
-def count_measures(
-    releases: DataFrame, apis: DataFrame, junction: DataFrame,
-    build: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Measures built from the releases, each with its number of APIs as ``value``."""
-    known = cut_lineage(listed_once(releases), "releases")
-    measures = cut_lineage(build(known), "measures")
-    counted = division.counts(measures, KEYS, known, apis, junction)
-    return division.with_counts(measures, KEYS, counted)
-
-
 def browser_metrics(
     releases: DataFrame, apis: DataFrame, junction: DataFrame,
     types: Iterable[str] = model.METRIC_TYPES, registry: Mapping[str, Measure] = MEASURES,
 ) -> DataFrame:
     """Metric rows by (type, browser_name, date), for the releases passed in."""
-    types = list(types)
-    rows = count_measures(
-        releases, apis, junction,
-        lambda known: measure_points(known, types, registry),
-    )
-    return rows.select(*model.BROWSER_METRICS.fieldNames())
+    known = cut_lineage(listed_once(releases), "releases")
+    header, roles, shown = measured(known, types, registry)
+    counted = division.counted(header.select(*KEYS, "needs_some"), roles, KEYS, known, apis, junction)
+    rows = division.with_counts(header, KEYS, counted)
+    return with_lists(rows, shown).select(*model.BROWSER_METRICS.fieldNames())
 
 
 def _count_measures(releases: DataFrame) -> DataFrame:
@@ -159,10 +211,10 @@ def _folded_counts(rows: DataFrame) -> DataFrame:
 
 def api_counts(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> DataFrame:
     """API count rows by (browser_name, release_date); first releases add nothing."""
-    return _folded_counts(count_measures(releases, apis, junction, _count_measures))
-
-
-COUNT_SIDES = ("total", "new", "removed")
+    known = cut_lineage(listed_once(releases), "releases")
+    measures = cut_lineage(_count_measures(known), "measures")
+    counted = division.counts(measures, KEYS, known, apis, junction)
+    return _folded_counts(division.with_counts(measures, KEYS, counted))
 
 
 def run_all_metrics(
@@ -175,20 +227,27 @@ def run_all_metrics(
     """
     wanted = list(types)
     kinds = [kind for kind in wanted if kind != model.API_COUNT]
-
-    def build(known: DataFrame) -> DataFrame:
-        made = [measure_points(known, kinds)] if kinds else []
-        made += [_count_measures(known)] if model.API_COUNT in wanted else []
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
-
     if not wanted:
         return None, None
-    rows = cut_lineage(count_measures(releases, apis, junction, build), "metrics")
-    is_side = F.col("type").isin(*COUNT_SIDES)
-    return (
-        rows.where(~is_side).select(*model.BROWSER_METRICS.fieldNames()) if kinds else None,
-        _folded_counts(rows.where(is_side)) if model.API_COUNT in wanted else None,
-    )
+    known = cut_lineage(listed_once(releases), "releases")
+    headers, roles, header, shown, pairs = [], [], None, None, None
+    if kinds:
+        header, asked, shown = measured(known, kinds)
+        headers.append(header.select(*KEYS, "needs_some"))
+        roles.append(asked)
+    if model.API_COUNT in wanted:
+        pairs = cut_lineage(_count_measures(known), "measures")
+        headers.append(division.headers(pairs, KEYS))
+        roles.append(division.long_roles(pairs, KEYS))
+    counted = cut_lineage(division.counted(
+        reduce(DataFrame.unionByName, headers), reduce(DataFrame.unionByName, roles), KEYS, known, apis, junction
+    ), "metrics")
+    rows = counts = None
+    if kinds:
+        rows = with_lists(division.with_counts(header, KEYS, counted), shown).select(*model.BROWSER_METRICS.fieldNames())
+    if pairs is not None:
+        counts = _folded_counts(division.with_counts(pairs, KEYS, counted))
+    return rows, counts
 
 
 def metrics_of_type(metrics: DataFrame, kind: str) -> DataFrame:

@@ -1,16 +1,21 @@
 """Release timelines: as-of lookups, grace windows and consecutive releases.
 
-Range conditions are never joined. Each release is unrolled over exactly the dates it
-matters for (distinct release dates are calendar days, so that list is bounded) and then
-meets the other tables through equality on date, browser and operating system.
+Range conditions meet through calendar years: an interval is put in a bucket for each year it
+touches, a year-long window in two at most, and equality on year, browser and operating system
+leaves few rows for the range test. What a point needs to know of other releases are long rows,
+one for each release and role; nobody's history is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import is_mobile, one_year_before
+from driftline.session import cut_lineage
 
 PREFERRED_OS = "Windows"
 
@@ -23,10 +28,6 @@ def release_dates(releases: DataFrame) -> DataFrame:
     return releases.select(F.col("release_date").alias("date")).distinct().orderBy("date")
 
 
-def _date_list(releases: DataFrame) -> Column:
-    return releases.agg(F.sort_array(F.collect_set("release_date")).alias("dates")).scalar()
-
-
 def latest_release_asof(releases: DataFrame) -> DataFrame:
     """For every release date and browser, the release in force.
 
@@ -36,7 +37,7 @@ def latest_release_asof(releases: DataFrame) -> DataFrame:
     """
     by_date = Window.partitionBy("browser_name").orderBy("release_date")
     so_far = by_date.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # On one day the smallest key stands for the day.
+    # On one day the smallest key stands for the day, so a browser has a row a day at most.
     per_day = releases.groupBy("browser_name", "release_date").agg(
         F.min(F.when(F.col("os_name") == PREFERRED_OS, F.struct("release_key", "os_name"))).alias("own"),
         F.min(F.struct("release_key", "os_name")).alias("any"),
@@ -49,79 +50,117 @@ def latest_release_asof(releases: DataFrame) -> DataFrame:
             F.last("own", ignorenulls=True).over(so_far), F.last("any").over(so_far)
         ).alias("latest"),
     )
-    covered = F.filter(
-        "dates",
-        lambda d: (d >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (d < F.col("valid_to"))),
-    )
-    return in_force.withColumn("dates", _date_list(releases)).select(
-        F.explode(covered).alias("date"), "browser_name",
-        F.col("latest.os_name").alias("os_name"),
+    end = releases.agg(F.max("release_date").alias("end")).scalar()
+    years = F.sequence(F.year("valid_from"), F.year(F.coalesce(F.date_sub("valid_to", 1), end)))
+    dates = releases.select(F.col("release_date").alias("date")).distinct().withColumn("year", F.year("date"))
+    return in_force.withColumn("year", F.explode(years)).join(dates, "year").where(
+        (F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))
+    ).select(
+        "date", "browser_name", F.col("latest.os_name").alias("os_name"),
         F.col("latest.release_key").alias("release_key"),
     )
 
 
-def _own_history(releases: DataFrame, latest: DataFrame) -> DataFrame:
-    """Releases up to each date on the browser and system of the release in force."""
-    unrolled = releases.withColumn("dates", _date_list(releases)).select(
-        F.explode(F.filter("dates", lambda d: d >= F.col("release_date"))).alias("date"),
-        "browser_name", "os_name",
-        F.col("release_key").alias("past_key"), F.col("release_date").alias("past_date"),
-    )
-    return latest.join(unrolled, ["date", "browser_name", "os_name"], "left")
-
+#: What a release may be to a point. All are of the point's own browser and system, or, for the last
+#: two, of the others': the release in force; own ones of the year before the date; all own ones before
+#: it; own ones older than that year, and of these the newest, and the rest; the others' releases in
+#: force; the others' of that year, date included.
+OWN, GRACE_PREVIOUS, ALL_PREVIOUS, BEFORE_GRACE, POST, EARLIER, CURRENT_OTHERS, GRACE_COMPARED = ROLES = (
+    "own", "grace_previous", "all_previous", "before_grace", "post", "earlier", "current_others", "grace_compared")
 
-def metric_points(releases: DataFrame, complete_only: bool = True) -> DataFrame:
-    """One row per metric point with every set of releases a metric may ask for.
 
-    Points exist only for dates on which every browser has a release (unless
-    ``complete_only`` is off). Columns: ``date``, ``browser_name``, ``os_name``,
-    ``release_key`` and arrays of release keys:
+class Points(NamedTuple):
+    """``points`` (date, browser_name, os_name, release_key) and ``roles`` (date, browser_name, role, release_key, nth).
 
-    * ``grace_previous``: own earlier releases within the year before the date
-    * ``all_previous``: own earlier releases
-    * ``before_grace``: own releases older than that year, newest first
-    * ``current_others``: the other browsers' releases in force
-    * ``grace_compared``: the other browsers' releases of that year, date included
+    ``nth`` and then the key give the order of a role's releases.
     """
+
+    points: DataFrame
+    roles: DataFrame
+
+
+def points_of(releases: DataFrame, complete_only: bool = True) -> DataFrame:
+    """The releases in force, on dates on which every browser has one (unless ``complete_only`` is off)."""
     latest = latest_release_asof(releases)
-    start = one_year_before("date")
-    past = F.col("past_date")
-    ascending = F.struct(past, F.col("past_key"))
-    descending = F.struct(-F.unix_date(past), F.col("past_key"))
-
-    def listed(condition: Column, order: Column) -> Column:
-        entries = F.sort_array(F.collect_list(F.when(condition, order)))
-        return F.transform(entries, lambda e: e["past_key"])
-
-    own = (
-        _own_history(releases, latest)
-        .groupBy("date", "browser_name", "os_name", "release_key")
-        .agg(
-            listed((past >= start) & (past < F.col("date")), ascending).alias("grace_previous"),
-            listed(past < F.col("date"), ascending).alias("all_previous"),
-            listed(past < start, descending).alias("before_grace"),
-            listed(past >= start, ascending).alias("in_grace"),
+    if not complete_only:
+        return latest
+    browsers = releases.agg(F.count_distinct("browser_name").alias("n")).scalar()
+    complete = latest.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == browsers)
+    return latest.join(complete.select("date"), "date", "left_semi")
+
+
+def point_roles(
+    releases: DataFrame, wanted: Collection[str] = ROLES, complete_only: bool = True
+) -> Points:
+    """The metric points, and the releases that stand in a wanted role to each."""
+    points = cut_lineage(points_of(releases, complete_only), "points")
+    own = points.select("date", "browser_name", "os_name")
+    past = releases.select("browser_name", "os_name", "release_key", F.col("release_date").alias("past"))
+    start, day = one_year_before("date"), F.unix_date("past")
+
+    def role(rows: DataFrame, name: str | Column, nth: Column | None = None) -> DataFrame:
+        return rows.select(
+            "date", "browser_name", (F.lit(name) if isinstance(name, str) else name).alias("role"), "release_key",
+            (F.lit(0) if nth is None else nth).alias("nth"),
         )
-    )
-    members = F.collect_list(F.struct("browser_name", "os_name", "release_key", "grace_previous",
-                                      "all_previous", "before_grace", "in_grace"))
-    per_date = own.groupBy("date").agg(members.alias("members"))
-    if complete_only:
-        browsers = releases.agg(F.count_distinct("browser_name").alias("n")).scalar()
-        per_date = per_date.where(F.size("members") == browsers)
-    others = F.filter(F.col("members"), lambda m: m["release_key"] != F.col("me.release_key"))
-    return (
-        per_date.select("date", "members", F.explode("members").alias("me"))
-        .select("date", "me", others.alias("others"))
-        .select(
-            "date", "me.browser_name", "me.os_name", "me.release_key",
-            "me.grace_previous", "me.all_previous", "me.before_grace",
-            F.sort_array(F.transform("others", lambda m: m["release_key"])).alias("current_others"),
-            F.sort_array(F.flatten(F.transform("others", lambda m: m["in_grace"])))
-            .alias("grace_compared"),
-        )
-    )
+
+    made = []
+    if OWN in wanted:
+        made.append(role(points, OWN))
+    if {GRACE_PREVIOUS, GRACE_COMPARED} & set(wanted):
+        # A release lies in the year before dates of its own year and of the next.
+        years = F.explode(F.array(F.year("past"), F.year("past") + 1))
+        grace = own.withColumn("year", F.year("date")).join(
+            past.withColumn("year", years), ["browser_name", "os_name", "year"]
+        ).where((F.col("past") >= start) & (F.col("past") <= F.col("date")))
+        if GRACE_COMPARED in wanted:
+            grace = cut_lineage(grace, "grace")
+            others = points.select("date", F.col("browser_name").alias("me")).join(grace, "date").where("me != browser_name")
+            made.append(role(others.withColumn("browser_name", F.col("me")), GRACE_COMPARED))
+        if GRACE_PREVIOUS in wanted:
+            made.append(role(grace.where("past < date"), GRACE_PREVIOUS, day))
+    if CURRENT_OTHERS in wanted:
+        them = points.select("date", F.col("browser_name").alias("them"), "release_key")
+        made.append(role(points.drop("release_key").join(them, "date").where("them != browser_name"), CURRENT_OTHERS))
+    if {ALL_PREVIOUS, BEFORE_GRACE, POST, EARLIER} & set(wanted):
+        history = own.join(past, ["browser_name", "os_name"]).where("past < date")
+        older = history.where(F.col("past") < start)
+        if ALL_PREVIOUS in wanted:
+            made.append(role(history, ALL_PREVIOUS, day))
+        if BEFORE_GRACE in wanted:
+            made.append(role(older, BEFORE_GRACE, -day))
+        if {POST, EARLIER} & set(wanted):
+            newest = older.groupBy("date", "browser_name").agg(F.min(F.struct(-day, "release_key"))["release_key"].alias("post"))
+            marked = older.join(newest, ["date", "browser_name"])
+            name = F.when(F.col("release_key") == F.col("post"), F.lit(POST)).otherwise(F.lit(EARLIER))
+            made.append(role(marked, name, -day).where(F.col("role").isin(*wanted)))
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
+    return Points(points, cut_lineage(rows, "roles"))
+
+
+def in_order(role: str) -> Column:
+    """The releases of a role as an array, when roles are grouped by point."""
+    listed = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("nth", "release_key"))))
+    return F.transform(listed, lambda e: e["release_key"])
+
+
+#: Roles that wide points have an array for.
+LISTED = (GRACE_PREVIOUS, ALL_PREVIOUS, BEFORE_GRACE, CURRENT_OTHERS, GRACE_COMPARED)
+
+
+def metric_points(releases: DataFrame, complete_only: bool = True) -> DataFrame:
+    """One row per metric point with the releases of each role as arrays, for showing them.
+
+    Columns: ``date``, ``browser_name``, ``os_name``, ``release_key`` and an array for each of
+    ``LISTED``: ``before_grace`` newest first, the own ones oldest first, the others' by key.
+    """
+    found = point_roles(releases, LISTED, complete_only)
+    lists = found.roles.groupBy("date", "browser_name").agg(*[in_order(role).alias(role) for role in LISTED])
+    nothing = F.array().cast("array<string>")
+    return found.points.join(lists, ["date", "browser_name"], "left").select(
+        *found.points.columns, *[F.coalesce(role, nothing).alias(role) for role in LISTED])
 
 
 def split_post_and_prev(newest_first: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline import functions as fn
-from driftline.operators import compat, division, search
+from driftline.operators import compat, search
 from driftline.operators.signature import ReleaseIndex, ships, signatures, with_release_key
 from driftline.operators.timeline import default_in_view, desktop_only
 from driftline.plans import bindings
@@ -233,12 +233,16 @@ def seq(spark: SparkSession, folder: str) -> DataFrame:
       AND r.os_name = 'Windows'), -1) AS pos FROM lineitem""")
 def col_index_of(spark: SparkSession, folder: str) -> DataFrame:
     """Grid position of each shipment's release on one system, -1 where there is none."""
-    places = division.numbered(bindings.releases(spark, folder))
-    lines = bindings.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber",
-        F.concat_ws("_", "l_returnflag", F.year("l_shipdate"), F.lit("Windows"), F.lit("10")).alias("release_key"))
-    return lines.join(places, "release_key", "left").select(
-        "l_orderkey", "l_linenumber", F.coalesce("pos", F.lit(-1)).alias("pos"))
+    parts = ["browser_name", "browser_version", "os_name"]
+    known = bindings.releases(spark, folder).select(
+        F.struct("release_date", *parts, "os_version").alias("order"), F.struct(*parts).alias("release")).distinct()
+    in_order = known.agg(F.array_sort(F.collect_list(F.struct("order", "release"))).alias("columns")).scalar()
+    wanted = F.struct(
+        F.col("l_returnflag").alias("browser_name"), F.year("l_shipdate").cast("string").alias("browser_version"),
+        F.lit("Windows").alias("os_name"))
+    columns = F.transform("columns", lambda c: c["release"])
+    lines = bindings.table(spark, folder, "lineitem").withColumn("columns", in_order)
+    return lines.select("l_orderkey", "l_linenumber", fn.col_index_of(columns, wanted).alias("pos"))
 
 
 @query(BOUND + f"""SELECT pos, {NAME_SQL} AS column_name, browser_name || ' ' || browser_version || ' '

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import model
@@ -245,8 +245,8 @@ def diff_view(spark: SparkSession, folder: str) -> DataFrame:
     return sides.select(F.lit("A_1996_Windows_10").alias("minuend"), "interface_key", "side")
 
 
-def _apis_behind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    rows = drilldown.metric_apis(kind, _desktop(spark, folder), *_facts(spark, folder))
+def _apis_behind(spark: SparkSession, folder: str, kind: str, points: DataFrame | None = None) -> DataFrame:
+    rows = drilldown.metric_apis(kind, _desktop(spark, folder), *_facts(spark, folder), points)
     return rows.select("browser_name", "date", "interface_key")
 
 
@@ -263,7 +263,7 @@ def browser_specific_apis(spark: SparkSession, folder: str) -> DataFrame:
     return _apis_behind(spark, folder, model.BROWSER_SPECIFIC)
 
 
-@query(TIMELINE + """,
+REMOVAL_SQL = TIMELINE + """,
 removal_roles AS (
   SELECT r.* FROM role_rows r JOIN measures m USING (type, browser_name, date)
   WHERE r.type = 'LONE_REMOVAL' AND (r.role <> 'none' OR r.release_key = m.release))
@@ -273,11 +273,39 @@ SELECT h.browser_name, h.date, h.interface_key FROM (
     count(*) FILTER (WHERE role = 'any') AS got_any
   FROM removal_roles JOIN junction USING (release_key) GROUP BY ALL) h
 JOIN needs n ON n.type = 'LONE_REMOVAL' AND n.browser_name = h.browser_name AND n.date = h.date
-WHERE got_all = n_all AND got_none = 0 AND got_any > 0""")
+WHERE got_all = n_all AND got_none = 0 AND got_any > 0"""
+
+
+@query(REMOVAL_SQL)
 def lone_removal_apis(spark: SparkSession, folder: str) -> DataFrame:
     return _apis_behind(spark, folder, model.LONE_REMOVAL)
 
 
+def _last_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The points of the last date that the derived releases reach."""
+    points = timeline.points_of(_known(spark, folder))
+    return points.join(points.agg(F.max("date").alias("date")), "date", "left_semi")
+
+
+LAST_SQL = " AND date = (SELECT max(date) FROM points)"
+
+
+@query(MATCH_SQL + "'LONE_OMISSION'" + LAST_SQL)
+def lone_omission_apis_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The APIs behind chosen points only."""
+    return _apis_behind(spark, folder, model.LONE_OMISSION, _last_points(spark, folder))
+
+
+@query(MATCH_SQL + "'BROWSER_SPECIFIC'" + LAST_SQL)
+def browser_specific_apis_at(spark: SparkSession, folder: str) -> DataFrame:
+    return _apis_behind(spark, folder, model.BROWSER_SPECIFIC, _last_points(spark, folder))
+
+
+@query(REMOVAL_SQL + " AND h.date = (SELECT max(date) FROM points)")
+def lone_removal_apis_at(spark: SparkSession, folder: str) -> DataFrame:
+    return _apis_behind(spark, folder, model.LONE_REMOVAL, _last_points(spark, folder))
+
+
 TERSE_SQL = """lower(substr(split_part(k, '_', 1), 1, 3)) || split_part(k, '_', 2)
   || lower(substr(split_part(k, '_', 3), 1, 3)) || split_part(k, '_', 4)"""
 
@@ -305,12 +333,11 @@ def query_for(spark: SparkSession, folder: str) -> DataFrame:
                        joined("not_shipped").alias("not_shipped"), joined("counts").alias("counts"))
 
 
-def first_shipped() -> Column:
-    """A metric of one's own: shipped now, but in no earlier release of the browser."""
-    return metrics.measure(
-        "release_key", "all_previous", "current_others",
-        all_of=F.array("release_key"), none_of=F.array_except("all_previous", F.array("release_key")),
-    )
+#: A metric of one's own: shipped now, but in no earlier release of the browser.
+FIRST_SHIPPED = metrics.Measure(
+    timeline.OWN, timeline.ALL_PREVIOUS, timeline.CURRENT_OTHERS,
+    all_of=(timeline.OWN,), none_of=(timeline.ALL_PREVIOUS,), spared=(timeline.OWN,),
+)
 
 
 @query(TIMELINE + """
@@ -323,6 +350,6 @@ FROM points p""")
 def custom_metric(spark: SparkSession, folder: str) -> DataFrame:
     rows = metrics.browser_metrics(
         _desktop(spark, folder), *_facts(spark, folder), ["FIRST_SHIPPED"],
-        {"FIRST_SHIPPED": first_shipped},
+        {"FIRST_SHIPPED": FIRST_SHIPPED},
     )
     return rows.select(*VALUE_COLUMNS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import division, metrics, sets
+from driftline.operators.ranks import ranked
 from driftline.operators.search import all_of, any_of
 from driftline.operators.signature import with_release_key
 from driftline.operators.timeline import desktop_only
@@ -183,24 +184,41 @@ def limit_rows(spark: SparkSession, folder: str) -> DataFrame:
     return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-ORDER_SQL = "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY "
 ORDER_COLUMNS = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
-@query(ORDER_SQL + "c_acctbal DESC, c_custkey")
+def _order_sql(order: str) -> str:
+    return f"""SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (ORDER BY {order}) - 1 AS pos
+FROM customer ORDER BY pos"""
+
+
+def _placed(spark: SparkSession, folder: str, *order: Column | str) -> DataFrame:
+    return ranked(table(spark, folder, "customer").select(*ORDER_COLUMNS), *order).numbered().orderBy("pos")
+
+
+@query(_order_sql("c_acctbal DESC, c_custkey"))
 def order_by(spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer").select(*ORDER_COLUMNS)
-    return customers.orderBy(F.desc("c_acctbal"), "c_custkey")
+    """Rows with their place in the order."""
+    return _placed(spark, folder, F.desc("c_acctbal"), "c_custkey")
 
 
-@query(ORDER_SQL + "c_nationkey, c_acctbal DESC, c_custkey")
+@query(_order_sql("c_nationkey, c_acctbal DESC, c_custkey"))
 def then_by(spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer").select(*ORDER_COLUMNS)
-    return customers.orderBy("c_nationkey", F.desc("c_acctbal"), "c_custkey")
+    return _placed(spark, folder, "c_nationkey", F.desc("c_acctbal"), "c_custkey")
 
 
-@query(ORDER_SQL + "c_nationkey, c_acctbal, c_custkey")
+@query(_order_sql("c_nationkey, c_acctbal, c_custkey"))
 def chained_order(spark: SparkSession, folder: str) -> DataFrame:
     """Calls in a chain: the last one is the primary key."""
     calls = ["c_custkey", "c_acctbal", "c_nationkey"]
-    return table(spark, folder, "customer").select(*ORDER_COLUMNS).orderBy(*reversed(calls))
+    return _placed(spark, folder, *reversed(calls))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, pos FROM (
+  SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS pos,
+    count(*) OVER () AS n FROM lineitem) WHERE pos >= n // 6 * 5 AND pos < n // 6 * 5 + 40""")
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty rows from far down the order; only the ranges that hold them are read."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    index = ranked(lines, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return index.page(index.before[-1] // 6 * 5, 40, "pos")

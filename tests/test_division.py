@@ -79,3 +79,47 @@ def test_releases_listed_twice_change_nothing(spark):
     one = rows.where(F.col("type") == model.LONE_OMISSION).limit(1)
     asked = drilldown.metric_apis(model.LONE_OMISSION, releases, apis, junction, one)
     assert asked.count() == one.first().value and set(map(str, asked.collect())) <= set(lists)
+
+
+def test_one_release_that_all_measures_name(spark):
+    """Every measure asks for one release; most APIs share a signature, so they are few classes."""
+    rng = random.Random(7)
+    rows = [("B", str(i), "Windows", "10", dt.date(2000, 1, 1) + dt.timedelta(days=i)) for i in range(12)]
+    keys = [f"{b}_{v}_{o}_{ov}" for b, v, o, ov, _ in rows]
+    kinds = [{keys[0], *rng.sample(keys, rng.randint(0, 6))} for _ in range(30)]
+    ships = {f"i#a{i}": kinds[0] if i < 2000 else rng.choice(kinds) for i in range(3000)}
+    ships["i#never"] = set()
+    measures = [(i, [keys[0]], rng.sample(keys[1:], 2), None) for i in range(200)] + [(200, [], keys[1:3], None)]
+    frames = (
+        spark.createDataFrame(rows, model.RELEASES), spark.createDataFrame([(k,) for k in ships], "interface_key string"),
+        spark.createDataFrame([(r, k) for k, shipped in ships.items() for r in shipped], model.JUNCTION),
+    )
+    asked = spark.createDataFrame(measures, "id int, all_of array<string>, none_of array<string>, any_of array<string>")
+    known = division.signature_classes(*frames)
+    assert known.classes.count() == len({frozenset(s) for s in ships.values()})
+    counted = {r.id: r.value for r in division.counts(asked, ["id"], *frames).collect()}
+    expected = {
+        i: sum(1 for shipped in ships.values() if set(all_of) <= shipped and not set(none_of) & shipped)
+        for i, all_of, none_of, _ in measures
+    }
+    assert counted == {i: n for i, n in expected.items() if n}
+    # A measure meets the blocks of classes, not APIs.
+    hits = division._hits(division.headers(asked, ["id"]), division.long_roles(asked, ["id"]), ["id"], known)
+    blocks = known.classes.select(F.shiftright("class_id", 6)).distinct().count()
+    assert hits.count() <= len(measures) * blocks < len(measures) * 40
+
+
+def test_five_thousand_releases_of_one_browser(spark):
+    from driftline.operators import metrics
+
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(5000)]
+    rows = [("A", str(i), "Windows", "10", day) for i, day in enumerate(days)] + [("B", "1", "Windows", "10", days[0])]
+    releases = spark.createDataFrame(rows, model.RELEASES)
+    apis = spark.createDataFrame([("x#always",), ("x#late",)], "interface_key string")
+    always = [(f"A_{i}_Windows_10", "x#always") for i in range(5000)]
+    late = [(f"A_{i}_Windows_10", "x#late") for i in range(4000, 5000)]
+    junction = spark.createDataFrame(always + late, model.JUNCTION)
+    rows = metrics.browser_metrics(releases, apis, junction, [model.BROWSER_SPECIFIC]).where("browser_name = 'A'")
+    found = {r.date: (r.value, len(r.prev_releases)) for r in rows.collect()}
+    assert len(found) == 5000
+    assert found[days[300]] == (1, 300) and found[days[4100]] == (1, 365) and found[days[4366]] == (2, 365)
