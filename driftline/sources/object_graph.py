@@ -1,48 +1,35 @@
-"""Object graph files: one JSON document per captured release."""
+"""Object graph files: one JSON document per captured release.
+
+A document is parsed once, into a variant, and fans out to rows that say which part of it they are
+from. They are written partitioned by that tag, so that all graph tables come from one scan of the
+files, and no table holds a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from driftline.operators.extract import ExtractorConfig, extract_catalog
 from driftline.operators.graph import G, ObjectGraphs
+from driftline.session import fresh_path
+from driftline.sources.catalog import import_catalogs
 
-_IDS = T.MapType(T.StringType(), T.LongType())
-_PRODUCT = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())])
-GRAPH_FILE = T.StructType([
-    T.StructField("data", T.MapType(T.StringType(), _IDS)),
-    T.StructField("functions", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("metadata", T.MapType(T.StringType(), T.MapType(
-        T.StringType(), T.MapType(T.StringType(), T.IntegerType())))),
-    T.StructField("protos", _IDS),
-    T.StructField("toStrings", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("types", _IDS),
-    T.StructField("root", T.LongType()),
-    T.StructField("environment", T.StructType([
-        T.StructField("browser", _PRODUCT), T.StructField("platform", _PRODUCT)])),
-])
-
-
-def read_object_graphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw graph documents with ``file_name``; one split per file, no recursion.
-
-    Files are those whose name contains ``window_`` and ends in ``.json``. A file that is
-    not valid JSON fails the job.
-    """
-    return (
-        spark.read.schema(GRAPH_FILE)
-        .option("multiLine", True).option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*window_*.json")
-        .json(folder)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
-        .withColumn(G, F.col("file_name"))
-    )
+#: Parts of a document that are maps by node, and those whose values are maps again.
+MAPS = ("data", "functions", "metadata", "protos", "toStrings", "types")
+NESTED = ("data", "metadata")
+RELEASE = {"browser_name": "browser.name", "browser_version": "browser.version",
+           "os_name": "platform.name", "os_version": "platform.version"}
 
 
-def _environment() -> list[Column]:
-    return [F.col(f"environment.{side}.{part}")
-            for side in ("browser", "platform") for part in ("name", "version")]
+def read_object_graphs(spark: SparkSession, folder: str, names: str = "*window_*.json") -> DataFrame:
+    """``graph_id, file_name, document``: one row per file, no recursion, the document as a variant.
+
+    Files are those whose name matches ``names``. A file that is not valid JSON fails the job.
+    """
+    files = spark.read.option("pathGlobFilter", names).text(folder, wholetext=True)
+    name = F.col("_metadata.file_name")
+    return files.select(name.alias(G), name.alias("file_name"), F.parse_json("value").alias("document"))
 
 
 def release_info(documents: DataFrame, on_malformed: str = "error") -> DataFrame:
@@ -51,42 +38,107 @@ def release_info(documents: DataFrame, on_malformed: str = "error") -> DataFrame
     The environment decides if it is complete, else a file name of five parts. On a
     malformed name the job fails, or the parts are null with ``on_malformed="null"``.
     """
-    from_environment = F.lit(True)
-    for part in _environment():
-        from_environment = from_environment & (F.coalesce(part, F.lit("")) != "")
-    stem = F.regexp_replace("file_name", r"\.json$", "")
-    pieces = F.split(stem, "_")
+    parts = {name: F.try_variant_get("document", f"$.environment.{path}", "string") for name, path in RELEASE.items()}
+    return _release_of(documents.select(G, "file_name", *[part.alias(name) for name, part in parts.items()]), on_malformed)
+
+
+def _release_of(rows: DataFrame, on_malformed: str) -> DataFrame:
+    """Release parts from those that the environment gives and the file name."""
+    complete = F.lit(True)
+    for name in RELEASE:
+        complete &= F.coalesce(F.col(name), F.lit("")) != ""
+    pieces = F.split(F.regexp_replace("file_name", r"\.json$", ""), "_")
     well_formed = F.col("file_name").endswith(".json") & (F.size(pieces) == 5)
-    names = ("browser_name", "browser_version", "os_name", "os_version")
-    found = F.when(
-        from_environment, F.struct(*[p.alias(n) for p, n in zip(_environment(), names)])
-    ).when(well_formed, F.struct(*[pieces[i + 1].alias(n) for i, n in enumerate(names)]))
+    found = F.when(complete, F.struct(*RELEASE)).when(
+        well_formed, F.struct(*[pieces[i + 1].alias(name) for i, name in enumerate(RELEASE)]))
     if on_malformed == "error":
         found = found.otherwise(F.raise_error(F.concat(F.lit("malformed graph file name: "), "file_name")))
-    return documents.select(G, found.alias("info")).select(G, "info.*")
+    return rows.select(G, found.alias("info")).select(G, "info.*")
 
 
-def graph_tables(documents: DataFrame) -> ObjectGraphs:
-    """The documents' maps as tables keyed by graph and node."""
-
-    def per_node(column: str, *names: str) -> DataFrame:
-        rows = documents.select(G, F.explode(column).alias("id", "value"))
-        return rows.select(G, F.col("id").cast("long").alias("node"), F.col("value").alias(names[0]))
-
-    members = documents.select(G, F.explode("data").alias("id", "members"))
-    edges = members.select(
-        G, F.col("id").cast("long").alias("node"), F.explode("members").alias("key", "child"))
-    notes = documents.select(G, F.explode("metadata").alias("id", "notes"))
-    notes = notes.select(
-        G, F.col("id").cast("long").alias("node"), F.explode("notes").alias("key", "note"))
-    return ObjectGraphs.build(
-        nodes=members.select(G, F.col("id").cast("long").alias("node")),
-        edges=edges,
-        protos=per_node("protos", "proto"),
-        meta=notes.select(G, "node", "key", F.coalesce(F.try_element_at("note", F.lit("value")), F.lit(0))
-                          .alias("is_value")),
-        functions=per_node("functions", "name"),
-        strings=per_node("toStrings", "text"),
-        types=documents.select(G, F.explode("types").alias("type_name", "node")),
-        roots=documents.select(G, "root"),
+def _exploded(rows: DataFrame, variant: Column, key: str, value: str) -> DataFrame:
+    """Rows with a key and a value for each entry of an object; others and empty ones stay, with nulls."""
+    entries = rows.sparkSession.tvf.variant_explode_outer(variant.outer())
+    return rows.lateralJoin(entries.select(F.col("key").alias(key), F.col("value").alias(value)))
+
+
+def tagged_rows(documents: DataFrame) -> DataFrame:
+    """``graph_id, tag, id, key, value``: every entry of every part of the documents.
+
+    ``value`` is text. Each document has a row tagged ``file`` with its file name as ``id`` and the
+    environment as ``value``, so that none is lost.
+    """
+    whole = F.array(
+        F.struct(F.lit(True).alias("file"), F.try_variant_get("document", "$.environment", "variant").alias("part")),
+        F.struct(F.lit(False).alias("file"), F.col("document").alias("part")),
     )
+    twice = documents.select(G, "file_name", F.explode(whole).alias("one")).select(G, "file_name", "one.*")
+    parts = _exploded(twice, F.when(~F.col("file"), F.col("part")), "name", "content")
+    tag = F.when(F.col("file"), F.lit("file")).otherwise(F.col("name"))
+    tagged = parts.select(
+        G, tag.alias("tag"), F.when(F.col("file"), F.col("file_name")).alias("file_name"),
+        F.when(F.col("file"), F.col("part")).otherwise(F.col("content")).alias("content"),
+    ).where(F.col("tag").isin("file", "root", *MAPS))
+    entries = _exploded(tagged, F.when(F.col("tag").isin(*MAPS), F.col("content")), "id", "entry").select(
+        G, "tag", F.coalesce("id", "file_name").alias("id"),
+        F.coalesce("entry", F.when(F.col("tag").isin("file", "root"), F.col("content"))).alias("entry"))
+    members = _exploded(entries, F.when(F.col("tag").isin(*NESTED), F.col("entry")), "key", "member")
+    nested = F.col("tag").isin(*NESTED)
+    return members.select(
+        G, "tag", "id", "key",
+        F.when(nested, F.col("member")).otherwise(F.col("entry")).cast("string").alias("value"))
+
+
+class GraphFiles:
+    """The tagged rows of a set of documents, written once."""
+
+    def __init__(self, documents: DataFrame):
+        spark = documents.sparkSession
+        path = fresh_path(spark, "graph-files")
+        rows = tagged_rows(documents)
+        rows.write.partitionBy("tag").parquet(path)
+        self.table = spark.read.schema(rows.schema).parquet(path)
+
+    def part(self, tag: str) -> DataFrame:
+        return self.table.where(F.col("tag") == tag).select(G, "id", "key", "value")
+
+    def release_info(self, on_malformed: str = "error") -> DataFrame:
+        parts = {name: F.get_json_object("value", f"$.{path}") for name, path in RELEASE.items()}
+        return _release_of(
+            self.part("file").select(G, F.col("id").alias("file_name"), *[p.alias(n) for n, p in parts.items()]),
+            on_malformed)
+
+    def graphs(self) -> ObjectGraphs:
+        """The documents' maps as tables keyed by graph and node."""
+        node = F.col("id").cast("long").alias("node")
+
+        def per_node(tag: str, value: Column) -> DataFrame:
+            return self.part(tag).where("id IS NOT NULL").select(G, node, value)
+
+        number, text = F.col("value").cast("long"), F.col("value")
+        members, notes = self.part("data"), self.part("metadata").where("key IS NOT NULL")
+        return ObjectGraphs.build(
+            nodes=members.where("id IS NOT NULL").select(G, node).distinct(),
+            edges=members.where("key IS NOT NULL").select(G, node, "key", number.alias("child")),
+            protos=per_node("protos", number.alias("proto")),
+            meta=notes.select(G, node, "key", F.coalesce(
+                F.get_json_object("value", "$.value").cast("int"), F.lit(0)).alias("is_value")),
+            functions=per_node("functions", text.alias("name")),
+            strings=per_node("toStrings", text.alias("text")),
+            types=self.part("types").where("id IS NOT NULL").select(
+                G, F.col("id").alias("type_name"), number.alias("node")),
+            roots=self.part("root").select(G, number.alias("root")),
+        )
+
+
+def graph_tables(documents: DataFrame) -> ObjectGraphs:
+    return GraphFiles(documents).graphs()
+
+
+def import_graph_files(
+    documents: DataFrame, history: DataFrame, config: ExtractorConfig = ExtractorConfig(), on_malformed: str = "error"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Releases, APIs and support facts of captured graphs, from one scan of their files."""
+    files = GraphFiles(documents)
+    catalog = extract_catalog(files.graphs().settled(), config)
+    return import_catalogs(catalog.join(files.release_info(on_malformed), G).drop(G), history)
