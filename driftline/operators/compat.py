@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import api_of, extract_cols, interface_of, known_positions
+from driftline.operators.division import signature_classes
 from driftline.operators.ranks import ranked
-from driftline.operators.signature import WORD, ReleaseIndex, ships
+from driftline.operators.signature import RELEASE_ORDER, WORD, ReleaseIndex, ships, with_release_key
 
 
 def integrity_violations(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> DataFrame:
@@ -81,6 +82,25 @@ def build_grid(signatures: DataFrame, index: ReleaseIndex) -> DataFrame:
     return signatures.select(F.col("interface_key").alias("id"), data.alias("data"))
 
 
+def grid_of(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The grid and its columns (``pos, release_key``) for any number of releases.
+
+    Releases are numbered by ranges, and each class of APIs is spread out once.
+    """
+    once = with_release_key(releases).select(*RELEASE_ORDER, "release_key").distinct()
+    placed = ranked(once, *RELEASE_ORDER, "release_key")
+    places = placed.numbered().select("release_key", "pos")
+    known = signature_classes(releases, apis, junction, places)
+    words = F.map_from_entries(F.transform("words", lambda w: F.struct(w["word"], w["bits"])))
+    inside = lambda p: F.getbit(
+        F.coalesce(F.element_at("held", F.shiftright(p, 6)), F.lit(0).cast("bigint")), F.pmod(p, F.lit(WORD)).cast("int")) == 1
+    size = placed.before[-1]
+    positions = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")) if size else F.array().cast("array<bigint>")
+    spread = known.classes.withColumn("held", words).select("digest", F.transform(positions, inside).alias("data"))
+    grid = known.signed.join(spread, "digest").select(F.col("interface_key").alias("id"), "data")
+    return grid, places.select("pos", "release_key")
+
+
 def grid_columns(index: ReleaseIndex) -> DataFrame:
     return index.frame.select("pos", "release_key")
 

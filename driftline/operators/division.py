@@ -46,16 +46,18 @@ def _bits(*keys: str | Column, at: str) -> tuple[list[Column], Column]:
     return [*columns, F.shiftright(at, SHIFT).alias("word")], F.bit_or(bit(F.col(at))).alias("bits")
 
 
-def signature_classes(releases: DataFrame, apis: DataFrame, junction: DataFrame) -> Classes:
+def signature_classes(
+    releases: DataFrame, apis: DataFrame, junction: DataFrame, places: DataFrame | None = None
+) -> Classes:
     """The dictionary of distinct support sets, in one fold of the junction.
 
     Facts of releases or APIs that are not listed don't count; listed APIs that ship nowhere are a
-    class too. Releases are numbered as they are written: any numbers will do.
+    class too. Releases are numbered as they are written, for which any numbers will do, or by
+    ``places``.
     """
-    places = cut_lineage(
-        with_release_key(releases).select("release_key").distinct().withColumn("pos", F.monotonically_increasing_id()),
-        "releases",
-    )
+    if places is None:
+        named = with_release_key(releases).select("release_key").distinct()
+        places = cut_lineage(named.withColumn("pos", F.monotonically_increasing_id()), "releases")
     keys, bits = _bits("interface_key", at="pos")
     words = junction.join(places, "release_key").groupBy(*keys).agg(bits).groupBy("interface_key").agg(
         F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
@@ -100,7 +102,7 @@ def headers(measures: DataFrame, keys: Sequence[str]) -> DataFrame:
     return measures.select(*keys, F.col(ANY).isNotNull().alias("needs_some"))
 
 
-def _hits(header: DataFrame, roles: DataFrame, keys: list[str], known: Classes) -> DataFrame:
+def hits(header: DataFrame, roles: DataFrame, keys: list[str], known: Classes) -> DataFrame:
     """``(*keys, block, hit)``: the classes of a block that meet a measure, where there are any."""
     placed = roles.join(known.places, "release_key").select(*keys, "side", "pos").distinct()
     sizes = placed.groupBy(*keys).agg(F.count_if(F.col("side") == ALL).alias("n_all"))
@@ -122,17 +124,37 @@ def _hits(header: DataFrame, roles: DataFrame, keys: list[str], known: Classes)
     return met.join(wanted, keys).select(*keys, "block", F.coalesce(hit, F.lit(0)).alias("hit")).where("hit != 0")
 
 
+def matching_classes(header: DataFrame, roles: DataFrame, keys: list[str], known: Classes) -> DataFrame:
+    """``(*keys, class_id)`` for every class that meets a measure."""
+    inside = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("hit", i) == 1)
+    found = hits(header, roles, keys, known).select(*keys, (F.col("block") * WORD).alias("base"), F.explode(inside).alias("at"))
+    return found.select(*keys, (F.col("base") + F.col("at")).alias("class_id"))
+
+
+def expanded(found: DataFrame, known: Classes) -> DataFrame:
+    """Rows with ``class_id`` for each API of the class."""
+    return found.join(known.classes.select("class_id", "digest"), "class_id").join(known.signed, "digest")
+
+
+def shipped_counts(known: Classes, in_view: DataFrame) -> DataFrame:
+    """``class_id, shipped``: how many of the releases in view (``release_key``) ship a class."""
+    view = in_view.select("release_key").distinct().join(known.places, "release_key")
+    keys, bits = _bits(at="pos")
+    words = view.groupBy(*keys).agg(bits.alias("seen"))
+    own = known.classes.select("class_id", F.explode("words").alias("one")).select("class_id", "one.*").join(words, "word")
+    found = own.groupBy("class_id").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("seen")))).alias("shipped"))
+    return known.classes.select("class_id").join(found, "class_id", "left").select(
+        "class_id", F.coalesce("shipped", F.lit(0)).cast("bigint").alias("shipped"))
+
+
 def matching(
     header: DataFrame, roles: DataFrame, keys: Sequence[str], releases: DataFrame, apis: DataFrame, junction: DataFrame,
 ) -> DataFrame:
     """Like ``matches``, for measures given as headers and long roles."""
     keys = list(keys)
     known = signature_classes(releases, apis, junction)
-    inside = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("hit", i) == 1)
-    found = _hits(header, roles, keys, known).select(*keys, (F.col("block") * WORD).alias("base"), F.explode(inside).alias("at"))
-    classes = found.select(*keys, (F.col("base") + F.col("at")).alias("class_id")).join(
-        known.classes.select("class_id", "digest"), "class_id")
-    return classes.join(known.signed, "digest").select(*keys, "interface_key")
+    found = matching_classes(header, roles, keys, known)
+    return expanded(found, known).select(*keys, "interface_key")
 
 
 def counted(
@@ -144,7 +166,7 @@ def counted(
     weighed = F.aggregate(
         "planes", F.lit(0).cast("bigint"), lambda total, p: total + F.call_function(
             "shiftleft", F.bit_count(p["bits"].bitwiseAND(F.col("hit"))).cast("bigint"), p["plane"]))
-    found = _hits(header, roles, keys, known).join(_weights(known.classes), "block")
+    found = hits(header, roles, keys, known).join(_weights(known.classes), "block")
     return found.groupBy(*keys).agg(F.sum(weighed).alias("value"))
 
 

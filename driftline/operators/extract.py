@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.operators import graph as og
 from driftline.operators.graph import G, NameRules, ObjectGraphs, ProtoForest
 from driftline.operators.postprocess import PostProcessor, default_processors
+from driftline.operators.rounds import DUE, Rounds
 from driftline.session import cut_and_count, cut_lineage, together
 
 # Members every function has, not worth an API of a constructor.
@@ -75,20 +75,20 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
         lambda: cut_and_count(onward, "levels"), lambda: cut_lineage(akin, "akin"))
     taken = first.select(G, F.col("proto").alias("node")).distinct()
     entry = found.frame.select(G, F.col("proto").alias("node"), "owner", "kind")
-    # Rows are owners that passed ``node`` and arrive at ``next`` on ``next_level``.
-    moving = [cut_lineage(entry.join(onward, [G, "node"]), "passed")]
+    # Rows are owners that passed ``node`` and arrive at ``next`` on the level they are due in.
+    walks = Rounds(first.sparkSession, "walks")
+    arriving = [G, "node", "owner", "kind", "next", F.coalesce("next_level", F.lit(-1)).cast("int").alias(DUE)]
+    walks.add(entry.join(onward, [G, "node"]).select(*arriving, F.lit(True).alias("begins")))
     last = onward.agg(F.max("next_level")).first()[0] if n_onward else 0
     for level in range(1, last + 1):
-        here = reduce(DataFrame.unionByName, moving).where(F.col("next_level") == level).select(
-            G, F.col("next").alias("node"), "owner", "kind")
+        here = walks.due(level).select(G, F.col("next").alias("node"), "owner", "kind")
         sharing = here.join(akin, [G, "node", "owner"], "left_semi")
         free = here.join(taken, [G, "node"], "left_anti").groupBy(G, "node").agg(
             F.min(F.struct("kind", "owner")).alias("r"))
         passed = sharing.select(G, "node", "owner", "kind").unionByName(free.select(G, "node", "r.owner", "r.kind")).distinct()
-        moving.append(cut_lineage(passed.join(onward, [G, "node"], "left"), "passed").select(
-            *moving[0].columns))
-    later = [rows.select(G, F.col("node").alias("proto"), "owner") for rows in moving[1:]]
-    return reduce(DataFrame.unionByName, later, first.select(G, "proto", "owner")).distinct()
+        walks.add(passed.join(onward, [G, "node"], "left").select(*arriving, F.lit(False).alias("begins")))
+    later = walks.table().where("NOT begins").select(G, F.col("node").alias("proto"), "owner")
+    return first.select(G, "proto", "owner").unionByName(later).distinct()
 
 
 def instance_levels(
@@ -145,24 +145,21 @@ def apis_from_ctors(found: Owners, class_members: DataFrame) -> DataFrame:
 
 
 def apis_from_protos(
-    claims: DataFrame, class_members: DataFrame, chains: DataFrame
+    claims: DataFrame, class_members: DataFrame, graphs: ObjectGraphs, shown: DataFrame
 ) -> DataFrame:
     """Members of claimed prototypes that are not inherited from further down."""
     holders = claims.select(G, F.col("proto").alias("node")).distinct()
-    fresh = og.without_inherited(
-        class_members.join(holders, [G, "node"], "left_semi"), chains, class_members)
+    fresh = og.without_inherited(class_members.join(holders, [G, "node"], "left_semi"), graphs, shown)
     return fresh.withColumnRenamed("node", "proto").join(claims, [G, "proto"]).select(
         G, "owner", F.col("name").alias("api"), F.col("proto").alias("source"))
 
 
 def apis_from_instances(
-    levels: DataFrame, claims: DataFrame, graphs: ObjectGraphs, class_members: DataFrame,
-    chains: DataFrame,
+    levels: DataFrame, claims: DataFrame, graphs: ObjectGraphs, shown: DataFrame
 ) -> DataFrame:
     """Members that instances add to what their prototypes show."""
     holders = levels.select(G, "node").distinct()
-    fresh = og.without_inherited(
-        og.instance_apis(graphs).join(holders, [G, "node"], "left_semi"), chains, class_members)
+    fresh = og.without_inherited(og.instance_apis(graphs).join(holders, [G, "node"], "left_semi"), graphs, shown)
     return fresh.join(levels, [G, "node"]).join(claims, [G, "proto"]).select(
         G, "owner", F.col("name").alias("api"), F.col("node").alias("source"), "start", "depth")
 
@@ -175,7 +172,7 @@ class Extraction:
     owners: Owners
     claims: DataFrame
     class_members: DataFrame
-    chains: DataFrame
+    shown: DataFrame
     levels: DataFrame
     members: DataFrame
 
@@ -200,24 +197,25 @@ def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
         explored = graphs.explored()
         return explored, owners(explored, rules)
 
-    (graphs, found), forest, class_members = together(
-        owned, lambda: og.proto_forest(graphs),
-        lambda: cut_lineage(og.class_apis(graphs, rules), "class-members"),
-    )
+    def members_and_shown() -> tuple[DataFrame, DataFrame]:
+        members = cut_lineage(og.class_apis(graphs, rules), "class-members")
+        return members, og.shown_by_prototypes(graphs, members)
+
+    (explored, found), forest, (class_members, shown) = together(
+        owned, lambda: og.proto_forest(graphs), members_and_shown)
+    graphs = explored
     claims = cut_lineage(proto_claims(found, forest), "claims")
     levels = cut_lineage(instance_levels(graphs, found, claims, forest), "levels")
-    needed = claims.select(G, F.col("proto").alias("node")).unionByName(levels.select(G, "node"))
-    chains = cut_lineage(forest.chains(needed), "chains")
     nothing = [F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("depth")]
     members = (
-        apis_from_protos(claims, class_members, chains)
+        apis_from_protos(claims, class_members, graphs, shown)
         .select("*", *nothing, F.lit(0).alias("stage"))
         .unionByName(apis_from_ctors(found, class_members)
                      .select("*", *nothing, F.lit(1).alias("stage")))
-        .unionByName(apis_from_instances(levels, claims, graphs, class_members, chains)
+        .unionByName(apis_from_instances(levels, claims, graphs, shown)
                      .select("*", F.lit(2).alias("stage")))
     )
-    return Extraction(graphs, found, claims, class_members, chains, levels, members)
+    return Extraction(graphs, found, claims, class_members, shown, levels, members)
 
 
 def extract_catalog(

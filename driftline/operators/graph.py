@@ -18,6 +18,7 @@ from functools import cached_property, partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.rounds import closure
 from driftline.session import cut_and_count, cut_lineage, together
 
 G = "graph_id"
@@ -97,29 +98,16 @@ def links(graphs: ObjectGraphs) -> DataFrame:
     return own.unionByName(up)
 
 
-HOPS_PER_ROUND = 4
-
-
 def reachable_from_root(graphs: ObjectGraphs) -> DataFrame:
-    """``graph_id, node`` for every object on a path from its graph's root.
-
-    Each round follows several links before its result is written. A hop yields each link
-    at most once, so repeated nodes need not be removed before the round is over.
-    """
+    """``graph_id, node`` for every object on a path from its graph's root, hop by hop."""
     if graphs.reachable is not None:
         return graphs.reachable
     steps = cut_lineage(links(graphs).select(G, "node", "child").distinct(), "links")
-    reached = frontier = graphs.roots.select(G, F.col("root").alias("node"))
-    while True:
-        hops = [frontier]
-        for _ in range(HOPS_PER_ROUND):
-            ahead = steps.join(hops[-1], [G, "node"], "left_semi")
-            hops.append(ahead.select(G, F.col("child").alias("node")))
-        seen = reduce(DataFrame.unionByName, hops[1:]).distinct()
-        frontier, found = cut_and_count(seen.join(reached, [G, "node"], "left_anti"), "reached")
-        if not found:
-            return reached
-        reached = reached.unionByName(frontier)
+    return closure(
+        graphs.roots.select(G, F.col("root").alias("node")),
+        lambda frontier: steps.join(frontier, [G, "node"], "left_semi").select(G, F.col("child").alias("node")),
+        [G, "node"], "reached",
+    )
 
 
 @dataclass(frozen=True)
@@ -353,14 +341,29 @@ def instance_apis(graphs: ObjectGraphs) -> DataFrame:
     return own.select(G, "node", "name").distinct()
 
 
-def without_inherited(
-    members: DataFrame, chains: DataFrame, class_members: DataFrame
-) -> DataFrame:
-    """Members that no prototype further down the chain shows already."""
-    above = class_members.select(G, F.col("node").alias("ancestor"), "name")
-    inherited = (
-        members.join(chains.select(G, "node", "ancestor"), [G, "node"])
-        .join(above, [G, "ancestor", "name"], "left_semi")
-        .select(G, "node", "name").distinct()
+def shown_by_prototypes(graphs: ObjectGraphs, class_members: DataFrame) -> DataFrame:
+    """``graph_id, proto, name``: what each prototype shows, its own or from further down.
+
+    Names are handed on level by level along the links between prototypes, so that what all objects of
+    one prototype inherit is kept once.
+    """
+    parents = graphs.protos.select(G, F.col("proto").alias("node")).distinct()
+    links = cut_lineage(graphs.protos.join(parents, [G, "node"], "left_semi"), "prototype-links")
+    own = class_members.join(parents, [G, "node"], "left_semi")
+    return closure(
+        own.select(G, F.col("node").alias("proto"), "name"),
+        lambda found: found.join(links, [G, "proto"]).select(G, F.col("node").alias("proto"), "name"),
+        [G, "proto", "name"], "shown",
     )
-    return members.join(inherited, [G, "node", "name"], "left_anti")
+
+
+def inherited(nodes: DataFrame, graphs: ObjectGraphs, shown: DataFrame) -> DataFrame:
+    """``graph_id, node, name``: what each object's prototype shows on its behalf."""
+    return nodes.select(G, "node").distinct().join(graphs.protos, [G, "node"]).join(shown, [G, "proto"]).select(
+        G, "node", "name")
+
+
+def without_inherited(members: DataFrame, graphs: ObjectGraphs, shown: DataFrame) -> DataFrame:
+    """Members that no prototype further down the chain shows already."""
+    linked = members.join(graphs.protos, [G, "node"], "left")
+    return linked.join(shown, [G, "proto", "name"], "left_anti").select(*members.columns)

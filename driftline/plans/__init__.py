@@ -2,6 +2,7 @@
 
 from driftline.plans import (  # noqa: F401
     catalog_queries,
+    file_queries,
     graph_queries,
     metric_queries,
     set_queries,

@@ -181,8 +181,8 @@ cells AS (
 
 @query(GRID + "SELECT id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY pos) AS data FROM cells GROUP BY id")
 def build_grid(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = all_signatures(spark, folder)
-    return compat.build_grid(rows, index).select("id", joined("data").alias("data"))
+    grid, _ = compat.grid_of(bindings.releases(spark, folder), bindings.apis(spark, folder), bindings.junction(spark, folder))
+    return grid.select("id", joined("data").alias("data"))
 
 
 @query(GRID + """SELECT id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY pos DESC) AS data
@@ -350,11 +350,17 @@ def api_on_release(spark: SparkSession, folder: str) -> DataFrame:
 # Search
 
 
+def _all_searched(spark: SparkSession, folder: str, specs: dict[str, tuple]) -> DataFrame:
+    """Searches over all releases, with the newest release per browser in view."""
+    releases = bindings.releases(spark, folder)
+    view = default_in_view(with_release_key(releases))
+    return search.search_many(
+        specs, releases, bindings.apis(spark, folder), bindings.junction(spark, folder), view
+    ).select("search", F.col("interface_key").alias("id"))
+
+
 def _searched(spark: SparkSession, folder: str, spec: tuple) -> DataFrame:
-    """Search over all releases, with the newest release per browser in view."""
-    index, rows = all_signatures(spark, folder)
-    newest = {row.browser_name: row.release_key for row in index.rows}
-    return search.search(rows, index, spec, newest.values()).select(F.col("interface_key").alias("id"))
+    return _all_searched(spark, folder, {"": spec}).select("id")
 
 
 SEARCH = BOUND + """,
@@ -416,11 +422,25 @@ def match_all(spark: SparkSession, folder: str) -> DataFrame:
     return _searched(spark, folder, ())
 
 
+@query(SEARCH + """SELECT 'keyword' AS search, id FROM per_api WHERE contains(lower(id), 'econ')
+  UNION ALL SELECT 'shipped', id FROM per_api WHERE n_a1995 = (
+    SELECT count(*) FROM all_releases WHERE release_key LIKE 'A_1995_%') AND n_view = 2
+  UNION ALL SELECT 'absent', id FROM per_api WHERE n_r199 = 0 OR contains(lower(id), 'brand1') AND n_n1996win = 1
+  UNION ALL SELECT 'all', id FROM per_api""")
+def searches(spark: SparkSession, folder: str) -> DataFrame:
+    """Several searches in one pass."""
+    return _all_searched(spark, folder, {
+        "keyword": ("keyword", "ECON"), "shipped": ("and", ("in", "a", "1995"), ("count", 2)),
+        "absent": ("or", ("notin", "R", "199"), ("and", ("keyword", "Brand1"), ("in", "n", "1996", "WIN"))), "all": (),
+        "none": ("or",),
+    })
+
+
 @query(SEARCH + "SELECT count(*) FILTER (WHERE n_view = 2) AS filtered, count(*) AS total FROM per_api")
 def filtered_and_total(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = all_signatures(spark, folder)
-    newest = {row.browser_name: row.release_key for row in index.rows}
-    return compat.filtered_and_total(rows, search.compile_spec(("count", 2), index, newest.values()))
+    found = _searched(spark, folder, ("count", 2)).withColumn("found", F.lit(True))
+    every = bindings.apis(spark, folder).select(F.col("interface_key").alias("id")).join(found, "id", "left")
+    return compat.filtered_and_total(every, F.col("found"))
 
 
 @query(SEARCH + """SELECT id FROM per_api ORDER BY id LIMIT 40 OFFSET 80""")

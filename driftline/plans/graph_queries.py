@@ -118,9 +118,8 @@ def proto_chain(spark: SparkSession, folder: str) -> DataFrame:
 def inherited_apis(spark: SparkSession, folder: str) -> DataFrame:
     """What each object's prototypes show on its behalf."""
     graphs = object_graphs(spark, folder)
-    members = og.class_apis(graphs, RULES).withColumnRenamed("node", "ancestor")
-    chains = og.proto_forest(graphs).chains(graphs.nodes)
-    return chains.join(members, [G, "ancestor"]).select(G, "node", "name").distinct()
+    shown = og.shown_by_prototypes(graphs, og.class_apis(graphs, RULES))
+    return og.inherited(graphs.nodes, graphs, shown)
 
 
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_ctors")
@@ -132,7 +131,7 @@ def apis_from_ctor_or_lib(spark: SparkSession, folder: str) -> DataFrame:
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_protos")
 def apis_from_proto(spark: SparkSession, folder: str) -> DataFrame:
     done = _extraction(spark, folder)
-    return extract.apis_from_protos(done.claims, done.class_members, done.chains)
+    return extract.apis_from_protos(done.claims, done.class_members, done.graphs, done.shown)
 
 
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_instances")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline import model
 from driftline.functions import release_key
 from driftline.operators import metrics
+from driftline.operators.compat import grid_of
 from driftline.operators.signature import ReleaseIndex, signatures
 from driftline.operators.timeline import desktop_only
 from driftline.plans import bindings
@@ -38,17 +39,17 @@ def write_compat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(GRID + "SELECT id, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY pos) AS data FROM cells GROUP BY id")
 def write_grid(spark: SparkSession, folder: str) -> DataFrame:
-    index, rows = all_signatures(spark, folder)
     path = fresh_path(spark, "grid")
-    sinks.write_grid(rows, index, path)
+    sinks.write_grid(*grid_of(
+        bindings.releases(spark, folder), bindings.apis(spark, folder), bindings.junction(spark, folder)), path)
     grid = spark.read.schema("id STRING, data ARRAY<BOOLEAN>").parquet(f"{path}/grid")
     return grid.select("id", joined("data").alias("data"))
 
 
-def _written_metrics(spark: SparkSession, folder: str) -> str:
+def _written_metrics(spark: SparkSession, folder: str, *types: str) -> str:
     path = fresh_path(spark, "metrics")
     facts = bindings.apis(spark, folder), bindings.junction(spark, folder)
-    rows, counts = metrics.run_all_metrics(desktop_only(bindings.releases(spark, folder)), *facts)
+    rows, counts = metrics.run_all_metrics(desktop_only(bindings.releases(spark, folder)), *facts, types)
     sinks.write_metrics(rows, counts, path)
     return path
 
@@ -56,14 +57,14 @@ def _written_metrics(spark: SparkSession, folder: str) -> str:
 @query(VALUE_SQL + " WHERE type = 'LONE_REMOVAL'")
 def write_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """One metric type read from the partitioned metric table."""
-    path = _written_metrics(spark, folder)
+    path = _written_metrics(spark, folder, *model.METRIC_TYPES, model.API_COUNT)
     rows = spark.read.schema(model.BROWSER_METRICS).parquet(f"{path}/browser_metrics")
     return metrics.metrics_of_type(rows, model.LONE_REMOVAL).select(*VALUE_COLUMNS)
 
 
 @query(COUNT_SQL)
 def write_api_counts(spark: SparkSession, folder: str) -> DataFrame:
-    path = _written_metrics(spark, folder)
+    path = _written_metrics(spark, folder, model.API_COUNT)
     return spark.read.schema(model.API_COUNTS).parquet(f"{path}/api_counts").select(*COUNT_COLUMNS)
 
 

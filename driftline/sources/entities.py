@@ -39,24 +39,45 @@ def fill_defaults(table: DataFrame) -> DataFrame:
     ])
 
 
-class NotAnArray(ValueError):
-    """An entity file that does not hold a JSON array."""
+#: What separates two records of an array: the end of one, and the first key of the next. A quote that a
+#: letter follows opens a string, so these characters never lie inside one.
+NEXT_RECORD = '},{"class":"'
+
+
+def _records(spark: SparkSession, path: str, stored: T.StructType, splittable: bool) -> DataFrame:
+    """The objects of JSON arrays, as a column ``r``.
+
+    A splittable array is cut in front of every record by the line reader, so that one file gives as
+    many tasks as it has blocks. Pieces are made arrays again: one that no cut has reached holds
+    several records, or the whole file. Every file must begin and end as an array, which a count of
+    its pieces' brackets tells.
+    """
+    reader = spark.read.option("lineSep", NEXT_RECORD) if splittable else spark.read.option("wholetext", True)
+    pieces = reader.text(path).select(
+        F.trim("value", F.lit(" \t\r\n")).alias("piece"), F.col("_metadata.file_path").alias("file"))
+    first, last = F.startswith("piece", F.lit("[")), F.endswith("piece", F.lit("]"))
+    array = F.concat(
+        F.when(first, F.lit("")).otherwise(F.lit("[" + NEXT_RECORD[2:])), "piece", F.when(last, F.lit("")).otherwise(F.lit("}]")))
+    broken = pieces.groupBy("file").agg(F.count_if(first).alias("begins"), F.count_if(last).alias("ends")).where(
+        "begins != 1 OR ends != 1").select(F.raise_error(F.concat(F.lit("expected a JSON array: "), "file")).cast("string").alias("array"))
+    every = pieces.select(array.alias("array")).union(broken)
+    return every.select(F.explode(F.from_json("array", T.ArrayType(stored), {"mode": "FAILFAST"})).alias("r"))
 
 
 def read_entity_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON-array file of records in camelCase as a table with defaults filled in.
 
-    The format cannot be split, so one file is one task; large tables belong in parquet.
+    Arrays of records that hold plain values, each beginning with its class, are read in as many
+    tasks as the file has blocks; others are one task for each file. Nothing runs before an action;
+    a file that isn't an array then fails the job.
     """
-    whole = spark.read.text(path, wholetext=True)
-    if not whole.where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
-        raise NotAnArray(f"expected a JSON array: {path}")
     dates = {f.name for f in schema.fields if isinstance(f.dataType, T.DateType)}
     stored = T.StructType([
         T.StructField(camel(f.name), T.StringType() if f.name in dates else f.dataType)
         for f in schema.fields
     ])
-    raw = spark.read.schema(stored).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    flat = not any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) for f in schema.fields)
+    raw = _records(spark, path, stored, flat).select("r.*")
     return fill_defaults(raw.select(*[
         (read_date(F.col(camel(f.name))) if f.name in dates else F.col(camel(f.name))).alias(f.name)
         for f in schema.fields

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators.compat import build_grid, compat_columns, grid_columns, pivot_compat
+from driftline.operators.compat import compat_columns, pivot_compat
 from driftline.operators.signature import RELEASE_ORDER, ReleaseIndex, ships
 
 
@@ -26,18 +26,19 @@ def write_compat(signatures: DataFrame, index: ReleaseIndex, folder: str) -> Non
     compat_columns(index).orderBy("pos").write.mode("overwrite").parquet(f"{folder}/compat_columns")
 
 
-def write_grid(signatures: DataFrame, index: ReleaseIndex, folder: str) -> None:
-    build_grid(signatures, index).orderBy("id").write.mode("overwrite").parquet(f"{folder}/grid")
-    grid_columns(index).orderBy("pos").write.mode("overwrite").parquet(f"{folder}/grid_cols")
+def write_grid(grid: DataFrame, columns: DataFrame, folder: str) -> None:
+    """The two tables that ``compat.grid_of`` gives."""
+    grid.orderBy("id").write.mode("overwrite").parquet(f"{folder}/grid")
+    columns.orderBy("pos").write.mode("overwrite").parquet(f"{folder}/grid_cols")
 
 
-def write_metrics(metrics: DataFrame, counts: DataFrame, folder: str) -> None:
-    """Metrics partitioned by type so that one type reads only its own files."""
-    ordered = metrics.orderBy("type", "browser_name", "date")
-    ordered.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/browser_metrics")
-    counts.orderBy("browser_name", "release_date").write.mode("overwrite").parquet(
-        f"{folder}/api_counts"
-    )
+def write_metrics(metrics: DataFrame | None, counts: DataFrame | None, folder: str) -> None:
+    """Metrics partitioned by type so that one type reads only its own files; either table may be missing."""
+    if metrics is not None:
+        ordered = metrics.orderBy("type", "browser_name", "date")
+        ordered.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/browser_metrics")
+    if counts is not None:
+        counts.orderBy("browser_name", "release_date").write.mode("overwrite").parquet(f"{folder}/api_counts")
 
 
 def export_rows(signatures: DataFrame, index: ReleaseIndex, selected: Sequence[str]) -> DataFrame:

@@ -96,8 +96,14 @@ def test_search(spark):
     junction = spark.createDataFrame([(r, k) for k, rs in ships.items() for r in rs], model.JUNCTION)
     rows = signatures(apis, junction, index)
 
+    in_view = spark.createDataFrame([(k,) for k in view], "release_key string")
+
     def found(*spec):
-        return sorted(r.interface_key for r in search.search(rows, index, spec, view).collect())
+        one = sorted(r.interface_key for r in search.search(rows, index, spec, view).collect())
+        many = search.search_many({"x": spec, "other": ("keyword", "beta")}, known, apis, junction, in_view).collect()
+        assert sorted(r.interface_key for r in many if r.search == "x") == one
+        assert [r.interface_key for r in many if r.search == "other"] == ["Doc#beta"]
+        return one
 
     assert len(search.matching_keys(index, ["a", "1", "y", "1"])) == 1
     assert len(search.matching_keys(index, ["ALPHA"])) == 4
@@ -110,3 +116,35 @@ def test_search(spark):
     assert found("or", ("keyword", "none"), ("and", ("in", "b"), ("notin", "a"))) == ["Doc#beta", "Doc#none"]
     with pytest.raises(search.NoReleasesMatch):
         search.compile_spec(("in", "gamma"), index)
+    assert found("and", ("or", ("in", "beta"), ("count", 1)), ("or", ("keyword", "doc"), ("count", 2))) == ["Doc#beta", "Win#all"]
+    assert found("or") == []
+    with pytest.raises(Exception, match="no releases match gamma"):
+        search.search_many({"x": ("in", "gamma")}, known, apis, junction).collect()
+
+
+def test_grid_of_any_number_of_releases(spark):
+    known = rows_of(spark, *[("B", str(i), "OS", "1") for i in range(150)])
+    keys = [r.release_key for r in ReleaseIndex.build(known).rows]
+    ships = {"x#a": keys[::3], "x#b": keys[::3], "x#c": keys[100:], "x#d": []}
+    apis = spark.createDataFrame([(k,) for k in ships], "interface_key string")
+    junction = spark.createDataFrame([(r, k) for k, rs in ships.items() for r in rs], model.JUNCTION)
+    grid, columns = compat.grid_of(known, apis, junction)
+    assert [r.release_key for r in columns.orderBy("pos").collect()] == keys
+    assert {r.id: r.data for r in grid.collect()} == {k: [r in rs for r in keys] for k, rs in ships.items()}
+    empty, none = compat.grid_of(known.limit(0), apis, junction)
+    assert none.count() == 0 and {tuple(r.data) for r in empty.collect()} == {()}
+
+
+def test_pages_come_from_few_ranges(spark):
+    from driftline.operators.ranks import ranked
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("key"), F.lit(1).alias("place"))
+    index = ranked(rows, F.desc("key"))
+    assert index.before[-1] == 5000 and len(index.before) > 3
+    found = index.page(3000, 25, "pos").collect()
+    assert [(r.key, r.pos) for r in found] == [(4999 - p, p) for p in range(3000, 3025)]
+    assert index.page(4990, 40).count() == 10 and index.page(5000, 5).count() == 0
+    numbered = index.numbered().collect()
+    assert sorted((r.pos, r.key) for r in numbered) == [(p, 4999 - p) for p in range(5000)]
+    assert index.numbered().columns == ["id", "key", "place", "pos"]
+    assert ranked(rows.limit(0), "key").page(0, 10).count() == 0

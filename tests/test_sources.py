@@ -61,8 +61,28 @@ def test_entity_files(spark, tmp_path):
     path.write_text("[]")
     assert entities.read_entity_json(spark, str(path), model.RELEASES).isEmpty()
     path.write_text('{"browserName": "A"}')
-    with pytest.raises(entities.NotAnArray):
-        entities.read_entity_json(spark, str(path), model.RELEASES)
+    with pytest.raises(Exception, match="expected a JSON array"):
+        entities.read_entity_json(spark, str(path), model.RELEASES).collect()
+    path.write_text('[{"browserName": "A"')
+    with pytest.raises(Exception):
+        entities.read_entity_json(spark, str(path), model.RELEASES).collect()
+
+
+def test_large_arrays_are_split(spark, tmp_path):
+    rows = [(f"r{i}", f'x}},{{"#"}},{{{i % 7}' if i % 3 else f'y\\"}},{{"class":"{i}') for i in range(60_000)]
+    records = [{"class": "a.Junction", "releaseKey": r, "interfaceKey": i} for r, i in rows]
+    path = tmp_path / "Junction.json"
+    path.write_text(json.dumps(records, separators=(",", ":")))
+    (tmp_path / "Spaced.json").write_text(json.dumps(records[:50], indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        table = entities.read_entity_json(spark, str(path), model.JUNCTION)
+        assert sorted(map(tuple, table.collect())) == sorted(rows)
+        assert table.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spaced = entities.read_entity_json(spark, str(tmp_path / "Spaced.json"), model.JUNCTION)
+    assert sorted(map(tuple, spaced.collect())) == sorted(rows[:50])
 
 
 def test_allow_list():
