@@ -8,6 +8,7 @@ cells of a table are aligned in columns. Pages are independent, so one pass over
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -31,8 +32,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style xmp iframe noembed noframes".split())
 RCDATA = {"title", "textarea"}
 NEVER_SHOWN = set(
-    "head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math".split()
+    "head script style template noscript iframe noembed noframes title datalist object audio video canvas".split()
 )
+#: Of drawings and formulas, what is described but not drawn.
+UNDRAWN = {"svg": set("desc defs metadata symbol clippath mask pattern marker".split()),
+           "math": {"annotation", "annotation-xml"}}
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table menu fieldset hr".split())
 BLOCKS = SPACED | set(
     "html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup legend"
@@ -55,10 +59,14 @@ IMPLIED_ENDS = {
 }
 #: Closing tags look no further up than this.
 SCOPES = {"table", "td", "th", "caption", "html"}
-#: Cells are padded to their column's width, but no further than this.
-WIDEST_PADDING = 40
-#: Tables inside this many others are laid out as plain blocks.
-DEEPEST_TABLE = 4
+#: Cells are padded to their column's width, but no further than this, as each row pays for the widest.
+WIDEST_PADDING = 80
+#: Tables inside this many others are laid out as plain blocks, as each level lays out its text again.
+DEEPEST_TABLE = 32
+#: Columns and rows that a cell may span, as in the standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SIMPLE = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][a-z_-][a-z0-9_-]*)*)", re.I)
 
 
 class Flow:
@@ -106,30 +114,64 @@ class Flow:
         self.spaced = False
 
 
+class Cell:
+    __slots__ = ("column", "lines", "rows", "span")
+
+    def __init__(self, lines: list[str], span: int, rows: int):
+        self.lines, self.span, self.rows, self.column = lines, span, rows, 0
+
+
 class Table:
-    """Rows of cells; a cell is its lines and the columns it spans."""
+    """Rows of cells; a cell is its lines and the columns and rows it spans."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[Cell]] = []
         self.caption: list[str] = []
 
+    def place(self) -> None:
+        """Give each cell the first column that no cell from above takes."""
+        taken: dict[int, int] = {}  # column to the first row that is free again
+        for number, row in enumerate(self.rows):
+            column = 0
+            for cell in row:
+                while taken.get(column, 0) > number:
+                    column += 1
+                cell.column = column
+                if cell.rows > 1:
+                    for c in range(column, column + cell.span):
+                        taken[c] = number + cell.rows
+                column += cell.span
+
     def lines(self) -> Iterator[str]:
         yield from self.caption
+        self.place()
         widths: dict[int, int] = {}
         for row in self.rows:
-            column = 0
-            for lines, span in row:
-                if span == 1 and lines:
-                    widths[column] = max(widths.get(column, 0), min(WIDEST_PADDING, max(map(len, lines))))
-                column += span
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                out, column = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(column + k, 0) for k in range(min(span, 1000))) + 2 * (min(span, 1000) - 1)
-                    out.append((lines[i] if i < len(lines) else "").ljust(width))
-                    column += span
-                yield "  ".join(out).rstrip()
+            for cell in row:
+                if cell.span == 1 and cell.lines:
+                    widths[cell.column] = max(widths.get(cell.column, 0), min(WIDEST_PADDING, max(map(len, cell.lines))))
+        columns = sorted(widths)
+        starts, at = {}, 0
+        for column in columns:
+            starts[column] = at
+            at += widths[column] + 2
+        # A column that no cell has for itself begins where the next one that has text does.
+        begin = lambda column: starts[columns[i]] if (i := bisect.bisect_left(columns, column)) < len(columns) else at
+        above: list[tuple[int, Cell, int]] = []  # lines of cells that go on: last row, cell, lines given
+        for number, row in enumerate(self.rows):
+            cells = [(number + cell.rows - 1, cell, 0) for cell in row] + above
+            last = number == len(self.rows) - 1
+            # Cells that end here are given whole, others as far as the row goes.
+            height = max((len(c.lines) - given for end, c, given in cells if end <= number or last), default=0)
+            cells.sort(key=lambda x: x[1].column)
+            for i in range(height):
+                out = ""
+                for _, cell, given in cells:
+                    text = cell.lines[given + i] if given + i < len(cell.lines) else ""
+                    if text:
+                        out = out.ljust(begin(cell.column)) + ("  " if len(out) > begin(cell.column) else "") + text
+                yield out.rstrip()
+            above = [(end, c, given + height) for end, c, given in cells if end > number and given + height < len(c.lines)]
 
 
 class Element:
@@ -148,6 +190,53 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def spanned(text: str, most: int) -> int:
+    return min(most, max(1, int(text))) if re.fullmatch(r"[0-9]{1,9}", text.strip()) else 1
+
+
+class Rules:
+    """Rules of style elements that hide or show by tag, class or id; others are left out."""
+
+    def __init__(self) -> None:
+        self.known: list[tuple[tuple[int, int, int], int, str, frozenset[str], frozenset[str], dict[str, str]]] = []
+
+    def read(self, text: str) -> None:
+        text = re.sub(r"/\*.*?(?:\*/|\Z)", " ", text, flags=re.S)
+        for selectors, body in RULE.findall(without_at_rules(text)):
+            said = {}
+            for part in body.lower().split(";"):
+                name, _, value = part.partition(":")
+                if name.strip() in ("display", "visibility"):
+                    said[name.strip()] = value.replace("!important", "").strip()
+            for selector in selectors.split(",") if said else ():
+                if (m := SIMPLE.fullmatch(selector.strip())) and m[0]:
+                    names = re.findall(r"[.#][^.#]+", m[2])
+                    ids = frozenset(n[1:] for n in names if n[0] == "#")
+                    classes = frozenset(n[1:] for n in names if n[0] == ".")
+                    tag = "" if m[1] in (None, "*") else m[1].lower()
+                    self.known.append(((len(ids), len(classes), bool(tag)), len(self.known), tag, classes, ids, said))
+
+    def of(self, tag: str, given: dict[str, str]) -> dict[str, str]:
+        """What the rules say of an element; the most specific and then the last one counts."""
+        classes, ids = set(given.get("class", "").split()), {given.get("id", "")}
+        met = [r for r in self.known if r[2] in ("", tag) and r[3] <= classes and r[4] <= ids]
+        return {name: value for r in sorted(met, key=lambda r: r[:2]) for name, value in r[5].items()}
+
+
+def without_at_rules(text: str) -> str:
+    """A style sheet without rules that begin with an at sign, and what is nested in them."""
+    out, at = [], 0
+    while (start := text.find("@", at)) >= 0:
+        out.append(text[at:start])
+        stop = re.compile(r"[;{]|\Z").search(text, start).start()
+        depth = int(text[stop : stop + 1] == "{")
+        at = stop + 1
+        while depth and at < len(text):
+            depth += {"{": 1, "}": -1}.get(text[at], 0)
+            at += 1
+    return "".join(out) + text[at:]
+
+
 class Page:
     """Tree builder and renderer; only the open elements are kept."""
 
@@ -157,6 +246,7 @@ class Page:
         self.flows, self.tables = [Flow()], []
         self.title: str | None = None
         self.lists = 0
+        self.rules = Rules()
 
     # Tree building
 
@@ -234,25 +324,30 @@ class Page:
         above = self.open[-1] if self.open else None
         hides = above.hides if above else False
         shown = above.shown if above else True
-        if tag in NEVER_SHOWN:
+        if tag in NEVER_SHOWN or any(tag in names and self.counts[around] for around, names in UNDRAWN.items()):
             hides = True
         given: dict[str, str] = {}
-        if attrs and (tag in ("ol", "li", "td", "th", "input") or LOOKS_HIDDEN.search(attrs)):
+        if attrs and (tag in ("ol", "li", "td", "th", "input") or self.rules.known or LOOKS_HIDDEN.search(attrs)):
             given = attributes(attrs)
-            style = given.get("style", "").lower().replace(" ", "")
-            if "hidden" in given and given["hidden"].lower() != "until-found" or "display:none" in style:
-                hides = True
-            if "visibility:hidden" in style or "visibility:collapse" in style:
-                shown = False
-            elif "visibility:visible" in style:
-                shown = True
+        said = self.rules.of(tag, given) if self.rules.known else {}
+        if "hidden" in given and given["hidden"].lower() != "until-found":
+            said.setdefault("display", "none")
+        for part in given.get("style", "").lower().split(";"):
+            name, _, value = part.partition(":")
+            said[name.strip()] = value.replace("!important", "").strip()
+        if said.get("display") == "none":
+            hides = True
+        if said.get("visibility") in ("hidden", "collapse"):
+            shown = False
+        elif said.get("visibility") == "visible":
+            shown = True
         element = Element(tag, shown, hides, tag in ("pre", "textarea") or bool(above and above.pre))
         self.open.append(element)
         self.counts[tag] += 1
         if hides:
             return
         flow = self.flows[-1]
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "text" and self.counts["svg"]:
             flow.end_line(tag in SPACED and not (self.lists and tag in ("ul", "ol", "menu", "dir")))
         if tag in ("ul", "ol", "menu", "dir"):
             self.lists += 1
@@ -285,10 +380,10 @@ class Page:
             else:
                 if tag != "caption" and not table.rows:
                     table.rows.append([])
-                span = given.get("colspan", "1")
-                span = min(1000, max(1, int(span))) if re.fullmatch(r"[0-9]{1,4}", span) else 1
                 self.flows.append(Flow())
-                element.put = (table, span)
+                rows = given.get("rowspan", "1")
+                rows = MOST_ROWS if rows.strip() == "0" else spanned(rows, MOST_ROWS)
+                element.put = (table, spanned(given.get("colspan", "1"), MOST_COLUMNS), rows)
         elif tag == "input" and given.get("type", "text").lower() in ("submit", "button", "reset") and shown:
             flow.text(" " + given.get("value", "") + " ")
 
@@ -304,7 +399,7 @@ class Page:
         if e.hides:
             return
         flow, tag = self.flows[-1], e.tag
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "text" and self.counts["svg"]:
             flow.end_line(tag in SPACED and not (self.lists > 1 and tag in ("ul", "ol", "menu", "dir")))
         if tag in ("ul", "ol", "menu", "dir"):
             self.lists -= 1
@@ -323,11 +418,11 @@ class Page:
             flow.gap = True
         elif e.put is not None:
             self.flows.pop()
-            table, span = e.put
+            table, span, rows = e.put
             if tag == "caption":
                 table.caption += flow.lines
             else:
-                table.rows[-1].append((flow.lines, span))
+                table.rows[-1].append(Cell(flow.lines, span, rows))
 
     def text(self, text: str) -> None:
         if not self.open or self.open[-1].tag == "head":
@@ -351,6 +446,8 @@ class Page:
             self.title = SPACE.sub(" ", html.unescape(text)).strip()
         elif tag == "textarea":
             self.text(text)
+        elif tag == "style":
+            self.rules.read(text)
         self.end(tag)
 
 
@@ -373,8 +470,8 @@ def render(source: str) -> tuple[str, str | None]:
                 break
             else:
                 page.start(tag, attrs)
-        elif token["data"] and page.inside("svg"):
-            page.text(token["data"])
+        elif token["data"] and (page.inside("svg") or page.inside("math")):
+            page.text(token["data"].replace("&", "&amp;"))
     page.text(source[at:])
     while page.open:
         page.end_top()
@@ -388,7 +485,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", source: str = "html") ->
     Returns ``page_id, title, text, n_chars, n_lines``. A null page or one without visible text has
     an empty text and no lines; without a title element the title is null. Broken markup is mended
     as browsers do in the common cases: missing and superfluous tags, unclosed comments and quotes.
-    A null page_id stays null; repeated rows are rendered each; other columns are left out.
+    Text of drawings and formulas is shown, their descriptions aren't. Rules of style elements hide if
+    they name a tag, classes or an id, and stand before what they hide. Columns are aligned up to
+    ``WIDEST_PADDING`` characters, in tables inside fewer than ``DEEPEST_TABLE`` others. A null page_id stays null; repeated rows are rendered each; other columns are left out.
     """
     kind = pages.schema[page_id].dataType.simpleString()
 

@@ -224,9 +224,11 @@ def _placed(stored: DataFrame, weights: Mapping[str | None, float] | None) -> tu
         "place", F.col("base") + F.col("before")
     ).drop("base", "before", "part")
     alone = placed.where(F.col("lane") < len(own)).drop("source")
-    # The shared lane: its queues are merged by how far through its queue a document begins.
+    # The shared lane: its queues are merged by how far through its queue a document's middle lies. Each
+    # queue begins somewhere else, so that queues of one document don't meet in one place.
+    begins = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
     joint = placed.where(F.col("lane") == len(own)).drop("ids").join(queues, "source").withColumn(
-        "through", F.col("place") / F.col("tokens")
+        "through", F.pmod((F.col("place") + F.col("n") / 2) / F.col("tokens") + begins, F.lit(1.0))
     ).withColumn("range", F.floor(F.col("through") * RANGES))
     before = (
         joint.groupBy("range").agg(F.sum("n").alias("n"))

@@ -90,25 +90,33 @@ WITH m AS (
   SELECT conv_id, turn, coalesce(regexp_replace(role, '[<|>\n]', '_', 'g'), 'unknown') AS role,
     replace(coalesce(text, ''), '<|', '< |') AS text, count(*) AS copies
   FROM conversations GROUP BY ALL),
-s AS (SELECT *, coalesce(floor(turn / 64), -1)::BIGINT AS segment FROM m),
 speakers AS (
-  SELECT conv_id, segment, role AS speaker FROM s WHERE role <> 'system' GROUP BY ALL
-  UNION ALL SELECT conv_id, segment, NULL FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE role <> 'system') = 0),
+  SELECT conv_id, role AS speaker FROM m WHERE role <> 'system' GROUP BY ALL
+  UNION ALL SELECT conv_id, NULL FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE role <> 'system') = 0),
+s AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 64 AS segment FROM m),
+openings AS (
+  SELECT conv_id, string_agg('<|system|>' || chr(10) || text || '<|end|>' || chr(10), ''
+    ORDER BY turn NULLS FIRST, role, text) AS opening
+  FROM s WHERE segment = 0 AND role = 'system' GROUP BY conv_id),
 pieces AS (
   SELECT s.*, p.speaker, coalesce(role = p.speaker, false) AS learn,
     CASE WHEN role = 'system' THEN '<|system|>' WHEN role = p.speaker THEN '<|assistant|>'
       ELSE '<|user:' || role || '|>' END || chr(10) AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.segment = p.segment),
+  FROM s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker
-    ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM pieces)
-SELECT conv_id, segment, 0::BIGINT AS part, speaker, count(*) AS n_messages, sum(copies)::BIGINT AS n_rows,
-  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg((began + length(head)) || '-' || (began + length(head) + length(body)), ','
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker
+    ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS began FROM pieces),
+sides AS (SELECT *, min(began) OVER (PARTITION BY conv_id, speaker, segment) AS "offset" FROM placed)
+SELECT d.conv_id, speaker, segment, "offset", count(*) AS n_messages, sum(copies)::BIGINT AS n_rows,
+  CASE WHEN segment > 0 THEN coalesce(opening, '') ELSE '' END AS opening,
+  string_agg(head || body, '' ORDER BY began) AS text,
+  coalesce(string_agg((began - "offset" + length(head)) || '-' || (began - "offset" + length(head) + length(body)), ','
     ORDER BY began) FILTER (WHERE learn), '') AS spans,
   coalesce(sum(length(body)) FILTER (WHERE learn), 0)::BIGINT AS n_learn
-FROM placed GROUP BY conv_id, segment, speaker
+FROM sides d LEFT JOIN openings o ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+GROUP BY d.conv_id, speaker, segment, "offset", opening
 """)
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every speaker's side."""
@@ -135,42 +143,43 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _template_rows() -> str:
     return ", ".join(
-        f"({n}, '{t.label}', {t.exact}, string_split('{' '.join(t.words)}', ' '))"
+        f"({n}, '{t.label}', {t.exact}, {t.base}, {t.votes}, string_split('{' '.join(t.words)}', ' '))"
         for n, t in enumerate(licenses.templates())
     )
 
 
 @query(r"""
-WITH t(template, label, exact, t_words) AS (VALUES """ + _template_rows() + r"""),
+WITH t(template, label, exact, base, needed, t_words) AS (VALUES """ + _template_rows() + r"""),
 places AS (
-  SELECT template, label, exact, t_words, i - 1 AS t_place, t_words[i] AS a, t_words[i + 1] AS b,
-    CASE WHEN NOT exact THEN t_words[i + 2] END AS c
+  SELECT template, i - 1 AS t_place, t_words[i] AS a, t_words[i + 1] AS b, CASE WHEN NOT exact THEN t_words[i + 2] END AS c
   FROM (SELECT *, unnest(range(1, len(t_words) + CASE WHEN exact THEN 0 ELSE -1 END)) AS i FROM t)),
 d AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    '[^ -/:-`{-]+') AS words
   FROM documents),
 grams AS (
   SELECT doc_id, words, i - 1 AS place, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
   FROM (SELECT *, unnest(range(1, len(words))) AS i FROM d WHERE len(words) > 1)),
 diagonals AS (
-  SELECT DISTINCT doc_id, words, template, label, exact, t_words, place - t_place AS diagonal
-  FROM grams g JOIN places p ON g.a = p.a AND g.b = p.b AND (p.c IS NULL OR p.c = g.c)),
+  SELECT doc_id, words, template, place - t_place AS diagonal, count(*) AS votes
+  FROM grams g JOIN places p ON g.a = p.a AND g.b = p.b AND (p.c IS NULL OR p.c = g.c) GROUP BY ALL),
 apart AS (
-  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > 2, true) THEN 1 ELSE 0 END AS n
-  FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+  SELECT g.*, label, exact, base, needed, t_words,
+    CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > 2, true) THEN 1 ELSE 0 END AS n
+  FROM diagonals g JOIN t USING (template) WINDOW w AS (PARTITION BY doc_id, g.template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
-agreeing AS (
-  SELECT * FROM (SELECT *, unnest(range(0, len(t_words))) AS i FROM numbered)
-  WHERE i + diagonal >= 0 AND i + diagonal < len(words) AND t_words[i + 1] = words[i + diagonal + 1]),
+voted AS (
+  SELECT *, unnest(range(0, len(t_words))) AS i FROM (
+    SELECT * FROM numbered QUALIFY sum(votes) OVER (PARTITION BY doc_id, template, span) >= needed)),
 spans AS (
-  SELECT doc_id, label, exact, count(DISTINCT i) / len(t_words) AS share, min(diagonal + i) AS start
-  FROM agreeing GROUP BY doc_id, template, label, exact, t_words, span),
+  SELECT doc_id, label, base, exact, count(DISTINCT i) / len(t_words) AS share, min(diagonal + i) AS start
+  FROM voted WHERE i + diagonal >= 0 AND i + diagonal < len(words) AND t_words[i + 1] = words[i + diagonal + 1]
+  GROUP BY doc_id, template, label, base, exact, t_words, span),
 good AS (SELECT * FROM spans WHERE share >= CASE WHEN exact THEN 1 ELSE 0.8 END)
-SELECT d.doc_id, len(d.words) AS n_words, count(g.label) FILTER (WHERE exact) AS n_base,
-  min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '') AS base_labels,
+SELECT d.doc_id, len(d.words) AS n_words, count(g.label) FILTER (WHERE base) AS n_base,
+  min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0) AS score
 FROM d LEFT JOIN good g USING (doc_id) GROUP BY d.doc_id, d.words
 """)
@@ -200,7 +209,7 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all documents lose to strings of 400 bytes that occur elsewhere."""
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")  # ``text`` holds the same
 
 
 @query()

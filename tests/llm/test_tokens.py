@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -108,6 +109,23 @@ def test_small_queues_share_a_lane(spark):
     assert_whole(rows, corpus)
 
 
+def test_a_long_tail_of_sources_fills_all_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGES", 64)
+    rows = spark.range(100_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("site"), "id").alias("source"), F.lit(8).cast("long").alias("n"),
+        F.lit(0).cast("long").alias("before"), F.lit(b"x").alias("ids"), F.col("id").alias("row"),
+        F.shiftright("id", 15).alias("part"))
+    placed, lanes = packing._placed(rows, None)
+    places = sorted(r.place for r in placed.select("place").collect())
+    assert places == list(range(0, 800_000, 8)) and lanes.tokens.tolist() == [800_000]
+    # Neighbours in the lane come from everywhere, and no range holds twice the mean.
+    first = [r.doc_id for r in placed.where("place < 8 * 1000").collect()]
+    assert len({i // 10_000 for i in first}) == 10
+    begins = F.pmod(F.xxhash64(F.concat(F.lit("="), "source")), F.lit(1 << 20)) / (1 << 20)
+    sizes = rows.groupBy(F.floor(F.pmod(F.lit(0.5) + begins, F.lit(1.0)) * 64).alias("range")).count().collect()
+    assert len(sizes) == 64 and max(r["count"] for r in sizes) < 2 * 100_000 / 64
+
+
 def test_windows_hold_the_target_mixture(spark):
     corpus = [(i, "word " * 997, "ab"[i % 4 == 0]) for i in range(80)]
     rows = packed(spark.createDataFrame(corpus, "doc_id long, text string, source string"), weights=None)
