@@ -8,7 +8,6 @@ that holds most of the junction becomes a hot task.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -79,11 +78,6 @@ class ReleaseIndex:
         local = self.spark.createDataFrame(pa.table(columns, names=names))
         return local.coalesce(1) if len(self.rows) <= TINY else local
 
-    @cached_property
-    def key_array(self) -> Column:
-        """All keys in order, as one constant."""
-        return F.from_json(F.lit(json.dumps(self.keys)), "array<string>")
-
     def mask(self, keys: Iterable[str]) -> list[int]:
         """Bit words of a set of release keys, as signed 64-bit numbers."""
         words = [0] * self.n_words
@@ -92,17 +86,6 @@ class ReleaseIndex:
             words[pos // WORD] |= 1 << (pos % WORD)
         return [w - (1 << WORD) if w >= 1 << (WORD - 1) else w for w in words]
 
-    def mask_of(self, keys: Column) -> Column:
-        """``array<bigint>`` of words for a column holding an array of release keys."""
-        positions = self.positions_of(keys)
-        return F.array(*[_folded(positions, word) for word in range(self.n_words)])
-
-    def positions_of(self, keys: Column) -> Column:
-        """``array<int>`` of positions for a column holding an array of release keys."""
-        known = self.key_array
-        found = F.transform(keys, lambda k: (F.array_position(known, k) - 1).cast("int"))
-        return F.filter(found, lambda pos: pos >= 0)
-
 
 def bit(pos: Column) -> Column:
     return F.call_function(
@@ -115,13 +98,6 @@ def _bit_in_word(pos: Column, word: int) -> Column:
     return F.when(inside, bit(pos)).otherwise(F.lit(0).cast("bigint"))
 
 
-def _folded(positions: Column, word: int) -> Column:
-    return F.aggregate(
-        positions, F.lit(0).cast("bigint"),
-        lambda acc, pos: acc.bitwiseOR(_bit_in_word(pos, word)),
-    )
-
-
 def word_columns(n_words: int) -> list[str]:
     return [f"w{i}" for i in range(n_words)]
 

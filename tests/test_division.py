@@ -104,7 +104,7 @@ def test_one_release_that_all_measures_name(spark):
     }
     assert counted == {i: n for i, n in expected.items() if n}
     # A measure meets the blocks of classes, not APIs.
-    hits = division._hits(division.headers(asked, ["id"]), division.long_roles(asked, ["id"]), ["id"], known)
+    hits = division.hits(division.headers(asked, ["id"]), division.long_roles(asked, ["id"]), ["id"], known)
     blocks = known.classes.select(F.shiftright("class_id", 6)).distinct().count()
     assert hits.count() <= len(measures) * blocks < len(measures) * 40
 
