@@ -4,13 +4,15 @@ Documents with equal shingle sets are one class. The signatures of the classes a
 slot orders; classes that stand together and share a prefix are candidates. A region of classes with
 a common prefix that is small gives all its pairs; a larger one gives its neighbours, and goes one
 slot deeper, until its parts are small. Candidates whose signatures agree enough are confirmed on
-the full sets, and links are followed to components. Classes of larger regions that are then still
-apart meet by the rarest shingles of their sets, one of which linked ones must share.
+the full sets, and links are followed to components. Large regions with a class in common are one
+crowd; its classes that are still apart then meet all others of it, block by block, and a pair of
+blocks gives no more links than it needs to hold together what they link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shingles import mixed, shingles
+from driftline.llm.shingles import STEP, mixed, shingles
 from driftline.session import cut_and_count, cut_lineage
 
 WORDS = 5
@@ -98,19 +100,36 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+#: What a row of ``_neighbours`` is: a candidate pair, a class and the first one of its large region, or
+#: the first class of a region at the edge of a range and the region's key.
+PAIR, TOGETHER, EDGE = 0, 1, 2
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one range of sorted rows; a pair of a class and itself marks one of a large region."""
+    """Candidate pairs, and the members of large regions, of one range of sorted rows."""
     tables = [pa.Table.from_batches([b]) for b in batches]
     if not tables:
         return
     rows = pa.concat_tables(tables)
     o, k, t0, t1, t2, node = (np.asarray(c.combine_chunks()) for c in rows.columns)
+    if not len(node):
+        return
+
+    def found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"]
+        )
+
     run = _runs(o, k)
     sizes = np.bincount(run)
     tails = np.stack([t0, t1, t2], axis=1).view(np.uint16)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    first = node[starts]
     # A region may go on in the neighbouring range.
-    crowded = np.unique(node[(sizes[run] > SMALL) | (run == 0) | (run == run[-1])])
-    yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.array(crowded)], ["a", "b"])
+    edges = np.unique(run[[0, -1]])
+    yield found(EDGE, first[edges], (mixed(k.astype(np.uint64) + o.astype(np.uint64) * STEP)).view(np.int64)[starts[edges]])
+    crowded = np.flatnonzero((sizes[run] > SMALL) | np.isin(run, edges))
+    yield found(TOGETHER, node[crowded], first[run[crowded]])
     active = np.flatnonzero(sizes[run] > 1)
     run, node, tails = run[active], node[active], tails[active]
     deeper = np.stack([t0, t1, t2], axis=1)[active].byteswap().view(np.uint16).reshape(-1, TAIL)
@@ -119,7 +138,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = node[i], node[i + distance]
         good = ((tails[i] == tails[i + distance]).sum(axis=1) >= TAIL_AGREES) & (a != b)
         a, b = a[good], b[good]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return found(PAIR, np.minimum(a, b), np.maximum(a, b))
 
     open_ = np.ones(len(run), dtype=bool)
     for depth in range(TAIL + 1):
@@ -142,14 +161,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = _runs(run, deeper[:, depth])
 
 
-def candidates(classes: DataFrame, n_classes: int) -> DataFrame:
-    """Distinct pairs of classes that stand together in some order, and marks of those in large regions."""
+def candidates(classes: DataFrame, n_classes: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of classes that stand together in some order, and links between those in large regions."""
     tasks = max(
         int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_classes * ORDERS // ROWS)
     )
     ordered = _sorted_rows(classes).repartitionByRange(tasks, "o", "k", "t0", "t1", "t2", "node")
-    found = ordered.sortWithinPartitions("o", "k", "t0", "t1", "t2", "node").mapInArrow(_neighbours, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("met"))
+    found = ordered.sortWithinPartitions("o", "k", "t0", "t1", "t2", "node").mapInArrow(
+        _neighbours, "kind byte, a long, b long"
+    )
+    found = cut_lineage(found, "minhash-found")
+    pairs, together, edges = (found.where(F.col("kind") == kind).drop("kind") for kind in (PAIR, TOGETHER, EDGE))
+    # A few rows for each range: the parts of a region that lies in several.
+    across = edges.join(edges.groupBy("b").agg(F.min("a").alias("first")), "b").select("a", F.col("first").alias("b"))
+    together = together.union(across).where("a != b").distinct()
+    return pairs.distinct(), cut_lineage(together, "minhash-together")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -182,12 +208,11 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def _sets(documents: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Full sets of the documents that stand for the classes in ``pairs``, each set of a doc_id once."""
+def _sets(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Full sets of the documents that stand for the classes in ``nodes``, each set of a doc_id once."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(bit("node").alias("bit"))
     # At most FILTER_BITS / 64 rows, whatever the number of documents.
-    words = nodes.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+    words = nodes.select(bit("node").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
     )
     given = documents.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
@@ -242,15 +267,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
 
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of links between ``a`` and ``b``, and the smallest node each one leads to."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while (apart := least[a] != least[b]).any():
+        a, b = a[apart], b[apart]
+        one, two = least[a], least[b]
+        # Roots are tied to smaller roots, and then everybody to their root.
+        np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
+        while (up := least[least])[least != up].size:
+            least = up
+    return nodes, nodes[least]
+
+
+#: Links that one task follows by itself.
+LINKS = 2_000_000
+
+
+def _followed(links: DataFrame, tasks: int) -> DataFrame:
+    """Links of each task's nodes to the smallest one that its own links lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if tables:
+            rows = pa.concat_tables(tables)
+            nodes, least = smallest_reached(*(np.asarray(rows[c].combine_chunks()) for c in "ab"))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["a", "b"])
+
+    return links.coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for all nodes of ``links`` (``a, b``); the component is its smallest node.
 
-    Large and small stars in turn: every round ties neighbours to the smallest one, without ever
-    gathering a node's neighbours, until only stars are left.
+    Each task follows the links it has; what is left of them is at most one for each of its nodes.
+    If there are several tasks, large and small stars follow in turn: a round ties neighbours to the
+    smallest one, without ever gathering a node's neighbours, until only stars are left.
     """
     state = None
-    links = cut_lineage(links.select("a", "b"), "links")
+    links, n = cut_and_count(links.select("a", "b"), "links")
     while True:
+        tasks = max(1, -(-n // LINKS))
+        links = _followed(links, tasks)
+        if tasks == 1:
+            return cut_lineage(links, "links").toDF("node", "component")
+        links = cut_lineage(links.where("a != b"), "links")
         around = links.union(links.select("b", "a")).toDF("u", "v")
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -258,8 +321,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v != m").select("v", "m").union(least.select("u", "m")).toDF("a", "b")
-        links = cut_lineage(small.distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+        links, n = cut_and_count(small.distinct(), "links")
+        now = n, links.agg(F.sum(F.xxhash64("a", "b") % (1 << 40))).first()[0]
         if now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select("b", "b").distinct()
@@ -286,162 +349,117 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where("a_in != b_in")
 
 
-#: Members of a large component that stand for it.
-CENTRES = 8
+#: Bytes of a block, those of a class beside its set, and the blocks that smaller crowds are cut into.
+BLOCK_BYTES, BESIDE, SPREAD, LEAST = 16 << 20, 300, 8, 128
 
 
-def _to_centres(pairs: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of a class that came near a large component and the members in the middle of that one.
+def _blocks(crowds: DataFrame, sets: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Classes of crowds that aren't one component yet, by pairs of blocks.
 
-    In a large region a class meets its neighbours only, and may be linked to few of a group. Of such
-    a group, those that agree best with the classes they met are most alike to all others.
+    The largest component of a crowd has blocks of its own, which only meet those of the rest: its
+    classes need no comparison with each other.
     """
-    crowds = known.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("component")
-    sides = pairs.select("a", "agree").union(pairs.select("b", "agree")).toDF("node", "agree")
-    middle = (
-        sides.groupBy("node").agg(F.avg("agree").alias("agree")).join(known, "node").join(crowds, "component")
-        .groupBy("component", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("one"))
-        .agg(F.max_by("node", F.struct("agree", "node")).alias("centre"))
+    placed = crowds.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut_lineage(placed.join(classes.select("node", "digest", "n"), "node"), "minhash-crowds")
+    sizes = placed.groupBy("crowd", "component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
+    largest = sizes.groupBy("crowd").agg(
+        F.max_by("component", F.struct("many", -F.col("component"))).alias("main"),
+        F.max_by(F.struct("many", "shingles"), F.struct("many", -F.col("component"))).alias("inside"),
+        F.sum("many").alias("many"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"),
+    ).where("parts > 1")
+
+    def blocks(many: F.Column, shingles: F.Column) -> F.Column:
+        spread = F.least(F.ceil(many / LEAST), F.lit(SPREAD))
+        return F.greatest(spread, F.ceil((shingles * 8 + many * BESIDE) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    inside = F.col("inside")
+    open_ones = largest.select(
+        "crowd", "main", blocks(F.col("many") - inside["many"], F.col("shingles") - inside["shingles"]).alias("open"),
+        blocks(inside["many"], inside["shingles"]).alias("closed"),
+    )
+    block = F.pmod(F.xxhash64("digest", "node"), F.when(F.col("component") == F.col("main"), F.col("closed")).otherwise(F.col("open")))
+    met = placed.join(open_ones, "crowd").withColumn(
+        "block", F.when(F.col("component") == F.col("main"), F.col("open")).otherwise(F.lit(0)) + block.cast("int")
+    )
+    others = F.when(
+        F.col("component") == F.col("main"), F.sequence(F.lit(0), F.col("open") - 1)
+    ).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("closed") - 1))
+    spread = met.withColumn("other", F.explode(others)).select(
+        "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
+        "digest", "component",
+    )
+    full = classes.select("node", "digest", "signature").join(sets, ["node", "digest"])
+    columns = ["crowd", "i", "j", "block", "node", "component", "signature", "set"]
+    return spread.join(full, ["node", "digest"]).select(columns).repartition("crowd", "i", "j").sortWithinPartitions(
+        "crowd", "i", "j"
     )
-    both = near.select("a", "b_in").union(near.select("b", "a_in")).toDF("node", "component").distinct()
-    met = both.join(middle, "component")
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
-#: Buckets in which shingles are counted; any counts give a right order, true ones a fast one.
-BUCKET_BITS = 20
-#: Classes with one shingle that are compared in one cell.
-CELL = 4096
-SALTS = 16
-
-
-def _crowd(sets: DataFrame, marked: DataFrame, classes: DataFrame) -> DataFrame:
-    """Sets of the classes that stood in large regions, with their sizes."""
-    own = classes.select("node", "digest", "n")
-    return cut_lineage(sets.join(marked, "node", "left_semi").join(own, ["node", "digest"]), "minhash-crowd")
-
-
-def _bucket_counts(crowd: DataFrame) -> np.ndarray:
-    """How often shingles of each bucket occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for s in batch.column(0):
-                np.add.at(counts, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - BUCKET_BITS), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], ["bucket", "many"])
-
-    found = crowd.select("set").mapInArrow(run, "bucket long, many long").groupBy("bucket").agg(F.sum("many").alias("many"))
-    table = found.toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[table["bucket"].to_numpy()] = table["many"].to_numpy()
-    return counts
-
 
-def _prefixes(crowd: DataFrame) -> DataFrame:
-    """The rarest shingles of each class, one of which it shares with every class it is linked to."""
-    counts = _bucket_counts(crowd)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = []
-            for s in batch.column(2):
-                own = np.frombuffer(s.as_py(), np.uint64)
-                order = np.lexsort((own, counts[own >> np.uint64(64 - BUCKET_BITS)]))
-                tokens.append(own[order[: len(own) + (-3 * len(own) // 4) + 1]])
-            at = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                     pa.array(np.concatenate(tokens).view(np.int64))], ["node", "digest", "token"],
-                )
+def compared(block: np.ndarray, component: np.ndarray, slots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places that link classes of two blocks, or of one, on full sets: a forest over components.
 
-    rows = crowd.select("node", "digest", "set").mapInArrow(run, "node long, digest binary, token long")
-    return cut_lineage(rows, "minhash-prefixes")
+    A row meets those after it whose component it hasn't been linked with yet, whose size allows a link
+    and whose signature agrees enough; shared shingles are counted for all of them at once.
+    """
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mine = np.zeros(shingle.max(initial=-1) + 1, dtype=bool)
+    kinds, group = np.unique(component, return_inverse=True)  # numbers, joined when linked
+    several = block.min() != block.max()
+    closed = group == np.bincount(group, minlength=len(kinds)).argmax()
+    links = []
+    # All pairs of two components have a member outside of the most common one.
+    for r in np.flatnonzero(~closed).tolist():
+        may = (group != group[r]) & (4 * np.minimum(n, n[r]) >= 3 * np.maximum(n, n[r]))
+        may[:r] &= closed[:r]  # other pairs have been met from the other side
+        if several:
+            may &= block != block[r]
+        others = np.flatnonzero(may)
+        if not len(others):
+            continue
+        others = others[(slots[others] == slots[r]).sum(axis=1) >= AGREES]
+        if not len(others):
+            continue
+        mine[shingle[ends[r] - n[r] : ends[r]]] = True
+        for start in range(0, len(others), 1000):
+            part = others[start : start + 1000]
+            places = np.repeat(ends[part] - np.cumsum(n[part]), n[part]) + np.arange(n[part].sum())
+            common = np.add.reduceat(mine[shingle[places]], np.cumsum(n[part]) - n[part], dtype=np.int64)
+            for p in part[100 * common >= 75 * (n[part] + n[r] - common)].tolist():
+                if group[p] != group[r]:
+                    links.append((r, p))
+                    group[group == group[p]] = group[r]
+        mine[shingle[ends[r] - n[r] : ends[r]]] = False
+    return links
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose sizes and signatures allow a link, of rows sorted by cell."""
-    names = ["a", "b", "agree"]
-
-    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j, block, node, component, n = (np.asarray(rows[c].combine_chunks()) for c in
-                                           ("i", "j", "block", "node", "component", "n"))
-        if (component == component[0]).all():
-            return
+    """Links of rows that are sorted by cell."""
+    keys = ("crowd", "i", "j")
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        block, node, component = (np.asarray(rows[c].combine_chunks()) for c in ("block", "node", "component"))
         slots = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
-        # All pairs of two components have a member outside of the most common one.
-        kinds, kind, many = np.unique(component, return_inverse=True, return_counts=True)
-        most = many.argmax()
-        for r in np.flatnonzero(kind != most):
-            good = (component != component[r]) & (4 * np.minimum(n, n[r]) >= 3 * np.maximum(n, n[r]))
-            good &= (kind == most) | (np.arange(len(n)) > r)
-            if i[0] != j[0]:
-                good &= block != block[r]
-            others = np.flatnonzero(good)
-            for start in range(0, len(others), 10_000):
-                part = others[start : start + 10_000]
-                agree = (slots[part] == slots[r]).sum(axis=1)
-                part, agree = part[agree >= AGREES], agree[agree >= AGREES]
-                if len(part):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(node[part], node[r])), pa.array(np.maximum(node[part], node[r])),
-                         pa.array(agree, pa.int32())], names,
-                    )
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for c in rows["set"].chunks for s in c]
+        links = np.array(compared(block, component, slots, sets), dtype=np.int64).reshape(-1, 2)
+        ends = node[links]
+        return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cell = _runs(*(np.asarray(batch.column(c)) for c in ("token", "i", "j")))
+        cell = _runs(*(np.asarray(batch.column(c)) for c in keys))
         edges = [*np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist(), batch.num_rows]
         for start, stop in zip(edges[:-1], edges[1:], strict=True):
             part = batch.slice(start, stop - start)
-            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("token", "i", "j")):
-                yield from compared(pa.Table.from_batches(held))
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
+                yield linked(pa.Table.from_batches(held))
                 held = []
             held.append(part)
     if held:
-        yield from compared(pa.Table.from_batches(held))
-
-
-def _across(prefixes: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of classes in large regions that may be linked and are in different components.
-
-    Classes meet by the shingles of their prefixes. A shingle whose classes are in one component is
-    done with; one of many classes is spread over cells, and its rows over salts until then.
-    """
-    rows = prefixes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = cut_lineage(rows, "minhash-tokens")
-    live = rows.groupBy("token").agg(
-        F.count("*").alias("many"), F.min("component").alias("least"), F.max("component").alias("most")
-    ).where("least != most")
-    live = live.select("token", F.ceil(F.col("many") / CELL).cast("int").alias("blocks")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node", "digest"), F.lit(SALTS)).cast("int"))
-    met = salted.join(live, ["token", "salt"]).withColumn(
-        "block", F.pmod(F.xxhash64("digest", "node"), F.col("blocks")).cast("int")
-    )
-    spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-        "node", "digest", "component",
-    )
-    full = spread.join(classes.select("node", "digest", "n", "signature"), ["node", "digest"]).drop("digest")
-    columns = ["token", "i", "j", "block", "node", "component", "n", "signature"]
-    cells = full.select(columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return cells.mapInArrow(_cells, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
-def _bridges(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Of the pairs of each class and another component, the one of best agreement."""
-    apart = _apart(pairs, known)
-    sides = apart.select("a", "b", "agree", "b_in").union(apart.select("b", "a", "agree", "a_in"))
-    best = sides.toDF("node", "other", "agree", "into").groupBy("node", "into").agg(
-        F.max_by("other", F.struct("agree", -F.col("other"))).alias("other")
-    )
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        yield linked(pa.Table.from_batches(held))
 
 
 def link(
@@ -458,8 +476,8 @@ def link(
     columns are left out.
 
     Links are exact; candidates come from ``ORDERS`` signature orders, which miss a pair at the
-    threshold in small regions less than once in 100,000 times. Classes that stood in a larger region
-    are joined by their rarest shingles with all such classes of other components.
+    threshold in small regions less than once in 100,000 times. Classes of large regions meet all
+    classes of their crowd that are in other components.
     """
     signed = cut_lineage(_signed(documents, doc_id, text), "minhash-signed")
     low = F.conv(F.substring(F.hex("digest"), 1, 14), 16, 10).cast("long")
@@ -469,22 +487,18 @@ def link(
         .withColumn("node", F.coalesce("least", F.lit(UNNAMED - 1) - low)).drop("least"),
         "minhash-classes",
     )
-    met = cut_lineage(_agreeing(candidates(classes, n_classes), classes), "minhash-pairs")
-    pairs, marked = met.where("a != b"), met.where("a = b").select(F.col("a").alias("node")).distinct()
-    sets = cut_lineage(_sets(documents, met, doc_id, text), "minhash-sets")
+    near, together = candidates(classes, n_classes)
+    pairs = cut_lineage(_agreeing(near, classes), "minhash-pairs")
+    crowds = cut_lineage(components(together).toDF("node", "crowd"), "minhash-crowds")
+    needed = reduce(DataFrame.union, [pairs.select("a"), pairs.select("b"), crowds.select("node")]).toDF("node")
+    sets = cut_lineage(_sets(documents, needed, doc_id, text), "minhash-sets")
     # First each class's best pairs; then what those links haven't yet brought together.
     first = cut_lineage(_confirmed(_best(pairs), sets), "minhash-links")
-    rest = cut_lineage(_apart(pairs, components(first)).drop("a_in", "b_in"), "minhash-rest")
+    rest = _apart(pairs, components(first)).drop("a_in", "b_in")
     links = first.union(cut_lineage(_confirmed(rest, sets), "minhash-links"))
-    found = components(links)
-    near = cut_lineage(_apart(rest, found), "minhash-near")
-    links = links.union(cut_lineage(_confirmed(_to_centres(pairs, near, found), sets), "minhash-links"))
-    found = components(links)
-    # Classes of large regions may have missed each other: all their pairs that are still apart.
-    across = cut_lineage(_across(_prefixes(_crowd(sets, marked, classes)), classes, found), "minhash-across")
-    links = links.union(cut_lineage(_confirmed(_bridges(across, found), sets), "minhash-links"))
-    left = cut_lineage(_apart(across, components(links)), "minhash-left")
-    found = components(links.union(_confirmed(left, sets)))
+    # Classes of large regions may have missed each other.
+    blocks = _blocks(crowds, sets, classes, components(links))
+    found = components(links.union(blocks.mapInArrow(_cells, "a long, b long")))
     named = classes.select("digest", "n", "node").join(found, "node", "left").select(
         "digest", "n", F.coalesce("component", "node").alias("component")
     )
