@@ -1,10 +1,11 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on arrays.
 
 A suffix is smaller (S) or larger (L) than the one after it; the leftmost S suffixes after an L one
-order all others. The substrings between them are sorted by inducing from their first letters,
-named by rank, and if names repeat, the string of names is sorted by the same method, spelled out
-in digits so that the alphabet stays small. Inducing walks over the buckets of letters, and moves
-whole batches of a bucket at a time.
+order all others. The substrings between them are sorted by inducing from their first letters and
+named by rank. If names repeat, the string of names is sorted by joining names, of one substring, of
+two, of four and so on: there are about as many names as places, and inducing over a bucket for each
+would move nothing at once. Inducing walks over the buckets of letters, and moves whole batches of a
+bucket at a time.
 """
 
 from __future__ import annotations

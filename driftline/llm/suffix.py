@@ -1,11 +1,17 @@
 """Removal of repeated passages with suffix arrays.
 
 A byte goes if a string of ``length`` bytes that covers it starts at another place too. Each window
-of that length belongs to the smallest hash among its grams, and equal windows have equal smallest
-hashes. So the corpus is cut into pieces of neighbouring windows with one hash; hashes that occur
-once are done with, and the pieces of the others meet by hash, in shards that are sorted by induced
-sorting. Places whose suffix shares ``length`` bytes with a neighbour's in order start a repeated
-window. Texts are only moved if they hold such a hash, and equal pieces only once.
+of that length belongs to the leftmost of its smallest gram hashes, and equal windows have it at the
+same distance. So the corpus is cut into pieces of neighbouring windows with one such place, which
+have less than twice the length; hashes that occur once are done with, and the pieces of the others
+meet by hash, in shards that are sorted by induced sorting. Places whose suffix shares ``length``
+bytes with a neighbour's in order start a repeated window. Texts are only moved if they hold such a
+hash, and equal pieces only once.
+
+A hash with a crowd of different pieces is not gathered. Its pieces are aligned at the place of the
+hash, so equal windows begin at the same distance from it; distances are taken in ranges, and what
+all windows of a range share, and what they cover together, is counted by digests. Most ranges are
+settled so, and only the others are counted window by window.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from driftline.llm.needed import only_needed
+from driftline.llm.needed import maybe_needed, only_needed
 from driftline.llm.sais import common_prefixes, suffix_array
 from driftline.llm.windows import GRAM, gram_hashes, window_minima
 from driftline.session import fresh_path
@@ -27,13 +34,12 @@ from driftline.session import fresh_path
 LENGTH = 400
 #: Bytes that are sorted together, and of a partition of pieces.
 SHARD, PARTITION = 4_000_000, 24_000_000
-#: Hashes with more different pieces than this, and pieces longer than this many windows' length, have
-#: their windows compared by 128-bit digests instead.
-CROWD, LONG = 4096, 8
+#: Hashes with more different pieces than this are counted by digests; distances that are taken together.
+CROWD, RANGE = 4096, 16
 #: Never occurs in UTF-8.
 SEPARATOR = b"\xf8"
 SPANS = "array<struct<start:int,stop:int>>"
-EMPTY = hashlib.sha256(b"").hexdigest()
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "left_over")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -43,47 +49,55 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _cut(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first window of each piece, and hashes that hold a window's minimum at two near places."""
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), GRAM)
-    width = length - GRAM + 1
-    low = window_minima(hashes, width)
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    # Places that hold the minimum of some window: the largest minimum around equals their hash.
-    padded = np.concatenate([np.full(width - 1, low[0]), low, np.full(width - 1, low[-1])])
-    marks = np.flatnonzero(hashes == ~window_minima(~padded, width))
-    values = hashes[marks]
-    again = np.unique(values[1:][values[1:] == values[:-1]])
-    return low[first].view(np.int64), first, again.view(np.int64)
+def _covered(starts: np.ndarray, stops: np.ndarray) -> list[dict]:
+    """Ascending spans, joined where they touch."""
+    if not len(starts):
+        return []
+    first = np.flatnonzero(np.r_[True, starts[1:] > stops[:-1]])
+    last = np.r_[first[1:], len(starts)] - 1
+    return [{"start": a, "stop": b} for a, b in zip(starts[first].tolist(), stops[last].tolist(), strict=True)]
 
 
-def _measured(documents: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
-    """Each document's digest and size, and the pieces of its text."""
+def _cut(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Hash, first and last window of each different piece, and spans of pieces that the text repeats."""
+    hashes = gram_hashes(np.frombuffer(data, np.uint8), GRAM)
+    low = window_minima(hashes, length - GRAM + 1)
+    # The leftmost place of the minimum changes if it leaves the window, or if a smaller one enters.
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (hashes[: len(low) - 1] == low[:-1])])
+    last = np.r_[first[1:], len(low)] - 1
+    values = low[first].view(np.int64)
+    _, number, many = np.unique(values, return_inverse=True, return_counts=True)
+    later, repeated = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(many[number] > 1).tolist():
+        same = seen.setdefault(xxhash.xxh3_128_digest(data[first[i] : last[i] + length]), i)
+        if same != i:
+            later[i] = repeated[i] = repeated[same] = True
+    return values[~later], first[~later], last[~later], _covered(first[repeated], last[repeated] + length)
+
+
+def _measured(documents: DataFrame, length: int, text: str) -> DataFrame:
+    """Digest of each text of ``length`` or more bytes, its pieces, and what the text repeats itself."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                none = np.zeros(0, np.int64)
-                cut = [_cut(t.as_py(), length) if len(t.as_py()) >= length else (none, none, none)
-                       for t in part.column(2)]
+                cut = [_cut(t.as_py(), length) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1),
-                        pa.array([len(t.as_py()) for t in part.column(2)], pa.int64()),
-                        pa.array([c[0] for c in cut], pa.list_(pa.int64())),
+                        part.column(0), pa.array([c[0] for c in cut], pa.list_(pa.int64())),
                         pa.array([c[1] for c in cut], pa.list_(pa.int32())),
-                        pa.array([c[2] for c in cut], pa.list_(pa.int64())),
+                        pa.array([c[2] for c in cut], pa.list_(pa.int32())), pa.array([c[3] for c in cut], kind),
                     ],
-                    ["doc_id", "digest", "n_bytes", "hashes", "firsts", "again"],
+                    ["digest", "hashes", "firsts", "lasts", "inside"],
                 )
 
-    kind = documents.schema[doc_id].dataType.simpleString()
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    given = documents.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(data, 256)).alias("digest"), data.alias("data"))
-    return given.mapInArrow(
-        run,
-        f"doc_id {kind}, digest binary, n_bytes long, hashes array<long>, firsts array<int>, again array<long>",
+    given = documents.select(F.unhex(F.sha2(data, 256)).alias("digest"), data.alias("data"))
+    return given.where(F.octet_length("data") >= length).mapInArrow(
+        run, f"digest binary, hashes array<long>, firsts array<int>, lasts array<int>, inside {SPANS}"
     )
 
 
@@ -182,77 +196,119 @@ def _sorted_shards(pieces: DataFrame, length: int, n_bytes: int) -> DataFrame:
     return ordered.mapInArrow(run, f"hash long, piece binary, spans {SPANS}")
 
 
-def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for crowded hashes and long pieces: windows are counted by their digests.
+def _anchored(hash_: int, data: bytes, length: int) -> tuple[int, int, int]:
+    """The place of the hash in a piece, and the least and greatest distance of a window's start from it."""
+    windows = len(data) - length + 1
+    own = gram_hashes(np.frombuffer(data, np.uint8), GRAM)[windows - 1 :]
+    place = windows - 1 + int(np.flatnonzero(own == np.int64(hash_).view(np.uint64))[0])
+    return place, place - windows + 1, place
 
-    No hash is gathered in one task; counts are added up before they are shuffled.
-    """
 
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+def _ranges(pieces: DataFrame, length: int) -> DataFrame:
+    """For each range of distances of a piece: digests of what its windows share, and of what they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for hash_, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                places: dict[bytes, list[int]] = {}
-                for i in range(len(data) - length + 1):
-                    places.setdefault(xxhash.xxh3_128_digest(data[i : i + length]), []).append(i)
-                # Windows that the piece itself repeats are found already; the others may be elsewhere.
-                inside = np.sort(np.array([i for own in places.values() if len(own) > 1 for i in own], np.int64))
-                n = len(places)
+                place, least, most = _anchored(hash_, data, length)
+                for r in range(least // RANGE, most // RANGE + 1):
+                    name = f"{hash_}:{r}:".encode()
+                    start, stop = place - RANGE * r - (RANGE - 1), place - RANGE * r + length
+                    core = xxhash.xxh3_128_digest(name + data[start + RANGE - 1 : stop - RANGE + 1])
+                    inside = start >= 0 and stop <= len(data)
+                    rows.append((hash_, piece, r, core, xxhash.xxh3_128_digest(name + data[start:stop]) if inside else None))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "piece", "range", "core", "cover"]
+            )
+
+    return pieces.mapInArrow(run, "hash long, piece binary, range int, core binary, cover binary")
+
+
+def _windows(pieces: DataFrame, length: int) -> DataFrame:
+    """Digests of all windows in the named ranges of a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hash_, piece, data, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, least, most = _anchored(hash_, data, length)
+                starts = [
+                    place - d for r in ranges for d in range(max(least, RANGE * r), min(most, RANGE * r + RANGE - 1) + 1)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([hash_] * (n + 1), pa.int64()), pa.array([piece] * (n + 1), pa.binary()),
-                        pa.array([*places, None], pa.binary()),
-                        pa.array([*(x[0] if len(x) == 1 else None for x in places.values()), None], pa.int32()),
-                        pa.array([*map(len, places.values()), 0], pa.int32()),
-                        pa.array([None] * n + [_spans(inside, length)], kind),
+                        pa.array([hash_] * len(starts), pa.int64()), pa.array([piece] * len(starts), pa.binary()),
+                        pa.array(starts, pa.int32()),
+                        pa.array([xxhash.xxh3_128_digest(data[i : i + length]) for i in starts], pa.binary()),
                     ],
-                    ["hash", "piece", "window", "at", "n", "spans"],
+                    ["hash", "piece", "start", "window"],
                 )
 
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return pieces.mapInArrow(run, "hash long, piece binary, start int, window binary")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """Repeated spans of different pieces of crowded hashes, counted by digests; no hash is gathered.
+
+    A range whose shared part occurs once has no repeated window; one whose cover occurs twice has
+    only such; the windows of all others are counted one by one.
+    """
+    pieces = written(pieces.select("hash", "piece", "data"), "suffix-crowds")
+    ranges = written(_ranges(pieces, length), "suffix-ranges")
+    twice = {
+        name: ranges.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(
+            name, F.lit(True).alias(f"{name}_twice")) for name in ("core", "cover")
+    }
+    live = written(
+        ranges.join(twice["core"], "core").join(twice["cover"], "cover", "left")
+        .select("hash", "piece", "range", "core", "cover", "cover_twice"), "suffix-live",
+    )
+    open_ = live.where("cover_twice IS NULL")
+    # Windows of open ranges may also occur in settled ones, one of which stands for all with its cover.
+    settled = live.where("cover_twice").join(open_.select("core").distinct(), "core", "left_semi").groupBy("cover").agg(
+        F.min(F.struct("hash", "piece", "range")).alias("one")
+    )
+    asked = open_.select("hash", "piece", "range").union(settled.select("one.*")).groupBy("hash", "piece").agg(
+        F.collect_list("range").alias("ranges")
+    )
+    windows = written(_windows(pieces.join(asked, ["hash", "piece"]), length), "suffix-windows")
+    often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    single = windows.join(often, "window", "left_semi").groupBy("hash", "piece").agg(F.collect_list("start").alias("starts"))
+    whole = live.where("cover_twice").groupBy("hash", "piece").agg(F.collect_list("range").alias("ranges"))
+    marked = pieces.join(single, ["hash", "piece"], "left").join(whole, ["hash", "piece"], "left").where(
+        "starts IS NOT NULL OR ranges IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            spans = [_spans(np.array(at, np.int64), length) for at in batch.column("at").to_pylist()]
+            found = []
+            for hash_, _, data, starts, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = _anchored(hash_, data, length)[0]
+                inside = [place - d for r in ranges or [] for d in range(RANGE * r, RANGE * r + RANGE)]
+                found.append(_spans(np.array(sorted([*(starts or []), *inside]), np.int64), length))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("hash"), batch.column("piece"), pa.array(spans, kind)], ["hash", "piece", "spans"])
+                [batch.column(0), batch.column(1), pa.array(found, kind)], ["hash", "piece", "spans"])
 
-    windows = written(
-        pieces.select("hash", "piece", "data").mapInArrow(
-            run, f"hash long, piece binary, window binary, at int, n int, spans {SPANS}"),
-        "suffix-windows",
-    )
-    twice = windows.where("window IS NOT NULL").groupBy("window").agg(F.sum("n").alias("all")).where("all > 1")
-    single = windows.where("at IS NOT NULL").join(twice, "window").groupBy("hash", "piece").agg(
-        F.array_sort(F.collect_list("at")).alias("at")
-    ).mapInArrow(covered, f"hash long, piece binary, spans {SPANS}")
-    return single.unionByName(windows.where(F.size("spans") > 0).select("hash", "piece", "spans")).groupBy(
-        "hash", "piece").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return marked.mapInArrow(run, f"hash long, piece binary, spans {SPANS}")
 
 
 def repeated_spans(
-    documents: DataFrame, length: int, doc_id: str, text: str, crowd: int = CROWD
+    documents: DataFrame, length: int, text: str, crowd: int = CROWD
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents with digest and size, and the covered spans of each digest's text, sorted but not merged.
+    """By digest of the text: covered spans, sorted but not merged, and the texts that occur twice.
 
-    Texts that occur twice are left out of the spans: they go as a whole.
+    Those go as a whole, and are left out of the spans.
     """
-    measured = written(_measured(documents, length, doc_id, text), "suffix-documents")
     texts = written(
-        measured.where(F.col("n_bytes") >= length).groupBy("digest", "n_bytes").agg(
-            F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("firsts").alias("firsts"),
-            F.first("again").alias("again"),
+        _measured(documents, length, text).groupBy("digest").agg(
+            F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("hashes", "firsts", "lasts", "inside")]
         ),
         "suffix-texts",
     )
-    last = F.filter(
-        F.transform("firsts", lambda f, i: F.coalesce(F.get("firsts", i + 1) - 1, F.col("n_bytes").cast("int") - length)),
-        lambda x: x.isNotNull(),
-    )
-    cut = texts.withColumn("lasts", last).select("digest", F.inline(F.arrays_zip("hashes", "firsts", "lasts"))).toDF(
-        "digest", "hash", "first", "last"
-    )
-    hashes = texts.select(F.explode(F.concat("hashes", "again")).alias("hash"))
-    often = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    cut = texts.select("digest", F.inline(F.arrays_zip("hashes", "firsts", "lasts"))).toDF("digest", "hash", "first", "last")
+    often = cut.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     wanted = cut.join(often, "hash").groupBy("digest").agg(
         F.collect_list(F.struct("hash", "first", "last")).alias("pieces")
     )
@@ -262,21 +318,14 @@ def repeated_spans(
         pieces.groupBy("hash", "piece").agg(F.count("*").alias("n"), F.first(F.length("data")).alias("size")),
         "suffix-different",
     )
-    hashes = different.groupBy("hash").agg(F.count("*").alias("many"))
-    long = F.col("size") > LONG * length
-    inside = texts.select(F.explode("again").alias("hash")).distinct().withColumn("inside", F.lit(True))
-    met = different.join(hashes, "hash").join(inside, "hash", "left").where((F.col("many") > 1) | F.col("inside"))
-    # Long pieces repeat a gram again and again; pieces beside them must be compared in the same way.
-    apart = hashes.join(met.where(long).select("hash").distinct().withColumn("long", F.lit(True)), "hash", "left").where(
-        F.col("long") | (F.col("many") > crowd)
-    )
-    met = written(met.join(apart.select("hash", F.lit(True).alias("apart")), "hash", "left"), "suffix-met")
+    hashes = different.groupBy("hash").agg(F.count("*").alias("many")).where("many > 1")
+    met = written(different.join(hashes, "hash"), "suffix-met")
     n_bytes = met.agg(F.sum("size")).first()[0] or 0
     bytes_of = lambda kind: pieces.join(
         met.where(kind).select("hash", "piece"), ["hash", "piece"], "left_semi"
     ).groupBy("hash", "piece").agg(F.first("data").alias("data"))
-    found = _sorted_shards(bytes_of("apart IS NULL"), length, n_bytes).unionByName(
-        _counted_windows(bytes_of("apart"), length)
+    found = _sorted_shards(bytes_of(F.col("many") <= crowd), length, n_bytes).unionByName(
+        _counted(bytes_of(F.col("many") > crowd), length)
     )
     whole = different.where("n > 1").select("hash", "piece", F.lit(True).alias("whole"))
     places = pieces.drop("data").join(found, ["hash", "piece"], "left").join(whole, ["hash", "piece"], "left")
@@ -285,12 +334,12 @@ def repeated_spans(
     ).otherwise(F.transform(
         "spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["stop"] + F.col("first")).alias("stop"))
     ))
-    spans = places.select("digest", covered.alias("spans")).where("spans IS NOT NULL").groupBy("digest").agg(
+    every = places.select("digest", covered.alias("spans")).union(texts.select("digest", "inside"))
+    spans = every.where(F.size("spans") > 0).groupBy("digest").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
     )
     spans = spans.join(texts.where("copies > 1").select("digest"), "digest", "left_anti")
-    copies = texts.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    return measured.select("doc_id", "digest", "n_bytes").join(copies, "digest", "left"), written(spans, "suffix-spans")
+    return written(spans, "suffix-spans"), texts.where("copies > 1").select("digest")
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -303,8 +352,31 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(texts: DataFrame) -> DataFrame:
-    """What is left of texts that have spans."""
+def _left_over(documents: DataFrame, spans: DataFrame, copied: DataFrame, text: str) -> DataFrame:
+    """All rows, as a struct ``row``, with what is left of their text and how much went.
+
+    Only texts that may have lost something are shuffled to their spans, and copies of one text go to
+    several tasks.
+    """
+    salts = 16
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), data.alias("data"),
+        F.unhex(F.sha2(data, 256)).alias("digest"),
+    )
+    changed = written(
+        spans.select("digest", "spans", F.lit(False).alias("whole")).union(
+            copied.select("digest", F.lit(None).cast(SPANS), F.lit(True))), "suffix-changed",
+    )
+    flagged = maybe_needed(rows, F.col("digest"), changed, F.col("digest"), "touched")
+    same = flagged.where("NOT touched").select(
+        "row", F.octet_length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("digest")).alias("kept_sha256"), F.col("data").alias("kept"),
+        F.coalesce(F.col("row").getField(text), F.lit("")).alias("left_over"),
+    )
+    met = flagged.where("touched").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(
+        changed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["digest", "salt"], "left"
+    ).select("row", "data", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,43 +384,39 @@ def _kept(texts: DataFrame) -> DataFrame:
                 part = batch.slice(start, 500)
                 rows = []
                 for r in range(part.num_rows):
-                    data, spans = part.column("data")[r].as_py(), _merged(part.column("spans")[r].as_py())
-                    edges = [0, *(x for s in spans for x in s), len(data)]
+                    data, spans, whole = (part.column(c)[r].as_py() for c in (1, 2, 3))
+                    merged = [(0, len(data))] if whole else _merged(spans or [])
+                    edges = [0, *(x for s in merged for x in s), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(data) - len(kept), len(spans), kept))
+                    left = kept.decode(errors="ignore")
+                    rows.append((len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, left))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("digest"), pa.array([x[0] for x in rows], pa.int64()),
-                        pa.array([x[1] for x in rows], pa.int64()),
-                        pa.array([hashlib.sha256(x[2]).hexdigest() for x in rows], pa.string()),
-                        pa.array([x[2] for x in rows], pa.binary()),
-                        pa.array([x[2].decode(errors="ignore") for x in rows], pa.string()),
-                    ],
-                    ["digest", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"],
+                    [part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]],
+                    ["row", *RESULTS],
                 )
 
-    return texts.select("digest", "data", "spans").mapInArrow(
-        run, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
-    )
+    kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, left_over string"
+    schema = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(kinds).fields])
+    return same.unionByName(met.mapInArrow(run, schema))
 
 
 def without_repeats(
-    documents: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD,
+    documents: DataFrame, length: int = LENGTH, text: str = "text", crowd: int = CROWD,
 ) -> DataFrame:
     """The documents themselves, all columns and rows, with what ``remove_repeats`` leaves as text.
 
-    Characters of which bytes are removed go as a whole; a text that goes entirely becomes empty.
+    Characters of which bytes are removed go as a whole; a text that goes entirely becomes empty, a
+    null text stays null. Texts shorter than ``length`` stay as they are; rows that repeat a text of
+    that length are all emptied, as copies are. An empty table stays empty; other columns, whatever
+    their names, keep their values.
     """
-    own, spans = repeated_spans(documents, length, doc_id, text, crowd)
-    copied = own.where(F.col("copied")).select("digest").distinct().withColumn("left_over", F.lit(""))
-    left = _kept(_texts(documents, spans, text)).select(
-        "digest", F.col("kept_text").alias("left_over")
-    )
-    key = "__digest"
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    changed = left.union(copied).withColumnRenamed("digest", key)
-    joined = documents.withColumn(key, F.unhex(F.sha2(data, 256))).join(changed, key, "left")
-    return joined.withColumn(text, F.coalesce("left_over", text)).select(documents.columns)
+    spans, copied = repeated_spans(documents, length, text, crowd)
+    left = _left_over(documents, spans, copied, text)
+    return left.select(*[
+        (F.when(F.col("row").getField(c).isNotNull(), F.col("left_over")) if c == text else F.col("row").getField(c)).alias(c)
+        for c in documents.columns
+    ])
 
 
 def remove_repeats(
@@ -356,21 +424,16 @@ def remove_repeats(
 ) -> DataFrame:
     """Documents without the bytes of repeated passages; one row for each input row.
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, for documents that lose some
-    but not all of their bytes, what is left as ``kept``. Strings of ``length`` bytes are compared
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and what is left as ``kept`` (the
+    bytes) and ``text`` (the characters that are left whole). Strings of ``length`` bytes are compared
     within texts and between them, on the input, and never across documents; all their places are
     removed, the first included. A null or empty text has no bytes; shorter texts than ``length``
     stay whole; rows that repeat a text are removed if it is long enough, as copies are. A null
-    doc_id stays null; other columns are left out.
+    doc_id stays null; an empty table gives no rows; other columns are left out.
     """
-    own, spans = repeated_spans(documents, length, doc_id, text, crowd)
-    left = _kept(_texts(documents, spans, text))
-    joined = own.join(left, "digest", "left")
-    whole = F.col("copied").isNotNull()
-    return joined.select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
-        F.when(~whole, F.col("kept")).alias("kept"),
+    spans, copied = repeated_spans(documents, length, text, crowd)
+    given = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    left = _left_over(given, spans, copied, "text")
+    return left.select(
+        F.col("row").getField("doc_id").alias("doc_id"), *RESULTS[:-1], F.col("left_over").alias("text")
     )

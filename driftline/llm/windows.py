@@ -44,13 +44,3 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     down = np.minimum.accumulate(grid, axis=1).ravel()
     up = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(up[: n - width + 1], down[width - 1 : n])
-
-
-def runs(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of neighbouring windows with one minimum: its value, first and last start."""
-    if len(data) < length:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty.astype(np.uint64), empty, empty
-    low = window_minima(gram_hashes(data, gram), length - gram + 1)
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return low[first], first, np.r_[first[1:], len(low)] - 1
