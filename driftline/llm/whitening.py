@@ -8,7 +8,6 @@ only then becomes doubles, so that a large common offset costs no digits.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 

@@ -118,37 +118,87 @@ def test_crowds_are_linked_whole(spark, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
-def test_cells_of_a_hot_shingle_give_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CELL", 16)
+def joined(pairs, known):
+    """Components of ``known`` (node to component) after more links."""
+    known = dict(known)
+    for a, b in pairs:
+        low, high = sorted((known[a], known[b]))
+        known = {node: low if component == high else component for node, component in known.items()}
+    return known
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_blocks_give_a_forest_of_their_links(several):
     rnd = random.Random(6)
-    texts = [" ".join(t) for t in light_and_heavy(rnd, [f"w{i}" for i in range(150)])[260:]]
-    rows = list(enumerate(texts)) + [(1000, texts[0] + " one more")]
-    sets = {i: shingle_set(t) for i, t in rows}
-    expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    texts = [" ".join(t) for t in light_and_heavy(rnd, [f"w{i}" for i in range(150)])[230:]]
+    texts += [" ".join(rnd.choices(texts[0].split(), k=150)) for _ in range(5)] + ["few words", "few other words"]
+    rnd.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    slots = np.stack([minhash.signature(s) for s in sets])
+    block = np.array([rnd.randrange(2) if several else 4 for _ in texts])
+    component = np.array([rnd.choice([7, 7, 7, 100 + i]) for i in range(len(texts))])
+    every = [
+        (a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+        if (not several or block[a] != block[b])
+        and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    ]
+    found = minhash.compared(block, component, slots, sets)
+    assert {tuple(sorted(p)) for p in found} <= set(every)
+    before = dict(enumerate(component.tolist()))
+    assert joined(found, before) == joined(every, before)
+    assert len(found) == len(set(before.values())) - len(set(joined(every, before).values()))
+
+
+def test_blocks_of_a_crowd_meet_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LEAST", 10)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 14)
+    rnd = random.Random(6)
+    texts = [" ".join(t) for t in several_hubs(rnd, [f"w{i}" for i in range(150)])]
+    rows = list(enumerate(texts))
     given = spark.createDataFrame(rows, "doc_id long, text string")
     classes = minhash._signed(given, "doc_id", "text").withColumnRenamed("doc_id", "node").cache()
-    every = spark.createDataFrame([(i, i) for i, _ in rows], "a long, b long")
-    full = minhash._sets(given, every, "doc_id", "text").cache()
-    prefixes = minhash._prefixes(minhash._crowd(full, every.select(F.col("a").alias("node")), classes))
-    known = spark.createDataFrame([], "node long, component long")
-    across = minhash._across(prefixes, classes, known)
-    assert {(r.a, r.b) for r in minhash._confirmed(across, full).collect()} == expected
+    crowds = classes.select("node", F.lit(0).cast("long").alias("crowd"))
+    sets = minhash._sets(given, classes, "doc_id", "text")
+    known = spark.createDataFrame([(i, 0) for i in range(50)], "node long, component long")
+    blocks = minhash._blocks(crowds, sets, classes, known)
+    sizes = blocks.groupBy("i", "j").agg(F.sum(F.length("set")).alias("bytes")).collect()
+    assert max(r["bytes"] for r in sizes) <= 4 << 14
+    assert len(sizes) > 20 and all(r["i"] < 25 for r in sizes)
+    links = [(r.a, r.b) for r in blocks.mapInArrow(minhash._cells, "a long, b long").collect()]
+    assert len(links) < blocks.count()
+    assert set(joined(links, {i: 0 if i < 50 else i for i in range(len(texts))}).values()) == {0}
 
 
 def test_repeated_rows_give_one_set(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(3, text)] * 50 + [(3, "another")] * 20 + [(None, text)] * 30 + [(8, text + " more")]
-    pairs = spark.createDataFrame([(3, 8)], "a long, b long")
+    nodes = spark.createDataFrame([(3,), (8,)], "node long")
     given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = minhash._sets(given, pairs, "doc_id", "text").groupBy("node").count().collect()
+    found = minhash._sets(given, nodes, "doc_id", "text").groupBy("node").count().collect()
     assert sorted(r["count"] for r in found) == [1, 1, 2]
 
 
-def test_stars_follow_long_chains(spark):
+@pytest.mark.parametrize("links", [2_000_000, 20])
+def test_stars_follow_long_chains(spark, monkeypatch, links):
+    monkeypatch.setattr(minhash, "LINKS", links)
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    two = chain.union(spark.range(100, 110).select(F.col("id"), F.lit(99).cast("long")))
+    two = chain.union(spark.range(100, 110).select(F.col("id"), F.lit(99).cast("long"))).repartition(8)
     found = {r.node: r.component for r in minhash.components(two).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 99 for i in range(99, 110)}}
+    assert minhash.components(two.limit(0)).count() == 0
+
+
+def test_links_are_followed_in_arrays():
+    rnd = random.Random(3)
+    for n in (0, 1, 5, 40, 400):
+        pairs = [(rnd.randrange(-n, n), rnd.randrange(-n, n)) for _ in range(n)]
+        least = {x: x for p in pairs for x in p}
+        for _ in least:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        nodes, found = minhash.smallest_reached(ends[:, 0], ends[:, 1])
+        assert dict(zip(nodes.tolist(), found.tolist(), strict=True)) == least
 
 
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
@@ -188,20 +238,38 @@ def without_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "crowd"), [(400, 4096), (100, 4096), (100, 1)])
-def test_repeats_are_removed(spark, corpus, length, crowd):
-    rnd = random.Random(2)
+def repeating(rnd):
+    """Texts with periods, recurring lines, and passages of all lengths in several places."""
     shared = ["".join(rnd.choices("abcdefé ", k=150)) for _ in range(3)]
+    line = "".join(rnd.choices("pqrst", k=60)) + "\n"
+
+    def noise(n):
+        return "".join(rnd.choices("abcdefg ", k=n))
+
+    rows = [(200 + i, noise(120) + rnd.choice(shared) + "".join(rnd.choices("xyz", k=90))) for i in range(25)]
+    rows += [(None, shared[0] * 3), (300, "z" * 1500), (301, noise(50) + "z" * 130), (302, "abcdefghijk" * 90)]
+    rows += [(303, "".join(line + noise(rnd.randint(20, 90)) for _ in range(12))), (304, "z" * 900 + noise(200) + "z" * 900)]
+    rows += [(310 + i, noise(40) + shared[1][i : 60 + 3 * i] + noise(60) + line * (i % 4)) for i in range(30)]
+    return rows
+
+
+@pytest.mark.parametrize(("length", "crowd"), [(400, 4096), (100, 4096), (100, 1), (64, 3), (400, 0)])
+def test_repeats_are_removed(spark, corpus, length, crowd):
     rows = [(i, t) for i, t, *_ in corpus]
-    rows += [(200 + i, "".join(rnd.choices("abcdefg ", k=120)) + rnd.choice(shared) + "".join(rnd.choices("xyz", k=90)))
-             for i in range(25)]
-    rows += [(None, shared[0] * 3), (7, rows[7][1])]
-    given = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int").repartition(3)
-    found = suffix.remove_repeats(given, length, crowd=crowd).drop("kept").collect()
-    assert sorted((tuple(r) for r in found), key=str) == without_repeats(rows, length)
-    left = {r.doc_id: r.text for r in suffix.without_repeats(given, length, crowd=crowd).collect() if r.doc_id}
-    sizes = {r.doc_id: r.n_bytes - r.n_removed for r in found}
-    assert all(sizes[i] - 6 <= len((left[i] or "").encode()) <= sizes[i] for i in left)
+    rows += [*repeating(random.Random(2)), (7, rows[7][1])]
+    names = ("digest", "data", "row", "left_over", "__digest", "n_bytes", "salt", "with.dot")
+    given = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, " + ", ".join(
+        f"`{n}` int" for n in names)).repartition(3)
+    found = suffix.remove_repeats(given, length, crowd=crowd).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == without_repeats(rows, length)
+    for r in found:
+        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+        assert bytes(r.kept).decode(errors="ignore") == r.text
+    left = suffix.without_repeats(given, length, crowd=crowd)
+    assert left.columns == given.columns
+    texts = sorted(((r.doc_id, r.text) for r in found), key=str)
+    assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str) == texts
+    assert {tuple(r)[2:] for r in left.collect()} == {tuple(range(8))}
 
 
 def test_no_texts_have_no_repeats(documents):
