@@ -16,7 +16,7 @@ from driftline.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects; null and empty texts have no words and are rejected."""
     judged = quality.assess(docs, keep=docs.columns)
     # The carried columns come last; the first ones are the operator's own.
     names = [f"_{i}" for i in range(len(judged.columns))]
@@ -31,24 +31,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are linked by their texts alone, under a key of their own: rows that repeat a doc_id stay if
     their texts are not linked, and copies without a doc_id go like others.
     """
-    key = "__key"
-    keyed = suffix.written(docs.withColumn(key, F.monotonically_increasing_id()), "near-keyed")
-    linked = minhash.link(keyed, key).select(F.col("doc_id").alias(key), "component_id")
-    first = keyed.select(key, "doc_id").join(linked, key).groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = suffix.written(docs.select(row, F.monotonically_increasing_id().alias("key")), "near-keyed")
+    linked = minhash.link(keyed, "key", "row.text").select(F.col("doc_id").alias("key"), "component_id")
+    first = keyed.select("key", "row.doc_id").join(linked, "key").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")
     )
-    return keyed.join(first.select(key), key, "left_semi").select(docs.columns)
+    kept = keyed.join(first.select("key"), "key", "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+#: Fifty words of running text have more bytes than this, but for one passage in a hundred.
+PASSAGE = 240
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes that occur elsewhere."""
-    cut = suffix.without_repeats(docs)
+    """All documents, without strings of ``PASSAGE`` bytes that occur elsewhere.
+
+    Null and short texts stay as they are; rows that repeat a longer text are emptied. ``n_chars``,
+    if there is one, is counted anew.
+    """
+    cut = suffix.without_repeats(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else cut
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their ids, in sequences that keep the mixture of sources."""
+    """Pieces of all documents with their ids, in sequences that keep the mixture of sources.
+
+    A null or empty text is packed as its end token; each row is a document, whatever it repeats.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
 
 
