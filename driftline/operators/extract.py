@@ -11,7 +11,7 @@ from driftline.operators import graph as og
 from driftline.operators.graph import G, NameRules, ObjectGraphs, ProtoForest
 from driftline.operators.postprocess import PostProcessor, default_processors
 from driftline.operators.rounds import DUE, Rounds
-from driftline.session import cut_and_count, cut_lineage, together
+from driftline.session import cut_sized, cut_sized_and_count, together
 
 # Members every function has, not worth an API of a constructor.
 FUNCTION_MEMBERS = ("arguments", "name", "length", "caller")
@@ -34,9 +34,9 @@ class Owners:
 
 def owners(graphs: ObjectGraphs, rules: NameRules) -> Owners:
     names = og.Names(graphs, og.reachable_from_root(graphs), rules)
-    function_names = cut_lineage(names.function_names(), "function-names")
-    class_names = cut_lineage(names.class_names(function_names), "class-names")
-    libs = cut_lineage(og.libraries(graphs, class_names), "libraries")
+    function_names = cut_sized(names.function_names(), "function-names")
+    class_names = cut_sized(names.class_names(function_names), "class-names")
+    libs = cut_sized(og.libraries(graphs, class_names), "libraries")
     ctors = og.ctor_like(graphs)
     own = libs.select(
         G, F.col("node").alias("owner"), F.col("node").alias("proto"),
@@ -60,7 +60,7 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
     only if it shares a name with the object. Walks meet in a forest, so objects are
     settled level by level: at level n every arrival comes from a lower level.
     """
-    first = cut_lineage(first_claims(found), "first-claims")
+    first = cut_sized(first_claims(found), "first-claims")
     below = forest.chains(first.select(G, F.col("proto").alias("node")))
     levels = below.groupBy(G, F.col("ancestor").alias("next")).agg(F.max("depth").alias("next_level"))
     onward = forest.up.select(G, "node", F.col("proto").alias("next")).join(levels, [G, "next"])
@@ -72,7 +72,7 @@ def proto_claims(found: Owners, forest: ProtoForest) -> DataFrame:
         .select(G, "node", "owner").distinct()
     )
     (onward, n_onward), akin = together(
-        lambda: cut_and_count(onward, "levels"), lambda: cut_lineage(akin, "akin"))
+        lambda: cut_sized_and_count(onward, "levels"), lambda: cut_sized(akin, "akin"))
     taken = first.select(G, F.col("proto").alias("node")).distinct()
     entry = found.frame.select(G, F.col("proto").alias("node"), "owner", "kind")
     # Rows are owners that passed ``node`` and arrive at ``next`` on the level they are due in.
@@ -198,14 +198,14 @@ def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
         return explored, owners(explored, rules)
 
     def members_and_shown() -> tuple[DataFrame, DataFrame]:
-        members = cut_lineage(og.class_apis(graphs, rules), "class-members")
+        members = cut_sized(og.class_apis(graphs, rules), "class-members")
         return members, og.shown_by_prototypes(graphs, members)
 
     (explored, found), forest, (class_members, shown) = together(
         owned, lambda: og.proto_forest(graphs), members_and_shown)
     graphs = explored
-    claims = cut_lineage(proto_claims(found, forest), "claims")
-    levels = cut_lineage(instance_levels(graphs, found, claims, forest), "levels")
+    claims = cut_sized(proto_claims(found, forest), "claims")
+    levels = cut_sized(instance_levels(graphs, found, claims, forest), "levels")
     nothing = [F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("depth")]
     members = (
         apis_from_protos(claims, class_members, graphs, shown)
@@ -226,7 +226,7 @@ def extract_catalog(
     if processors is None:
         processors = default_processors(config.rules)
     done = run(graphs, config.rules)
-    catalog = cut_lineage(done.catalog(), "catalog")
+    catalog = cut_sized(done.catalog(), "catalog")
     for processor in processors:
         catalog = processor(catalog, done.graphs)
     return catalog

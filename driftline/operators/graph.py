@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.rounds import closure
-from driftline.session import cut_and_count, cut_lineage, together
+from driftline.session import cut_sized, cut_sized_and_count, together
 
 G = "graph_id"
 PROTO_LABEL = "__proto__"
@@ -31,7 +31,7 @@ def plain_name(key: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class ObjectGraphs:
-    nodes: DataFrame
+    nodes: DataFrame | None
     edges: DataFrame
     protos: DataFrame
     marks: DataFrame
@@ -43,14 +43,17 @@ class ObjectGraphs:
 
     @classmethod
     def build(
-        cls, nodes: DataFrame, edges: DataFrame, protos: DataFrame, meta: DataFrame,
+        cls, nodes: DataFrame | None, edges: DataFrame, protos: DataFrame, meta: DataFrame,
         functions: DataFrame, strings: DataFrame, types: DataFrame, roots: DataFrame,
     ) -> ObjectGraphs:
-        """From raw tables: edges with ``key``, meta with ``key`` and ``is_value``."""
+        """From raw tables: edges with ``key``, meta with ``key`` and ``is_value``.
+
+        Nodes may be added later, if they are to come from the written edges.
+        """
         typed = types.select(G, F.col("node").alias("child"), F.col("type_name").alias("child_type"))
         primitive = types.select(G, F.col("node").alias("proto"))
         return cls(
-            nodes=nodes.select(G, "node"),
+            nodes=None if nodes is None else nodes.select(G, "node"),
             edges=edges.join(typed, [G, "child"], "left").select(
                 G, "node", plain_name("key").alias("name"),
                 F.col("key").rlike(r"^\+.+\+$").alias("builtin"), "child", "child_type"),
@@ -65,7 +68,7 @@ class ObjectGraphs:
         """The same tables, written once, for the many passes of an extraction."""
         names = [name for name in self.__dataclass_fields__ if getattr(self, name) is not None]
         written = together(*[
-            partial(cut_lineage, getattr(self, name), f"graph-{name}") for name in names])
+            partial(cut_sized, getattr(self, name), f"graph-{name}") for name in names])
         return replace(self, **dict(zip(names, written)))
 
     def explored(self) -> ObjectGraphs:
@@ -73,7 +76,7 @@ class ObjectGraphs:
         if self.reachable is not None:
             return self
         reachable, marks = together(
-            lambda: reachable_from_root(self), lambda: cut_lineage(landmarks(self), "landmarks"))
+            lambda: reachable_from_root(self), lambda: cut_sized(landmarks(self), "landmarks"))
         return replace(self, reachable=reachable, landmarks=marks)
 
 
@@ -102,7 +105,7 @@ def reachable_from_root(graphs: ObjectGraphs) -> DataFrame:
     """``graph_id, node`` for every object on a path from its graph's root, hop by hop."""
     if graphs.reachable is not None:
         return graphs.reachable
-    steps = cut_lineage(links(graphs).select(G, "node", "child").distinct(), "links")
+    steps = cut_sized(links(graphs).select(G, "node", "child").distinct(), "links")
     return closure(
         graphs.roots.select(G, F.col("root").alias("node")),
         lambda frontier: steps.join(frontier, [G, "node"], "left_semi").select(G, F.col("child").alias("node")),
@@ -135,7 +138,7 @@ def proto_forest(graphs: ObjectGraphs) -> ProtoForest:
     """Chains by doubling: as many rounds as the longest chain's length has bits."""
     up = graphs.protos
     parents = up.select(G, F.col("proto").alias("node")).distinct()
-    closure = cut_lineage(
+    closure = cut_sized(
         parents.join(up, [G, "node"]).select(
             G, "node", F.col("proto").alias("ancestor"), F.lit(1).alias("depth")),
         "chains",
@@ -145,7 +148,7 @@ def proto_forest(graphs: ObjectGraphs) -> ProtoForest:
         far = closure.where(F.col("depth") == reach).select(G, "node", F.col("ancestor").alias("via"))
         beyond = closure.select(
             G, F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
-        grown, added = cut_and_count(
+        grown, added = cut_sized_and_count(
             far.join(beyond, [G, "via"]).select(G, "node", "ancestor", "depth"), "chains")
         if not added:
             return ProtoForest(up, closure)
@@ -212,7 +215,7 @@ class Names:
         """Labelled links out of reachable objects, self links left out."""
         known = links(self.graphs).join(self.reachable, [G, "node"], "left_semi")
         apart = known.where(F.col("node") != F.col("child"))
-        return cut_lineage(_dots_as_links(apart), "in-links")
+        return cut_sized(_dots_as_links(apart), "in-links")
 
     def _before_prototype(self) -> DataFrame:
         """``graph_id, node, name, via, start``: ``start -name-> via -prototype-> node``."""
@@ -319,12 +322,14 @@ def class_apis(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
     """``graph_id, node, name``: the members an object shows as a class or prototype."""
     kinds = landmarks(graphs).groupBy(G, "node").agg(
         F.max(F.col("kind") == "object_prototype").alias("is_object_prototype"))
-    own = graphs.edges.join(kinds, [G, "node"], "left")
+    own = graphs.edges.join(kinds, [G, "node"], "left").select(
+        G, "node", "name", "builtin", "is_object_prototype", F.lit(None).cast("boolean").alias("constant"))
     if rules.constant_types:
+        # Only names in capitals are looked up.
+        capital = F.col("name").rlike(CONST_CASE)
         fixed = constants(graphs, rules).withColumn("constant", F.lit(True))
-        own = own.join(fixed, [G, "node", "name"], "left")
-    else:
-        own = own.withColumn("constant", F.lit(None).cast("boolean"))
+        looked_up = own.where(capital).drop("constant").join(fixed, [G, "node", "name"], "left")
+        own = own.where(F.coalesce(~capital, F.lit(True))).unionByName(looked_up)
     variable = F.col("constant").isNull()
     ordinary = ~F.col("builtin") & ~F.col("name").rlike(ALL_DIGITS) & (F.col("name") != "prototype")
     kept = (
@@ -348,7 +353,7 @@ def shown_by_prototypes(graphs: ObjectGraphs, class_members: DataFrame) -> DataF
     one prototype inherit is kept once.
     """
     parents = graphs.protos.select(G, F.col("proto").alias("node")).distinct()
-    links = cut_lineage(graphs.protos.join(parents, [G, "node"], "left_semi"), "prototype-links")
+    links = cut_sized(graphs.protos.join(parents, [G, "node"], "left_semi"), "prototype-links")
     own = class_members.join(parents, [G, "node"], "left_semi")
     return closure(
         own.select(G, F.col("node").alias("proto"), "name"),

@@ -21,7 +21,7 @@ from driftline.plans import bindings
 from driftline.plans.bindings import table
 from driftline.plans.graph_binding import TYPES
 from driftline.plans.registry import BOUND, query
-from driftline.session import fresh_path
+from driftline.session import cut_sized, fresh_path
 from driftline.sources import entities
 from driftline.sources.object_graph import GraphFiles, import_graph_files, read_object_graphs, release_info
 
@@ -42,14 +42,14 @@ FUNCTIONS = [(101, "Object"), (103, "Function"), (STYLE2, "CSS2Properties"), (ST
 
 
 def _shipped(spark: SparkSession, folder: str) -> DataFrame:
-    """``s_suppkey, brand, plain, dashed, flag, first``: parts by supplier, distinct."""
+    """``s_suppkey, brand, p_name, flag, first``: parts by supplier, distinct."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("s_suppkey"), "l_partkey", F.col("l_returnflag").alias("flag"),
-        (F.col("l_linenumber") == 1).alias("first")).distinct()
+        (F.col("l_linenumber") == 1).alias("first"))
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_brand", "^Brand#", "").cast("long").alias("brand"),
-        F.regexp_replace("p_name", " ", "_").alias("plain"), F.regexp_replace("p_name", " ", "-").alias("dashed"))
-    return lines.join(parts, "l_partkey").drop("l_partkey").distinct()
+        "p_name")
+    return lines.join(parts, "l_partkey").drop("l_partkey").repartition("s_suppkey").distinct()
 
 
 def _entries(*entries: tuple[Column | str | int, ...]) -> Column:
@@ -63,21 +63,27 @@ def _entries(*entries: tuple[Column | str | int, ...]) -> Column:
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per capture, in the form of the files."""
-    shipped = _shipped(spark, folder)
+    """One row per capture, in the form of the files.
+
+    What is shipped is derived once, and dealt by supplier before it is put together.
+    """
+    shipped = cut_sized(_shipped(spark, folder), "shipped")
+    brands = shipped.select("s_suppkey", "brand").distinct()
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     name, proto, ctor = F.concat(F.lit("Brand"), "brand"), F.col("brand") + BRAND_PROTO, F.col("brand") + BRAND
-    flag = F.col("flag")
-    edges = shipped.select("s_suppkey", _entries(
-        (ROOT, name, ctor), (ctor, "prototype", proto), (proto, "+constructor+", ctor), (proto, F.col("plain"), 6),
-        (STYLE2_PROTO, F.when(flag == "R", F.col("dashed")).when(flag == "A", F.col("plain")), 6),
-        (STYLE_PROTO, F.when((flag == "N") & F.col("first"), F.col("plain")), 6),
-    ).alias("e")).unionByName(supplier.select("s_suppkey", _entries(*FIXED).alias("e"))).select("s_suppkey", "e.*").distinct()
+    flag, plain, dashed = F.col("flag"), F.regexp_replace("p_name", " ", "_"), F.regexp_replace("p_name", " ", "-")
+    own = brands.select("s_suppkey", _entries(
+        (ROOT, name, ctor), (ctor, "prototype", proto), (proto, "+constructor+", ctor)).alias("e"))
+    parts = shipped.select("s_suppkey", _entries(
+        (proto, plain, 6), (STYLE2_PROTO, F.when(flag == "R", dashed).when(flag == "A", plain), 6),
+        (STYLE_PROTO, F.when((flag == "N") & F.col("first"), plain), 6)).alias("e"))
+    fixed_members = supplier.select("s_suppkey", _entries(*FIXED).alias("e"))
+    edges = own.unionByName(parts).unionByName(fixed_members).select("s_suppkey", "e.*").repartition("s_suppkey").distinct()
     members = edges.groupBy("s_suppkey", "node").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "child"))).alias("members"))
     data = members.groupBy("s_suppkey").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "members"))).alias("data"))
-    brands = shipped.select("s_suppkey", "brand", name.alias("name")).distinct()
+    brands = brands.withColumn("name", name)
 
     def fixed(pairs: list[tuple[int, object]], kind: str) -> Column:
         return F.array(*[F.struct(F.lit(str(n)).alias("id"), F.lit(v).cast(kind).alias("v")) for n, v in pairs])
@@ -108,7 +114,9 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
 def captured_files(spark: SparkSession, folder: str) -> DataFrame:
     """The captures as files, one each, read back; writers name files as they like."""
     path = fresh_path(spark, "captures")
-    captures(spark, folder).drop("s_suppkey").write.option("maxRecordsPerFile", 1).json(path)
+    # Files as many as suppliers are moved to their place by the tasks, not one by one by the driver.
+    captures(spark, folder).drop("s_suppkey").write.options(
+        **{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).json(path)
     return read_object_graphs(spark, path, names="*.json")
 
 

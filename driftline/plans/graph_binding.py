@@ -7,6 +7,7 @@ share a nameless prototype that derives from the region's first nation.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.graph import G, ObjectGraphs
 from driftline.plans.bindings import table
-from driftline.session import cut_lineage, together
+from driftline.session import cut_sized, together
 
 ROOT, OBJECT, OBJECT_PROTO, FUNCTION, FUNCTION_PROTO = 100, 101, 102, 103, 104
 CTOR, PROTO, HIDDEN, MIDDLE, LIB, LIB_PROTO, SUPPLIER = 1000, 2000, 3000, 4000, 5000, 6000, 1000000
@@ -57,30 +58,42 @@ def _member() -> Column:
 
 
 def bought_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct members of bought parts, by nation, segment and quantity."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    """Distinct members of bought parts, by nation, segment and turn.
+
+    A turn is a quantity of 50, which alone tells of the part's type and size, or a quantity modulo 5.
+    Orders find their buyers before the lines come in, so that these are dealt in few columns.
+    """
+    quantity = F.col("l_quantity")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(quantity == 50, quantity).otherwise(quantity % 5).alias("turn"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     buyers = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("nation"), "c_mktsegment")
     parts = table(spark, folder, "part").select("p_partkey", _member().alias("member"), "p_type", "p_size")
+    bought = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "nation", "c_mktsegment")
+    whole = F.col("turn") == 50
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("nation", "c_mktsegment", "l_partkey", "turn")
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select("nation", "c_mktsegment", "member", "p_type", "p_size", "l_quantity").distinct()
+        .select("nation", "c_mktsegment", "member", F.when(whole, F.col("p_type")).alias("p_type"),
+                F.when(whole, F.col("p_size")).alias("p_size"), "turn").distinct()
     )
 
 
 def supplied_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct members of shipped parts by supplier: offered at a discount, or on the middle prototype."""
-    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
+    """Members of shipped parts: offered at a discount by a supplier, or on its nation's middle prototype.
+
+    They repeat; members and suppliers repeat in the graphs' edges as well, and go there once.
+    """
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", "l_partkey", (F.col("l_discount") > 0.045).alias("offered"))
     parts = table(spark, folder, "part").select("p_partkey", _member().alias("member"))
     suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
     return (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select("s_suppkey", "nation", "member", (F.col("l_discount") > 0.045).alias("offered"))
-        .distinct()
+        .select("s_suppkey", "nation", "member", "offered")
     )
 
 
@@ -126,13 +139,12 @@ def _object_graphs(spark: SparkSession, application: str, folder: str, state: in
         "nations": nations(spark, folder),
         "segments": segments(spark, folder),
         "bought": bought_members(spark, folder),
-        "supplied": supplied_members(spark, folder),
     }
-    nation, segment, bought, supplied = together(*[
-        partial(cut_lineage, rows, name) for name, rows in sources.items()])
+    nation, segment, bought = together(*[
+        partial(cut_sized, rows, name) for name, rows in sources.items()])
     regions = table(spark, folder, "region").select(F.col("r_name").alias(G))
     bought = bought.join(nation, "nation").join(segment, "c_mktsegment")
-    supplied = supplied.join(nation.select(G, "nation"), "nation")
+    supplied = supplied_members(spark, folder).join(nation.select(G, "nation"), "nation")
     supplier = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("nation"))
     supplier = supplier.withColumn(
         "segment", F.pmod("s_suppkey", segment.agg(F.count("*").alias("n")).scalar()))
@@ -161,13 +173,13 @@ def _object_graphs(spark: SparkSession, application: str, folder: str, state: in
         ),
         _rows(
             bought,
-            ("l_quantity = 50", ctor, "concat(lower(p_type), '_kind')", f"{NULL}"),
-            ("l_quantity = 50", proto, "p_type", f"{NUMBER}"),
-            ("l_quantity = 50", proto, "CAST(p_size AS STRING)", f"{NUMBER}"),
-            (f"l_quantity % 5 IN (0, 4) OR l_quantity % 5 = 1 AND NOT {shared}", proto, "member", f"{NULL}"),
-            (f"l_quantity % 5 = 1 AND {shared}", hidden, "member", f"{NULL}"),
-            (f"l_quantity % 5 = 2 OR l_quantity % 5 = 3 AND NOT {layered}", seg, "member", f"{NULL}"),
-            (f"l_quantity % 5 = 3 AND {layered}", base, "member", f"{NULL}"),
+            ("turn = 50", ctor, "concat(lower(p_type), '_kind')", f"{NULL}"),
+            ("turn = 50", proto, "p_type", f"{NUMBER}"),
+            ("turn = 50", proto, "CAST(p_size AS STRING)", f"{NUMBER}"),
+            (f"turn % 5 IN (0, 4) OR turn % 5 = 1 AND NOT {shared}", proto, "member", f"{NULL}"),
+            (f"turn % 5 = 1 AND {shared}", hidden, "member", f"{NULL}"),
+            (f"turn % 5 = 2 OR turn % 5 = 3 AND NOT {layered}", seg, "member", f"{NULL}"),
+            (f"turn % 5 = 3 AND {layered}", base, "member", f"{NULL}"),
         ),
         _rows(supplied, ("offered", one, "member", f"{NULL}"), ("NOT offered", middle, "member", f"{NULL}")),
         _rows(lib, ("true", f"{ROOT}", "c_mktsegment", seg)),
@@ -194,16 +206,18 @@ def _object_graphs(spark: SparkSession, application: str, folder: str, state: in
         _rows(regions, ("true", f"{OBJECT}", "'Object'", "0"), ("true", f"{FUNCTION}", "'Function'", "0")),
         _rows(nation, ("true", ctor, "concat('fn_', n_name)", "0")),
     )
-    meta = _rows(bought, ("l_quantity = 50", proto, "p_type", "1"))
-    return ObjectGraphs.build(
-        nodes=edges.select(G, "node").unionByName(protos.select(G, "node")).distinct(),
-        edges=edges, protos=protos, meta=meta.withColumnRenamed("child", "is_value"),
+    meta = _rows(bought, ("turn = 50", proto, "p_type", "1"))
+    graphs = ObjectGraphs.build(
+        nodes=None, edges=edges, protos=protos, meta=meta.withColumnRenamed("child", "is_value"),
         functions=functions.withColumnRenamed("key", "name"),
         strings=strings.withColumnRenamed("key", "text"),
         types=_rows(regions, *[("true", str(number), f"'{name}'", "0") for name, number in TYPES.items()])
         .withColumnRenamed("key", "type_name"),
         roots=regions.select(G, F.lit(ROOT).cast("long").alias("root")),
     ).settled()
+    # From the written edges, which are not derived again for it.
+    nodes = graphs.edges.select(G, "node").unionByName(protos.select(G, "node")).distinct()
+    return replace(graphs, nodes=cut_sized(nodes, "graph-nodes"))
 
 
 GRAPH = f"""

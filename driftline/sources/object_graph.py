@@ -7,12 +7,12 @@ files, and no table holds a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.extract import ExtractorConfig, extract_catalog
 from driftline.operators.graph import G, ObjectGraphs
-from driftline.session import fresh_path
+from driftline.session import bytes_of, fresh_path, too_big_to_send
 from driftline.sources.catalog import import_catalogs
 
 #: Parts of a document that are maps by node, and those whose values are maps again.
@@ -96,11 +96,16 @@ class GraphFiles:
         spark = documents.sparkSession
         path = fresh_path(spark, "graph-files")
         rows = tagged_rows(documents)
-        rows.write.partitionBy("tag").parquet(path)
-        self.table = spark.read.schema(rows.schema).parquet(path)
+        tags = ("file", "root", *MAPS)
+        seen, size = Observation(), bytes_of(rows)
+        counted = rows.observe(seen, *[F.sum(F.when(F.col("tag") == tag, size)).alias(tag) for tag in tags])
+        # By graph: else each of the many tasks that read small files has a file for every tag.
+        counted.repartition(G).write.partitionBy("tag").parquet(path)
+        self.table, self.bytes = spark.read.schema(rows.schema).parquet(path), seen.get
 
     def part(self, tag: str) -> DataFrame:
-        return self.table.where(F.col("tag") == tag).select(G, "id", "key", "value")
+        rows = self.table.where(F.col("tag") == tag).select(G, "id", "key", "value")
+        return rows if tag == "data" else too_big_to_send(rows, self.bytes[tag])
 
     def release_info(self, on_malformed: str = "error") -> DataFrame:
         parts = {name: F.get_json_object("value", f"$.{path}") for name, path in RELEASE.items()}
