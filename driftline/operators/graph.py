@@ -318,8 +318,31 @@ def constants(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
     )
 
 
-def class_apis(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
-    """``graph_id, node, name``: the members an object shows as a class or prototype."""
+def prototypes(graphs: ObjectGraphs) -> DataFrame:
+    """``graph_id, node`` of all objects that are somebody's prototype."""
+    return cut_sized(graphs.protos.select(G, F.col("proto").alias("node")).distinct(), "prototypes")
+
+
+def class_like(graphs: ObjectGraphs) -> DataFrame:
+    """``graph_id, node`` of all objects that show members as classes: prototypes, constructors with the
+    objects they give out, and the root's members. Instances are left out, unless they are one of these."""
+    ctors = ctor_like(graphs)
+    kinds = [
+        graphs.protos.select(G, F.col("proto").alias("node")), ctors.select(G, "node"),
+        ctors.select(G, F.col("proto").alias("node")), root_properties(graphs).select(G, "node"),
+    ]
+    return cut_sized(reduce(DataFrame.unionByName, kinds).distinct(), "class-like")
+
+
+def class_apis(graphs: ObjectGraphs, rules: NameRules, among: DataFrame | None = None) -> DataFrame:
+    """``graph_id, node, name``: the members an object shows as a class or prototype.
+
+    With ``among``, of these objects only; theirs are picked before anything is dealt out.
+    """
+    if among is not None:
+        picked = among.select(G, "node")
+        graphs = replace(
+            graphs, edges=graphs.edges.join(picked, [G, "node"], "left_semi"), landmarks=landmarks(graphs))
     kinds = landmarks(graphs).groupBy(G, "node").agg(
         F.max(F.col("kind") == "object_prototype").alias("is_object_prototype"))
     own = graphs.edges.join(kinds, [G, "node"], "left").select(
@@ -340,10 +363,15 @@ def class_apis(graphs: ObjectGraphs, rules: NameRules) -> DataFrame:
     return own.where(kept).select(G, "node", "name").distinct()
 
 
+def instance_members(graphs: ObjectGraphs) -> DataFrame:
+    """``graph_id, node, name``: like ``instance_apis``, once for each edge."""
+    own = graphs.edges.where(~F.col("builtin") & ~F.col("name").rlike(ALL_DIGITS))
+    return own.select(G, "node", "name")
+
+
 def instance_apis(graphs: ObjectGraphs) -> DataFrame:
     """``graph_id, node, name``: the members an object shows as an instance."""
-    own = graphs.edges.where(~F.col("builtin") & ~F.col("name").rlike(ALL_DIGITS))
-    return own.select(G, "node", "name").distinct()
+    return instance_members(graphs).distinct()
 
 
 def shown_by_prototypes(graphs: ObjectGraphs, class_members: DataFrame) -> DataFrame:
@@ -369,6 +397,13 @@ def inherited(nodes: DataFrame, graphs: ObjectGraphs, shown: DataFrame) -> DataF
 
 
 def without_inherited(members: DataFrame, graphs: ObjectGraphs, shown: DataFrame) -> DataFrame:
-    """Members that no prototype further down the chain shows already."""
-    linked = members.join(graphs.protos, [G, "node"], "left")
-    return linked.join(shown, [G, "proto", "name"], "left_anti").select(*members.columns)
+    """Members that no prototype further down the chain shows already.
+
+    Members may repeat and count once, or once for each link of their object to a prototype. They are made
+    distinct where the prototypes' members meet them, so that they are dealt out for both at once.
+    """
+    ups = graphs.protos.groupBy(G, "node", "proto").agg(F.count(F.lit(1)).cast("int").alias("ups"))
+    linked = members.join(ups, [G, "node"], "left")
+    fresh = linked.join(shown, [G, "proto", "name"], "left_anti").distinct()
+    each = F.array_repeat(F.lit(True), F.coalesce("ups", F.lit(1)))
+    return fresh.withColumn("each", F.explode(each)).select(*members.columns)

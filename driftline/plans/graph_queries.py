@@ -118,14 +118,15 @@ def proto_chain(spark: SparkSession, folder: str) -> DataFrame:
 def inherited_apis(spark: SparkSession, folder: str) -> DataFrame:
     """What each object's prototypes show on its behalf."""
     graphs = object_graphs(spark, folder)
-    shown = og.shown_by_prototypes(graphs, og.class_apis(graphs, RULES))
+    shown = og.shown_by_prototypes(graphs, og.class_apis(graphs, RULES, og.prototypes(graphs)))
     return og.inherited(graphs.nodes, graphs, shown)
 
 
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_ctors")
 def apis_from_ctor_or_lib(spark: SparkSession, folder: str) -> DataFrame:
     graphs = object_graphs(spark, folder)
-    return extract.apis_from_ctors(extract.owners(graphs, RULES), og.class_apis(graphs, RULES))
+    found = extract.owners(graphs, RULES)
+    return extract.apis_from_ctors(found, og.class_apis(graphs, RULES, og.class_like(graphs)))
 
 
 @query(GRAPH + "SELECT graph_id, owner, api, source FROM from_protos")
