@@ -159,14 +159,17 @@ def apis_from_instances(
 ) -> DataFrame:
     """Members that instances add to what their prototypes show."""
     holders = levels.select(G, "node").distinct()
-    fresh = og.without_inherited(og.instance_apis(graphs).join(holders, [G, "node"], "left_semi"), graphs, shown)
+    fresh = og.without_inherited(og.instance_members(graphs).join(holders, [G, "node"], "left_semi"), graphs, shown)
     return fresh.join(levels, [G, "node"]).join(claims, [G, "proto"]).select(
         G, "owner", F.col("name").alias("api"), F.col("node").alias("source"), "start", "depth")
 
 
 @dataclass(frozen=True)
 class Extraction:
-    """Every stage of one extraction run; ``members`` holds one row per stage and source."""
+    """Every stage of one extraction run; ``members`` holds one row per stage and source.
+
+    ``class_members`` are those of ``class_like`` objects, as no other object shows any.
+    """
 
     graphs: ObjectGraphs
     owners: Owners
@@ -198,7 +201,7 @@ def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:
         return explored, owners(explored, rules)
 
     def members_and_shown() -> tuple[DataFrame, DataFrame]:
-        members = cut_sized(og.class_apis(graphs, rules), "class-members")
+        members = cut_sized(og.class_apis(graphs, rules, og.class_like(graphs)), "class-members")
         return members, og.shown_by_prototypes(graphs, members)
 
     (explored, found), forest, (class_members, shown) = together(

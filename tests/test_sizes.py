@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline import session
+from driftline.operators import extract
+from driftline.operators import graph as og
 from driftline.operators.rounds import Rounds
-from driftline.plans import file_queries, graph_binding
+from driftline.plans import file_queries, graph_binding, graph_queries
 from driftline.sources.object_graph import GraphFiles, read_object_graphs
 
 GRAPH = "part-00000-0123456789abcdef-0123456789abcdef-c000.json"
@@ -96,3 +98,28 @@ def test_captures_hold_brands_and_parts(spark, shop):
     assert data["2001"] == {"+constructor+": 1001, "big_bolt": 6} and data["1001"] == {"prototype": 2001}
     assert data["111"] == {"+constructor+": 110, "big-bolt": 6} and data["100"]["Brand1"] == 1001
     assert rows[1].functions["1001"] == "Brand1" and "2001" not in rows[2].data
+
+
+def test_members_that_repeat_count_once_for_each_link(spark):
+    members = spark.createDataFrame(
+        [("g", 1, "a"), ("g", 1, "a"), ("g", 1, "b"), ("g", 2, "a"), ("g", 2, "a"), ("g", 3, "a"), ("g", 3, "a")],
+        "graph_id string, node bigint, name string")
+    protos = spark.createDataFrame(
+        [("g", 1, 9), ("g", 2, 9), ("g", 2, 8), ("g", 2, 8)], "graph_id string, node bigint, proto bigint")
+    shown = spark.createDataFrame([("g", 9, "a")], "graph_id string, proto bigint, name string")
+    graphs = og.ObjectGraphs(None, None, protos, None, None, None, None)
+    found = og.without_inherited(members, graphs, shown).collect()
+    assert sorted(map(tuple, found)) == [("g", 1, "b"), ("g", 2, "a"), ("g", 2, "a"), ("g", 3, "a")]
+
+
+def test_members_of_instances_are_not_dealt_out_for_classes(spark, shop):
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{shop}/region.parquet")
+    spark.createDataFrame(
+        [(3, "N3", 0), (5, "N5", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{shop}/nation.parquet")
+    graphs = graph_binding.object_graphs(spark, shop)
+    done = extract.run(graphs)
+    nodes = {row.node for row in done.class_members.select("node").distinct().collect()}
+    every = {row.node for row in og.class_apis(graphs, graph_queries.RULES).select("node").distinct().collect()}
+    assert max(every) > graph_binding.SUPPLIER > max(nodes)
+    plan = graph_queries.apis_from_ctor_or_lib(spark, shop)._jdf.queryExecution().sparkPlan().toString()
+    assert "class-like" in plan
