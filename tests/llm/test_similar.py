@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import minhash, sais, suffix, topk
+from driftline.llm import minhash, queries, sais, suffix, topk
 from driftline.llm.shingles import shingles
 
 
@@ -272,6 +272,40 @@ def test_repeats_are_removed(spark, corpus, length, crowd):
     assert {tuple(r)[2:] for r in left.collect()} == {tuple(range(8))}
 
 
+@pytest.mark.parametrize(("length", "passage", "crowd"), [(400, 240, 4096), (400, 240, 2), (100, 64, 0), (64, 100, 4096)])
+def test_passages_of_a_second_length(spark, corpus, length, passage, crowd):
+    rows = [*[(i, t) for i, t, *_ in corpus], *repeating(random.Random(3))]
+    rows += [(7, rows[7][1]), (8, "q" + rows[7][1][-300:]), (9, rows[7][1][:300]), (9, rows[7][1][:300])]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix.remove_repeats(given, length, crowd=crowd, passage=passage).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == without_repeats(rows, length)
+    expected = sorted(((r[0], r[1], r[2], r[3]) for r in without_repeats(rows, passage)), key=str)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_passage_bytes, r.n_passages) for r in found), key=str) == expected
+    alone = suffix.remove_repeats(given, passage, crowd=crowd).collect()
+    assert sorted(((r.doc_id, r.without_passages) for r in found), key=str) == sorted(
+        ((r.doc_id, r.text) for r in alone), key=str)
+
+
+def test_query_shows_passages_of_fifty_words(spark, tmp_path):
+    """Passages of 51 words and less than 400 bytes that two documents share, among documents of their own."""
+    rnd = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rnd.choices("aeinrst", k=rnd.randint(3, 6))) for _ in range(n))
+
+    shared = [prose(51) for _ in range(10)]
+    assert max(map(len, shared)) < 400
+    rows = [(i, f"{prose(90)} {shared[i % 10]} {prose(80)}") for i in range(20)] + [(i, prose(220)) for i in range(20, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op7_suffix_array_dedup(spark, str(tmp_path)).collect()
+    texts = dict(rows)
+    for r in found:
+        assert (r.n_removed, r.text) == (0, texts[r.doc_id])
+        assert (r.n_passage_bytes > 0) == (r.n_passages == 1) == (r.doc_id < 20)
+        assert (shared[r.doc_id % 10] in r.without_passages) is False
+        assert r.doc_id < 20 or r.without_passages == texts[r.doc_id]
+
+
 def test_no_texts_have_no_repeats(documents):
     assert suffix.remove_repeats(documents.where("false")).count() == 0
     assert suffix.without_repeats(documents.where("text IS NULL")).collect()[0].text is None
