@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,9 +137,28 @@ def instance_levels(
         G, "node", "proto", F.col("last.start").alias("start"), (-F.col("last.nearest")).alias("depth"))
 
 
+def members_of_ctors(class_members: DataFrame) -> DataFrame:
+    """``graph_id, node, name`` that constructors and libraries show themselves, if they are such."""
+    return class_members.where(~F.col("name").isin(*FUNCTION_MEMBERS))
+
+
+def members_of_protos(
+    claims: DataFrame, class_members: DataFrame, graphs: ObjectGraphs, shown: DataFrame
+) -> DataFrame:
+    """``graph_id, node, name`` of claimed prototypes that are not inherited from further down."""
+    holders = claims.select(G, F.col("proto").alias("node")).distinct()
+    return og.without_inherited(class_members.join(holders, [G, "node"], "left_semi"), graphs, shown)
+
+
+def members_of_instances(levels: DataFrame, graphs: ObjectGraphs, shown: DataFrame) -> DataFrame:
+    """``graph_id, node, name`` that instances add to what their prototypes show."""
+    holders = levels.select(G, "node").distinct()
+    return og.without_inherited(og.instance_members(graphs).join(holders, [G, "node"], "left_semi"), graphs, shown)
+
+
 def apis_from_ctors(found: Owners, class_members: DataFrame) -> DataFrame:
     """Members of constructors and libraries themselves."""
-    own = class_members.where(~F.col("name").isin(*FUNCTION_MEMBERS))
+    own = members_of_ctors(class_members)
     holders = found.frame.select(G, "owner").distinct()
     return own.withColumnRenamed("node", "owner").join(holders, [G, "owner"], "left_semi").select(
         G, "owner", F.col("name").alias("api"), F.col("owner").alias("source"))
@@ -148,8 +168,7 @@ def apis_from_protos(
     claims: DataFrame, class_members: DataFrame, graphs: ObjectGraphs, shown: DataFrame
 ) -> DataFrame:
     """Members of claimed prototypes that are not inherited from further down."""
-    holders = claims.select(G, F.col("proto").alias("node")).distinct()
-    fresh = og.without_inherited(class_members.join(holders, [G, "node"], "left_semi"), graphs, shown)
+    fresh = members_of_protos(claims, class_members, graphs, shown)
     return fresh.withColumnRenamed("node", "proto").join(claims, [G, "proto"]).select(
         G, "owner", F.col("name").alias("api"), F.col("proto").alias("source"))
 
@@ -158,8 +177,7 @@ def apis_from_instances(
     levels: DataFrame, claims: DataFrame, graphs: ObjectGraphs, shown: DataFrame
 ) -> DataFrame:
     """Members that instances add to what their prototypes show."""
-    holders = levels.select(G, "node").distinct()
-    fresh = og.without_inherited(og.instance_members(graphs).join(holders, [G, "node"], "left_semi"), graphs, shown)
+    fresh = members_of_instances(levels, graphs, shown)
     return fresh.join(levels, [G, "node"]).join(claims, [G, "proto"]).select(
         G, "owner", F.col("name").alias("api"), F.col("node").alias("source"), "start", "depth")
 
@@ -189,10 +207,25 @@ class Extraction:
         return self.members.groupBy(G, "owner", "api").agg(F.max_by("source", order).alias("source"))
 
     def catalog(self) -> DataFrame:
-        """``graph_id, interface_name, api_name`` before post-processing."""
-        return self.members.select(G, "owner", "api").distinct().join(
-            self.owners.names, [G, "owner"]
-        ).select(G, F.col("name").alias("interface_name"), F.col("api").alias("api_name")).distinct()
+        """``graph_id, interface_name, api_name`` before post-processing.
+
+        Objects are given the names of their owners before they meet their members, so that these are
+        not dealt out by owner and by name once more.
+        """
+        names = self.owners.names.withColumnRenamed("name", "interface_name")
+        claimed = self.claims.join(names, [G, "owner"]).select(G, "proto", "interface_name").distinct()
+        holders = self.owners.frame.select(G, "owner").distinct().join(names, [G, "owner"])
+        of_protos = members_of_protos(self.claims, self.class_members, self.graphs, self.shown)
+        of_ctors = members_of_ctors(self.class_members)
+        of_instances = members_of_instances(self.levels, self.graphs, self.shown).join(
+            self.levels.select(G, "node", "proto"), [G, "node"]).select(G, "proto", "name").distinct()
+        found = [
+            of_protos.withColumnRenamed("node", "proto").join(claimed, [G, "proto"]),
+            of_ctors.withColumnRenamed("node", "owner").join(holders, [G, "owner"]),
+            of_instances.join(claimed, [G, "proto"]),
+        ]
+        return reduce(DataFrame.unionByName, [
+            rows.select(G, "interface_name", F.col("name").alias("api_name")) for rows in found]).distinct()
 
 
 def run(graphs: ObjectGraphs, rules: NameRules = NameRules()) -> Extraction:

@@ -7,6 +7,7 @@ derives from it, some with dashes in their names, so that every default correcti
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from driftline.plans import bindings
 from driftline.plans.bindings import table
 from driftline.plans.graph_binding import TYPES
 from driftline.plans.registry import BOUND, query
-from driftline.session import cut_sized, fresh_path
+from driftline.session import fresh_path
 from driftline.sources import entities
 from driftline.sources.object_graph import GraphFiles, import_graph_files, read_object_graphs, release_info
 
@@ -42,65 +43,72 @@ FUNCTIONS = [(101, "Object"), (103, "Function"), (STYLE2, "CSS2Properties"), (ST
 
 
 def _shipped(spark: SparkSession, folder: str) -> DataFrame:
-    """``s_suppkey, brand, p_name, flag, first``: parts by supplier, distinct."""
+    """``s_suppkey, brand, p_name, flag, first``: a row for each line of a part that is known."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("s_suppkey"), "l_partkey", F.col("l_returnflag").alias("flag"),
         (F.col("l_linenumber") == 1).alias("first"))
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_brand", "^Brand#", "").cast("long").alias("brand"),
         "p_name")
-    return lines.join(parts, "l_partkey").drop("l_partkey").repartition("s_suppkey").distinct()
+    return lines.join(parts, "l_partkey").drop("l_partkey")
 
 
 def _entries(*entries: tuple[Column | str | int, ...]) -> Column:
-    """An array of ``node, key, child``, without the ones that are null."""
+    """An array of ``node, key, child``, without the ones whose key is null."""
     def value(v: Column | str | int, kind: str) -> Column:
         return (v if isinstance(v, Column) else F.lit(v)).cast(kind)
 
     made = [F.struct(value(n, "bigint").alias("node"), value(k, "string").alias("key"), value(c, "bigint").alias("child"))
             for n, k, c in entries]
-    return F.explode(F.filter(F.array(*made), lambda e: e["key"].isNotNull()))
+    return F.filter(F.array(*made), lambda e: e["key"].isNotNull())
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
     """One row per capture, in the form of the files.
 
-    What is shipped is derived once, and dealt by supplier before it is put together.
+    What is shipped is dealt by supplier once, and put together where it is. Brands go the same way, in
+    rows of their own (``key`` is null).
     """
-    shipped = cut_sized(_shipped(spark, folder), "shipped")
-    brands = shipped.select("s_suppkey", "brand").distinct()
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     name, proto, ctor = F.concat(F.lit("Brand"), "brand"), F.col("brand") + BRAND_PROTO, F.col("brand") + BRAND
-    flag, plain, dashed = F.col("flag"), F.regexp_replace("p_name", " ", "_"), F.regexp_replace("p_name", " ", "-")
-    own = brands.select("s_suppkey", _entries(
-        (ROOT, name, ctor), (ctor, "prototype", proto), (proto, "+constructor+", ctor)).alias("e"))
-    parts = shipped.select("s_suppkey", _entries(
-        (proto, plain, 6), (STYLE2_PROTO, F.when(flag == "R", dashed).when(flag == "A", plain), 6),
-        (STYLE_PROTO, F.when((flag == "N") & F.col("first"), plain), 6)).alias("e"))
-    fixed_members = supplier.select("s_suppkey", _entries(*FIXED).alias("e"))
-    edges = own.unionByName(parts).unionByName(fixed_members).select("s_suppkey", "e.*").repartition("s_suppkey").distinct()
-    members = edges.groupBy("s_suppkey", "node").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "child"))).alias("members"))
-    data = members.groupBy("s_suppkey").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "members"))).alias("data"))
-    brands = brands.withColumn("name", name)
+
+    def of_part(part: Column) -> Column:
+        flag, plain, dashed = (
+            part["flag"], F.replace(part["p_name"], F.lit(" "), F.lit("_")), F.replace(part["p_name"], F.lit(" "), F.lit("-")))
+        return _entries(
+            (proto, plain, 6), (STYLE2_PROTO, F.when(flag == "R", dashed).when(flag == "A", plain), 6),
+            (STYLE_PROTO, F.when((flag == "N") & part["first"], plain), 6))
+
+    by_brand = _shipped(spark, folder).repartition("s_suppkey").groupBy("s_suppkey", "brand").agg(
+        F.collect_set(F.struct("p_name", "flag", "first")).alias("parts"))
+    brand = F.array(F.struct(
+        F.col("brand").alias("node"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("child")))
+    own = _entries((ROOT, name, ctor), (ctor, "prototype", proto), (proto, "+constructor+", ctor))
+    entries = by_brand.select(
+        "s_suppkey", F.explode(F.concat(brand, own, F.flatten(F.transform("parts", of_part)))).alias("e"))
+    fixed_members = supplier.repartition("s_suppkey").select("s_suppkey", F.explode(_entries(*FIXED)).alias("e"))
+    edge = F.col("key").isNotNull()
+    nodes = entries.unionByName(fixed_members).select("s_suppkey", "e.*").groupBy("s_suppkey", edge.alias("edge"), "node").agg(
+        F.map_from_entries(F.collect_set(F.when(edge, F.struct("key", "child")))).alias("members"))
+    whole = nodes.groupBy("s_suppkey").agg(
+        F.map_from_entries(F.collect_list(F.when(
+            F.col("edge"), F.struct(F.col("node").cast("string"), "members")))).alias("data"),
+        F.collect_list(F.when(~F.col("edge"), F.col("node"))).alias("brands"))
 
     def fixed(pairs: list[tuple[int, object]], kind: str) -> Column:
         return F.array(*[F.struct(F.lit(str(n)).alias("id"), F.lit(v).cast(kind).alias("v")) for n, v in pairs])
 
-    brand_id = lambda base: (F.col("brand") + base).cast("string").alias("id")
-    own = brands.groupBy("s_suppkey").agg(
-        F.flatten(F.collect_list(F.array(
-            F.struct(brand_id(BRAND), F.lit(104).cast("bigint").alias("v")),
-            F.struct(brand_id(BRAND_PROTO), F.lit(102).cast("bigint").alias("v"))))).alias("protos"),
-        F.collect_list(F.struct(brand_id(BRAND), F.col("name").alias("v"))).alias("functions"))
-    nothing = {"protos": "array<struct<id:string,v:bigint>>", "functions": "array<struct<id:string,v:string>>"}
-    parts = {c: F.coalesce(c, F.array().cast(kind)) for c, kind in nothing.items()}
+    def of_brands(value: Column | Callable[[Column], Column], base: int) -> Column:
+        return F.transform("brands", lambda b: F.struct(
+            (b + base).cast("string").alias("id"), (value(b) if callable(value) else value).alias("v")))
+
+    protos = [of_brands(F.lit(to).cast("bigint"), base) for to, base in ((104, BRAND), (102, BRAND_PROTO))]
     product = lambda n, v: F.struct(n.cast("string").alias("name"), v.cast("string").alias("version"))
-    return supplier.join(data, "s_suppkey").join(own, "s_suppkey", "left").select(
+    return supplier.join(whole, "s_suppkey").select(
         "s_suppkey", "data",
-        F.map_from_entries(F.concat(fixed(PROTOS, "bigint"), parts["protos"])).alias("protos"),
-        F.map_from_entries(F.concat(fixed(FUNCTIONS, "string"), parts["functions"])).alias("functions"),
+        F.map_from_entries(F.concat(fixed(PROTOS, "bigint"), *protos)).alias("protos"),
+        F.map_from_entries(F.concat(
+            fixed(FUNCTIONS, "string"), of_brands(lambda b: F.concat(F.lit("Brand"), b), BRAND))).alias("functions"),
         F.create_map(F.lit(str(ROOT)), F.lit("[object Window]")).alias("toStrings"),
         F.create_map(*[F.lit(x) for name, n in TYPES.items() for x in (name, n)]).alias("types"),
         F.lit(ROOT).alias("root"),
@@ -114,9 +122,11 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
 def captured_files(spark: SparkSession, folder: str) -> DataFrame:
     """The captures as files, one each, read back; writers name files as they like."""
     path = fresh_path(spark, "captures")
-    # Files as many as suppliers are moved to their place by the tasks, not one by one by the driver.
-    captures(spark, folder).drop("s_suppkey").write.options(
-        **{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).json(path)
+    # Files as many as suppliers are moved to their place by the tasks, not one by one by the driver. On local
+    # disks they have no file of checksums beside them: each file costs a process that sets its mode.
+    captures(spark, folder).drop("s_suppkey").write.options(**{
+        "maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2,
+        "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}).json(path)
     return read_object_graphs(spark, path, names="*.json")
 
 

@@ -72,30 +72,39 @@ def tagged_rows(documents: DataFrame) -> DataFrame:
         F.struct(F.lit(True).alias("file"), F.try_variant_get("document", "$.environment", "variant").alias("part")),
         F.struct(F.lit(False).alias("file"), F.col("document").alias("part")),
     )
-    twice = documents.select(G, "file_name", F.explode(whole).alias("one")).select(G, "file_name", "one.*")
-    parts = _exploded(twice, F.when(~F.col("file"), F.col("part")), "name", "content")
+    # What is taken apart is not needed any more behind that, so that no entry drags the whole it is from.
+    twice = documents.select(G, "file_name", F.explode(whole).alias("one")).select(
+        G, "file_name", "one.file", F.when(F.col("one.file"), F.col("one.part")).alias("environment"),
+        F.when(~F.col("one.file"), F.col("one.part")).alias("part"))
+    parts = _exploded(twice, F.col("part"), "name", "content")
     tag = F.when(F.col("file"), F.lit("file")).otherwise(F.col("name"))
     tagged = parts.select(
         G, tag.alias("tag"), F.when(F.col("file"), F.col("file_name")).alias("file_name"),
-        F.when(F.col("file"), F.col("part")).otherwise(F.col("content")).alias("content"),
+        F.when(F.col("file"), F.col("environment")).otherwise(F.col("content")).alias("content"),
     ).where(F.col("tag").isin("file", "root", *MAPS))
-    entries = _exploded(tagged, F.when(F.col("tag").isin(*MAPS), F.col("content")), "id", "entry").select(
-        G, "tag", F.coalesce("id", "file_name").alias("id"),
-        F.coalesce("entry", F.when(F.col("tag").isin("file", "root"), F.col("content"))).alias("entry"))
-    members = _exploded(entries, F.when(F.col("tag").isin(*NESTED), F.col("entry")), "key", "member")
-    nested = F.col("tag").isin(*NESTED)
+    single, nested = F.col("tag").isin("file", "root"), F.col("tag").isin(*NESTED)
+    entries = _exploded(tagged.select(
+        G, "tag", "file_name", F.when(single, F.col("content")).alias("single"), F.when(~single, F.col("content")).alias("map"),
+    ), F.col("map"), "id", "entry").select(
+        G, "tag", F.coalesce("id", "file_name").alias("id"), F.coalesce("entry", "single").alias("entry"))
+    members = _exploded(entries.select(
+        G, "tag", "id", F.when(~nested, F.col("entry").cast("string")).alias("text"), F.when(nested, F.col("entry")).alias("map"),
+    ), F.col("map"), "key", "member")
     return members.select(
-        G, "tag", "id", "key",
-        F.when(nested, F.col("member")).otherwise(F.col("entry")).cast("string").alias("value"))
+        G, "tag", "id", "key", F.when(nested, F.col("member").cast("string")).otherwise(F.col("text")).alias("value"))
 
 
 class GraphFiles:
-    """The tagged rows of a set of documents, written once."""
+    """The tagged rows of a set of documents, written once.
+
+    Documents are numbered: their ``graph_id`` is a number here, as every row that is dealt out or sorted
+    has one. The names of the files are the ids of the part ``file``.
+    """
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
         path = fresh_path(spark, "graph-files")
-        rows = tagged_rows(documents)
+        rows = tagged_rows(documents.withColumn(G, F.monotonically_increasing_id()))
         tags = ("file", "root", *MAPS)
         seen, size = Observation(), bytes_of(rows)
         counted = rows.observe(seen, *[F.sum(F.when(F.col("tag") == tag, size)).alias(tag) for tag in tags])

@@ -1,6 +1,7 @@
 """Tables whose files are far smaller than their rows, and what the graphs are derived from."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,39 @@ def test_members_of_instances_are_not_dealt_out_for_classes(spark, shop):
     assert max(every) > graph_binding.SUPPLIER > max(nodes)
     plan = graph_queries.apis_from_ctor_or_lib(spark, shop)._jdf.queryExecution().sparkPlan().toString()
     assert "class-like" in plan
+
+
+def test_documents_are_numbered_in_graph_tables(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"window_B_{i}_OS_1.json").write_text(json.dumps({
+            "data": {"1": {"a": 6, "b": 2}, "2": {}}, "types": {"null": 6}, "root": 1,
+            "environment": {"browser": {"name": "B", "version": f"v{i}"}, "platform": {"name": "OS", "version": "1"}}}))
+    files = GraphFiles(read_object_graphs(spark, str(tmp_path)))
+    assert {files.part(tag).schema["graph_id"].dataType.typeName() for tag in ("data", "types", "file")} == {"long"}
+    info = {row.graph_id: row.browser_version for row in files.release_info().collect()}
+    assert sorted(info.values()) == ["v0", "v1", "v2"]
+    members = files.part("data").where("key IS NOT NULL").collect()
+    assert sorted((info[m.graph_id], m.id, m.key, m.value) for m in members) == [
+        (f"v{i}", "1", key, value) for i in range(3) for key, value in (("a", "6"), ("b", "2"))]
+    assert {row.id for row in files.part("file").collect()} == {f"window_B_{i}_OS_1.json" for i in range(3)}
+
+
+def test_lines_of_captures_are_dealt_once(spark, shop):
+    plan = file_queries.captures(spark, shop)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2  # lines, suppliers
+    assert plan.count("FileScan parquet [l_partkey") == 1
+
+
+def test_each_capture_is_a_file_and_none_has_another_beside_it(spark, shop):
+    folder = os.path.dirname(file_queries.captured_files(spark, shop).inputFiles()[0].removeprefix("file:"))
+    names = os.listdir(folder)
+    assert len([n for n in names if n.endswith(".json")]) == 2 and not [n for n in names if n.endswith(".json.crc")]
+
+
+def test_catalogs_meet_names_before_members(spark, shop):
+    """As by owner: each owner's members, under all its names."""
+    done = extract.run(GraphFiles(file_queries.captured_files(spark, shop)).graphs().settled())
+    by_owner = done.members.select("graph_id", "owner", "api").distinct().join(
+        done.owners.names, ["graph_id", "owner"]).select("graph_id", "name", "api").distinct()
+    found = done.catalog()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_owner.collect())) and found.count() > 10
