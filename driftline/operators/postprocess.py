@@ -37,10 +37,10 @@ class Documented:
         return self.process(catalog, graphs)
 
 
-def _with_new(catalog: DataFrame, rows: DataFrame) -> DataFrame:
-    """The catalog and those rows it does not have yet."""
+def _with_new(catalog: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The catalog and those rows it does not have yet; ``known`` are its rows of their interfaces."""
     columns = [G, "interface_name", "api_name"]
-    fresh = rows.select(*columns).distinct().join(catalog.select(*columns), columns, "left_anti")
+    fresh = rows.select(*columns).distinct().join(known.select(*columns), columns, "left_anti")
     return catalog.unionByName(fresh)
 
 
@@ -71,7 +71,8 @@ def copy_to_interface(source: str, target: str) -> PostProcessor:
 
     def process(catalog: DataFrame, graphs: ObjectGraphs) -> DataFrame:
         copied = catalog.where(F.col("interface_name") == source)
-        return _with_new(catalog, copied.withColumn("interface_name", F.lit(target)))
+        return _with_new(
+            catalog, copied.withColumn("interface_name", F.lit(target)), catalog.where(F.col("interface_name") == target))
 
     return process
 
@@ -100,7 +101,7 @@ def copy_to_prototype(source: str, rules: NameRules = NameRules()) -> PostProces
             catalog.where(F.col("interface_name") == source).join(targets.distinct(), G)
             .select(G, F.col("target").alias("interface_name"), "api_name")
         )
-        return _with_new(catalog, copied)
+        return _with_new(catalog, copied, catalog)
 
     return process
 

@@ -66,14 +66,16 @@ def with_release_date(
 
 
 def import_catalogs(
-    catalogs: DataFrame, history: DataFrame, on_unknown: str = "error"
+    catalogs: DataFrame, history: DataFrame, on_unknown: str = "error", releases: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Releases, APIs and support facts from one row per (release, interface, api).
 
-    ``catalogs`` has the four release parts, ``interface_name`` and ``api_name``.
+    ``catalogs`` has the four release parts, ``interface_name`` and ``api_name``. ``releases`` may give
+    the parts that it has, where they are known with less work.
     """
     parts = ["browser_name", "browser_version", "os_name", "os_version"]
-    releases = with_release_date(catalogs.select(*parts).distinct(), history, on_unknown)
+    listed = catalogs if releases is None else releases
+    releases = with_release_date(listed.select(*parts).distinct(), history, on_unknown)
     apis = catalogs.select("interface_name", "api_name").distinct()
     facts = catalogs.select(
         release_key().alias("release_key"), interface_key().alias("interface_key")

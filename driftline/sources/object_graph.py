@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.extract import ExtractorConfig, extract_catalog
 from driftline.operators.graph import G, ObjectGraphs
-from driftline.session import bytes_of, fresh_path, too_big_to_send
+from driftline.session import bytes_of, cut_sized, fresh_path, too_big_to_send
 from driftline.sources.catalog import import_catalogs
 
 #: Parts of a document that are maps by node, and those whose values are maps again.
@@ -152,7 +152,12 @@ def graph_tables(documents: DataFrame) -> ObjectGraphs:
 def import_graph_files(
     documents: DataFrame, history: DataFrame, config: ExtractorConfig = ExtractorConfig(), on_malformed: str = "error"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Releases, APIs and support facts of captured graphs, from one scan of their files."""
+    """Releases, APIs and support facts of captured graphs, from one scan of their files.
+
+    The corrected catalog is written, as all three tables come from it. Releases are those of its graphs.
+    """
     files = GraphFiles(documents)
-    catalog = extract_catalog(files.graphs().settled(), config)
-    return import_catalogs(catalog.join(files.release_info(on_malformed), G).drop(G), history)
+    catalog = cut_sized(extract_catalog(files.graphs().settled(), config), "corrected")
+    info = files.release_info(on_malformed)
+    releases = info.join(catalog.select(G).distinct(), G, "left_semi").drop(G)
+    return import_catalogs(catalog.join(info, G).drop(G), history, releases=releases)

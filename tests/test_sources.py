@@ -154,3 +154,13 @@ def test_intermediate_tables_go_to_the_configured_folder(spark):
     assert rows == 5 and table.count() == 5
     folder = shared_folder(spark).removeprefix("file:")
     assert f"{folder}/driftline/{spark.sparkContext.applicationId}/probe-" in table.inputFiles()[0]
+
+
+def test_import_with_known_releases(spark, history):
+    columns = "browser_name string, browser_version string, os_name string, os_version string"
+    catalogs = spark.createDataFrame(
+        [("Chrome", "56.1", "OSX", "10", "W", "F")], f"{columns}, interface_name string, api_name string")
+    known = spark.createDataFrame([("Chrome", "56.1", "OSX", "10")] * 2, columns)
+    releases, _, junction = import_catalogs(catalogs, history, releases=known)
+    assert [r.browser_version for r in releases.collect()] == ["56.1"] and junction.count() == 1
+    assert "W" not in {value for row in releases.collect() for value in row}
