@@ -174,7 +174,7 @@ def _named(rows: DataFrame, info: DataFrame) -> DataFrame:
 @query(CAPTURED + "SELECT release_key, node, key, child FROM edges JOIN graphs USING (s)")
 def read_object_graph_files(spark: SparkSession, folder: str) -> DataFrame:
     """All members in all captured files, by the release that the file names."""
-    files = GraphFiles(captured_files(spark, folder))
+    files = GraphFiles(captured_files(spark, folder), numbered=True)
     members = files.part("data").where("key IS NOT NULL").select(
         G, F.col("id").cast("long").alias("node"), "key", F.col("value").cast("long").alias("child"))
     return _named(members, files.release_info())
@@ -210,7 +210,7 @@ def extractor_configuration(spark: SparkSession, folder: str) -> DataFrame:
         (postprocess.remove_interfaces(["Object"]), postprocess.remove_apis(["window"], "^Brand"),
          postprocess.add_apis("Added", ["one"])),
     )
-    files = GraphFiles(captured_files(spark, folder))
+    files = GraphFiles(captured_files(spark, folder), numbered=True)
     return _named(extract_catalog(files.graphs().settled(), config), files.release_info())
 
 

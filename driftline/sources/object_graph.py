@@ -97,14 +97,14 @@ def tagged_rows(documents: DataFrame) -> DataFrame:
 class GraphFiles:
     """The tagged rows of a set of documents, written once.
 
-    Documents are numbered: their ``graph_id`` is a number here, as every row that is dealt out or sorted
+    With ``numbered``, documents have a number as ``graph_id``, as every row that is dealt out or sorted
     has one. The names of the files are the ids of the part ``file``.
     """
 
-    def __init__(self, documents: DataFrame):
+    def __init__(self, documents: DataFrame, numbered: bool = False):
         spark = documents.sparkSession
         path = fresh_path(spark, "graph-files")
-        rows = tagged_rows(documents.withColumn(G, F.monotonically_increasing_id()))
+        rows = tagged_rows(documents.withColumn(G, F.monotonically_increasing_id()) if numbered else documents)
         tags = ("file", "root", *MAPS)
         seen, size = Observation(), bytes_of(rows)
         counted = rows.observe(seen, *[F.sum(F.when(F.col("tag") == tag, size)).alias(tag) for tag in tags])
@@ -156,7 +156,7 @@ def import_graph_files(
 
     The corrected catalog is written, as all three tables come from it. Releases are those of its graphs.
     """
-    files = GraphFiles(documents)
+    files = GraphFiles(documents, numbered=True)
     catalog = cut_sized(extract_catalog(files.graphs().settled(), config), "corrected")
     info = files.release_info(on_malformed)
     releases = info.join(catalog.select(G).distinct(), G, "left_semi").drop(G)

@@ -131,7 +131,7 @@ def test_documents_are_numbered_in_graph_tables(spark, tmp_path):
         (tmp_path / f"window_B_{i}_OS_1.json").write_text(json.dumps({
             "data": {"1": {"a": 6, "b": 2}, "2": {}}, "types": {"null": 6}, "root": 1,
             "environment": {"browser": {"name": "B", "version": f"v{i}"}, "platform": {"name": "OS", "version": "1"}}}))
-    files = GraphFiles(read_object_graphs(spark, str(tmp_path)))
+    files = GraphFiles(read_object_graphs(spark, str(tmp_path)), numbered=True)
     assert {files.part(tag).schema["graph_id"].dataType.typeName() for tag in ("data", "types", "file")} == {"long"}
     info = {row.graph_id: row.browser_version for row in files.release_info().collect()}
     assert sorted(info.values()) == ["v0", "v1", "v2"]
@@ -155,7 +155,7 @@ def test_each_capture_is_a_file_and_none_has_another_beside_it(spark, shop):
 
 def test_catalogs_meet_names_before_members(spark, shop):
     """As by owner: each owner's members, under all its names."""
-    done = extract.run(GraphFiles(file_queries.captured_files(spark, shop)).graphs().settled())
+    done = extract.run(GraphFiles(file_queries.captured_files(spark, shop), numbered=True).graphs().settled())
     by_owner = done.members.select("graph_id", "owner", "api").distinct().join(
         done.owners.names, ["graph_id", "owner"]).select("graph_id", "name", "api").distinct()
     found = done.catalog()
